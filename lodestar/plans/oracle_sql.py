@@ -36,17 +36,17 @@ st as (select record_id, v, c, coalesce(list_dot_product(v, c), 0)::double vtc,
   coalesce(list_dot_product(c, c), 0)::double ctc from docs)"""
 
 
-def n_coeffs(gamma_src: str) -> str:
-    """co4(record_id, g, gamma, a, b) for the gammas in ``gamma_src`` (g, gamma)."""
+def n_coeffs(gamma_src: str, p: str = "co") -> str:
+    """{p}4(record_id, g, gamma, a, b, snap) for the gammas in ``gamma_src`` (g, gamma)."""
     return f"""
-co as (select st.record_id, gm.g, gm.gamma, vtc, ctc, (ctc - vtc*vtc <= 1e-12 or vtc < 0) nu,
+{p} as (select st.record_id, gm.g, gm.gamma, vtc, ctc, (ctc - vtc*vtc <= 1e-12 or vtc < 0) nu,
   greatest(sqrt(ctc), 1e-12) cn from st, ({gamma_src}) gm),
-co2 as (select *, case when gamma = 0 or nu then 0.0::double
-  else 0.5*sqrt(gamma*(4.0-gamma)/(ctc-vtc*vtc)) end b0 from co),
-co3 as (select *, case when gamma = 0 or nu then 1.0::double else (1.0 - gamma/2.0) - b0*vtc end a0,
-  (gamma > 0 and ctc > 0 and vtc/cn >= 1.0 - gamma/2.0) snap from co2),
-co4 as (select record_id, g, gamma, case when snap then 0.0::double else a0 end a,
-  case when snap then 1.0/cn else b0 end b, snap from co3)"""
+{p}2 as (select *, case when gamma = 0 or nu then 0.0::double
+  else 0.5*sqrt(gamma*(4.0-gamma)/(ctc-vtc*vtc)) end b0 from {p}),
+{p}3 as (select *, case when gamma = 0 or nu then 1.0::double else (1.0 - gamma/2.0) - b0*vtc end a0,
+  (gamma > 0 and ctc > 0 and vtc/cn >= 1.0 - gamma/2.0) snap from {p}2),
+{p}4 as (select record_id, g, gamma, case when snap then 0.0::double else a0 end a,
+  case when snap then 1.0/cn else b0 end b, snap from {p}3)"""
 
 
 GRID_SRC = "select i::int g, i*(0.02::double) gamma from range(25) t(i)"
@@ -65,12 +65,12 @@ grid as (select g, gamma, sum(hits * (1 // least(n_ans, 1)))::bigint acc_num, co
 bestn as (select gamma, acc from grid order by acc_num desc, gamma asc limit 1)"""
 
 
-def n_apply(gamma_src: str, name: str = "nt") -> str:
+def n_apply(gamma_src: str, name: str = "nt", p: str = "cf") -> str:
     """name(record_id, emb): N update at the gamma from ``gamma_src`` (one row, column gamma)."""
-    return n_coeffs(f"select 0 g, gamma from ({gamma_src})") + f""",
-{name} as (select st.record_id, case when st.c is null or co4.b = 0 then st.v
-  else list_transform(range(1, len(st.v)+1), lambda i: co4.a*st.v[i] + co4.b*st.c[i]) end emb
-  from st join co4 using (record_id))"""
+    return n_coeffs(f"select 0 g, gamma from ({gamma_src})", p) + f""",
+{name} as (select st.record_id, case when st.c is null or {p}4.b = 0 then st.v
+  else list_transform(range(1, len(st.v)+1), lambda i: {p}4.a*st.v[i] + {p}4.b*st.c[i]) end emb
+  from st join {p}4 using (record_id))"""
 
 
 MDIRS = f"""

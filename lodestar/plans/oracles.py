@@ -33,22 +33,14 @@ ORACLES["vector_sum"] = sql(*BASE, DIRS, "cc as (select record_id, c emb from do
                             select=long_form("cc"))
 ORACLES["n_stats"] = sql(*BASE, DIRS, select=f"""
 select record_id, {r6('vtc')} vtc, {r6('ctc')} ctc, (ctc - vtc*vtc <= 1e-12 or vtc < 0) no_update from st""")
-ORACLES["n_closed_form"] = sql(*BASE, DIRS, n_apply("select 0.2::double gamma"), select=long_form("nt"))
+ORACLES["n_closed_form"] = sql(*BASE, DIRS, n_apply("select 0.2::double gamma", p="co"), select=long_form("nt"))
 ORACLES["n_snap"] = sql(*BASE, DIRS, n_coeffs("select 0 g, 0.3::double gamma"),
                         select=f"select record_id, {r6('a')} a, {r6('b')} b, snap from co4")
 ORACLES["n_accuracy_grid"] = sql(*BASE, DIRS, NGRID,
                                  select=f"select g::bigint g, {r6('gamma')} gamma, acc_num, n_dev, {r6('acc')} acc from grid")
 ORACLES["n_best_gamma"] = sql(*BASE, DIRS, NGRID, select=f"select {r6('gamma')} gamma, {r6('acc')} acc from bestn")
-ORACLES["tune_n"] = sql(*BASE, DIRS, NGRID, n_apply("select gamma from bestn").replace("co ", "cf ", 1)
-                        .replace("from co)", "from cf)", 1).replace("co2 ", "cf2 ", 1).replace("from co2)", "from cf2)", 1)
-                        .replace("co3 ", "cf3 ", 1).replace("from co3)", "from cf3)", 1).replace("co4 ", "cf4 ", 1)
-                        .replace("join co4 using", "join cf4 using").replace("co4.", "cf4."),
-                        select=long_form("nt"))
-ORACLES["tune_equivalence"] = sql(*BASE, ANS, "_x as (select 1)", DIRS, NGRID,
-                                  n_apply("select gamma from bestn").replace("co ", "cf ", 1)
-                                  .replace("from co)", "from cf)", 1).replace("co2 ", "cf2 ", 1).replace("from co2)", "from cf2)", 1)
-                                  .replace("co3 ", "cf3 ", 1).replace("from co3)", "from cf3)", 1).replace("co4 ", "cf4 ", 1)
-                                  .replace("join co4 using", "join cf4 using").replace("co4.", "cf4."),
+ORACLES["tune_n"] = sql(*BASE, DIRS, NGRID, n_apply("select gamma from bestn"), select=long_form("nt"))
+ORACLES["tune_equivalence"] = sql(*BASE, ANS, DIRS, NGRID, n_apply("select gamma from bestn"),
                                   "ntt as (select * from nt where record_id in (select record_id from tuned))",
                                   select=long_form("ntt"))
 ORACLES["m_direction"] = sql(*BASE, DIRS, MDIRS, "uu as (select record_id, u emb from mv where u is not null)",
@@ -75,3 +67,86 @@ ORACLES["hit_at_1"] = sql(*BASE, CORP, topk("t", "dv", "cemb", 1), """
 dj1 as (select distinct q_id, record_id from judg where q_id in (select q_id from dv))""", select=f"""
 select {r6('avg(case when dj1.record_id is not null then 1.0 else 0.0 end)')} hit_at_1, count(*)::bigint n_queries
 from (select distinct q_id from dj1) qq left join t using (q_id) left join dj1 using (q_id, record_id)""")
+
+# ---------------------------------------------------------------- datasets
+KILT = """
+np_ as (select count(*) n from pages),
+kq as (select conv_id, text input from conversations where turn = 0),
+flat as (select distinct c.conv_id::varchar id, ((c.conv_id*31 + c.turn*7) % (select n from np_))::varchar wikipedia_id,
+  (c.turn % 4)::bigint start_paragraph_id from conversations c
+  where c.turn > 0 and c.role = 'assistant' and c.conv_id in (select conv_id from kq))"""
+CQ = """
+cq as (select b.item_id q_id, d.doc_id, coalesce(l.quality + 1, 1)::int rel from documents d
+  join benchmark b on contains(d.text, b.text) left join labels l on l.doc_id = d.doc_id)"""
+ORACLES["provenance_flatten"] = sql(KILT, select="select id, wikipedia_id, start_paragraph_id from flat")
+ORACLES["queries_without_provenance"] = sql(KILT, select="""
+select conv_id::varchar id, input from kq where conv_id::varchar in (select id from flat)""")
+ORACLES["referenced_pages"] = sql(KILT, select="select distinct wikipedia_id from flat")
+ORACLES["passage_explode"] = sql(KILT, select=r"""
+select page_id::varchar doc_id, (i - 1)::varchar passage_id, regexp_replace(t, '\s+$', '') text
+from (select page_id, unnest(string_split(html, '<p>')) t, generate_subscripts(string_split(html, '<p>'), 1) i from pages)
+where page_id::varchar in (select wikipedia_id from flat)""")
+ORACLES["doc_dedup_first"] = sql("""
+u as (select doc_id, text, 0 src from documents where lang = 'en'
+  union all select doc_id, case when n_chars < 500 then null else text end, 1 from documents
+  union all select doc_id, text || ' [c]', 2 from documents)""",
+                                 select="select doc_id, md5(arg_min(text, src)) text_md5 from u where text is not null group by doc_id")
+ORACLES["query_dedup_text"] = sql("""
+qf as (select doc_id q_id, text input, doc_id pos, floor(cast(substr(source, 4) as int) / 7) file from documents)""",
+                                  select="""select md5(input) input_md5, first(q_id order by file, pos) q_id
+from qf where file < 3 group by input""")
+ORACLES["judgment_sets"] = sql(CQ, select="""
+select q_id, string_agg(doc_id::varchar, ',' order by doc_id) answers,
+  string_agg(doc_id::varchar || ':' || rel::varchar, ',' order by doc_id) rels
+from (select q_id, doc_id, max(rel) rel from cq group by q_id, doc_id) group by q_id""")
+ORACLES["referential_check"] = sql(CQ, select="select item_id q_id from benchmark where item_id not in (select q_id from cq)")
+ORACLES["referential_repair"] = sql(CQ, select="""
+select item_id q_id from benchmark where item_id not in
+  (select q_id from cq where doc_id not in (select doc_id from labels))""")
+ORACLES["passage_ids"] = sql("x as (select 1)", select="select doc_id, '0' passage_id from documents")
+ORACLES["pool_splits"] = sql("""
+gr as (select d.lang, max(l.quality + 1 > 1) g from documents d join labels l using (doc_id) group by d.lang),
+al as (select bool_and(coalesce(gr.g, false)) w from (select distinct lang from documents) s left join gr using (lang))""",
+                             select="select doc_id q_id, lang pre_split, (select w from al) with_rels from documents")
+ORACLES["random_split"] = sql(*BASE, """
+n as (select count(*) n from q),
+sz as (select n, n - least(10000, floor(0.1::double * n)) - least(10000, floor(0.2::double * n)) ntr,
+  least(10000, floor(0.1::double * n)) ndev from n),
+pm as (select q_id, row_number() over (order by md5('0:' || q_id::varchar), q_id) - 1 perm from q)""", select="""
+select q_id, case when perm < ntr then 'train' when perm < ntr + ndev then 'dev' else 'test' end split from pm, sz""")
+ORACLES["record_ids"] = sql("x as (select 1)", select="select doc_id, (row_number() over (order by doc_id) - 1)::bigint record_id from documents")
+ORACLES["judged_queries"] = sql(CQ, select="select distinct q_id from cq")
+TFO = """
+tdq as (select q_id from q where split in ('train', 'dev')),
+ta as (select distinct record_id from judg where q_id in (select q_id from tdq)),
+tfo as (select record_id, (row_number() over (order by case when record_id in (select record_id from ta) then 0 else 1 end,
+  record_id) - 1)::bigint new_id from corpus)"""
+ORACLES["train_first_reorder"] = sql(*BASE, TFO, select="select record_id, new_id from tfo")
+ORACLES["answerable_cut"] = sql(*BASE, TFO, """
+mm as (select max(t.new_id) + 1 m from judg j join tfo t using (record_id) where j.q_id in (select q_id from tdq))""",
+                                select="select new_id record_id, case when new_id < (select m from mm) then 'answerable' else 'nontrain' end part from tfo")
+ORACLES["with_rels"] = sql(*BASE, select="select split, max(rel) > 1 with_rels from judg join q using (q_id) group by split")
+ORACLES["key_resolution"] = sql(CQ, """
+rec as (select doc_id, (row_number() over (order by doc_id) - 1)::bigint record_id from documents)""",
+                                select="select q_id, record_id, max(rel)::bigint rel from cq join rec using (doc_id) group by q_id, record_id")
+ORACLES["judgment_long"] = sql(CQ, select="select q_id, doc_id record_id, max(rel)::bigint rel from cq group by q_id, doc_id")
+ORACLES["caption_explode"] = sql("x as (select 1)", select="""
+select (row_number() over (order by conv_id, turn) - 1)::bigint q_id, conv_id doc_id, turn pos
+from conversations where role = 'user'""")
+ORACLES["rekey_per_split"] = sql(*BASE, select="""
+select q_id old_q_id, split, (row_number() over (partition by split order by q_id) - 1)::bigint q_id from q""")
+ORACLES["training_pairs"] = sql(*BASE, """
+tj as (select distinct q_id, record_id from judg where q_id in (select q_id from tr))""", select=f"""
+select tj.q_id, tj.record_id, {r6('list_dot_product(tr.qv, corpus.v)')} score from tj join tr using (q_id) join corpus using (record_id)""")
+
+# ---------------------------------------------------------------- text
+ORACLES["clean_text"] = sql("x as (select 1)", select="""
+select doc_id, md5(case when coalesce(replace(text, chr(10), ' '), '') = '' then '.'
+  else coalesce(replace(text, chr(10), ' '), '') end) text_md5 from documents""")
+ORACLES["truncate_tokens"] = sql("x as (select 1)", select="""
+select doc_id, md5(array_to_string(string_split(text, ' ')[1:8191], ' ')) text_md5,
+  least(len(string_split(text, ' ')), 8191)::bigint n_tokens from documents""")
+ORACLES["query_prefix"] = sql("x as (select 1)", select="select item_id q_id, md5('query: ' || text) input_md5 from benchmark")
+ORACLES["length_order"] = sql("x as (select 1)", select="""
+select doc_id, length(text)::bigint len, (row_number() over (order by length(text) desc, doc_id) - 1)::bigint pos from documents""")
+ORACLES["resume_todo"] = sql("x as (select 1)", select="select doc_id record_id from documents where doc_id not in (select doc_id from labels)")

@@ -254,3 +254,230 @@ def q_hit1(spark, sf_dir):
     f = fx(spark, sf_dir)
     _, dv, _ = sets(f)
     return out(MET.hit_at_1(RET.top1(dv.queries, f.corpus), dv.judgments, dv.queries))
+
+
+# ---------------------------------------------------------------- datasets
+from ..operators import datasets as DS  # noqa: E402
+from ..operators import embed as EM  # noqa: E402
+from . import standins as SI  # noqa: E402
+from .fixture import load_table  # noqa: E402
+
+
+def _csv(c):
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@register("provenance_flatten")
+def q_prov(spark, sf_dir):
+    return out(DS.flatten_provenance(SI.kilt_queries(spark, sf_dir)))
+
+
+@register("queries_without_provenance")
+def q_noprov(spark, sf_dir):
+    return out(DS.queries_with_provenance(SI.kilt_queries(spark, sf_dir)).select("id", "input"))
+
+
+@register("referenced_pages")
+def q_refpages(spark, sf_dir):
+    return out(DS.referenced_pages(DS.flatten_provenance(SI.kilt_queries(spark, sf_dir))))
+
+
+@register("passage_explode")
+def q_passages(spark, sf_dir):
+    ref = DS.referenced_pages(DS.flatten_provenance(SI.kilt_queries(spark, sf_dir)))
+    return out(DS.pages_to_passages(SI.page_paragraphs(spark, sf_dir), ref))
+
+
+@register("doc_dedup_first")
+def q_docdedup(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents")
+    files = [d.filter(F.col("lang") == "en").select("doc_id", "text"),
+             d.select("doc_id", F.when(F.col("n_chars") < 500, F.lit(None)).otherwise(F.col("text")).alias("text")),
+             d.select("doc_id", F.concat("text", F.lit(" [c]")).alias("text"))]
+    r = DS.first_non_null_by_key(files)
+    return out(r.select("doc_id", F.md5("text").alias("text_md5")))
+
+
+def _doc_query_files(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents")
+    fno = F.floor(F.substring("source", 4, 10).cast("int") / 7)
+    q = d.select(F.col("doc_id").alias("q_id"), F.col("text").alias("input"),
+                 F.col("doc_id").alias("pos"), fno.alias("file"))
+    return [q.filter(F.col("file") == i).drop("file") for i in range(3)]
+
+
+@register("query_dedup_text")
+def q_qdedup(spark, sf_dir):
+    r = DS.dedup_queries_by_text(_doc_query_files(spark, sf_dir))
+    return out(r.select(F.md5("input").alias("input_md5"), "q_id"))
+
+
+@register("judgment_sets")
+def q_jsets(spark, sf_dir):
+    j = DS.judgment_sets(SI.containment_qrels(spark, sf_dir))
+    rels = F.array_join(F.transform(F.array_sort(F.map_entries("rels")),
+                                    lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return out(j.select("q_id", _csv(F.col("answers")).alias("answers"), rels.alias("rels")))
+
+
+@register("referential_check")
+def q_refcheck(spark, sf_dir):
+    return out(DS.unjudged_queries(SI.benchmark_queries(spark, sf_dir),
+                                   SI.containment_qrels(spark, sf_dir)).select("q_id"))
+
+
+@register("referential_repair")
+def q_refrepair(spark, sf_dir):
+    corpus = load_table(spark, sf_dir, "labels").select("doc_id")
+    return out(DS.repair_missing_docs(SI.benchmark_queries(spark, sf_dir),
+                                      SI.containment_qrels(spark, sf_dir), corpus).select("q_id"))
+
+
+@register("passage_ids")
+def q_passage_ids(spark, sf_dir):
+    return out(DS.with_default_passage(load_table(spark, sf_dir, "documents").select("doc_id")))
+
+
+@register("pool_splits")
+def q_pool(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"), "lang")
+    lab = load_table(spark, sf_dir, "labels")
+    graded = {r["lang"]: bool(r["g"]) for r in d.join(lab.withColumnRenamed("doc_id", "q_id"), "q_id")
+              .groupBy("lang").agg(F.max(F.col("quality") + 1 > 1).alias("g")).collect()}
+    langs = [r[0] for r in d.select("lang").distinct().collect()]
+    splits = {l: (d.filter(F.col("lang") == l).select("q_id"), graded.get(l, False)) for l in langs}
+    u, g = DS.pool_splits(splits)
+    return out(u.withColumn("with_rels", F.lit(g)))
+
+
+@register("random_split")
+def q_rsplit(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return out(DS.seeded_split(f.queries.select("q_id"), seed=0).select("q_id", "split"))
+
+
+@register("record_ids")
+def q_recids(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents").select("doc_id")
+    return out(DS.dense_ids(d, "doc_id"))
+
+
+@register("judged_queries")
+def q_judgedq(spark, sf_dir):
+    return out(DS.judged_only(SI.benchmark_queries(spark, sf_dir), SI.containment_qrels(spark, sf_dir))
+               .select("q_id"))
+
+
+def _train_dev(f):
+    return f.queries.filter(F.col("split").isin("train", "dev")).select("q_id")
+
+
+@register("train_first_reorder")
+def q_trainfirst(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return out(DS.train_first_order(f.corpus.select("record_id"), f.judgments, _train_dev(f)))
+
+
+def _reordered(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    m = DS.train_first_order(f.corpus.select("record_id"), f.judgments, _train_dev(f))
+    j = (f.judgments.join(m, "record_id").select("q_id", F.col("new_id").alias("record_id"), "rel"))
+    return f, m.select(F.col("new_id").alias("record_id")), j
+
+
+@register("answerable_cut")
+def q_anscut(spark, sf_dir):
+    f, recs, j = _reordered(spark, sf_dir)
+    a, rest, m = DS.answerable_cut(recs, j, _train_dev(f))
+    r = a.withColumn("part", F.lit("answerable"))
+    if rest is not None:
+        r = r.unionByName(rest.withColumn("part", F.lit("nontrain")))
+    return out(r)
+
+
+@register("with_rels")
+def q_withrels(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    j = f.judgments.join(f.queries.select("q_id", "split"), "q_id")
+    return out(DS.with_rels_flag(j))
+
+
+def _records(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents").select("doc_id")
+    return DS.with_default_passage(DS.dense_ids(d, "doc_id"))
+
+
+@register("key_resolution")
+def q_keyres(spark, sf_dir):
+    q = DS.with_default_passage(SI.containment_qrels(spark, sf_dir))
+    return out(DS.resolve_keys(q, _records(spark, sf_dir)))
+
+
+@register("judgment_long")
+def q_jlong(spark, sf_dir):
+    nested = DS.judgment_sets(SI.containment_qrels(spark, sf_dir))
+    return out(DS.judgments_long(nested))
+
+
+@register("caption_explode")
+def q_captions(spark, sf_dir):
+    c = load_table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
+    return out(DS.explode_captions(c, "conv_id", "turn", "text").select("q_id", "doc_id", "pos"))
+
+
+@register("rekey_per_split")
+def q_rekey(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return out(DS.rekey_per_split(f.queries.select("q_id", "split")))
+
+
+@register("training_pairs")
+def q_pairs(spark, sf_dir):
+    from ..functions.vectors import dot
+    f = fx(spark, sf_dir)
+    p = DS.training_pairs(f.split("train"), f.judged("train"), f.corpus)
+    return out(p.select("q_id", "record_id", dot("qv", "dv").alias("score")))
+
+
+# ---------------------------------------------------------------- text
+@register("clean_text")
+def q_clean(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents")
+    return out(d.select("doc_id", F.md5(EM.fix_empty(EM.clean_newlines("text"))).alias("text_md5")))
+
+
+@register("truncate_tokens")
+def q_trunc(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents")
+    t = EM.truncate_tokens("text", EM.MAX_TOKENS_HOSTED)
+    return out(d.select("doc_id", F.md5(t).alias("text_md5"),
+                        F.least(F.size(F.split("text", " ")), F.lit(EM.MAX_TOKENS_HOSTED)).alias("n_tokens")))
+
+
+@register("query_prefix")
+def q_prefix(spark, sf_dir):
+    b = SI.benchmark_queries(spark, sf_dir)
+    return out(b.select("q_id", F.md5(EM.with_prompt("input", "query: ")).alias("input_md5")))
+
+
+@register("length_order")
+def q_lenorder(spark, sf_dir):
+    from ..operators.ranks import row_index
+    d = load_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len"))
+    r = row_index(d.withColumn("__k", -F.col("len")), "__k", "pos", order=[F.col("__k"), F.col("doc_id")])
+    return out(r.select("doc_id", "len", "pos"))
+
+
+@register("resume_todo")
+def q_resume(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"))
+    done = load_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_id"))
+    return out(EM.pending(d, done))
+
+
+@register("embed_column")
+def q_embed(spark, sf_dir):
+    d = load_table(spark, sf_dir, "documents")
+    e = EM.embed_column(d, "text", id_col="doc_id")
+    from ..functions.vectors import norm
+    return out(e.select("doc_id", F.size("embedding").alias("dim"), norm(F.col("embedding").cast("array<double>")).alias("norm")))
