@@ -150,3 +150,69 @@ ORACLES["query_prefix"] = sql("x as (select 1)", select="select item_id q_id, md
 ORACLES["length_order"] = sql("x as (select 1)", select="""
 select doc_id, length(text)::bigint len, (row_number() over (order by length(text) desc, doc_id) - 1)::bigint pos from documents""")
 ORACLES["resume_todo"] = sql("x as (select 1)", select="select doc_id record_id from documents where doc_id not in (select doc_id from labels)")
+
+# ---------------------------------------------------------------- sources
+ORACLES["read_records"] = sql("x as (select 1)", select="select doc_id, length(text)::bigint len from documents where lang = 'de'")
+ORACLES["shard_plan"] = sql(*BASE, TFO, """
+mm as (select max(t.new_id) + 1 m from judg j join tfo t using (record_id) where j.q_id in (select q_id from tdq)),
+nt as (select new_id record_id from tfo where new_id >= (select m from mm)),
+lay as (select count(*) n, ceil(count(*) / ((1.0::double / 65536) * 268435456 / 64)) shards from nt),
+per as (select ceil(n / shards) per from lay)""", select="""
+select record_id, floor((record_id - (select m from mm)) / (select per from per))::bigint shard from nt""")
+ORACLES["published_roundtrip"] = sql(*BASE, select="""
+select q.split, (row_number() over (partition by q.split order by q.q_id) - 1)::bigint q_id, 0 x, q.q_id old from q""").replace(
+    "select q.split", "select q.split", 1)
+ORACLES["published_roundtrip"] = sql(*BASE, """
+rk as (select split, q_id old, (row_number() over (partition by split order by q_id) - 1)::bigint q_id from q)""",
+                                     select="select rk.split, rk.q_id, judg.record_id, judg.rel::bigint rel from judg join rk on rk.old = judg.q_id")
+
+# ---------------------------------------------------------------- adapter
+PAIRS = """
+tj as (select distinct q_id, record_id from judg where q_id in (select q_id from tr)),
+tp as (select tj.q_id, tj.record_id, tr.qv, corpus.v dv from tj join tr using (q_id) join corpus using (record_id)),
+bt as (select *, (row_number() over (order by q_id, record_id) - 1) // 32 batch_id from tp),
+nb as (select batch_id, q_id, record_id,
+  list_transform(qv, lambda x: x/greatest(sqrt(list_dot_product(qv,qv)),1e-12)) yh,
+  list_transform(dv, lambda x: x/greatest(sqrt(list_dot_product(dv,dv)),1e-12)) dh from bt)"""
+ORACLES["ranking_loss"] = sql(*BASE, PAIRS, """
+zz as (select a.batch_id, a.q_id, a.record_id, (a.q_id = b.q_id and a.record_id = b.record_id) diag,
+  20.0 * list_dot_product(a.yh, b.dh) * (case when list_dot_product(a.yh, b.dh) >= -1.0 then 1.0 else 0.0 end) z
+  from nb a join nb b using (batch_id)),
+li as (select batch_id, q_id, record_id, ln(sum(exp(z))) - max(case when diag then z end) l from zz group by all)""",
+                              select=f"select batch_id::bigint batch_id, count(*)::bigint n, {r6('avg(l)')} loss from li group by batch_id")
+WPAT = """
+wq as (select q_id, i, sum(((case when i = j then 1.0 else 0.0 end) + (((i*7 + j*3) % 11) - 5) / 100.0) * x) y
+  from (select q_id, unnest(qv) x, generate_subscripts(qv, 1) - 1 j from dv) e, range(64) r(i) group by q_id, i),
+aq as (select q_id, list(y order by i) qv from wq group by q_id)"""
+ORACLES["adapter_apply"] = sql(*BASE, WPAT, "aqe as (select q_id record_id, qv emb from aq)", select=long_form("aqe"))
+ORACLES["adapter_accuracy"] = sql(*BASE, WPAT, CORP, topk("t", "aq", "cemb", 1), """
+dj1 as (select distinct q_id, record_id from judg where q_id in (select q_id from dv)),
+na as (select q_id, count(*) n from dj1 group by q_id),
+hq as (select t.q_id, count(dj1.record_id) hits from t left join dj1 using (q_id, record_id) group by t.q_id)""",
+                                  select=f"""select {r6('avg(coalesce(hits, 0) / least(n, 1))')} acc, count(*)::bigint n_queries
+from na left join hq using (q_id)""")
+
+
+# ---------------------------------------------------------------- reports
+def _report_sql(summary: bool = False) -> str:
+    sel = []
+    for i, (name, cor, cos, gam) in enumerate([("no_ft", "cemb", True, "null::double"),
+                                               ("n", "nt", True, "(select gamma from bestn)"),
+                                               ("m", "mt", False, "(select gamma from bestm)")]):
+        sel.append(f"select '{name}' finetuner, 'fixture' q_set, "
+                   + ", ".join(f"avg({t}_{k}) {t}_{k}" for t, k in _SUITE)
+                   + f", {gam} gamma from pq{i}")
+    ctes = [*BASE, CORP, DIRS, NGRID, n_apply("select gamma from bestn"), MDIRS, MAPPLY]
+    for i, (cor, cos) in enumerate([("cemb", True), ("nt", True), ("mt", False)]):
+        ctes.append(topk(f"tk{i}", "te", cor, 40, cos=cos))
+        ctes.append(metrics_ctes(f"tk{i}", "te", _SUITE, name=f"pq{i}"))
+    ctes.append("rows_ as (" + " union all ".join(sel) + ")")
+    if summary:
+        return sql(*ctes, select=f"select finetuner, {r6('avg(recall_1)')} recall_1, {r6('avg(recall_10)')} recall_10, "
+                                 f"{r6('avg(ndcg_10)')} ndcg_10 from rows_ group by finetuner")
+    return sql(*ctes, select="select finetuner, q_set, " + ", ".join(f"{r6(f'{t}_{k}')} {t}_{k}" for t, k in _SUITE)
+               + f", {r6('gamma')} gamma from rows_")
+
+
+ORACLES["method_report"] = _report_sql()
+ORACLES["method_summary"] = _report_sql(True)

@@ -481,3 +481,88 @@ def q_embed(spark, sf_dir):
     e = EM.embed_column(d, "text", id_col="doc_id")
     from ..functions.vectors import norm
     return out(e.select("doc_id", F.size("embedding").alias("dim"), norm(F.col("embedding").cast("array<double>")).alias("norm")))
+
+
+# ---------------------------------------------------------------- sources
+from ..sources import io as IO  # noqa: E402
+
+
+@register("read_records")
+def q_read_records(spark, sf_dir):
+    d = spark.read.schema("doc_id long, text string, lang string").parquet(f"{sf_dir}/documents.parquet")
+    return out(d.filter(F.col("lang") == "de").select("doc_id", F.length("text").alias("len")))
+
+
+@register("shard_plan")
+def q_shard_plan(spark, sf_dir):
+    f, recs, j = _reordered(spark, sf_dir)
+    _, _, m = DS.answerable_cut(recs, j, _train_dev(f))
+    return out(IO.shard_plan(recs, m, cap_gb=1.0 / (1 << 16), dim=64))
+
+
+@register("published_roundtrip")
+def q_published(spark, sf_dir):
+    import uuid
+    from ..session import shared_dir
+    f = fx(spark, sf_dir)
+    root = shared_dir(spark, f"published-{uuid.uuid4().hex[:8]}")
+    IO.write_published(f.corpus, f.queries.select("q_id", "split"), f.judgments, root)
+    _, qs, rel = IO.read_published(spark, root)
+    return out(rel.select("split", "q_id", "record_id", "rel"))
+
+
+# ---------------------------------------------------------------- adapter
+import numpy as _np  # noqa: E402
+
+from ..operators import adapter as AD  # noqa: E402
+
+
+def pattern_adapter(dim: int) -> "_np.ndarray":
+    """A fixed test transform: identity plus a small integer pattern."""
+    i = _np.arange(dim)[:, None]
+    j = _np.arange(dim)[None, :]
+    return _np.eye(dim) + (((i * 7 + j * 3) % 11) - 5) / 100.0
+
+
+@register("ranking_loss")
+def q_rloss(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    p = DS.training_pairs(f.split("train"), f.judged("train"), f.corpus)
+    return out(AD.ranking_loss(AD.batch_pairs(p, 32)))
+
+
+@register("adapter_apply")
+def q_adapply(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    q = f.split("dev")
+    return long_form(AD.apply_adapter(q, pattern_adapter(64)).withColumnRenamed("q_id", "record_id"))
+
+
+@register("adapter_accuracy")
+def q_adacc(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    return out(AD.adapter_accuracy(f.split("dev"), f.judged("dev"), f.corpus, pattern_adapter(64)))
+
+
+@register("adapter_fit")
+def q_adfit(spark, sf_dir):
+    f = fx(spark, sf_dir)
+    p = DS.training_pairs(f.split("train"), f.judged("train"), f.corpus)
+    r = AD.fit_adapter(p, f.split("dev"), f.judged("dev"), f.corpus, batch_size=256, steps=4,
+                       val_freq=2, warmup_steps=4, lr=1e-3)
+    return out(spark.createDataFrame([(s, a) for s, a in r.history], "step long, val_acc double"))
+
+
+# ---------------------------------------------------------------- reports
+from . import experiment as EX  # noqa: E402
+
+
+@register("method_report")
+def q_report(spark, sf_dir):
+    m = EX.method_matrix(spark, {"fixture": sf_dir})
+    return out(m.drop("train_time", "test_name"))
+
+
+@register("method_summary")
+def q_summary(spark, sf_dir):
+    return out(EX.method_report(EX.method_matrix(spark, {"fixture": sf_dir})))
