@@ -140,13 +140,14 @@ def fit_adapter(pairs: DataFrame, dev_queries: DataFrame, dev_judgments: DataFra
     ``step_wait`` steps without gain or a drop larger than ``acc_diff_wait``."""
     cfg = dict(DEFAULTS)
     cfg.update(kw)
-    from ..session import ensure_checkpoint_dir
     spark = pairs.sparkSession
     ship_package(spark)
-    ensure_checkpoint_dir(spark)
     bp = batch_pairs(pairs, cfg["batch_size"], seed).select(
         "batch_id", "q_id", "record_id", as_double("qv").alias("qv"), as_double("dv").alias("dv"))
-    bp = bp.checkpoint()          # reliable: survives executor loss, cuts lineage
+    from ..plans.materialize import materialize
+    # written once to the shared folder, partitioned by batch: each step
+    # prunes to its own batch files and survives executor loss
+    bp = materialize(bp, "adapter-batches", partition_by=["batch_id"])
     n_batches = int(bp.agg(F.max("batch_id")).first()[0]) + 1
     dim = int(bp.select(F.size("qv")).first()[0])
     W = np.eye(dim)

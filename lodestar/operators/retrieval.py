@@ -52,9 +52,10 @@ def block_size(df: DataFrame, vec_col: str = "embedding"):
 
 
 def collect_block(df: DataFrame, id_col: str = "q_id", vec_col: str = "embedding",
-                  cap: int = QUERY_BLOCK_CAP) -> QueryBlock:
-    """Pack a *size-checked* small vector table into one numpy block."""
-    n, d, nbytes = block_size(df, vec_col)
+                  cap: int = QUERY_BLOCK_CAP, sizes: tuple | None = None) -> QueryBlock:
+    """Pack a *size-checked* small vector table into one numpy block
+    (``sizes`` = a (rows, dim, bytes) check already made on ``df``)."""
+    n, d, nbytes = sizes or block_size(df, vec_col)
     if nbytes > cap:
         raise OverflowError(f"query block of {nbytes} bytes exceeds cap {cap}")
     tbl = df.select(F.col(id_col).cast("long").alias("id"),
@@ -64,6 +65,20 @@ def collect_block(df: DataFrame, id_col: str = "q_id", vec_col: str = "embedding
     return QueryBlock(ids, mat)
 
 
+def broadcast_chunks(df: DataFrame, id_col: str, vec_col: str = "embedding",
+                     cap: int = QUERY_BLOCK_CAP) -> list[tuple[DataFrame, tuple | None]]:
+    """Split a vector table into hash chunks whose blocks fit ``cap`` (one
+    chunk when it already fits); each chunk is collected and broadcast on its
+    own, so neither the driver nor a task ever holds more than one chunk.
+    Returns (chunk, known sizes or None)."""
+    sizes = block_size(df, vec_col)
+    if sizes[2] <= cap:
+        return [(df, sizes)]
+    c = int(math.ceil(2 * sizes[2] / cap))
+    key = F.pmod(F.xxhash64(F.col(id_col)), F.lit(c))
+    return [(df.filter(key == i), None) for i in range(c)]
+
+
 def _scan_topk_fn(bc, k: int):
     def fn(batches):
         blk = bc.value
@@ -103,9 +118,10 @@ def partial_topk(queries: DataFrame, corpus_flagged: DataFrame, k: int,
     """Per-task top-k rows (q_id, record_id, score); needs a final merge."""
     spark = corpus_flagged.sparkSession
     ship_package(spark)
-    n, d, nbytes = block_size(queries)
+    sizes = block_size(queries)
+    n, d, nbytes = sizes
     if nbytes <= cap:
-        blk = collect_block(queries, cap=cap)
+        blk = collect_block(queries, cap=cap, sizes=sizes)
         bc = spark.sparkContext.broadcast(blk)
         return corpus_flagged.mapInArrow(_scan_topk_fn(bc, k), TOPK_SCHEMA)
     return _grid_topk(queries, corpus_flagged, k, chunks=math.ceil(nbytes / cap))

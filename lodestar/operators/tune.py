@@ -33,7 +33,7 @@ from .._ship import ship_package
 from ..functions.vectors import (EPS_NORM, as_double, dot, list_to_matrix, nan_to_zero,
                                  vector_sum, with_normalized)
 from .ranks import prefix_sum
-from .retrieval import QUERY_BLOCK_CAP, collect_block
+from .retrieval import QUERY_BLOCK_CAP, broadcast_chunks, collect_block
 from .topk_kernel import doc_step, merge_topk, round_scores
 
 # fixed values
@@ -64,6 +64,43 @@ class TuneResult:
     extra: dict = field(default_factory=dict)
 
 
+# --------------------------------------------------------------------------
+# split the corpus so only documents with training queries are tuned
+# --------------------------------------------------------------------------
+
+ID_BROADCAST_CAP = 4 << 20        # record ids we allow to broadcast (≈ 64 MB)
+
+
+def split_by_ids(corpus: DataFrame, ids: DataFrame):
+    """(part, rest) = corpus ⋉ ids, corpus ▷ ids.  The id side is broadcast
+    when its size is proven small, so the corpus is filtered in place."""
+    n = ids.count()
+    side = F.broadcast(ids) if n <= ID_BROADCAST_CAP else ids
+    return (corpus.join(side, "record_id", "left_semi"),
+            corpus.join(side, "record_id", "left_anti"))
+
+
+def trained_split(corpus: DataFrame, train: "QuerySet"):
+    """Documents with at least one training query vs. the rest.  The rest
+    never moves (c = 0) and only competes through its scores, with its own
+    ids and labels (F15)."""
+    ids = train.judgments.select(F.col("record_id").cast("long")).distinct()
+    return split_by_ids(corpus, ids)
+
+
+def normalized(corpus: DataFrame) -> DataFrame:
+    return with_normalized(corpus.select(F.col("record_id").cast("long"),
+                                         as_double("embedding").alias("embedding")), "embedding")
+
+
+def _static(untouched: DataFrame | None, rest: DataFrame | None) -> DataFrame | None:
+    if untouched is None:
+        return rest
+    if rest is None:
+        return untouched
+    return untouched.select("record_id", "embedding").unionByName(rest.select("record_id", "embedding"))
+
+
 # --------------------------------------------------------------------------
 # F1 / F2 / V4: directions
 # --------------------------------------------------------------------------
@@ -215,15 +252,17 @@ def n_accuracy_grid(stats: DataFrame, dev: QuerySet, untouched: DataFrame | None
     spark = stats.sparkSession
     ship_package(spark)
     devq = dev.judged_queries().select("q_id", "embedding")
-    blk = collect_block(devq, cap=QUERY_BLOCK_CAP // 2)
-    bc = spark.sparkContext.broadcast(blk)
     scan = stats.select("record_id", "v", "c", "vTc", "cTc")
     if untouched is not None:
         u = with_normalized(untouched.select(F.col("record_id").cast("long"),
                                              as_double("embedding").alias("v")), "v")
         scan = scan.unionByName(u.select("record_id", "v", F.lit(None).cast("array<double>").alias("c"),
                                          F.lit(0.0).alias("vTc"), F.lit(0.0).alias("cTc")))
-    part = scan.mapInArrow(_grid_scan_fn(bc, gammas, val_k), _GRID_SCHEMA)
+    part = None
+    for chunk, sizes in broadcast_chunks(devq, "q_id", cap=QUERY_BLOCK_CAP // 2):
+        bc = spark.sparkContext.broadcast(collect_block(chunk, cap=QUERY_BLOCK_CAP, sizes=sizes))
+        p = scan.mapInArrow(_grid_scan_fn(bc, gammas, val_k), _GRID_SCHEMA)
+        part = p if part is None else part.unionByName(p)
     w = Window.partitionBy("g", "q_id").orderBy(F.col("score").desc(), F.col("record_id"))
     top = part.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= val_k)
     ans = dev.dedup_judgments()
@@ -249,14 +288,18 @@ def n_best_gamma(grid: DataFrame) -> float:
 def tune_n(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFrame | None = None,
            val_k: int = 1, gamma: float | None = None, gammas=None) -> TuneResult:
     """N variant end to end.  ``untouched`` records are competitors only
-    (scored with cosine, keep ids and labels) and are not returned."""
-    stats = n_stats(doc_directions(corpus, train))
+    (scored with cosine, keep ids and labels) and are not returned; corpus
+    documents without training queries are split off the same way and come
+    back normalised and unchanged."""
+    from ..plans.materialize import materialize
+    part, rest = trained_split(corpus, train)
+    stats = materialize(n_stats(doc_directions(part, train)), "n-stats")
     grid = None
     if gamma is None:
-        grid = n_accuracy_grid(stats, dev, untouched, val_k, gammas)
+        grid = n_accuracy_grid(stats, dev, _static(untouched, rest), val_k, gammas)
         gamma = n_best_gamma(grid)
     check_gamma(gamma)
-    return TuneResult(n_apply(stats, gamma), float(gamma), grid)
+    return TuneResult(n_apply(stats, gamma).unionByName(normalized(rest)), float(gamma), grid)
 
 
 # --------------------------------------------------------------------------
@@ -334,26 +377,40 @@ def _interval_scan_fn(bc):
     return fn
 
 
+PAIR_BLOCK_CAP = QUERY_BLOCK_CAP // 2
+
+
+def _pair_block(pairs: DataFrame):
+    tbl = pairs.select("pair_id", "x", "qv", "s_x", "g_x").toArrow()
+    n = tbl.num_rows
+    if n and (list_to_matrix(tbl.column("qv")).nbytes > 2 * PAIR_BLOCK_CAP):
+        raise OverflowError("dev pair chunk exceeds the broadcast cap")
+    return (tbl.column("pair_id").to_numpy(), tbl.column("x").to_numpy(),
+            list_to_matrix(tbl.column("qv")) if n else np.zeros((0, 1)),
+            tbl.column("s_x").to_numpy(), tbl.column("g_x").to_numpy())
+
+
 def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None) -> DataFrame:
-    """(pair_id, q_id, x, low, high, bad, valid) per dev pair."""
+    """(pair_id, q_id, x, low, high, bad, valid) per dev pair.
+
+    The pair block (query vector + the answer's two scores) is size-checked
+    and broadcast (in hash chunks when large); the corpus is scanned by
+    ``mapInArrow`` emitting one partial (max, min, count) row per pair per
+    task, merged by a two-phase aggregate."""
     spark = mdirs.sparkSession
     ship_package(spark)
-    pairs = m_pairs(mdirs, dev, untouched)
-    n = pairs.count()
-    dim = 0 if n == 0 else int(pairs.select(F.size("qv")).first()[0])
-    if n * max(dim, 1) * 8 > QUERY_BLOCK_CAP // 2:
-        raise OverflowError("dev pair block exceeds the broadcast cap")
-    tbl = pairs.select("pair_id", "x", "qv", "s_x", "g_x").toArrow()
-    blk = (tbl.column("pair_id").to_numpy(), tbl.column("x").to_numpy(),
-           list_to_matrix(tbl.column("qv")) if n else np.zeros((0, dim)),
-           tbl.column("s_x").to_numpy(), tbl.column("g_x").to_numpy())
-    bc = spark.sparkContext.broadcast(blk)
+    from ..plans.materialize import materialize
+    pairs = materialize(m_pairs(mdirs, dev, untouched), "m-pairs")
     scan = mdirs.select("record_id", "v", "u")
     if untouched is not None:
         u = with_normalized(untouched.select(F.col("record_id").cast("long"),
                                              as_double("embedding").alias("v")), "v")
         scan = scan.unionByName(u.select("record_id", "v", F.lit(None).cast("array<double>").alias("u")))
-    part = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
+    part = None
+    for chunk, _ in broadcast_chunks(pairs, "pair_id", "qv", cap=PAIR_BLOCK_CAP):
+        bc = spark.sparkContext.broadcast(_pair_block(chunk))
+        p = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
+        part = p if part is None else part.unionByName(p)
     agg = part.groupBy("pair_id").agg(F.max("low").alias("low"), F.min("high").alias("high"),
                                       F.sum("bad").alias("bad"))
     return (agg.join(pairs.select("pair_id", "q_id", "x"), "pair_id")
@@ -385,12 +442,14 @@ def m_apply(mdirs: DataFrame, gamma: float) -> DataFrame:
 
 def tune_m(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFrame | None = None,
            gamma: float | None = None) -> TuneResult:
-    """M variant end to end."""
-    mdirs = m_directions(doc_directions(corpus, train))
+    """M variant end to end (same corpus split as ``tune_n``)."""
+    from ..plans.materialize import materialize
+    part, rest = trained_split(corpus, train)
+    mdirs = materialize(m_directions(doc_directions(part, train)), "m-dirs")
     diag, extra = None, {}
     if gamma is None:
-        iv = m_intervals(mdirs, dev, untouched)
+        iv = materialize(m_intervals(mdirs, dev, _static(untouched, rest)), "m-intervals")
         diag = iv
         gamma, best = m_best_gamma(m_sweep(iv))
         extra["overlap"] = best
-    return TuneResult(m_apply(mdirs, gamma), float(gamma), diag, extra)
+    return TuneResult(m_apply(mdirs, gamma).unionByName(normalized(rest)), float(gamma), diag, extra)

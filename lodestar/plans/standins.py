@@ -22,21 +22,18 @@ AUTOMATON_CAP = 256 << 20
 NEST_CHUNK = 64  # outputs per nested row (bounded arrays)
 
 
-def containment_pairs(docs: DataFrame, items: DataFrame, doc_key="doc_id", item_key="item_id") -> DataFrame:
-    """(doc_key, item_key) for every document text containing an item text."""
+def _automaton(items: DataFrame, item_key: str):
     import ahocorasick
-    spark = docs.sparkSession
-    ship_package(spark)
-    size = items.agg(F.sum(F.length("text")).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    if (size["s"] or 0) * 16 > AUTOMATON_CAP:
-        raise OverflowError("benchmark side too large to broadcast as one automaton")
     A = ahocorasick.Automaton()
     for r in items.select(item_key, "text").toLocalIterator():
         if r["text"]:
             A.add_word(r["text"], A.get(r["text"], ()) + (int(r[item_key]),))
-    A.make_automaton()
-    bc = spark.sparkContext.broadcast(A)
+    if len(A):
+        A.make_automaton()
+    return A
 
+
+def _scan_fn(bc, doc_key, item_key):
     def scan(batches):
         aut = bc.value
         for b in batches:
@@ -54,9 +51,32 @@ def containment_pairs(docs: DataFrame, items: DataFrame, doc_key="doc_id", item_
                     oi.append(i)
             yield pa.RecordBatch.from_arrays([pa.array(od, pa.int64()), pa.array(oi, pa.int64())],
                                              names=[doc_key, item_key])
-    if len(A) == 0:
+    return scan
+
+
+def containment_pairs(docs: DataFrame, items: DataFrame, doc_key="doc_id", item_key="item_id") -> DataFrame:
+    """(doc_key, item_key) for every document text containing an item text.
+
+    The item side becomes Aho-Corasick automata (size-checked; in hash chunks
+    beyond ``AUTOMATON_CAP``), broadcast; documents are scanned in place and
+    every text is matched whole."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    size = int(items.agg(F.sum(F.length("text"))).first()[0] or 0) * 16
+    chunks = max(1, -(-size // AUTOMATON_CAP))
+    src = docs.select(F.col(doc_key).cast("long"), "text")
+    out = None
+    for i in range(chunks):
+        part = items if chunks == 1 else items.filter(F.pmod(F.xxhash64(item_key), F.lit(chunks)) == i)
+        A = _automaton(part, item_key)
+        if len(A) == 0:
+            continue
+        bc = spark.sparkContext.broadcast(A)
+        p = src.mapInArrow(_scan_fn(bc, doc_key, item_key), f"{doc_key} long, {item_key} long")
+        out = p if out is None else out.unionByName(p)
+    if out is None:
         return spark.createDataFrame([], f"{doc_key} long, {item_key} long")
-    return docs.select(F.col(doc_key).cast("long"), "text").mapInArrow(scan, f"{doc_key} long, {item_key} long")
+    return out
 
 
 def containment_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,3 +151,16 @@ def test_sweep_semantics(spark):
     assert (g, n) == (1.0, 3)       # [0,2) [1,3) [1,1.5) overlap at 1; zero-width [2,2) cancels
     empty = iv.filter("pair_id < 0")
     assert TUNE.m_best_gamma(TUNE.m_sweep(empty)) == (0.0, 0)
+
+
+def test_chunked_broadcast_paths_agree(fx, sets, tuned_n, monkeypatch):
+    """Dev queries / dev pairs beyond the broadcast cap go in hash chunks."""
+    monkeypatch.setattr(TUNE, "QUERY_BLOCK_CAP", 200 * 64 * 8 // 2)     # ~4 chunks of dev queries
+    monkeypatch.setattr(TUNE, "PAIR_BLOCK_CAP", 200 * 64 * 8 // 4)
+    r = TUNE.tune_n(fx.corpus, *sets)
+    assert r.gamma == tuned_n.gamma
+    g1 = sorted((x["g"], x["acc_num"]) for x in r.diagnostics.collect())
+    g0 = sorted((x["g"], x["acc_num"]) for x in tuned_n.diagnostics.collect())
+    assert g1 == g0
+    m = TUNE.tune_m(fx.corpus, *sets)
+    assert m.gamma == pytest.approx(8.411400, abs=1e-6) and m.extra["overlap"] == 188
