@@ -333,12 +333,12 @@ def m_pairs(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None)
             .select("pair_id", "q_id", "x", "qv", "s_x", "g_x"))
 
 
-_INT_SCHEMA = "pair_id long, low double, high double, bad long"
+_INT_SCHEMA = "pair_id long, q_id long, x long, low double, high double, bad long"
 
 
 def _interval_scan_fn(bc):
     def fn(batches):
-        pid, x, Qp, sx, gx = bc.value
+        pid, qid, x, Qp, sx, gx = bc.value
         npairs = len(pid)
         low = np.zeros(npairs)
         high = np.full(npairs, M_LARGE)
@@ -372,8 +372,9 @@ def _interval_scan_fn(bc):
                 bad += (other & (dg == 0) & (ds > 0)).sum(axis=1)
         if not seen:
             return
-        yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(low), pa.array(high), pa.array(bad)],
-                                         names=["pair_id", "low", "high", "bad"])
+        yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(qid), pa.array(x), pa.array(low),
+                                          pa.array(high), pa.array(bad)],
+                                         names=["pair_id", "q_id", "x", "low", "high", "bad"])
     return fn
 
 
@@ -381,11 +382,11 @@ PAIR_BLOCK_CAP = QUERY_BLOCK_CAP // 2
 
 
 def _pair_block(pairs: DataFrame):
-    tbl = pairs.select("pair_id", "x", "qv", "s_x", "g_x").toArrow()
+    tbl = pairs.select("pair_id", "q_id", "x", "qv", "s_x", "g_x").toArrow()
     n = tbl.num_rows
     if n and (list_to_matrix(tbl.column("qv")).nbytes > 2 * PAIR_BLOCK_CAP):
         raise OverflowError("dev pair chunk exceeds the broadcast cap")
-    return (tbl.column("pair_id").to_numpy(), tbl.column("x").to_numpy(),
+    return (tbl.column("pair_id").to_numpy(), tbl.column("q_id").to_numpy(), tbl.column("x").to_numpy(),
             list_to_matrix(tbl.column("qv")) if n else np.zeros((0, 1)),
             tbl.column("s_x").to_numpy(), tbl.column("g_x").to_numpy())
 
@@ -399,8 +400,7 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
     task, merged by a two-phase aggregate."""
     spark = mdirs.sparkSession
     ship_package(spark)
-    from ..plans.materialize import materialize
-    pairs = materialize(m_pairs(mdirs, dev, untouched), "m-pairs")
+    pairs = m_pairs(mdirs, dev, untouched)
     scan = mdirs.select("record_id", "v", "u")
     if untouched is not None:
         u = with_normalized(untouched.select(F.col("record_id").cast("long"),
@@ -411,10 +411,9 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
         bc = spark.sparkContext.broadcast(_pair_block(chunk))
         p = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
         part = p if part is None else part.unionByName(p)
-    agg = part.groupBy("pair_id").agg(F.max("low").alias("low"), F.min("high").alias("high"),
-                                      F.sum("bad").alias("bad"))
-    return (agg.join(pairs.select("pair_id", "q_id", "x"), "pair_id")
-            .withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low"))))
+    agg = part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
+                                                   F.sum("bad").alias("bad"))
+    return agg.withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low")))
 
 
 def m_sweep(intervals: DataFrame) -> DataFrame:

@@ -216,3 +216,6 @@ def _report_sql(summary: bool = False) -> str:
 
 ORACLES["method_report"] = _report_sql()
 ORACLES["method_summary"] = _report_sql(True)
+
+# ---------------------------------------------------------------- streaming
+ORACLES["embed_stream"] = sql("x as (select 1)", select="select doc_id, 64::bigint dim from documents")

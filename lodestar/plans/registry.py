@@ -566,3 +566,20 @@ def q_report(spark, sf_dir):
 @register("method_summary")
 def q_summary(spark, sf_dir):
     return out(EX.method_report(EX.method_matrix(spark, {"fixture": sf_dir})))
+
+
+# ---------------------------------------------------------------- streaming
+@register("embed_stream")
+def q_embed_stream(spark, sf_dir):
+    """Stream the documents table through the resumable embedding job twice
+    (second run must find nothing new) and return what the sink holds."""
+    import uuid
+    from ..session import shared_dir
+    from ..streaming.embed_stream import embed_stream
+    root = shared_dir(spark, f"embed-stream-{uuid.uuid4().hex[:8]}")
+    src = load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("record_id"), "text")
+    src.write.parquet(f"{root}/in")
+    for _ in range(2):
+        embed_stream(spark, f"{root}/in", "record_id long, text string", f"{root}/out", f"{root}/ckpt")
+    e = spark.read.parquet(f"{root}/out")
+    return out(e.select(F.col("record_id").alias("doc_id"), F.size("embedding").alias("dim")))
