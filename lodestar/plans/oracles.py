@@ -219,3 +219,12 @@ ORACLES["method_summary"] = _report_sql(True)
 
 # ---------------------------------------------------------------- streaming
 ORACLES["embed_stream"] = sql("x as (select 1)", select="select doc_id, 64::bigint dim from documents")
+
+# ---------------------------------------------------------------- more R/F rows
+ORACLES["topk_shards"] = ORACLES["topk_cos"]
+ORACLES["untouched_competitors"] = sql(*BASE, """
+tra as (select distinct record_id from judg where q_id in (select q_id from tr)),
+rest as (select record_id, v emb from corpus where record_id not in (select record_id from tra))""",
+                                       topk("t", "dv", "rest", 2),
+                                       select=f"select q_id, rank, record_id, {r6('score')} score from t")
+ORACLES["tune_n_fixed"] = sql(*BASE, DIRS, n_apply("select 0.1::double gamma"), select=long_form("nt"))

@@ -583,3 +583,38 @@ def q_embed_stream(spark, sf_dir):
         embed_stream(spark, f"{root}/in", "record_id long, text string", f"{root}/out", f"{root}/ckpt")
     e = spark.read.parquet(f"{root}/out")
     return out(e.select(F.col("record_id").alias("doc_id"), F.size("embedding").alias("dim")))
+
+
+# ---------------------------------------------------------------- more R/F rows
+@register("topk_shards")
+def q_topk_shards(spark, sf_dir):
+    """R2: search the answerable table plus a directory of size-capped
+    nontrain shards (written by S10) -- ids are a column, no offsets."""
+    import uuid
+    from ..session import shared_dir
+    f = fx(spark, sf_dir)
+    _, rest = answerable_split(f)
+    m = int(rest.agg(F.min("record_id")).first()[0])     # first record answering no train/dev query
+    root = shared_dir(spark, f"shards-{uuid.uuid4().hex[:8]}")
+    IO.write_embedding_shards(f.corpus, root, m=m, cap_gb=1.0 / (1 << 18), dim=64)
+    ans = spark.read.parquet(f"{root}/answerable")
+    nt = IO.read_shards(spark, f"{root}/nontrain").select("record_id", "embedding")
+    return out(RET.topk(f.split("test"), ans, 10, "cos", untouched=nt))
+
+
+@register("untouched_competitors")
+def q_untouched(spark, sf_dir):
+    """best cosine score per dev query among documents without any
+    training query (they never move, so this is γ-independent)."""
+    f = fx(spark, sf_dir)
+    tr, _, _ = sets(f)
+    _, rest = TUNE.trained_split(f.corpus, tr)
+    return out(RET.topk(f.split("dev"), rest, 2, "cos"))
+
+
+@register("tune_n_fixed")
+def q_tune_n_fixed(spark, sf_dir):
+    """fixed γ, no search."""
+    f = fx(spark, sf_dir)
+    tr, dv, _ = sets(f)
+    return long_form(TUNE.tune_n(f.corpus, tr, dv, gamma=0.1).embeddings)

@@ -109,3 +109,28 @@ def test_adapter_fit_never_worse_than_identity(spark, fx):
     assert best >= r.history[0][1]
     ident = AD.adapter_accuracy(fx.split("dev"), fx.judged("dev"), fx.corpus, None).first()["acc"]
     assert r.history[0][1] == pytest.approx(ident)
+
+
+def test_load_processed_and_append(spark, tmp, fx):
+    root = os.path.join(tmp, "proc")
+    qsel = fx.queries.select("q_id", "split")
+    IO.write_published(fx.corpus, qsel, fx.judgments, root)
+    from lodestar.operators import datasets as DS
+    rek = DS.rekey_per_split(fx.queries.select("q_id", "split", "embedding"))
+    qemb = rek.select("q_id", "split", "embedding")
+    recs, sets, ans, rest, m = IO.load_processed(spark, root, fx.corpus, qemb)
+    assert set(sets) == {"train", "dev", "test"}
+    assert sets["dev"].queries.count() == 200 and sets["test"].judgments.count() > 0
+    assert ans.count() == m and (rest is None or rest.count() == 300 - m)
+    out = os.path.join(tmp, "res")
+    row = spark.createDataFrame([("t", "n", 0.5)], "test_name string, finetuner string, recall_10 double")
+    IO.append_result(row, out)
+    IO.append_result(row, out)
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_embed_pairs_two_towers(spark):
+    items = spark.createDataFrame([(1, "red car"), (2, "blue sky")], "doc_id long, text string")
+    caps = spark.createDataFrame([(10, 1, "a red car"), (11, 2, "sky")], "q_id long, doc_id long, input string")
+    a, b = EM.embed_pairs(items, caps, "text", "input")
+    assert a.count() == 2 and b.count() == 2 and a.columns == ["doc_id", "embedding"]
