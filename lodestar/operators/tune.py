@@ -33,7 +33,8 @@ from .._ship import ship_package
 from ..functions.vectors import (EPS_NORM, as_double, dot, list_to_matrix, nan_to_zero,
                                  vector_sum, with_normalized)
 from .ranks import prefix_sum
-from .retrieval import QUERY_BLOCK_CAP, broadcast_chunks, collect_block
+from .retrieval import (QUERY_BLOCK_CAP, TOPK_SCHEMA, _corpus_frame, _scan_topk_fn, broadcast_chunks,
+                        collect_block, final_topk)
 from .topk_kernel import doc_step, merge_topk, round_scores
 
 # fixed values
@@ -253,16 +254,21 @@ def n_accuracy_grid(stats: DataFrame, dev: QuerySet, untouched: DataFrame | None
     ship_package(spark)
     devq = dev.judged_queries().select("q_id", "embedding")
     scan = stats.select("record_id", "v", "c", "vTc", "cTc")
-    if untouched is not None:
-        u = with_normalized(untouched.select(F.col("record_id").cast("long"),
-                                             as_double("embedding").alias("v")), "v")
-        scan = scan.unionByName(u.select("record_id", "v", F.lit(None).cast("array<double>").alias("c"),
-                                         F.lit(0.0).alias("vTc"), F.lit(0.0).alias("cTc")))
-    part = None
+    ucorp = None if untouched is None else _corpus_frame(untouched, True)
+    moving, static = None, None
     for chunk, sizes in broadcast_chunks(devq, "q_id", cap=QUERY_BLOCK_CAP // 2):
         bc = spark.sparkContext.broadcast(collect_block(chunk, cap=QUERY_BLOCK_CAP, sizes=sizes))
         p = scan.mapInArrow(_grid_scan_fn(bc, gammas, val_k), _GRID_SCHEMA)
-        part = p if part is None else part.unionByName(p)
+        moving = p if moving is None else moving.unionByName(p)
+        if ucorp is not None:
+            # untouched docs never move: one plain top-val_k serves every γ
+            st = ucorp.mapInArrow(_scan_topk_fn(bc, val_k), TOPK_SCHEMA)
+            static = st if static is None else static.unionByName(st)
+    part = moving
+    if static is not None:
+        best = final_topk(static, val_k).select("q_id", "record_id", "score")
+        every_g = F.explode(F.array(*[F.lit(i) for i in range(len(gammas))]))
+        part = part.unionByName(best.select(every_g.alias("g"), "q_id", "record_id", "score"))
     w = Window.partitionBy("g", "q_id").orderBy(F.col("score").desc(), F.col("record_id"))
     top = part.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= val_k)
     ans = dev.dedup_judgments()
@@ -391,6 +397,26 @@ def _pair_block(pairs: DataFrame):
             tbl.column("s_x").to_numpy(), tbl.column("g_x").to_numpy())
 
 
+def _untouched_bounds(pairs: DataFrame, dev: QuerySet, untouched: DataFrame) -> DataFrame:
+    """Untouched docs have u = 0, so for a pair their Δg is the same
+    (-g_x) and only the best untouched score other than x itself can bind:
+    collapse them to the top-2 cosine per dev query (exact) and turn the best
+    one that is not x into one bound row per pair."""
+    from .retrieval import topk
+    best = topk(dev.judged_queries().select("q_id", "embedding"), untouched, 2, "cos")
+    j = (pairs.select("pair_id", "q_id", "x", "s_x", "g_x")
+         .join(best.select("q_id", F.col("record_id").alias("d"), F.col("score").alias("sc")), "q_id")
+         .filter(F.col("d") != F.col("x"))
+         .groupBy("pair_id", "q_id", "x", "s_x", "g_x").agg(F.max("sc").alias("s_c")))
+    ds = F.col("s_c") - F.col("s_x")
+    dg = F.lit(0.0) - F.col("g_x")
+    al = ds / (dg + F.lit(M_EPS))
+    return j.select("pair_id", "q_id", "x",
+                    F.when(dg > 0, F.greatest(al, F.lit(0.0))).otherwise(F.lit(0.0)).alias("low"),
+                    F.when(dg < 0, F.least(al, F.lit(M_LARGE))).otherwise(F.lit(M_LARGE)).alias("high"),
+                    F.when((dg == 0) & (ds > 0), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("bad"))
+
+
 def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None) -> DataFrame:
     """(pair_id, q_id, x, low, high, bad, valid) per dev pair.
 
@@ -402,15 +428,13 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
     ship_package(spark)
     pairs = m_pairs(mdirs, dev, untouched)
     scan = mdirs.select("record_id", "v", "u")
-    if untouched is not None:
-        u = with_normalized(untouched.select(F.col("record_id").cast("long"),
-                                             as_double("embedding").alias("v")), "v")
-        scan = scan.unionByName(u.select("record_id", "v", F.lit(None).cast("array<double>").alias("u")))
     part = None
     for chunk, _ in broadcast_chunks(pairs, "pair_id", "qv", cap=PAIR_BLOCK_CAP):
         bc = spark.sparkContext.broadcast(_pair_block(chunk))
         p = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
         part = p if part is None else part.unionByName(p)
+    if untouched is not None:
+        part = part.unionByName(_untouched_bounds(pairs, dev, untouched))
     agg = part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
                                                    F.sum("bad").alias("bad"))
     return agg.withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low")))
