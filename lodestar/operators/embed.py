@@ -59,13 +59,16 @@ def with_prompt(c, prompt: str) -> F.Column:
     return F.concat(F.lit(prompt), F.col(c) if isinstance(c, str) else c)
 
 
-def length_ordered(df: DataFrame, col: str = "text", partitions: int | None = None) -> DataFrame:
+def length_ordered(df: DataFrame, col: str = "text", id_col: str | None = None,
+                   partitions: int | None = None) -> DataFrame:
     """T5: longest texts first within range partitions of length (cuts
-    padding); ids travel with the rows so no scatter back is needed."""
+    padding); ids travel with the rows so no scatter back is needed.  The id
+    is a secondary range key so equal lengths still spread over partitions."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col("__len").desc()] + ([F.col(id_col)] if id_col else [])
     return (df.withColumn("__len", F.length(col))
-            .repartitionByRange(n, F.col("__len").desc())
-            .sortWithinPartitions(F.col("__len").desc()).drop("__len"))
+            .repartitionByRange(n, *keys)
+            .sortWithinPartitions(*keys).drop("__len"))
 
 
 def hashing_embedder(dim: int = 64, seed: int = 0) -> Callable[[list], np.ndarray]:

@@ -4,7 +4,9 @@ Rows are range-bucketed on a numeric key using bounds from
 ``percentile_approx`` (a handful of scalars); per-bucket totals (at most
 ``buckets`` rows) give each bucket its offset; inside a bucket an ordinary
 partitioned window finishes the running sum.  Equal keys always share a
-bucket, so the result equals the global ordered running sum.
+bucket, so the result equals the global ordered running sum.  Give it a
+unique (composite) key: a value repeated by a third of all rows would land
+in one bucket, i.e. one task.
 """
 from __future__ import annotations
 

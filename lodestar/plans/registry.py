@@ -464,7 +464,9 @@ def q_prefix(spark, sf_dir):
 def q_lenorder(spark, sf_dir):
     from ..operators.ranks import row_index
     d = load_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len"))
-    r = row_index(d.withColumn("__k", -F.col("len")), "__k", "pos", order=[F.col("__k"), F.col("doc_id")])
+    # unique composite key (length desc, id asc): equal lengths cannot pile into one bucket
+    k = (F.lit(1 << 22) - F.col("len")).cast("long") * F.lit(1 << 40) + F.col("doc_id")
+    r = row_index(d.withColumn("__k", k), "__k", "pos")
     return out(r.select("doc_id", "len", "pos"))
 
 

@@ -92,3 +92,12 @@ def test_rekey_and_captions(spark):
     c = spark.createDataFrame([(2, 1, "b"), (1, 3, "a"), (2, 0, "c")], "item long, pos long, t string")
     e = sorted(tuple(x) for x in DS.explode_captions(c, "item", "pos", "t").select("q_id", "doc_id", "pos").collect())
     assert e == [(0, 1, 3), (1, 2, 0), (2, 2, 1)]
+
+
+def test_length_ordered_spreads_ties(spark):
+    d = spark.createDataFrame([(i, "x" * (5 if i % 3 else 9)) for i in range(300)], "doc_id long, text string")
+    r = EM.length_ordered(d, "text", "doc_id", partitions=4)
+    sizes = [len(p) for p in r.rdd.glom().collect()]
+    assert max(sizes) < 300 and sum(sizes) == 300
+    first = r.rdd.glom().collect()[0]
+    assert len(first[0]["text"]) == 9
