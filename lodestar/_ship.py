@@ -9,6 +9,11 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark) -> None:
+    """Ship this package's code to the executors once per application.
+    Skipped when ``LODESTAR_SHIP=0`` (package installed on the cluster or
+    passed with ``--py-files``)."""
+    if os.environ.get("LODESTAR_SHIP", "1") == "0":
+        return
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _shipped:

@@ -152,7 +152,7 @@ select doc_id, length(text)::bigint len, (row_number() over (order by length(tex
 ORACLES["resume_todo"] = sql("x as (select 1)", select="select doc_id record_id from documents where doc_id not in (select doc_id from labels)")
 
 # ---------------------------------------------------------------- sources
-ORACLES["read_records"] = sql("x as (select 1)", select="select doc_id, length(text)::bigint len from documents where lang = 'de'")
+ORACLES["read_records"] = sql("x as (select 1)", select="select doc_id, lang, length(text)::bigint len from documents")
 ORACLES["shard_plan"] = sql(*BASE, TFO, """
 mm as (select max(t.new_id) + 1 m from judg j join tfo t using (record_id) where j.q_id in (select q_id from tdq)),
 nt as (select new_id record_id from tfo where new_id >= (select m from mm)),

@@ -492,7 +492,7 @@ from ..sources import io as IO  # noqa: E402
 @register("read_records")
 def q_read_records(spark, sf_dir):
     d = spark.read.schema("doc_id long, text string, lang string").parquet(f"{sf_dir}/documents.parquet")
-    return out(d.filter(F.col("lang") == "de").select("doc_id", F.length("text").alias("len")))
+    return out(d.select("doc_id", "lang", F.length("text").alias("len")))
 
 
 @register("shard_plan")
@@ -550,8 +550,8 @@ def q_adacc(spark, sf_dir):
 def q_adfit(spark, sf_dir):
     f = fx(spark, sf_dir)
     p = DS.training_pairs(f.split("train"), f.judged("train"), f.corpus)
-    r = AD.fit_adapter(p, f.split("dev"), f.judged("dev"), f.corpus, batch_size=256, steps=4,
-                       val_freq=2, warmup_steps=4, lr=1e-3)
+    r = AD.fit_adapter(p, f.split("dev"), f.judged("dev"), f.corpus, batch_size=256, steps=12,
+                       val_freq=4, warmup_steps=12, lr=1e-3)
     return out(spark.createDataFrame([(s, a) for s, a in r.history], "step long, val_acc double"))
 
 

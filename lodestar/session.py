@@ -33,14 +33,26 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only set one when unset
-    (local tests).  Returns the directory in use."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """Use the cluster's ``spark.checkpoint.dir`` (the shared folder); only
+    when it is unset (local tests) pick a folder of our own.  Returns the
+    directory in use."""
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = tempfile.mkdtemp(prefix="lodestar-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = _LOCAL_DIRS.get(sc.applicationId)
+        if d is None:
+            d = tempfile.mkdtemp(prefix="lodestar-ckpt-")
+            _LOCAL_DIRS[sc.applicationId] = d
+            try:
+                spark.conf.set("spark.checkpoint.dir", d)
+            except Exception:  # noqa: BLE001 - core conf may be read-only at runtime
+                pass
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d
 
 
