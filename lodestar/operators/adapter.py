@@ -104,8 +104,7 @@ def adapter_accuracy(dev_queries: DataFrame, dev_judgments: DataFrame, corpus: D
     (cosine) plus untouched competitors; hits / min(#answers, val_k)."""
     from .retrieval import topk
     q = dev_queries.join(dev_judgments.select("q_id").distinct(), "q_id", "left_semi")
-    hook = (lambda d: apply_adapter(d, W)) if W is not None else None
-    top = topk(q, corpus, val_k, "cos", untouched=untouched, query_transform=hook)
+    top = topk(q, corpus, val_k, "cos", untouched=untouched, query_matrix=W)
     ans = dev_judgments.select("q_id", "record_id").distinct()
     n_ans = ans.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_ans"))
     per = (q.select("q_id").join(top.join(ans.withColumn("hit", F.lit(1)), ["q_id", "record_id"], "left")
@@ -116,13 +115,16 @@ def adapter_accuracy(dev_queries: DataFrame, dev_judgments: DataFrame, corpus: D
 
 
 def _grad_fn(bc, scale, thresh):
-    def grad(pdf):
-        import pandas as pd
-        o = np.lexsort((pdf["record_id"].to_numpy(), pdf["q_id"].to_numpy()))
-        Q = np.stack(pdf["qv"].to_numpy())[o]
-        D = np.stack(pdf["dv"].to_numpy())[o]
+    def grad(batches):
+        tbl = pa.Table.from_batches(list(batches))
+        if tbl.num_rows == 0:
+            return
+        o = np.lexsort((tbl.column("record_id").to_numpy(), tbl.column("q_id").to_numpy()))
+        Q = list_to_matrix(tbl.column("qv"))[o]
+        D = list_to_matrix(tbl.column("dv"))[o]
         loss, g = _loss_and_grad(Q, D, bc.value, scale, thresh, True)
-        return pd.DataFrame({"loss": [loss], "g": [g.reshape(-1).tolist()]})
+        yield pa.RecordBatch.from_arrays([pa.array([loss]), matrix_to_list(g.reshape(1, -1))],
+                                         names=["loss", "g"])
     return grad
 
 
@@ -168,8 +170,10 @@ def fit_adapter(pairs: DataFrame, dev_queries: DataFrame, dev_judgments: DataFra
                 break
         bc = spark.sparkContext.broadcast(W)
         b = step % n_batches
-        r = (bp.filter(F.col("batch_id") == b).groupBy("batch_id")
-             .applyInPandas(_grad_fn(bc, scale, thresh), "loss double, g array<double>").first())
+        # the batch lives in its own partition folder (pruned read); one task
+        # gets the whole bounded batch without a shuffle
+        r = (bp.filter(F.col("batch_id") == b).select("q_id", "record_id", "qv", "dv").coalesce(1)
+             .mapInArrow(_grad_fn(bc, scale, thresh), "loss double, g array<double>").first())
         bc.unpersist()
         g = np.asarray(r["g"]).reshape(dim, dim)
         lam = (step / warm) if (warm > 0 and step < warm) else (

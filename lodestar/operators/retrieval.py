@@ -114,14 +114,20 @@ def _corpus_frame(corpus: DataFrame, cos: bool) -> DataFrame:
 
 
 def partial_topk(queries: DataFrame, corpus_flagged: DataFrame, k: int,
-                 cap: int = QUERY_BLOCK_CAP) -> DataFrame:
-    """Per-task top-k rows (q_id, record_id, score); needs a final merge."""
+                 cap: int = QUERY_BLOCK_CAP, query_matrix=None) -> DataFrame:
+    """Per-task top-k rows (q_id, record_id, score); needs a final merge.
+    ``query_matrix`` W (dim x dim) maps every query q -> W q first."""
     spark = corpus_flagged.sparkSession
     ship_package(spark)
+    if query_matrix is not None and block_size(queries)[2] > cap:
+        from .adapter import apply_adapter
+        queries, query_matrix = apply_adapter(queries, query_matrix), None
     sizes = block_size(queries)
     n, d, nbytes = sizes
     if nbytes <= cap:
         blk = collect_block(queries, cap=cap, sizes=sizes)
+        if query_matrix is not None:
+            blk = QueryBlock(blk.ids, blk.mat @ np.asarray(query_matrix, dtype=np.float64).T)
         bc = spark.sparkContext.broadcast(blk)
         return corpus_flagged.mapInArrow(_scan_topk_fn(bc, k), TOPK_SCHEMA)
     return _grid_topk(queries, corpus_flagged, k, chunks=math.ceil(nbytes / cap))
@@ -173,12 +179,13 @@ def final_topk(partial: DataFrame, k: int, keys=("q_id",)) -> DataFrame:
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos",
          untouched: DataFrame | None = None, query_transform=None,
-         cap: int = QUERY_BLOCK_CAP) -> DataFrame:
+         cap: int = QUERY_BLOCK_CAP, query_matrix=None) -> DataFrame:
     """Exact top-k of every query.
 
     ``corpus`` is scored with ``metric``; ``untouched`` (optional second corpus,
     disjoint record ids) is always scored with cosine.  ``query_transform`` is
-    a DataFrame -> DataFrame hook applied to the queries first.
+    a DataFrame -> DataFrame hook applied to the queries first; a linear hook
+    can instead be given as ``query_matrix`` W (applied to the broadcast block).
     Returns (q_id, rank, record_id, score).
     """
     check_metric(metric)
@@ -189,7 +196,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos",
     c = _corpus_frame(corpus, metric == "cos")
     if untouched is not None:
         c = c.unionByName(_corpus_frame(untouched, True))
-    part = partial_topk(queries, c, k, cap)
+    part = partial_topk(queries, c, k, cap, query_matrix)
     return final_topk(part, k).select("q_id", "rank", "record_id", "score")
 
 

@@ -83,3 +83,15 @@ def test_plan_pushes_filter_and_limit(spark, fx):
     assert "MapInArrow" in plan
     opt = top._jdf.queryExecution().optimizedPlan().toString()
     assert "WindowGroupLimit" in opt
+
+
+def test_query_matrix_equals_dataframe_hook(spark, data):
+    from lodestar.operators.adapter import apply_adapter
+    Q, D = data
+    W = np.eye(8) + 0.1 * np.arange(64).reshape(8, 8) / 64
+    q = vec_df(spark, range(len(Q)), Q, "q_id")
+    d = vec_df(spark, range(len(D)), D)
+    a = rows(RET.topk(q, d, 4, query_matrix=W), ["q_id", "rank", "record_id"])
+    b = rows(RET.topk(q, d, 4, query_transform=lambda x: apply_adapter(x, W)), ["q_id", "rank", "record_id"])
+    c = rows(RET.topk(q, d, 4, query_matrix=W, cap=64), ["q_id", "rank", "record_id"])
+    assert a == b == c == [w[:3] for w in brute_topk(Q @ W.T, D, 4)]
