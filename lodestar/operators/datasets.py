@@ -90,13 +90,27 @@ def dedup_queries_by_text(files: list[DataFrame], pos: str = "pos") -> DataFrame
             .agg(F.min_by("q_id", F.struct("__src", pos)).alias("q_id")))
 
 
-def judgment_sets(qrels: DataFrame, pos: str | None = None) -> DataFrame:
+MAX_ANSWERS_PER_ROW = 100_000
+
+
+def judgment_sets(qrels: DataFrame, pos: str | None = None,
+                  max_per_row: int = MAX_ANSWERS_PER_ROW) -> DataFrame:
     """Per query the answer set (sorted ids) and the {doc: rel} map;
-    the last grade wins on repeated pairs (by ``pos``, else the max grade)."""
+    the last grade wins on repeated pairs (by ``pos``, else the max grade).
+
+    A query with more than ``max_per_row`` answers is spread over several
+    rows (``part``) by a hash of the answer id, sized from a partial count, so
+    no single group collects an unbounded list; ordinary queries get one row
+    with ``part = 0``."""
     key = "record_id" if "record_id" in qrels.columns else "doc_id"
     last = (F.max_by("rel", pos) if pos else F.max("rel")).alias("rel")
     d = qrels.groupBy("q_id", key).agg(last)
-    return d.groupBy("q_id").agg(
+    n = d.groupBy("q_id").agg(F.count(F.lit(1)).alias("__n"))
+    parts = F.ceil(F.col("__n") / F.lit(max_per_row)).cast("long")
+    d = (d.join(n, "q_id").withColumn(
+        "part", F.when(parts <= 1, F.lit(0).cast("long"))
+        .otherwise(F.pmod(F.xxhash64(F.col(key)), parts))).drop("__n"))
+    return d.groupBy("q_id", "part").agg(
         F.array_sort(F.collect_list(key)).alias("answers"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, "rel")))).alias("rels"))
 

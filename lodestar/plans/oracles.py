@@ -96,7 +96,7 @@ qf as (select doc_id q_id, text input, doc_id pos, floor(cast(substr(source, 4)
                                   select="""select md5(input) input_md5, first(q_id order by file, pos) q_id
 from qf where file < 3 group by input""")
 ORACLES["judgment_sets"] = sql(CQ, select="""
-select q_id, string_agg(doc_id::varchar, ',' order by doc_id) answers,
+select q_id, 0::bigint part, string_agg(doc_id::varchar, ',' order by doc_id) answers,
   string_agg(doc_id::varchar || ':' || rel::varchar, ',' order by doc_id) rels
 from (select q_id, doc_id, max(rel) rel from cq group by q_id, doc_id) group by q_id""")
 ORACLES["referential_check"] = sql(CQ, select="select item_id q_id from benchmark where item_id not in (select q_id from cq)")

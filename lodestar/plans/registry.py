@@ -336,7 +336,7 @@ def q_jsets(spark, sf_dir):
     j = DS.judgment_sets(SI.containment_qrels(spark, sf_dir))
     rels = F.array_join(F.transform(F.array_sort(F.map_entries("rels")),
                                     lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
-    return out(j.select("q_id", _csv(F.col("answers")).alias("answers"), rels.alias("rels")))
+    return out(j.select("q_id", "part", _csv(F.col("answers")).alias("answers"), rels.alias("rels")))
 
 
 @register("referential_check")

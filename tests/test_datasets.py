@@ -101,3 +101,14 @@ def test_length_ordered_spreads_ties(spark):
     assert max(sizes) < 300 and sum(sizes) == 300
     first = r.rdd.glom().collect()[0]
     assert len(first[0]["text"]) == 9
+
+
+def test_judgment_sets_splits_hot_query(spark):
+    q = spark.createDataFrame([(1, i, 1) for i in range(1000)] + [(2, 5, 2)], "q_id long, record_id long, rel int")
+    n = DS.judgment_sets(q, max_per_row=100)
+    rows = n.collect()
+    hot = [r for r in rows if r["q_id"] == 1]
+    assert len(hot) >= 10 and all(len(r["answers"]) <= 200 for r in hot)
+    assert sorted(x for r in hot for x in r["answers"]) == list(range(1000))
+    assert [r["part"] for r in rows if r["q_id"] == 2] == [0]
+    assert DS.judgments_long(n).count() == 1001
