@@ -50,10 +50,15 @@ def axpy(alpha, x, beta, y) -> Column:
     return F.zip_with(_c(x), _c(y), lambda p, q: al * p + be * q)
 
 
+DOUBLE_MAX = 1.7976931348623157e308  # fixed value: largest finite double
+
+
 def nan_to_zero(a) -> Column:
-    """V6: NaN / infinities -> 0 (the direction sums of empty groups)."""
-    return F.transform(_c(a), lambda x: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))),
-                                               F.lit(0.0)).otherwise(x))
+    """V6 (``nan_to_num``): NaN -> 0, ±inf -> ±largest finite double."""
+    inf = F.lit(float("inf"))
+    return F.transform(_c(a), lambda x: F.when(F.isnan(x), F.lit(0.0))
+                       .when(x == inf, F.lit(DOUBLE_MAX))
+                       .when(x == -inf, F.lit(-DOUBLE_MAX)).otherwise(x))
 
 
 def with_normalized(df: DataFrame, col: str, out: str | None = None) -> DataFrame:

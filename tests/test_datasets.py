@@ -112,3 +112,10 @@ def test_judgment_sets_splits_hot_query(spark):
     assert sorted(x for r in hot for x in r["answers"]) == list(range(1000))
     assert [r["part"] for r in rows if r["q_id"] == 2] == [0]
     assert DS.judgments_long(n).count() == 1001
+
+
+def test_nan_to_num(spark):
+    from lodestar.functions.vectors import nan_to_zero
+    d = spark.createDataFrame([([float("nan"), float("inf"), -float("inf"), 2.0],)], "v array<double>")
+    r = d.select(nan_to_zero("v")).first()[0]
+    assert r[0] == 0.0 and r[1] == 1.7976931348623157e308 and r[2] == -1.7976931348623157e308 and r[3] == 2.0
