@@ -75,20 +75,33 @@ ID_BROADCAST_CAP = 4 << 20        # record ids we allow to broadcast (≈ 64 MB)
 def split_by_ids(corpus: DataFrame, ids: DataFrame):
     """(part, rest) = corpus ⋉ ids, corpus ▷ ids.  The id side is broadcast
     when its size is proven small, so the corpus is filtered in place."""
+    ids.cache()                  # small; the size check and the join share it
     n = ids.count()
     side = F.broadcast(ids) if n <= ID_BROADCAST_CAP else ids
     return (corpus.join(side, "record_id", "left_semi"),
             corpus.join(side, "record_id", "left_anti"))
 
 
+_CACHED: dict = {}
+
+
 def trained_split(corpus: DataFrame, train: "QuerySet"):
     """Documents with at least one training query vs. the rest.  The rest
     never moves (c = 0) and only competes through its scores, with its own
     ids and labels (F15)."""
     ids = train.judgments.select(F.col("record_id").cast("long")).distinct()
+    _CACHED[id(train)] = ids
     return split_by_ids(corpus, ids)
 
 
+def _release(train: "QuerySet") -> None:
+    """Drop the small cached id table once γ is chosen (later reads of the
+    lazy result simply recompute it)."""
+    ids = _CACHED.pop(id(train), None)
+    if ids is not None:
+        ids.unpersist()
+
+
 def normalized(corpus: DataFrame) -> DataFrame:
     return with_normalized(corpus.select(F.col("record_id").cast("long"),
                                          as_double("embedding").alias("embedding")), "embedding")
@@ -252,7 +265,7 @@ def n_accuracy_grid(stats: DataFrame, dev: QuerySet, untouched: DataFrame | None
         check_gamma(g)
     spark = stats.sparkSession
     ship_package(spark)
-    devq = dev.judged_queries().select("q_id", "embedding")
+    devq = dev.judged_queries().select("q_id", "embedding").cache()   # size check + collect share it
     scan = stats.select("record_id", "v", "c", "vTc", "cTc")
     ucorp = None if untouched is None else _corpus_frame(untouched, True)
     moving, static = None, None
@@ -264,6 +277,7 @@ def n_accuracy_grid(stats: DataFrame, dev: QuerySet, untouched: DataFrame | None
             # untouched docs never move: one plain top-val_k serves every γ
             st = ucorp.mapInArrow(_scan_topk_fn(bc, val_k), TOPK_SCHEMA)
             static = st if static is None else static.unionByName(st)
+    devq.unpersist()
     part = moving
     if static is not None:
         best = final_topk(static, val_k).select("q_id", "record_id", "score")
@@ -305,6 +319,7 @@ def tune_n(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFra
         grid = n_accuracy_grid(stats, dev, _static(untouched, rest), val_k, gammas)
         gamma = n_best_gamma(grid)
     check_gamma(gamma)
+    _release(train)
     return TuneResult(n_apply(stats, gamma).unionByName(normalized(rest)), float(gamma), grid)
 
 
@@ -427,12 +442,14 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
     spark = mdirs.sparkSession
     ship_package(spark)
     pairs = m_pairs(mdirs, dev, untouched)
+    pc = pairs.cache()                   # the size check and the collection share it
     scan = mdirs.select("record_id", "v", "u")
     part = None
-    for chunk, _ in broadcast_chunks(pairs, "pair_id", "qv", cap=PAIR_BLOCK_CAP):
+    for chunk, _ in broadcast_chunks(pc, "pair_id", "qv", cap=PAIR_BLOCK_CAP):
         bc = spark.sparkContext.broadcast(_pair_block(chunk))
         p = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
         part = p if part is None else part.unionByName(p)
+    pc.unpersist()
     if untouched is not None:
         part = part.unionByName(_untouched_bounds(pairs, dev, untouched))
     agg = part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
@@ -475,4 +492,5 @@ def tune_m(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFra
         diag = iv
         gamma, best = m_best_gamma(m_sweep(iv))
         extra["overlap"] = best
+    _release(train)
     return TuneResult(m_apply(mdirs, gamma).unionByName(normalized(rest)), float(gamma), diag, extra)
