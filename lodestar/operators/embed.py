@@ -88,10 +88,11 @@ def hashing_embedder(dim: int = 64, seed: int = 0) -> Callable[[list], np.ndarra
 
 
 def embed_column(df: DataFrame, col: str, fn: Callable | None = None, id_col: str = "record_id",
-                 batch: int = 256, dim: int = 64, prep: bool = True, max_tokens: int | None = MAX_TOKENS_HOSTED,
+                 batch: int = 256, dim: int = 64, prep: bool = True, max_tokens: int | None = None,
                  out: str = "embedding") -> DataFrame:
     """(id, embedding array<float>) for every row; ``fn`` gets at most
-    ``batch`` (<= 2048) texts per call."""
+    ``batch`` (<= 2048) texts per call.  Whole texts are embedded; pass
+    ``max_tokens=MAX_TOKENS_HOSTED`` for a model with an input limit (T3)."""
     if batch > MAX_BATCH:
         raise ValueError(f"batch must be <= {MAX_BATCH}")
     fn = fn or hashing_embedder(dim)
