@@ -68,8 +68,16 @@ def main():
         run(RET.topk(te.queries, f.corpus.join(ans, "record_id", "left_semi"), 10, "cos",
                      untouched=f.corpus.join(ans, "record_id", "left_anti")))
 
+    from lodestar.plans import registry as REG
+
+    def reg(name):
+        return lambda: run(REG.R[name](spark, sf_dir))
+
     qs = {"topk_test_k10": q_topk, "tune_n": q_tune_n, "tune_m": q_tune_m,
-          "eval_suite_k40": q_eval, "topk_two_corpora": q_two}
+          "eval_suite_k40": q_eval, "topk_two_corpora": q_two,
+          # data-preparation side (whole documents table)
+          "containment_judgments": reg("judgment_sets"), "seeded_split": reg("random_split"),
+          "doc_dedup_first": reg("doc_dedup_first"), "embed_documents": reg("embed_column")}
     for fn in qs.values():   # warm-up (JIT, Python workers)
         fn()
     times = {}

@@ -73,17 +73,24 @@ def length_ordered(df: DataFrame, col: str = "text", id_col: str | None = None,
 
 def hashing_embedder(dim: int = 64, seed: int = 0) -> Callable[[list], np.ndarray]:
     """Deterministic offline embedder: signed feature hashing of lower-cased
-    whitespace tokens, L2-normalised."""
-    import xxhash
+    whitespace tokens, L2-normalised.  Vectorised per batch (one C-level
+    hash over all tokens, one scatter-add)."""
+    import pandas as pd
+
+    key = f"{seed:016d}"[:16]
 
     def fn(texts):
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        for i, t in enumerate(texts):
-            for tok in (t or "").lower().split():
-                h = xxhash.xxh64_intdigest(tok, seed=seed)
-                out[i, h % dim] += 1.0 if (h >> 63) & 1 else -1.0
+        s = pd.Series([t or "" for t in texts], dtype=object).str.lower().str.split()
+        lens = s.map(len).to_numpy()
+        out = np.zeros((len(texts), dim), dtype=np.float64)
+        if lens.sum():
+            toks = np.concatenate([np.asarray(x, dtype=object) for x in s if x])
+            h = pd.util.hash_array(toks, hash_key=key, categorize=False)
+            rows = np.repeat(np.arange(len(texts)), lens)
+            sign = np.where((h >> np.uint64(63)) & np.uint64(1), 1.0, -1.0)
+            np.add.at(out, (rows, (h % np.uint64(dim)).astype(np.int64)), sign)
         n = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.maximum(n, 1e-12)
+        return (out / np.maximum(n, 1e-12)).astype(np.float32)
     return fn
 
 
