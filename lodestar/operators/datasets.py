@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .joins import keep_keys, missing_keys, small
 from .ranks import hex_key, row_index
 
 # fixed values
@@ -59,7 +60,7 @@ def referenced_pages(*flat: DataFrame) -> DataFrame:
 def pages_to_passages(pages: DataFrame, referenced: DataFrame) -> DataFrame:
     """One row per paragraph (position, right-trimmed) of referenced pages.
     ``pages`` has (wikipedia_id string, text array<string>)."""
-    p = pages.join(referenced, "wikipedia_id", "left_semi")
+    p = keep_keys(pages, referenced, "wikipedia_id")
     return p.select(F.col("wikipedia_id").alias("doc_id"),
                     F.posexplode("text").alias("passage_id", "text")).select(
         "doc_id", F.col("passage_id").cast("string").alias("passage_id"),
@@ -128,7 +129,8 @@ def assert_all_judged(queries: DataFrame, judgments: DataFrame) -> None:
 def repair_missing_docs(queries: DataFrame, qrels: DataFrame, corpus: DataFrame,
                         key: str = "doc_id") -> DataFrame:
     """Drop every query with any judged doc missing from the corpus."""
-    bad = qrels.join(corpus.select(key), key, "left_anti").select("q_id").distinct()
+    gone = missing_keys(qrels, corpus, key)
+    bad = qrels.join(gone, key, "left_semi").select("q_id").distinct()
     return queries.join(bad, "q_id", "left_anti")
 
 
@@ -183,7 +185,7 @@ def train_first_order(records: DataFrame, judgments: DataFrame, train_dev_querie
     stable by old record_id; adds ``new_id``."""
     ans = (judgments.join(train_dev_queries.select("q_id"), "q_id", "left_semi")
            .select("record_id").distinct().withColumn("__t", F.lit(1)))
-    r = (records.join(ans, "record_id", "left").withColumn("__t", F.coalesce("__t", F.lit(0)))
+    r = (records.join(small(ans), "record_id", "left").withColumn("__t", F.coalesce("__t", F.lit(0)))
          .withColumn("__k", (F.lit(1) - F.col("__t")) * F.lit(1 << 40) + F.col("record_id")))
     return row_index(r, "__k", "new_id").drop("__t", "__k")
 
@@ -209,10 +211,9 @@ def resolve_keys(qrels: DataFrame, records: DataFrame, check: bool = True) -> Da
     carried along; a judged key missing from the records is an error."""
     k = ["doc_id", "passage_id"]
     if check:
-        missing = qrels.join(records.select(*k), k, "left_anti")
-        if missing.limit(1).count():
+        if missing_keys(qrels, records, k).limit(1).count():
             raise KeyError("judged (doc_id, passage_id) missing from the records")
-    j = qrels.join(records.select(*k, "record_id"), k, "inner")
+    j = qrels.join(keep_keys(records.select(*k, "record_id"), qrels, k), k, "inner")
     return j.groupBy("q_id", "record_id").agg(F.max("rel").alias("rel"))
 
 
@@ -248,6 +249,7 @@ def rekey_per_split(queries: DataFrame, split_col: str = "split", old: str = "q_
 
 def training_pairs(queries: DataFrame, judgments: DataFrame, corpus: DataFrame) -> DataFrame:
     """(query vector, positive vector) for every judged pair."""
-    return (judgments.select("q_id", "record_id").distinct()
-            .join(queries.select("q_id", F.col("embedding").alias("qv")), "q_id")
-            .join(corpus.select("record_id", F.col("embedding").alias("dv")), "record_id"))
+    j = judgments.select("q_id", "record_id").distinct()
+    docs = keep_keys(corpus.select("record_id", F.col("embedding").alias("dv")), j, "record_id")
+    return (j.join(queries.select("q_id", F.col("embedding").alias("qv")), "q_id")
+            .join(docs, "record_id"))

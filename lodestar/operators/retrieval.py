@@ -225,6 +225,8 @@ def candidate_narrowing(dev_queries: DataFrame, answerable: DataFrame,
     """Answerable records plus the nontrain records that occur in any
     dev query's top-k over the whole corpus.  Returns record ids."""
     hits = topk(dev_queries, answerable, k, "cos", untouched=nontrain)
+    # hits ⊆ answerable ∪ nontrain: the nontrain hits are the hits that are
+    # not answerable -- two small sides, the nontrain table is never joined
     extra = (hits.select("record_id").distinct()
-             .join(nontrain.select("record_id"), "record_id", "left_semi"))
+             .join(answerable.select("record_id"), "record_id", "left_anti"))
     return answerable.select("record_id").unionByName(extra)

@@ -69,13 +69,14 @@ class TuneResult:
 # split the corpus so only documents with training queries are tuned
 # --------------------------------------------------------------------------
 
-ID_BROADCAST_CAP = 4 << 20        # record ids we allow to broadcast (≈ 64 MB)
+from .joins import KEY_BROADCAST_CAP as ID_BROADCAST_CAP  # noqa: E402
 
 
-def split_by_ids(corpus: DataFrame, ids: DataFrame):
+def split_by_ids(corpus: DataFrame, ids: DataFrame, cache: bool = False):
     """(part, rest) = corpus ⋉ ids, corpus ▷ ids.  The id side is broadcast
     when its size is proven small, so the corpus is filtered in place."""
-    ids.cache()                  # small; the size check and the join share it
+    if cache:
+        ids.cache()              # small; the size check and the join share it
     n = ids.count()
     side = F.broadcast(ids) if n <= ID_BROADCAST_CAP else ids
     return (corpus.join(side, "record_id", "left_semi"),
@@ -91,7 +92,7 @@ def trained_split(corpus: DataFrame, train: "QuerySet"):
     ids and labels (F15)."""
     ids = train.judgments.select(F.col("record_id").cast("long")).distinct()
     _CACHED[id(train)] = ids
-    return split_by_ids(corpus, ids)
+    return split_by_ids(corpus, ids, cache=True)
 
 
 def _release(train: "QuerySet") -> None:
@@ -341,8 +342,11 @@ def m_pairs(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None)
     score at γ is ``s - γ g``, so x beats d iff ``γ (g_d - g_x) >= s_d - s_x``."""
     docs = mdirs.select("record_id", "v", "u")
     if untouched is not None:
-        u = with_normalized(untouched.select(F.col("record_id").cast("long"),
-                                             as_double("embedding").alias("v")), "v")
+        # only the answers' own vectors are needed: filter the (large)
+        # untouched side in place by the answer ids before any shuffle
+        xs = dev.dedup_judgments().select(F.col("record_id").cast("long")).distinct()
+        ux, _ = split_by_ids(untouched.select(F.col("record_id").cast("long"), "embedding"), xs)
+        u = with_normalized(ux.select("record_id", as_double("embedding").alias("v")), "v")
         docs = docs.unionByName(u.select("record_id", "v", F.lit(None).cast("array<double>").alias("u")))
     pairs = (dev.dedup_judgments()
              .join(dev.queries.select("q_id", as_double("embedding").alias("qv")), "q_id")

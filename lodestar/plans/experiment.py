@@ -21,8 +21,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     dv = TUNE.QuerySet(f.split("dev"), f.judged("dev"))
     ids = f.queries.filter(F.col("split").isin("train", "dev")).select("q_id")
     ans = f.judgments.join(ids, "q_id", "left_semi").select("record_id").distinct()
-    tuned_part = f.corpus.join(ans, "record_id", "left_semi")
-    untouched = f.corpus.join(ans, "record_id", "left_anti")
+    tuned_part, untouched = TUNE.split_by_ids(f.corpus, ans)
     res = TUNE.tune_n(tuned_part, tr, dv, untouched=untouched)
     top = RET.topk(f.split("test"), res.embeddings, 10, "cos", untouched=untouched)
     return (MET.evaluate(top, f.judged("test"), f.split("test"))

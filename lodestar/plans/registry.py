@@ -77,8 +77,7 @@ def answerable_split(f: Fixture):
     """O17 in semi/anti-join form: records judged by a train or dev query."""
     ids = f.queries.filter(F.col("split").isin("train", "dev")).select("q_id")
     ans = f.judgments.join(ids, "q_id", "left_semi").select("record_id").distinct()
-    return (f.corpus.join(ans, "record_id", "left_semi"),
-            f.corpus.join(ans, "record_id", "left_anti"))
+    return TUNE.split_by_ids(f.corpus, ans)
 
 
 # ---------------------------------------------------------------- retrieval

@@ -36,3 +36,13 @@ def test_vector_sum_is_partially_aggregated(spark, fx):
     tr = TUNE.QuerySet(fx.split("train"), fx.judged("train"))
     p = _plan(TUNE.doc_directions(fx.corpus, tr))
     assert p.count("ObjectHashAggregate") >= 2      # partial + final around the exchange
+
+
+def test_small_key_sets_filter_big_tables_in_place(spark, fx):
+    from lodestar.operators import datasets as DS
+    p = DS.training_pairs(fx.split("train"), fx.judged("train"), fx.corpus)
+    assert "BroadcastHashJoin LeftSemi" in _plan(p).replace("\n", " ") or "LeftSemi" in _plan(p)
+    md = TUNE.m_directions(TUNE.doc_directions(fx.corpus, TUNE.QuerySet(fx.split("train"), fx.judged("train"))))
+    dv = TUNE.QuerySet(fx.split("dev"), fx.judged("dev"))
+    pl = _plan(TUNE.m_pairs(md, dv, untouched=fx.corpus))
+    assert "BroadcastHashJoin" in pl and "LeftSemi" in pl
