@@ -33,8 +33,8 @@ from .._ship import ship_package
 from ..functions.vectors import (EPS_NORM, as_double, dot, list_to_matrix, nan_to_zero,
                                  vector_sum, with_normalized)
 from .ranks import prefix_sum
-from .retrieval import (QUERY_BLOCK_CAP, TOPK_SCHEMA, _corpus_frame, _scan_topk_fn, broadcast_chunks,
-                        collect_block, final_topk)
+from .retrieval import (QUERY_BLOCK_CAP, TOPK_SCHEMA, QueryBlock, _corpus_frame, _scan_topk_fn,
+                        broadcast_chunks, collect_block, final_topk)
 from .topk_kernel import doc_step, merge_topk, round_scores
 
 # fixed values
@@ -416,13 +416,18 @@ def _pair_block(pairs: DataFrame):
             tbl.column("s_x").to_numpy(), tbl.column("g_x").to_numpy())
 
 
-def _untouched_bounds(pairs: DataFrame, dev: QuerySet, untouched: DataFrame) -> DataFrame:
+def _untouched_bounds(pairs: DataFrame, dev: QuerySet, untouched: DataFrame,
+                      qblock=None) -> DataFrame:
     """Untouched docs have u = 0, so for a pair their Δg is the same
     (-g_x) and only the best untouched score other than x itself can bind:
     collapse them to the top-2 cosine per dev query (exact) and turn the best
     one that is not x into one bound row per pair."""
     from .retrieval import topk
-    best = topk(dev.judged_queries().select("q_id", "embedding"), untouched, 2, "cos")
+    if qblock is not None:
+        bc = untouched.sparkSession.sparkContext.broadcast(qblock)
+        best = final_topk(_corpus_frame(untouched, True).mapInArrow(_scan_topk_fn(bc, 2), TOPK_SCHEMA), 2)
+    else:
+        best = topk(dev.judged_queries().select("q_id", "embedding"), untouched, 2, "cos")
     j = (pairs.select("pair_id", "q_id", "x", "s_x", "g_x")
          .join(best.select("q_id", F.col("record_id").alias("d"), F.col("score").alias("sc")), "q_id")
          .filter(F.col("d") != F.col("x"))
@@ -449,13 +454,20 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
     pc = pairs.cache()                   # the size check and the collection share it
     scan = mdirs.select("record_id", "v", "u")
     part = None
-    for chunk, _ in broadcast_chunks(pc, "pair_id", "qv", cap=PAIR_BLOCK_CAP):
-        bc = spark.sparkContext.broadcast(_pair_block(chunk))
+    chunks = broadcast_chunks(pc, "pair_id", "qv", cap=PAIR_BLOCK_CAP)
+    qblock = None
+    for chunk, _ in chunks:
+        blk = _pair_block(chunk)
+        if len(chunks) == 1:
+            # every judged dev query is in the pair block: reuse its vectors
+            _, first = np.unique(blk[1], return_index=True)
+            qblock = QueryBlock(blk[1][first], blk[3][first])
+        bc = spark.sparkContext.broadcast(blk)
         p = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
         part = p if part is None else part.unionByName(p)
     pc.unpersist()
     if untouched is not None:
-        part = part.unionByName(_untouched_bounds(pairs, dev, untouched))
+        part = part.unionByName(_untouched_bounds(pairs, dev, untouched, qblock))
     agg = part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
                                                    F.sum("bad").alias("bad"))
     return agg.withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low")))
