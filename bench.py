@@ -1,6 +1,7 @@
 """Headline-query benchmark.  Prints ONE JSON line.
 
 env: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8),
+     BENCH_EVENTLOG_DIR (optional: write Spark's event log there),
      BENCH_REPEAT (default 3; best of N warm runs per query).
 The fixture tables derived from ``embeddings`` are written once to the shared
 checkpoint folder (data load excluded, as in the reference's timed section).
@@ -28,7 +29,10 @@ def main():
     from lodestar.plans.fixture import Fixture, build_fixture
     from lodestar.session import get_spark, shared_dir
 
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus, app="lodestar-bench")
+    conf = {}
+    if os.environ.get("BENCH_EVENTLOG_DIR"):      # stage/task times without the UI
+        conf = {"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG_DIR"]}
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=cpus, app="lodestar-bench", conf=conf)
     f0 = build_fixture(spark, sf_dir)
     base = shared_dir(spark, f"bench-{uuid.uuid4().hex[:8]}")
     f0.corpus.write.parquet(f"{base}/corpus")

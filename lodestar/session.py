@@ -12,10 +12,13 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
-              app: str = "lodestar") -> SparkSession:
+              app: str = "lodestar", conf: dict | None = None) -> SparkSession:
     master = master or os.environ.get("LODESTAR_MASTER", "local[8]")
+    b = SparkSession.builder
+    for k, v in (conf or {}).items():
+        b = b.config(k, v)
     spark = (
-        SparkSession.builder.master(master)
+        b.master(master)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
