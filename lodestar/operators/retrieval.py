@@ -58,8 +58,8 @@ def collect_block(df: DataFrame, id_col: str = "q_id", vec_col: str = "embedding
     n, d, nbytes = sizes or block_size(df, vec_col)
     if nbytes > cap:
         raise OverflowError(f"query block of {nbytes} bytes exceeds cap {cap}")
-    tbl = df.select(F.col(id_col).cast("long").alias("id"),
-                    as_double(vec_col).alias("v")).toArrow()
+    tbl = df.filter(F.col(vec_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("id"), as_double(vec_col).alias("v")).toArrow()
     ids = tbl.column("id").to_numpy().astype(np.int64)
     mat = list_to_matrix(tbl.column("v")) if n else np.zeros((0, d))
     return QueryBlock(ids, mat)
@@ -108,9 +108,11 @@ def _scan_topk_fn(bc, k: int):
 
 
 def _corpus_frame(corpus: DataFrame, cos: bool) -> DataFrame:
-    return corpus.select(F.col("record_id").cast("long").alias("record_id"),
-                         as_double("embedding").alias("embedding"),
-                         F.lit(cos).alias("__cos"))
+    """Scan input: (record_id, embedding as double, cosine flag); rows
+    without a vector cannot be scored and are skipped."""
+    return corpus.filter(F.col("embedding").isNotNull()).select(
+        F.col("record_id").cast("long").alias("record_id"),
+        as_double("embedding").alias("embedding"), F.lit(cos).alias("__cos"))
 
 
 def partial_topk(queries: DataFrame, corpus_flagged: DataFrame, k: int,

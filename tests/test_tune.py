@@ -164,3 +164,15 @@ def test_chunked_broadcast_paths_agree(fx, sets, tuned_n, monkeypatch):
     assert g1 == g0
     m = TUNE.tune_m(fx.corpus, *sets)
     assert m.gamma == pytest.approx(8.411400, abs=1e-6) and m.extra["overlap"] == 188
+
+
+def test_empty_dev_and_null_vectors(spark, fx, sets):
+    from tests.helpers import vec_df
+    tr, dv = sets
+    empty = TUNE.QuerySet(dv.queries.limit(0), dv.judgments.limit(0))
+    assert TUNE.tune_n(fx.corpus, tr, empty).gamma == 0.0
+    assert TUNE.tune_m(fx.corpus, tr, empty).gamma == 0.0
+    from lodestar.operators import retrieval as RET
+    c = fx.corpus.unionByName(spark.createDataFrame([(10 ** 6, None)], "record_id long, embedding array<double>"))
+    assert RET.topk(dv.queries, c, 3).count() == 3 * 200
+    assert RET.topk(dv.queries, fx.corpus.limit(0), 3).count() == 0
