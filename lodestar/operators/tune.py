@@ -12,12 +12,15 @@ vectors (queries are not normalised), ``u = c/max(|c|, 1e-12)``.
   (query, answer) pair gives the interval of γ for which the answer outranks
   every document, and the point covered by most intervals wins.
 
-Physical plan: direction sums are a JVM-side partial aggregate keyed by
-record id; the dev side (queries or pairs) is size-checked and broadcast; the
-corpus is scanned once by ``mapInArrow`` which evaluates every γ from two dot
-products per (query, doc) (``q·v' = a(q·v) + b(q·c)``) and emits only partial
-top-``val_k`` rows / partial interval bounds per task; only γ* reaches the
-driver.
+Physical plan: the corpus is split (broadcast semi/anti join on the answer
+ids) into the documents with training queries and the rest, which never
+moves and competes only through its scores (F15).  Direction sums are a
+JVM-side partial aggregate keyed by record id; the dev side (queries or
+pairs) is size-checked and broadcast; the tuned part is scanned once by
+``mapInArrow`` which evaluates every γ from two dot products per (query, doc)
+(``q·v' = a(q·v) + b(q·c)``) and emits only partial top-``val_k`` rows /
+partial interval bounds per task; the rest is scanned once, γ-independently.
+Only γ* reaches the driver.
 """
 from __future__ import annotations
 
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from .._ship import ship_package
 from ..functions.vectors import (EPS_NORM, as_double, dot, list_to_matrix, nan_to_zero,
                                  vector_sum, with_normalized)
+from .joins import KEY_BROADCAST_CAP as ID_BROADCAST_CAP
 from .ranks import prefix_sum
 from .retrieval import (QUERY_BLOCK_CAP, TOPK_SCHEMA, QueryBlock, _corpus_frame, _scan_topk_fn,
                         broadcast_chunks, collect_block, final_topk)
@@ -69,9 +73,6 @@ class TuneResult:
 # split the corpus so only documents with training queries are tuned
 # --------------------------------------------------------------------------
 
-from .joins import KEY_BROADCAST_CAP as ID_BROADCAST_CAP  # noqa: E402
-
-
 def split_by_ids(corpus: DataFrame, ids: DataFrame, cache: bool = False):
     """(part, rest) = corpus ⋉ ids, corpus ▷ ids.  The id side is broadcast
     when its size is proven small, so the corpus is filtered in place."""
@@ -121,7 +122,7 @@ def _static(untouched: DataFrame | None, rest: DataFrame | None) -> DataFrame |
 # --------------------------------------------------------------------------
 
 def doc_directions(corpus: DataFrame, train: QuerySet) -> DataFrame:
-    """(record_id, v, c, has_c): v unit, c = Σ train queries answering the doc
+    """(record_id, v, c): v unit, c = Σ train queries answering the doc
     (repeated judgments counted once); docs without train queries get c=null."""
     inv = (train.dedup_judgments()
            .join(train.queries.select("q_id", as_double("embedding").alias("qv")), "q_id"))
