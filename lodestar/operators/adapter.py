@@ -114,18 +114,50 @@ def adapter_accuracy(dev_queries: DataFrame, dev_judgments: DataFrame, corpus: D
                    F.count(F.lit(1)).alias("n_queries"))
 
 
-def _grad_fn(bc, scale, thresh):
-    def grad(batches):
+SEGMENT_CAP = 256 << 20   # bytes of pair vectors one training task may hold
+
+
+def _lr(step: int, T: int, warm: int, lr0: float) -> float:
+    """Linear warm-up then linear decay (constant when warm == 0)."""
+    if warm <= 0:
+        return lr0
+    if step < warm:
+        return lr0 * step / warm
+    return lr0 * max(0.0, (T - step) / max(1, T - warm))
+
+
+def _adamw(W, m1, m2, g, step, lr):
+    t = step + 1
+    W = W * (1 - lr * ADAMW["weight_decay"])
+    m1 = ADAMW["beta1"] * m1 + (1 - ADAMW["beta1"]) * g
+    m2 = ADAMW["beta2"] * m2 + (1 - ADAMW["beta2"]) * g * g
+    mh = m1 / (1 - ADAMW["beta1"] ** t)
+    vh = m2 / (1 - ADAMW["beta2"] ** t)
+    return W - lr * mh / (np.sqrt(vh) + ADAMW["eps"]), m1, m2
+
+
+def _segment_fn(bc, plan, scale, thresh, T, warm, lr0):
+    """Run the consecutive steps ``plan`` = [(step, batch_id), ...] in one
+    task: the state (W, m1, m2) stays local between them."""
+    def run(batches):
         tbl = pa.Table.from_batches(list(batches))
-        if tbl.num_rows == 0:
-            return
-        o = np.lexsort((tbl.column("record_id").to_numpy(), tbl.column("q_id").to_numpy()))
-        Q = list_to_matrix(tbl.column("qv"))[o]
-        D = list_to_matrix(tbl.column("dv"))[o]
-        loss, g = _loss_and_grad(Q, D, bc.value, scale, thresh, True)
-        yield pa.RecordBatch.from_arrays([pa.array([loss]), matrix_to_list(g.reshape(1, -1))],
-                                         names=["loss", "g"])
-    return grad
+        W, m1, m2 = (np.array(x, dtype=np.float64) for x in bc.value)
+        if tbl.num_rows:
+            bid = tbl.column("batch_id").to_numpy()
+            qid = tbl.column("q_id").to_numpy()
+            rid = tbl.column("record_id").to_numpy()
+            Qa = list_to_matrix(tbl.column("qv"))
+            Da = list_to_matrix(tbl.column("dv"))
+            for step, b in plan:
+                sel = np.nonzero(bid == b)[0]
+                if len(sel) == 0:
+                    continue
+                o = sel[np.lexsort((rid[sel], qid[sel]))]
+                _, g = _loss_and_grad(Qa[o], Da[o], W, scale, thresh, True)
+                W, m1, m2 = _adamw(W, m1, m2, g, step, _lr(step, T, warm, lr0))
+        yield pa.RecordBatch.from_arrays(
+            [matrix_to_list(x.reshape(1, -1)) for x in (W, m1, m2)], names=["W", "m1", "m2"])
+    return run
 
 
 @dataclass
@@ -139,7 +171,12 @@ def fit_adapter(pairs: DataFrame, dev_queries: DataFrame, dev_judgments: DataFra
                 untouched: DataFrame | None = None, seed: int = 0, **kw) -> AdapterResult:
     """B2: identity start, AdamW with linear warm-up, validation every
     ``val_freq`` steps, best weights kept; stops at a validation step after
-    ``step_wait`` steps without gain or a drop larger than ``acc_diff_wait``."""
+    ``step_wait`` steps without gain or a drop larger than ``acc_diff_wait``.
+
+    Steps are sequential, so the steps between two validations run as one
+    job: a single task reads just those batches (pruned by batch folder,
+    bounded by ``SEGMENT_CAP``), keeps W and the optimiser state local and
+    returns them; the driver only validates and holds dim x dim matrices."""
     cfg = dict(DEFAULTS)
     cfg.update(kw)
     spark = pairs.sparkSession
@@ -147,8 +184,8 @@ def fit_adapter(pairs: DataFrame, dev_queries: DataFrame, dev_judgments: DataFra
     bp = batch_pairs(pairs, cfg["batch_size"], seed).select(
         "batch_id", "q_id", "record_id", as_double("qv").alias("qv"), as_double("dv").alias("dv"))
     from ..plans.materialize import materialize
-    # written once to the shared folder, partitioned by batch: each step
-    # prunes to its own batch files and survives executor loss
+    # written once to the shared folder, partitioned by batch: each job
+    # prunes to its own batches and survives executor loss
     bp = materialize(bp, "adapter-batches", partition_by=["batch_id"])
     n_batches = int(bp.agg(F.max("batch_id")).first()[0]) + 1
     dim = int(bp.select(F.size("qv")).first()[0])
@@ -158,9 +195,12 @@ def fit_adapter(pairs: DataFrame, dev_queries: DataFrame, dev_judgments: DataFra
     best_W, best_step, best_acc = W.copy(), 0, 0.0
     hist = []
     scale, thresh = cfg["loss_scale"], cfg["loss_sim_thresh"]
-    T, warm, lr0 = cfg["steps"], cfg["warmup_steps"], cfg["lr"]
-    for step in range(T):
-        if step % cfg["val_freq"] == 0:
+    T, warm, lr0, vf = cfg["steps"], cfg["warmup_steps"], cfg["lr"], cfg["val_freq"]
+    per_batch = cfg["batch_size"] * 2 * dim * 8
+    seg = max(1, min(vf, SEGMENT_CAP // max(1, per_batch)))
+    step = 0
+    while step < T:
+        if step % vf == 0:
             acc = float(adapter_accuracy(dev_queries, dev_judgments, corpus, W, untouched,
                                          cfg["val_k"]).first()["acc"] or 0.0)
             hist.append((step, acc))
@@ -168,22 +208,22 @@ def fit_adapter(pairs: DataFrame, dev_queries: DataFrame, dev_judgments: DataFra
                 best_acc, best_W, best_step = acc, W.copy(), step
             if step - best_step > cfg["step_wait"] or best_acc - acc > cfg["acc_diff_wait"]:
                 break
-        bc = spark.sparkContext.broadcast(W)
-        b = step % n_batches
-        # the batch lives in its own partition folder (pruned read); one task
-        # gets the whole bounded batch without a shuffle
-        r = (bp.filter(F.col("batch_id") == b).select("q_id", "record_id", "qv", "dv").coalesce(1)
-             .mapInArrow(_grad_fn(bc, scale, thresh), "loss double, g array<double>").first())
-        bc.unpersist()
-        g = np.asarray(r["g"]).reshape(dim, dim)
-        lam = (step / warm) if (warm > 0 and step < warm) else (
-            max(0.0, (T - step) / max(1, T - warm)) if warm > 0 else 1.0)
-        lr = lr0 * lam
-        t = step + 1
-        W = W * (1 - lr * ADAMW["weight_decay"])
-        m1 = ADAMW["beta1"] * m1 + (1 - ADAMW["beta1"]) * g
-        m2 = ADAMW["beta2"] * m2 + (1 - ADAMW["beta2"]) * g * g
-        mh = m1 / (1 - ADAMW["beta1"] ** t)
-        vh = m2 / (1 - ADAMW["beta2"] ** t)
-        W = W - lr * mh / (np.sqrt(vh) + ADAMW["eps"])
+        end = min(T, step + seg, (step // vf + 1) * vf)
+        plan = [(t, t % n_batches) for t in range(step, end)]
+        W, m1, m2 = run_segment(bp, (W, m1, m2), plan, scale, thresh, T, warm, lr0)
+        step = end
     return AdapterResult(best_W, best_step, hist)
+
+
+def run_segment(bp: DataFrame, state, plan, scale, thresh, T, warm, lr0):
+    """One job: the steps of ``plan`` in a single task over just their
+    batches; returns the new (W, m1, m2)."""
+    spark = bp.sparkSession
+    dim = state[0].shape[0]
+    bc = spark.sparkContext.broadcast(state)
+    ids = sorted({b for _, b in plan})
+    r = (bp.filter(F.col("batch_id").isin(ids)).select("batch_id", "q_id", "record_id", "qv", "dv")
+         .coalesce(1).mapInArrow(_segment_fn(bc, plan, scale, thresh, T, warm, lr0),
+                                 "W array<double>, m1 array<double>, m2 array<double>").first())
+    bc.unpersist()
+    return tuple(np.asarray(r[c]).reshape(dim, dim) for c in ("W", "m1", "m2"))

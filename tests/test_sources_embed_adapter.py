@@ -134,3 +134,26 @@ def test_embed_pairs_two_towers(spark):
     caps = spark.createDataFrame([(10, 1, "a red car"), (11, 2, "sky")], "q_id long, doc_id long, input string")
     a, b = EM.embed_pairs(items, caps, "text", "input")
     assert a.count() == 2 and b.count() == 2 and a.columns == ["doc_id", "embedding"]
+
+
+def test_segmented_training_equals_step_by_step(spark, fx):
+    """Several steps inside one task give the same state as applying the
+    same updates one at a time on the driver."""
+    from lodestar.operators import datasets as DS
+    p = DS.training_pairs(fx.split("train"), fx.judged("train"), fx.corpus)
+    bp = AD.batch_pairs(p, 128, 0).select("batch_id", "q_id", "record_id", "qv", "dv")
+    rows = bp.collect()
+    dim = len(rows[0]["qv"])
+    nb = max(r["batch_id"] for r in rows) + 1
+    plan = [(t, t % nb) for t in range(nb + 2)]          # wraps around: a batch is reused
+    state = (np.eye(dim), np.zeros((dim, dim)), np.zeros((dim, dim)))
+    W, m1, m2 = AD.run_segment(bp, state, plan, 20.0, -1.0, 10, 3, 1e-3)
+    w, a, b = state
+    for t, bid in plan:
+        rs = sorted((r for r in rows if r["batch_id"] == bid), key=lambda r: (r["q_id"], r["record_id"]))
+        Q = np.array([r["qv"] for r in rs])
+        D = np.array([r["dv"] for r in rs])
+        _, g = AD._loss_and_grad(Q, D, w, 20.0, -1.0, True)
+        w, a, b = AD._adamw(w, a, b, g, t, AD._lr(t, 10, 3, 1e-3))
+    assert not np.allclose(w, np.eye(dim))
+    assert np.allclose(W, w) and np.allclose(m1, a) and np.allclose(m2, b)
