@@ -157,3 +157,15 @@ def test_segmented_training_equals_step_by_step(spark, fx):
         w, a, b = AD._adamw(w, a, b, g, t, AD._lr(t, 10, 3, 1e-3))
     assert not np.allclose(w, np.eye(dim))
     assert np.allclose(W, w) and np.allclose(m1, a) and np.allclose(m2, b)
+
+
+def test_method_matrix_with_adapter(spark):
+    from lodestar.plans import experiment as EX
+    m = EX.method_matrix(spark, {"fx": "/root/testdata/sf0.001"}, methods=("no_ft", "adapter"),
+                         metrics=[("recall", 10), ("ndcg", 10)],
+                         adapter_settings=dict(batch_size=256, steps=4, val_freq=2, warmup_steps=4))
+    rows = {r["finetuner"]: r for r in m.collect()}
+    assert set(rows) == {"no_ft", "adapter"} and rows["no_ft"]["recall_10"] == pytest.approx(1.0)
+    assert 0 <= rows["adapter"]["ndcg_10"] <= 1
+    rep = EX.method_report(m).collect()
+    assert len(rep) == 2
