@@ -65,17 +65,16 @@ def ranking_loss(pairs: DataFrame, W: np.ndarray | None = None, scale: float = 2
     ship_package(spark)
     bc = spark.sparkContext.broadcast(W)
 
-    def fn(pdf):
-        import pandas as pd
-        Q = np.stack(pdf["qv"].to_numpy()).astype(np.float64)
-        D = np.stack(pdf["dv"].to_numpy()).astype(np.float64)
-        o = np.lexsort((pdf["record_id"].to_numpy(), pdf["q_id"].to_numpy()))
-        Q, D = Q[o], D[o]
+    def fn(t: pa.Table) -> pa.Table:
+        o = np.lexsort((t.column("record_id").to_numpy(), t.column("q_id").to_numpy()))
+        Q = list_to_matrix(t.column("qv"))[o]
+        D = list_to_matrix(t.column("dv"))[o]
         w = bc.value if bc.value is not None else np.eye(Q.shape[1])
         loss, _ = _loss_and_grad(Q, D, w, scale, sim_thresh, False)
-        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "n": [len(pdf)], "loss": [loss]})
+        return pa.table({"batch_id": pa.array([t.column("batch_id")[0].as_py()], pa.int64()),
+                         "n": pa.array([t.num_rows], pa.int64()), "loss": pa.array([loss])})
     return (pairs.select("batch_id", "q_id", "record_id", as_double("qv").alias("qv"), as_double("dv").alias("dv"))
-            .groupBy("batch_id").applyInPandas(fn, "batch_id long, n long, loss double"))
+            .groupBy("batch_id").applyInArrow(fn, "batch_id long, n long, loss double"))
 
 
 def apply_adapter(queries: DataFrame, W: np.ndarray, vec: str = "embedding") -> DataFrame:

@@ -146,16 +146,17 @@ def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, chunks: int,
     c = (corpus.withColumn("db", F.pmod(F.xxhash64("record_id"), F.lit(blocks)))
          .withColumn("qc", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
 
-    def fn(qp, cp):
-        import pandas as pd
-        if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({"q_id": [], "record_id": [], "score": []})
-        Q = np.stack(qp["qv"].to_numpy())
-        D = np.stack(cp["embedding"].to_numpy()).astype(np.float64)
-        cos = cp["__cos"].to_numpy().astype(bool)
+    def fn(qt: pa.Table, ct: pa.Table) -> pa.Table:
+        empty = pa.table({"q_id": pa.array([], pa.int64()), "record_id": pa.array([], pa.int64()),
+                          "score": pa.array([], pa.float64())})
+        if qt.num_rows == 0 or ct.num_rows == 0:
+            return empty
+        Q = list_to_matrix(qt.column("qv"))
+        D = list_to_matrix(ct.column("embedding"))
+        cos = ct.column("__cos").to_numpy().astype(bool)
         if cos.any():
             D[cos] = np_normalize(D[cos])
-        rid = cp["record_id"].to_numpy().astype(np.int64)
+        rid = ct.column("record_id").to_numpy().astype(np.int64)
         state = None
         step = doc_step(len(Q))
         for s in range(0, len(rid), step):
@@ -163,11 +164,11 @@ def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, chunks: int,
             state = merge_topk(state, S, np.broadcast_to(rid[s:s + step], S.shape), k)
         S, I = state
         kk = S.shape[1]
-        return pd.DataFrame({"q_id": np.repeat(qp["q_id"].to_numpy(), kk),
-                             "record_id": I.reshape(-1), "score": S.reshape(-1)})
+        return pa.table({"q_id": np.repeat(qt.column("q_id").to_numpy(), kk),
+                         "record_id": I.reshape(-1), "score": S.reshape(-1)})
 
     return (q.groupBy("qc", "db").cogroup(c.groupBy("qc", "db"))
-            .applyInPandas(fn, TOPK_SCHEMA))
+            .applyInArrow(fn, TOPK_SCHEMA))
 
 
 def final_topk(partial: DataFrame, k: int, keys=("q_id",)) -> DataFrame:
