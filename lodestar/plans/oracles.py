@@ -228,3 +228,6 @@ rest as (select record_id, v emb from corpus where record_id not in (select reco
                                        topk("t", "dv", "rest", 2),
                                        select=f"select q_id, rank, record_id, {r6('score')} score from t")
 ORACLES["tune_n_fixed"] = sql(*BASE, DIRS, n_apply("select 0.1::double gamma"), select=long_form("nt"))
+ORACLES["axpy"] = sql(*BASE, DIRS, """
+ax as (select record_id, list_transform(range(1, len(v)+1), lambda i: 0.25*v[i] + 0.75*c[i]) emb from docs where c is not null)""",
+                      select=long_form("ax"))

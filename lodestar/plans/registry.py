@@ -638,3 +638,13 @@ def q_tune_n_fixed(spark, sf_dir):
     f = fx(spark, sf_dir)
     tr, dv, _ = sets(f)
     return long_form(TUNE.tune_n(f.corpus, tr, dv, gamma=0.1).embeddings)
+
+
+@register("axpy")
+def q_axpy(spark, sf_dir):
+    """V5: a·x + b·y on every document with a direction (0.25 v + 0.75 c)."""
+    from ..functions.vectors import axpy
+    f = fx(spark, sf_dir)
+    tr, _, _ = sets(f)
+    d = TUNE.doc_directions(f.corpus, tr).filter(F.col("c").isNotNull())
+    return long_form(d.select("record_id", axpy(0.25, "v", 0.75, "c").alias("embedding")))
