@@ -62,7 +62,7 @@ def test_two_corpora_and_k_clamp(spark, data):
     assert got == sorted(want)          # only 9 docs: k clamps to 9
 
 
-def test_top1_and_scores(spark, data):
+def test_best_document_and_scores(spark, data):
     Q, D = data
     q = vec_df(spark, range(len(Q)), Q, "q_id")
     d = vec_df(spark, range(len(D)), D)
