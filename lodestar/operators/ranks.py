@@ -14,12 +14,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+ROWS_PER_BUCKET = 2_000_000   # rows one bucket's window may hold (bounded, spillable)
+
+
 def _bounds(df: DataFrame, key: str, buckets: int) -> list:
+    """Range bounds from one aggregate job (row count + quantiles); the bucket
+    count is cut to what the data needs, so small inputs get one bucket."""
     if buckets <= 1:
         return []
     qs = [i / buckets for i in range(1, buckets)]
-    r = df.agg(F.percentile_approx(F.col(key).cast("double"), qs, 10000).alias("b")).first()["b"]
-    return sorted(set(x for x in (r or []) if x is not None))
+    r = df.agg(F.count(F.lit(1)).alias("n"),
+               F.percentile_approx(F.col(key).cast("double"), qs, 10000).alias("b")).first()
+    need = max(1, -(-int(r["n"] or 0) // ROWS_PER_BUCKET))
+    if need <= 1:
+        return []
+    b = [x for x in (r["b"] or []) if x is not None]
+    step = max(1, len(b) // (need - 1)) if need < buckets else 1
+    return sorted(set(b[step - 1::step]))
 
 
 def bucket_of(key: str, bounds: list) -> Column:

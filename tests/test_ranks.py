@@ -21,3 +21,14 @@ def test_row_index_dense_and_ordered(spark):
     df = spark.range(0, 1000).select(((F.col("id") * 7919) % 1000).alias("k"))
     r = row_index(df, "k", "i", buckets=5).collect()
     assert sorted((x["k"], x["i"]) for x in r) == [(i, i) for i in range(1000)]
+
+
+def test_bucket_count_follows_data_size(spark, monkeypatch):
+    from lodestar.operators import ranks
+    df = spark.range(0, 3000).select(((F.col("id") * 7919) % 3000).alias("k"))
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 1000)
+    assert 1 <= len(ranks._bounds(df, "k", 8)) <= 3
+    r = row_index(df, "k", "i", buckets=8).collect()
+    assert sorted((x["k"], x["i"]) for x in r) == [(i, i) for i in range(3000)]
+    monkeypatch.setattr(ranks, "ROWS_PER_BUCKET", 10 ** 9)
+    assert ranks._bounds(df, "k", 8) == []
