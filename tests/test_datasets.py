@@ -119,3 +119,10 @@ def test_nan_to_num(spark):
     d = spark.createDataFrame([([float("nan"), float("inf"), -float("inf"), 2.0],)], "v array<double>")
     r = d.select(nan_to_zero("v")).first()[0]
     assert r[0] == 0.0 and r[1] == 1.7976931348623157e308 and r[2] == -1.7976931348623157e308 and r[3] == 2.0
+
+
+def test_truncate_with_injected_tokenizer(spark):
+    d = spark.createDataFrame([(1, "a b c d e"), (2, None), (3, "x")], "doc_id long, text string")
+    r = EM.truncate_with_tokenizer(d, "text", encode=lambda s: s.split(" "), decode=lambda t: "+".join(t), n=3)
+    got = {x["doc_id"]: x["text"] for x in r.collect()}
+    assert got == {1: "a+b+c", 2: None, 3: "x"}

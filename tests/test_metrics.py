@@ -62,3 +62,14 @@ def test_hit_at_1_counts_unjudged_best_as_miss(spark):
     j = spark.createDataFrame([(1, 5, 1), (2, 7, 1)], "q_id long, record_id long, rel int")
     q = spark.createDataFrame([(1,), (2,)], "q_id long")
     assert MET.hit_at_1(best, j, q).first()["hit_at_1"] == 0.5
+
+
+def test_all_zero_grades_give_null_ndcg(spark):
+    """Graded split where a query's grades are all 0: ideal DCG is 0, so nDCG
+    is null (not NaN); recall still counts rel-0 judged docs as answers."""
+    tdf = spark.createDataFrame([(1, 0, 5, 1.0), (2, 0, 7, 1.0)], "q_id long, rank int, record_id long, score double")
+    jdf = spark.createDataFrame([(1, 5, 0), (2, 7, 2)], "q_id long, record_id long, rel int")
+    qdf = spark.createDataFrame([(1,), (2,)], "q_id long")
+    r = {x["q_id"]: x for x in MET.per_query(tdf, jdf, qdf, [("recall", 1), ("ndcg", 1)]).collect()}
+    assert r[1]["ndcg_1"] is None and r[1]["recall_1"] == 1.0
+    assert r[2]["ndcg_1"] == 1.0

@@ -169,3 +169,11 @@ def test_method_matrix_with_adapter(spark):
     assert 0 <= rows["adapter"]["ndcg_10"] <= 1
     rep = EX.method_report(m).collect()
     assert len(rep) == 2
+
+
+def test_shard_layout_arithmetic():
+    # max_rows = cap_gb * 2^28 / dim; shards = ceil(n / max_rows); rows = ceil(n / shards)
+    assert IO.shard_layout(1000, 1 / 2 ** 16, 64) == (16, 63)
+    assert IO.shard_layout(64, 1 / 2 ** 16, 64) == (1, 64)
+    assert IO.shard_layout(0, 1.0, 64) == (0, 0)
+    assert IO.shard_layout(10 ** 9, 80, 384) == (18, 55555556)
