@@ -11,6 +11,7 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +46,6 @@ def truncate_tokens(c, n: int = MAX_TOKENS_HOSTED) -> F.Column:
 def truncate_with_tokenizer(df: DataFrame, col: str, encode: Callable, decode: Callable,
                             n: int = MAX_TOKENS_HOSTED, out: str | None = None) -> DataFrame:
     """T3 with an injected tokenizer, Arrow-batched (pandas UDF)."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def cut(s: pd.Series) -> pd.Series:
@@ -75,8 +75,6 @@ def hashing_embedder(dim: int = 64, seed: int = 0) -> Callable[[list], np.ndarra
     """Deterministic offline embedder: signed feature hashing of lower-cased
     whitespace tokens, L2-normalised.  Vectorised per batch (one C-level
     hash over all tokens, one scatter-add)."""
-    import pandas as pd
-
     key = f"{seed:016d}"[:16]
 
     def fn(texts):
