@@ -3,7 +3,7 @@
 B1 in-batch-negatives ranking loss: per batch, cosine matrix of transformed
 queries vs positives, entries below ``sim_thresh`` zeroed, times ``scale``,
 softmax cross-entropy against the diagonal.  Batches are bounded (batch_size
-rows) and evaluated per group with ``applyInPandas``.
+rows) and evaluated per group with ``applyInArrow``.
 B2 synchronous training: each step one job computes the batch gradient on an
 executor and returns the dim x dim gradient; the driver applies AdamW (linear
 warm-up) and broadcasts W again.  Validation every ``val_freq`` steps (B4).
