@@ -12,9 +12,9 @@ from ..operators import retrieval as RET
 from ..operators import tune as TUNE
 from .fixture import build_fixture
 
+from ..operators.adapter import DEFAULTS as ADAPTER_SETTINGS  # noqa: E402
+
 METHODS = ("no_ft", "n", "m")          # the adapter ("adapter") is opt-in: it trains
-ADAPTER_SETTINGS = dict(batch_size=4096, steps=10000, val_freq=50, loss_scale=20.0, loss_sim_thresh=-1.0,
-                        warmup_steps=10000, lr=1e-3, step_wait=1000, acc_diff_wait=0.05, val_k=1)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
