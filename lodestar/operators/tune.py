@@ -67,6 +67,7 @@ class TuneResult:
     gamma: float
     diagnostics: DataFrame | None = None
     extra: dict = field(default_factory=dict)
+    rest: DataFrame | None = None  # corpus documents that never move (no training query), as given
 
 
 # --------------------------------------------------------------------------
@@ -308,11 +309,13 @@ def n_best_gamma(grid: DataFrame) -> float:
 
 
 def tune_n(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFrame | None = None,
-           val_k: int = 1, gamma: float | None = None, gammas=None) -> TuneResult:
+           val_k: int = 1, gamma: float | None = None, gammas=None, return_rest: bool = True) -> TuneResult:
     """N variant end to end.  ``untouched`` records are competitors only
     (scored with cosine, keep ids and labels) and are not returned; corpus
     documents without training queries are split off the same way and come
-    back normalised and unchanged."""
+    back normalised and unchanged -- or, with ``return_rest=False``, are not
+    rewritten at all and are handed back as ``result.rest`` for a two-corpus
+    search (``topk(..., untouched=result.rest)``)."""
     from ..plans.materialize import materialize
     part, rest = trained_split(corpus, train)
     stats = materialize(n_stats(doc_directions(part, train)), "n-stats")
@@ -322,7 +325,10 @@ def tune_n(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFra
         gamma = n_best_gamma(grid)
     check_gamma(gamma)
     _release(train)
-    return TuneResult(n_apply(stats, gamma).unionByName(normalized(rest)), float(gamma), grid)
+    emb = n_apply(stats, gamma)
+    if return_rest:
+        emb = emb.unionByName(normalized(rest))
+    return TuneResult(emb, float(gamma), grid, rest=rest)
 
 
 # --------------------------------------------------------------------------
@@ -498,8 +504,9 @@ def m_apply(mdirs: DataFrame, gamma: float) -> DataFrame:
 
 
 def tune_m(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFrame | None = None,
-           gamma: float | None = None) -> TuneResult:
-    """M variant end to end (same corpus split as ``tune_n``)."""
+           gamma: float | None = None, return_rest: bool = True) -> TuneResult:
+    """M variant end to end (same corpus split and ``return_rest`` as
+    ``tune_n``; search the tuned part with ``dot`` and the rest with cosine)."""
     from ..plans.materialize import materialize
     part, rest = trained_split(corpus, train)
     mdirs = materialize(m_directions(doc_directions(part, train)), "m-dirs")
@@ -510,4 +517,7 @@ def tune_m(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFra
         gamma, best = m_best_gamma(m_sweep(iv))
         extra["overlap"] = best
     _release(train)
-    return TuneResult(m_apply(mdirs, gamma).unionByName(normalized(rest)), float(gamma), diag, extra)
+    emb = m_apply(mdirs, gamma)
+    if return_rest:
+        emb = emb.unionByName(normalized(rest))
+    return TuneResult(emb, float(gamma), diag, extra, rest=rest)

@@ -176,3 +176,17 @@ def test_empty_dev_and_null_vectors(spark, fx, sets):
     c = fx.corpus.unionByName(spark.createDataFrame([(10 ** 6, None)], "record_id long, embedding array<double>"))
     assert RET.topk(dv.queries, c, 3).count() == 3 * 200
     assert RET.topk(dv.queries, fx.corpus.limit(0), 3).count() == 0
+
+
+def test_return_rest_false_gives_same_retrieval(fx, sets, tuned_n):
+    from lodestar.operators import retrieval as RET
+    r = TUNE.tune_n(fx.corpus, *sets, gamma=tuned_n.gamma, return_rest=False)
+    te = fx.split("test")
+    a = sorted(map(tuple, RET.topk(te, r.embeddings, 10, untouched=r.rest).select("q_id", "rank", "record_id").collect()))
+    b = sorted(map(tuple, RET.topk(te, tuned_n.embeddings, 10).select("q_id", "rank", "record_id").collect()))
+    assert a == b and r.embeddings.count() + r.rest.count() == fx.corpus.count()
+    m = TUNE.tune_m(fx.corpus, *sets, gamma=1.5, return_rest=False)
+    mw = TUNE.tune_m(fx.corpus, *sets, gamma=1.5)
+    a = sorted(map(tuple, RET.topk(te, m.embeddings, 10, "dot", untouched=m.rest).select("q_id", "record_id").collect()))
+    b = sorted(map(tuple, RET.topk(te, mw.embeddings, 10, "dot").select("q_id", "record_id").collect()))
+    assert a == b
