@@ -172,7 +172,14 @@ def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, chunks: int,
 
 
 def final_topk(partial: DataFrame, k: int, keys=("q_id",)) -> DataFrame:
-    """Merge partial top-k rows: 0-based ``rank`` by (score desc, record_id asc)."""
+    """Merge partial top-k rows: 0-based ``rank`` by (score desc, record_id asc).
+    k = 1 is a two-phase hash aggregate (partial max before the shuffle);
+    larger k a row_number window whose limit Catalyst pushes below the shuffle."""
+    if k == 1:
+        best = partial.groupBy(*keys).agg(
+            F.max(F.struct(F.col("score"), (-F.col("record_id")).alias("nid"))).alias("__b"))
+        return best.select(*keys, (-F.col("__b.nid")).alias("record_id"),
+                           F.col("__b.score").alias("score"), F.lit(0).alias("rank"))
     w = Window.partitionBy(*keys).orderBy(F.col("score").desc(), F.col("record_id").asc())
     # filter on row_number itself so Catalyst inserts WindowGroupLimit
     return (partial.withColumn("__rn", F.row_number().over(w))

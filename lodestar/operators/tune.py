@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship_package
@@ -286,8 +286,7 @@ def n_accuracy_grid(stats: DataFrame, dev: QuerySet, untouched: DataFrame | None
         best = final_topk(static, val_k).select("q_id", "record_id", "score")
         every_g = F.explode(F.array(*[F.lit(i) for i in range(len(gammas))]))
         part = part.unionByName(best.select(every_g.alias("g"), "q_id", "record_id", "score"))
-    w = Window.partitionBy("g", "q_id").orderBy(F.col("score").desc(), F.col("record_id"))
-    top = part.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= val_k)
+    top = final_topk(part, val_k, keys=("g", "q_id"))
     ans = dev.dedup_judgments()
     n_ans = ans.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_ans"))
     L = _lcm_upto(val_k)
