@@ -79,10 +79,11 @@ def broadcast_chunks(df: DataFrame, id_col: str, vec_col: str = "embedding",
     return [(df.filter(key == i), None) for i in range(c)]
 
 
-def _scan_topk_fn(bc, k: int):
+def _scan_topk_fn(bc, k: int, bc_thr=None):
     def fn(batches):
         blk = bc.value
         qids, Q = blk.ids, blk.mat
+        thr = None if bc_thr is None else bc_thr.value
         state = None
         step = doc_step(len(qids))
         for b in batches:
@@ -101,9 +102,14 @@ def _scan_topk_fn(bc, k: int):
             return
         S, I = state
         kk = S.shape[1]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qids, kk)), pa.array(I.reshape(-1)),
-             pa.array(S.reshape(-1))], names=["q_id", "record_id", "score"])
+        q = np.repeat(qids, kk)
+        S, I = S.reshape(-1), I.reshape(-1)
+        if thr is not None:
+            # exact: every true top-k score is >= the sample's k-th best
+            keep = S >= np.repeat(thr, kk)
+            q, S, I = q[keep], S[keep], I[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(I), pa.array(S)],
+                                         names=["q_id", "record_id", "score"])
     return fn
 
 
@@ -115,10 +121,30 @@ def _corpus_frame(corpus: DataFrame, cos: bool) -> DataFrame:
         as_double("embedding").alias("embedding"), F.lit(cos).alias("__cos"))
 
 
+def _thresholds(bc, corpus_flagged: DataFrame, k: int, fraction: float, ids: np.ndarray) -> np.ndarray:
+    """Per query, the k-th best score over a seeded sample of the corpus
+    (-inf when the sample holds fewer than k docs): a lower bound of the true
+    k-th best score, so filtering at it keeps every true top-k candidate."""
+    sample = corpus_flagged.sample(withReplacement=False, fraction=fraction, seed=17)
+    part = sample.mapInArrow(_scan_topk_fn(bc, k), TOPK_SCHEMA)
+    kth = (final_topk(part, k).groupBy("q_id")
+           .agg(F.min("score").alias("t"), F.count(F.lit(1)).alias("n")).toArrow())
+    thr = np.full(len(ids), -np.inf)
+    if kth.num_rows:
+        pos = {int(q): i for i, q in enumerate(ids)}
+        for q, t, n in zip(kth.column("q_id").to_pylist(), kth.column("t").to_pylist(), kth.column("n").to_pylist()):
+            if n >= k:
+                thr[pos[int(q)]] = t
+    return thr
+
+
 def partial_topk(queries: DataFrame, corpus_flagged: DataFrame, k: int,
-                 cap: int = QUERY_BLOCK_CAP, query_matrix=None) -> DataFrame:
+                 cap: int = QUERY_BLOCK_CAP, query_matrix=None, prefilter: float | None = None) -> DataFrame:
     """Per-task top-k rows (q_id, record_id, score); needs a final merge.
-    ``query_matrix`` W (dim x dim) maps every query q -> W q first."""
+    ``query_matrix`` W (dim x dim) maps every query q -> W q first.
+    ``prefilter`` (a sample fraction) first finds per-query score floors on a
+    corpus sample so each task emits only candidates that can still make the
+    top-k (exact; shrinks the partial shuffle for large corpora)."""
     spark = corpus_flagged.sparkSession
     ship_package(spark)
     if query_matrix is not None and block_size(queries)[2] > cap:
@@ -131,7 +157,10 @@ def partial_topk(queries: DataFrame, corpus_flagged: DataFrame, k: int,
         if query_matrix is not None:
             blk = QueryBlock(blk.ids, blk.mat @ np.asarray(query_matrix, dtype=np.float64).T)
         bc = spark.sparkContext.broadcast(blk)
-        return corpus_flagged.mapInArrow(_scan_topk_fn(bc, k), TOPK_SCHEMA)
+        bc_thr = None
+        if prefilter:
+            bc_thr = spark.sparkContext.broadcast(_thresholds(bc, corpus_flagged, k, prefilter, blk.ids))
+        return corpus_flagged.mapInArrow(_scan_topk_fn(bc, k, bc_thr), TOPK_SCHEMA)
     return _grid_topk(queries, corpus_flagged, k, chunks=math.ceil(nbytes / cap))
 
 
@@ -189,13 +218,14 @@ def final_topk(partial: DataFrame, k: int, keys=("q_id",)) -> DataFrame:
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos",
          untouched: DataFrame | None = None, query_transform=None,
-         cap: int = QUERY_BLOCK_CAP, query_matrix=None) -> DataFrame:
+         cap: int = QUERY_BLOCK_CAP, query_matrix=None, prefilter: float | None = None) -> DataFrame:
     """Exact top-k of every query.
 
     ``corpus`` is scored with ``metric``; ``untouched`` (optional second corpus,
     disjoint record ids) is always scored with cosine.  ``query_transform`` is
     a DataFrame -> DataFrame hook applied to the queries first; a linear hook
     can instead be given as ``query_matrix`` W (applied to the broadcast block).
+    ``prefilter=fraction`` enables the exact sample-threshold candidate filter.
     Returns (q_id, rank, record_id, score).
     """
     check_metric(metric)
@@ -206,7 +236,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos",
     c = _corpus_frame(corpus, metric == "cos")
     if untouched is not None:
         c = c.unionByName(_corpus_frame(untouched, True))
-    part = partial_topk(queries, c, k, cap, query_matrix)
+    part = partial_topk(queries, c, k, cap, query_matrix, prefilter)
     return final_topk(part, k).select("q_id", "rank", "record_id", "score")
 
 

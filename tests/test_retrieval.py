@@ -95,3 +95,16 @@ def test_query_matrix_equals_dataframe_hook(spark, data):
     b = rows(RET.topk(q, d, 4, query_transform=lambda x: apply_adapter(x, W)), ["q_id", "rank", "record_id"])
     c = rows(RET.topk(q, d, 4, query_matrix=W, cap=64), ["q_id", "rank", "record_id"])
     assert a == b == c == [w[:3] for w in brute_topk(Q @ W.T, D, 4)]
+
+
+@pytest.mark.parametrize("fraction", [0.001, 0.05, 0.3])
+def test_prefilter_is_exact_and_cuts_candidates(spark, data, fraction):
+    Q, D = data
+    q = vec_df(spark, range(len(Q)), Q, "q_id")
+    d = vec_df(spark, range(len(D)), D).repartition(8)
+    got = rows(RET.topk(q, d, 5, prefilter=fraction), ["q_id", "rank", "record_id"])
+    assert got == [w[:3] for w in brute_topk(Q, D, 5)]
+    c = RET._corpus_frame(d, True)
+    full = RET.partial_topk(q, c, 5).count()
+    cut = RET.partial_topk(q, c, 5, prefilter=fraction).count()
+    assert cut <= full
