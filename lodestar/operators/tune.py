@@ -38,7 +38,7 @@ from ..functions.vectors import (EPS_NORM, as_double, dot, list_to_matrix, nan_t
 from .joins import KEY_BROADCAST_CAP as ID_BROADCAST_CAP
 from .ranks import prefix_sum
 from .retrieval import (QUERY_BLOCK_CAP, TOPK_SCHEMA, QueryBlock, _corpus_frame, _scan_topk_fn,
-                        broadcast_chunks, collect_block, final_topk)
+                        _thresholds, broadcast_chunks, collect_block, final_topk)
 from .topk_kernel import doc_step, merge_topk, round_scores
 
 # fixed values
@@ -258,7 +258,7 @@ def _lcm_upto(k: int) -> int:
 
 
 def n_accuracy_grid(stats: DataFrame, dev: QuerySet, untouched: DataFrame | None = None,
-                    val_k: int = 1, gammas=None) -> DataFrame:
+                    val_k: int = 1, gammas=None, prefilter: float | None = None) -> DataFrame:
     """(g, gamma, acc_num, n_dev, acc) for every γ of the grid.
 
     ``acc_num`` is an exact integer numerator (common denominator
@@ -278,7 +278,11 @@ def n_accuracy_grid(stats: DataFrame, dev: QuerySet, untouched: DataFrame | None
         moving = p if moving is None else moving.unionByName(p)
         if ucorp is not None:
             # untouched docs never move: one plain top-val_k serves every γ
-            st = ucorp.mapInArrow(_scan_topk_fn(bc, val_k), TOPK_SCHEMA)
+            bt = None
+            if prefilter:
+                blk = bc.value
+                bt = spark.sparkContext.broadcast(_thresholds(bc, ucorp, val_k, prefilter, blk.ids))
+            st = ucorp.mapInArrow(_scan_topk_fn(bc, val_k, bt), TOPK_SCHEMA)
             static = st if static is None else static.unionByName(st)
     devq.unpersist()
     part = moving
@@ -308,19 +312,21 @@ def n_best_gamma(grid: DataFrame) -> float:
 
 
 def tune_n(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFrame | None = None,
-           val_k: int = 1, gamma: float | None = None, gammas=None, return_rest: bool = True) -> TuneResult:
+           val_k: int = 1, gamma: float | None = None, gammas=None, return_rest: bool = True,
+           prefilter: float | None = None) -> TuneResult:
     """N variant end to end.  ``untouched`` records are competitors only
     (scored with cosine, keep ids and labels) and are not returned; corpus
     documents without training queries are split off the same way and come
     back normalised and unchanged -- or, with ``return_rest=False``, are not
     rewritten at all and are handed back as ``result.rest`` for a two-corpus
-    search (``topk(..., untouched=result.rest)``)."""
+    search (``topk(..., untouched=result.rest)``).  ``prefilter`` applies the
+    exact sample-threshold filter to the untouched scans (see ``topk``)."""
     from ..plans.materialize import materialize
     part, rest = trained_split(corpus, train)
     stats = materialize(n_stats(doc_directions(part, train)), "n-stats")
     grid = None
     if gamma is None:
-        grid = n_accuracy_grid(stats, dev, _static(untouched, rest), val_k, gammas)
+        grid = n_accuracy_grid(stats, dev, _static(untouched, rest), val_k, gammas, prefilter)
         gamma = n_best_gamma(grid)
     check_gamma(gamma)
     _release(train)
@@ -423,17 +429,21 @@ def _pair_block(pairs: DataFrame):
 
 
 def _untouched_bounds(pairs: DataFrame, dev: QuerySet, untouched: DataFrame,
-                      qblock=None) -> DataFrame:
+                      qblock=None, prefilter: float | None = None) -> DataFrame:
     """Untouched docs have u = 0, so for a pair their Δg is the same
     (-g_x) and only the best untouched score other than x itself can bind:
     collapse them to the top-2 cosine per dev query (exact) and turn the best
     one that is not x into one bound row per pair."""
     from .retrieval import topk
     if qblock is not None:
-        bc = untouched.sparkSession.sparkContext.broadcast(qblock)
-        best = final_topk(_corpus_frame(untouched, True).mapInArrow(_scan_topk_fn(bc, 2), TOPK_SCHEMA), 2)
+        sc = untouched.sparkSession.sparkContext
+        bc = sc.broadcast(qblock)
+        uc = _corpus_frame(untouched, True)
+        bt = sc.broadcast(_thresholds(bc, uc, 2, prefilter, qblock.ids)) if prefilter else None
+        best = final_topk(uc.mapInArrow(_scan_topk_fn(bc, 2, bt), TOPK_SCHEMA), 2)
     else:
-        best = topk(dev.judged_queries().select("q_id", "embedding"), untouched, 2, "cos")
+        best = topk(dev.judged_queries().select("q_id", "embedding"), untouched, 2, "cos",
+                    prefilter=prefilter)
     j = (pairs.select("pair_id", "q_id", "x", "s_x", "g_x")
          .join(best.select("q_id", F.col("record_id").alias("d"), F.col("score").alias("sc")), "q_id")
          .filter(F.col("d") != F.col("x"))
@@ -447,7 +457,8 @@ def _untouched_bounds(pairs: DataFrame, dev: QuerySet, untouched: DataFrame,
                     F.when((dg == 0) & (ds > 0), F.lit(1)).otherwise(F.lit(0)).cast("long").alias("bad"))
 
 
-def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None) -> DataFrame:
+def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None,
+                prefilter: float | None = None) -> DataFrame:
     """(pair_id, q_id, x, low, high, bad, valid) per dev pair.
 
     The pair block (query vector + the answer's two scores) is size-checked
@@ -473,7 +484,7 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
         part = p if part is None else part.unionByName(p)
     pc.unpersist()
     if untouched is not None:
-        part = part.unionByName(_untouched_bounds(pairs, dev, untouched, qblock))
+        part = part.unionByName(_untouched_bounds(pairs, dev, untouched, qblock, prefilter))
     agg = part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
                                                    F.sum("bad").alias("bad"))
     return agg.withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low")))
@@ -503,7 +514,8 @@ def m_apply(mdirs: DataFrame, gamma: float) -> DataFrame:
 
 
 def tune_m(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFrame | None = None,
-           gamma: float | None = None, return_rest: bool = True) -> TuneResult:
+           gamma: float | None = None, return_rest: bool = True,
+           prefilter: float | None = None) -> TuneResult:
     """M variant end to end (same corpus split and ``return_rest`` as
     ``tune_n``; search the tuned part with ``dot`` and the rest with cosine)."""
     from ..plans.materialize import materialize
@@ -511,7 +523,7 @@ def tune_m(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFra
     mdirs = materialize(m_directions(doc_directions(part, train)), "m-dirs")
     diag, extra = None, {}
     if gamma is None:
-        iv = materialize(m_intervals(mdirs, dev, _static(untouched, rest)), "m-intervals")
+        iv = materialize(m_intervals(mdirs, dev, _static(untouched, rest), prefilter), "m-intervals")
         diag = iv
         gamma, best = m_best_gamma(m_sweep(iv))
         extra["overlap"] = best

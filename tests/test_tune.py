@@ -190,3 +190,13 @@ def test_return_rest_false_gives_same_retrieval(fx, sets, tuned_n):
     a = sorted(map(tuple, RET.topk(te, m.embeddings, 10, "dot", untouched=m.rest).select("q_id", "record_id").collect()))
     b = sorted(map(tuple, RET.topk(te, mw.embeddings, 10, "dot").select("q_id", "record_id").collect()))
     assert a == b
+
+
+def test_prefilter_keeps_tuning_exact(fx, sets, tuned_n):
+    r = TUNE.tune_n(fx.corpus, *sets, prefilter=0.2)
+    assert r.gamma == tuned_n.gamma
+    g1 = sorted((x["g"], x["acc_num"]) for x in r.diagnostics.collect())
+    g0 = sorted((x["g"], x["acc_num"]) for x in tuned_n.diagnostics.collect())
+    assert g1 == g0
+    m = TUNE.tune_m(fx.corpus, *sets, prefilter=0.2)
+    assert m.gamma == pytest.approx(8.411400, abs=1e-6) and m.extra["overlap"] == 188
