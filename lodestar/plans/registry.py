@@ -648,3 +648,11 @@ def q_axpy(spark, sf_dir):
     tr, _, _ = sets(f)
     d = TUNE.doc_directions(f.corpus, tr).filter(F.col("c").isNotNull())
     return long_form(d.select("record_id", axpy(0.25, "v", 0.75, "c").alias("embedding")))
+
+
+@register("topk_prefiltered")
+def q_topk_prefiltered(spark, sf_dir):
+    """R1 with the exact sample-threshold candidate filter (same result as
+    ``topk_cos``; each scan task emits only candidates that can still win)."""
+    f = fx(spark, sf_dir)
+    return out(RET.topk(f.split("test"), f.corpus, 10, "cos", prefilter=0.1))
