@@ -42,13 +42,17 @@ def bucket_of(key: str, bounds: list) -> Column:
 
 
 def prefix_sum(df: DataFrame, key: str, value: Column | str, out: str,
-               order: list | None = None, buckets: int | None = None) -> DataFrame:
+               order: list | None = None, buckets: int | None = None,
+               max_rows: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in the order ``order`` (default:
-    ``key``); ``order`` must sort by ``key`` first."""
+    ``key``); ``order`` must sort by ``key`` first.  ``max_rows`` is a known
+    upper bound of the row count: when it fits one bucket, no bounds job runs."""
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = order or [F.col(key)]
     val = F.col(value) if isinstance(value, str) else value
+    if max_rows is not None and max_rows <= ROWS_PER_BUCKET:
+        buckets = 1
     bounds = _bounds(df, key, buckets)
     b = df.withColumn("__bk", bucket_of(key, bounds)).withColumn("__v", val)
     tot = b.groupBy("__bk").agg(F.sum("__v").alias("__t"))

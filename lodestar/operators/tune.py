@@ -459,6 +459,11 @@ def _untouched_bounds(pairs: DataFrame, dev: QuerySet, untouched: DataFrame,
 
 def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None,
                 prefilter: float | None = None) -> DataFrame:
+    return _m_intervals(mdirs, dev, untouched, prefilter)[0]
+
+
+def _m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None,
+                 prefilter: float | None = None):
     """(pair_id, q_id, x, low, high, bad, valid) per dev pair.
 
     The pair block (query vector + the answer's two scores) is size-checked
@@ -473,8 +478,10 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
     part = None
     chunks = broadcast_chunks(pc, "pair_id", "qv", cap=PAIR_BLOCK_CAP)
     qblock = None
+    n_pairs = 0
     for chunk, _ in chunks:
         blk = _pair_block(chunk)
+        n_pairs += len(blk[0])
         if len(chunks) == 1:
             # every judged dev query is in the pair block: reuse its vectors
             _, first = np.unique(blk[1], return_index=True)
@@ -487,16 +494,17 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
         part = part.unionByName(_untouched_bounds(pairs, dev, untouched, qblock, prefilter))
     agg = part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
                                                    F.sum("bad").alias("bad"))
-    return agg.withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low")))
+    return agg.withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low"))), n_pairs
 
 
-def m_sweep(intervals: DataFrame) -> DataFrame:
-    """coverage count after each distinct end point (half-open [low, high))."""
+def m_sweep(intervals: DataFrame, n_pairs: int | None = None) -> DataFrame:
+    """coverage count after each distinct end point (half-open [low, high)).
+    ``n_pairs`` (known from the pair block) bounds the events by 2 per pair."""
     v = intervals.filter("valid")
     ev = (v.select(F.col("low").alias("value"), F.lit(1).alias("sign"))
           .unionByName(v.select(F.col("high").alias("value"), F.lit(-1).alias("sign")))
           .groupBy("value").agg(F.sum("sign").alias("net")))
-    return prefix_sum(ev, "value", "net", "total")
+    return prefix_sum(ev, "value", "net", "total", max_rows=None if n_pairs is None else 2 * n_pairs)
 
 
 def m_best_gamma(sweep: DataFrame) -> tuple[float, int]:
@@ -523,9 +531,10 @@ def tune_m(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFra
     mdirs = materialize(m_directions(doc_directions(part, train)), "m-dirs")
     diag, extra = None, {}
     if gamma is None:
-        iv = materialize(m_intervals(mdirs, dev, _static(untouched, rest), prefilter), "m-intervals")
+        ivp, n_pairs = _m_intervals(mdirs, dev, _static(untouched, rest), prefilter)
+        iv = materialize(ivp, "m-intervals")
         diag = iv
-        gamma, best = m_best_gamma(m_sweep(iv))
+        gamma, best = m_best_gamma(m_sweep(iv, n_pairs))
         extra["overlap"] = best
     _release(train)
     emb = m_apply(mdirs, gamma)
