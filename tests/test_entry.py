@@ -19,10 +19,12 @@ def test_entry(spark):
 
 
 def test_registry_keys_have_oracles():
+    from lodestar.plans.oracles import ORACLES
+    from lodestar.plans.registry import R
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) == {"embed_column", "adapter_fit"}
-    assert len(q) >= 68
+    assert set(o) <= set(q) and set(R) <= set(q)
+    assert set(R) - set(ORACLES) == {"embed_column", "adapter_fit"}
+    assert len(R) >= 68
 
 
 @pytest.mark.parametrize("name", ["topk_cos", "tune_n", "m_intervals", "metric_suite", "random_split",
