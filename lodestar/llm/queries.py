@@ -3,8 +3,9 @@ each over its whole table, with DuckDB SQL where SQL can express the result."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules
+from . import quality_rules, secrets, token_counts
 from .common import load
 
 QUERIES: dict = {}
@@ -23,3 +24,15 @@ def query(name: str, oracle: str | None = None):
 @query("op1_quality_rules", quality_rules.ORACLE)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(load(spark, sf_dir, "documents")).drop("clean_text")
+
+
+@query("op2_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(load(spark, sf_dir, "documents"))
+    written = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.withColumn("spans", written)
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.with_limit(token_counts.count_tokens(load(spark, sf_dir, "documents")), 1024)
