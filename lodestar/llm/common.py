@@ -44,7 +44,10 @@ SLICE_BYTES = 4 << 20
 
 def slices(texts) -> list[tuple[int, int]]:
     """(start, length) of runs of rows with about SLICE_BYTES of text each."""
+    import pyarrow as pa
     import pyarrow.compute as pc
+    if pa.types.is_struct(texts.type):
+        texts = texts.field("text")
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     out, start, total = [], 0, 0
     for i, n in enumerate(sizes):

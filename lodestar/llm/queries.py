@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, secrets, token_counts
+from . import packing, quality_rules, repeated_passages, secrets, token_counts
 from .common import load
 
 QUERIES: dict = {}
@@ -36,3 +36,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.count_tokens(load(spark, sf_dir, "documents")), 1024)
+
+
+@query("op5_packing")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"))
+
+
+@query("op7_repeated_passages")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.remove_repeats(load(spark, sf_dir, "documents")).drop("kept_text")
