@@ -9,6 +9,8 @@ window is marked.  Windows are compared as words, not as hashes.
 
 Equal strings of one task travel once, with the places they come from: a passage
 that a third of all documents share reaches its bucket as one row for each task.
+A task's strings for one part of the buckets go compressed as one block; Spark
+sorts them after unpacking.
 A bucket is read as a stream; it holds its distinct windows, not their places.
 
 Marks return as ranges of words and are joined to the documents again.  The
@@ -28,6 +30,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +40,8 @@ from .common import add_columns, slices
 from .words import Vocabulary, gram_hashes, split_words
 
 WINDOW, TRIPLE = 13, 3
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 96 << 20       # of packed strings held by a task, about
+PARTS_PER_PARTITION = 4
 TAG_BITS, START_BITS = 24, 39
 _PLACE = struct.Struct("<qq")
 
@@ -66,19 +70,75 @@ def super_kmers(hashes: np.ndarray, window: int = WINDOW, gram: int = TRIPLE):
     return first, last, best[first].view(np.int64)
 
 
-_ROW = pa.schema([("bucket", pa.int64()), ("least", pa.int64()), ("words", pa.binary()), ("places", pa.binary())])
+def _block(rows: list[tuple[bytes, list]]) -> bytes:
+    """Packed strings with their buckets and places, compressed."""
+    head = np.array([len(rows)], np.int64)
+    bucket = np.fromiter((v[0] for _, v in rows), np.int64, len(rows))
+    size = np.fromiter((len(k) for k, _ in rows), np.int32, len(rows))
+    places = np.fromiter((len(v) // 2 for _, v in rows), np.int32, len(rows))
+    doc = np.array([d for _, v in rows for d in v[1::2]], np.int64)
+    start = np.array([d for _, v in rows for d in v[2::2]], np.int64)
+    columns = (head, bucket, size, places, doc, start)
+    return zstandard.compress(b"".join(c.tobytes() for c in columns) + b"".join(k for k, _ in rows), 3)
 
 
-def _packed(batches):
-    """Rows (bucket, least id, packed words, places) of one task's documents."""
+def _unpacked(batches):
+    """Rows (bucket, least id, packed words, places) of the blocks."""
+    for b in batches:
+        for block in b.column(0).to_pylist():
+            raw = zstandard.decompress(block)
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            at = 8
+
+            def take(kind, count):
+                nonlocal at
+                out = np.frombuffer(raw, kind, count, at)
+                at += out.nbytes
+                return out
+
+            bucket, size, places = take(np.int64, n), take(np.int32, n), take(np.int32, n)
+            total = int(places.sum())
+            doc, start = take(np.int64, total), take(np.int64, total)
+            first = np.concatenate([[0], np.cumsum(places)])
+            words = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+            for a in range(0, n, 20_000):
+                z = min(n, a + 20_000)
+                p, q = int(first[a]), int(first[z])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(bucket[a:z]), pa.array(np.minimum.reduceat(doc[p:q], first[a:z] - p)),
+                    _binary(raw[at + int(words[a]):at + int(words[z])], words[a:z + 1] - words[a]),
+                    _binary(np.stack([doc[p:q], start[p:q]], 1).tobytes(), (first[a:z + 1] - p) * 16),
+                ], names=["bucket", "least", "words", "places"])
+
+
+def _binary(data: bytes, offsets: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1,
+                                 [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data)])
+
+
+def _packer(parts: int):
+    def run(batches):
+        return _packed(batches, parts)
+    return run
+
+
+def _packed(batches, parts: int):
+    """Blocks (part, compressed strings) of one task's documents."""
     held: dict[bytes, list] = {}
     size = 0
 
     def flush():
-        rows = [(v[0], min(v[1::2]), k, b"".join(map(_PLACE.pack, v[1::2], v[2::2]))) for k, v in held.items()]
+        rows = list(held.items())
         held.clear()
-        for i in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[i:i + 50_000]), _ROW)], schema=_ROW)
+        part = np.fromiter((v[0] for _, v in rows), np.int64, len(rows)).view(np.uint64) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        part = part[order].astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(rows)] if rows else [0]
+        order = order.tolist()
+        for a, z in zip(cuts, cuts[1:]):
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int64()),
+                                              pa.array([_block([rows[i] for i in order[a:z]])], pa.binary())],
+                                             names=["part", "block"])
 
     for b in batches:
         for start, n in slices(b.column(0)):
@@ -101,10 +161,10 @@ def _packed(batches):
                     key = line[p:q]
                     if (seen := held.get(key)) is None:
                         held[key] = [m, doc, tag | a]
-                        size += q - p + 200
+                        size += q - p + 250
                     else:
                         seen += (doc, tag | a)
-                        size += 64
+                        size += 80
             if size > FLUSH_BYTES:
                 yield from flush()
                 size = 0
@@ -179,8 +239,11 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     """(doc_id, tag, from, to): words covered by windows that start in a document of smaller id too."""
     ship_package(docs.sparkSession)
     rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
-    packed = rows.mapInArrow(_packed, "bucket long, least long, words binary, places binary")
-    return (packed.repartition("bucket").sortWithinPartitions("bucket", "least")
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = rows.mapInArrow(_packer(PARTS_PER_PARTITION * partitions), "part long, block binary")
+    return (packed.repartition(partitions, "part").select("block")
+            .mapInArrow(_unpacked, "bucket long, least long, words binary, places binary")
+            .sortWithinPartitions("bucket", "least")
             .mapInArrow(_marked, "doc_id long, tag long, `from` long, `to` long"))
 
 
