@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality_rules, repeated_passages, secrets, token_counts
+from . import chat_records, decontaminate, packing, page_text, quality_rules, repeated_passages, secrets, token_counts
 from .common import load
 
 QUERIES: dict = {}
@@ -46,3 +46,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_repeated_passages")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages.remove_repeats(load(spark, sf_dir, "documents")).drop("kept_text")
+
+
+@query("op8_chat_records")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_records.link(load(spark, sf_dir, "conversations"))
+
+
+@query("op9_page_text")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(load(spark, sf_dir, "pages"))
+
+
+@query("op10_benchmark_leaks")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
