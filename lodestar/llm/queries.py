@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_records, decontaminate, packing, page_text, quality_rules, repeated_passages, secrets, token_counts
+from . import chat_records, decontaminate, jaccard_join, packing, page_text, quality_rules, repeated_passages, secrets, token_counts
 from .common import load
 
 QUERIES: dict = {}
@@ -61,3 +61,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_leaks")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op4_jaccard_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(load(spark, sf_dir, "documents"))
