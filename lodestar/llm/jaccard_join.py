@@ -10,9 +10,10 @@ similarity is 0.75 or more, that is, within the radius 0.25 of the Jaccard metri
    inequality on symmetric differences, two points within the radius share an
    anchor among the first n - ceil(0.75 n) + 1 of each.  A point's window of
    anchors is replicated, nothing else.
-2. Regions.  The pivot of an anchor is the least point that has it; the points of
-   a pivot's anchors are its Voronoi region, so that linked points meet in one.
-   A region with more than a bounded number of set elements is dealt into blocks
+2. Regions.  An anchor's points, by size, are cut where sizes and places in the
+   order rule out any link.  The pivot is the first of them; the points of a
+   pivot's anchors are its Voronoi region, so that linked points meet in one.
+   Regions inside another pivot's region are left out.  A region with more than a bounded number of set elements is dealt into blocks
    that meet two by two, each meeting bounded.
 3. Recursive join.  In a region, the most central live point is the pivot; exact
    distances to it split the region into its ball (linked with it), the shell
@@ -43,7 +44,7 @@ from ..plans.materialize import materialize
 from .common import add_columns, slices
 from .components import components
 from .repeated_passages import release_shuffles
-from .words import Vocabulary, gram_hashes, split_words
+from .words import gram_hashes, split_words, word_hashes
 
 SHINGLE = 5
 FREQUENT = 32                  # documents from which a shingle may be ordered last
@@ -56,11 +57,8 @@ RADIUS, EPS = 0.25, 1e-9
 
 def shingle_sets(texts) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    vocabulary = Vocabulary()
-    words = split_words(texts, lower=True)
-    local = [np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws)) for ws in words]
-    table = vocabulary.hash_array()
-    return [np.unique(gram_hashes(table[i], min(SHINGLE, len(i)))) if len(i) else np.zeros(0, np.uint64) for i in local]
+    return [np.unique(gram_hashes(h, min(SHINGLE, len(h)))) if len(h) else np.zeros(0, np.uint64)
+            for h in word_hashes(split_words(texts, lower=True))]
 
 
 def point_of(shingles: np.ndarray) -> int:
@@ -98,49 +96,74 @@ def ordered(shingles: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return shingles
 
 
+def partner_limit(n: int) -> np.ndarray:
+    """For each anchor of a set of ``n``, the largest set that can link by it as
+    the first anchor in common: what stands before it is not shared."""
+    rank = np.arange(window_length(n))
+    return np.minimum(4 * n // 3, (7 * (n - rank)) // 3 - n)
+
+
 def _anchored(bc):
     def run(batches):
         seen: set[int] = set()
         for b in batches:
             for start, n in slices(b.column(0)):
-                anchors, points = [], []
+                out = [], [], [], []
                 for s in shingle_sets(b.column(0).slice(start, n)):
-                    point = point_of(s)
-                    if len(s) and point not in seen:
+                    point, size = point_of(s), len(s)
+                    if size and point not in seen:
                         seen.add(point)
-                        anchors.append(ordered(s, bc.value)[:window_length(len(s))])
-                        points.append(np.full(len(anchors[-1]), point, np.int64))
+                        limit = partner_limit(size)
+                        out[0].append(ordered(s, bc.value)[:len(limit)].view(np.int64))
+                        out[1].append(np.full(len(limit), size, np.int64))
+                        out[2].append(limit)
+                        out[3].append(np.full(len(limit), point, np.int64))
                 if len(seen) > 1_000_000:
                     seen.clear()
-                if anchors:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)),
-                                                      pa.array(np.concatenate(points))], names=["anchor", "point"])
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
+                                                     names=["anchor", "size", "most", "point"])
     return run
 
 
 def _met(batches):
-    """(region, point) of anchors with two points or more, from sorted rows."""
-    last_anchor = last_point = pivot = None
+    """(region, point) of anchors with two points or more, from rows sorted by
+    anchor, size and point.  An anchor's points are cut where no earlier one can
+    link with a set as large as the next."""
+    span = np.int64(1) << 40
+    last_anchor, last_point, pivot, reach = None, None, 0, -1
     for b in batches:
         if not b.num_rows:
             continue
-        anchor, point = b.column(0).to_numpy(), b.column(1).to_numpy()
-        n = len(anchor)
-        new = np.ones(n, bool)
-        new[1:] = anchor[1:] != anchor[:-1]
-        other = np.ones(n, bool)
-        other[1:] = point[1:] != point[:-1]
+        anchor, size, most, point = (c.to_numpy() for c in b.columns)
+        new, other = np.ones(len(anchor), bool), np.ones(len(anchor), bool)
+        new[1:], other[1:] = anchor[1:] != anchor[:-1], point[1:] != point[:-1]
         if last_anchor is not None:
             new[0], other[0] = anchor[0] != last_anchor, point[0] != last_point
-        run = np.cumsum(new)
-        pivots = np.concatenate([[pivot if pivot is not None else 0], point[new]])[run]
-        last_anchor, last_point, pivot = anchor[-1], point[-1], pivots[-1]
-        hit = ~new & other
+        run = np.cumsum(new)                    # 0 goes on from the last batch
+        top = np.maximum.accumulate(np.concatenate([[-1 if new[0] else reach], run * span + most]))
+        cut = new | (top[:-1] - run * span < size)
+        pivots = np.concatenate([[pivot], point[cut]])[np.cumsum(cut)]
+        last_anchor, last_point, pivot, reach = anchor[-1], point[-1], pivots[-1], top[-1] - run[-1] * span
+        hit = ~cut & other & (point != pivots)
         pairs = np.stack([pivots[hit], point[hit]], 1)
         pairs = np.unique(np.concatenate([pairs, np.stack([pairs[:, 0]] * 2, 1)]), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["region", "point"])
 
 
+def without_contained(members: DataFrame) -> DataFrame:
+    """``members`` (region, point, ...) without the regions whose points all lie
+    in the region of another pivot.  A pivot comes before the other points of its
+    region, so that of two equal regions one stays."""
+    own = members.select("region", "point")
+    sizes = own.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+    inside = own.filter("region <> point").select(F.col("region").alias("outer"), F.col("point").alias("region"))
+    common = inside.join(own, "region").join(own.select(F.col("region").alias("outer"), "point"), ["outer", "point"], "left_semi")
+    contained = common.groupBy("region", "outer").agg(F.count(F.lit(1)).alias("n")) \
+        .join(sizes, ["region", "n"], "left_semi").select("region").distinct()
+    return members.join(contained, "region", "left_anti")
+
+
 def _sent(batches):
     """A point's set to each of its regions' meetings."""
     for b in batches:
@@ -236,9 +259,9 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     del counts
     release_shuffles(spark)
 
-    met = (texts.mapInArrow(_anchored(frequent), "anchor long, point long").repartition(partitions, "anchor")
-           .sortWithinPartitions("anchor", "point").mapInArrow(_met, "region long, point long").distinct())
-    members = materialize(met.join(firsts, "point"), "members")
+    met = (texts.mapInArrow(_anchored(frequent), "anchor long, size long, most long, point long")
+           .repartition(partitions, "anchor").sortWithinPartitions("anchor", "size", "point").mapInArrow(_met, "region long, point long").distinct())
+    members = materialize(without_contained(materialize(met.join(firsts, "point"), "met")), "members")
     del met
     release_shuffles(spark)
 

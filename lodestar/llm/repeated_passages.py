@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from .._ship import ship_package
 from ..plans.materialize import materialize
 from .common import add_columns, slices
-from .words import Vocabulary, gram_hashes, split_words
+from .words import gram_hashes, split_words, word_hashes
 
 WINDOW, TRIPLE = 13, 3
 FLUSH_BYTES = 96 << 20       # of packed strings held by a task, about
@@ -144,15 +144,13 @@ def _packed(batches, parts: int):
         for start, n in slices(b.column(0)):
             part = b.slice(start, n)
             texts, ids = part.column(0), part.column(1).to_pylist()
-            vocabulary = Vocabulary()
             words = split_words(texts)
-            local = [np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws)) for ws in words]
-            table = vocabulary.hash_array()
+            hashes = word_hashes(words)
             for i, (doc, ws) in enumerate(zip(ids, words)):
                 if doc is None or len(ws) < WINDOW:
                     continue
                 tag = tag_of(texts[i].as_buffer().to_pybytes()) << START_BITS
-                first, last, bucket = super_kmers(table[local[i]])
+                first, last, bucket = super_kmers(hashes[i])
                 line = b" ".join(ws)
                 ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
                 begin = np.concatenate([[0], ends])[first].tolist()

@@ -25,6 +25,17 @@ class Vocabulary(dict):
         return np.array(self.hashes, np.uint64)
 
 
+_KNOWN = [Vocabulary()]
+KNOWN_WORDS = 300_000
+
+
+def vocabulary() -> Vocabulary:
+    """This worker's vocabulary; a new one when it has grown large."""
+    if len(_KNOWN[0].hashes) > KNOWN_WORDS:
+        _KNOWN[0] = Vocabulary()
+    return _KNOWN[0]
+
+
 def split_words(texts, lower: bool = False) -> list[list[bytes]]:
     """Words of each text of an Arrow array (ASCII white space separates them);
     null has none.  ``bytes.lower`` changes A-Z alone."""
@@ -39,6 +50,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_hashes(words: list[list[bytes]]) -> list[np.ndarray]:
+    """Hashes of the words of each text."""
+    known = vocabulary()
+    local = [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in words]
+    table = known.hash_array()
+    return [table[i] for i in local]
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words from each position on (none for the last n - 1)."""
     m = len(hashes) - n + 1
