@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_records, decontaminate, jaccard_join, packing, page_text, quality_rules, repeated_passages, secrets, token_counts
+from . import chat_records, decontaminate, jaccard_join, language_model, packing, page_text, quality_rules, repeated_passages, secrets, token_counts
 from .common import load
 
 QUERIES: dict = {}
@@ -66,3 +66,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_jaccard_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query("op6_language_model")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_held_out(load(spark, sf_dir, "documents"))
