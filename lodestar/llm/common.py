@@ -78,4 +78,5 @@ def add_columns(df: DataFrame, text_col: str, keep: list[str], fn, schema: str)
                 part = b.slice(start, n)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], *fn(part.column(0))], names=names)
 
-    return df.select(F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, out)
+    return df.select(F.col(f"`{text_col}`").alias(column_name(df, "input")),
+                     *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, out)

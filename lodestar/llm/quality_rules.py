@@ -110,8 +110,10 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
         _window_hashes(F.col("words")).alias("h"),
         F.transform(F.split("text", "\n"), _line).alias("lines"))
     worded = F.filter("lines", lambda x: x["word"])
+    # ``drawn`` is always true; not being deterministic, it keeps a filter on ``kept`` from
+    # being pushed below this step and the arrays from being inlined into it.
     counted = hashed.select(
-        "keep", "n_words", "word_chars", _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
+        (F.monotonically_increasing_id() >= 0).alias("drawn"), "keep", "n_words", "word_chars", _count(F.col("text"), SYMBOLS).cast("long").alias("n_symbols"),
         let(F.transform(worded, lambda x: x["line"]),
             lambda y: F.size(y) - F.size(F.array_distinct(y))).cast("long").alias("n_dup_lines"),
         F.when(F.size(F.array_distinct("h")) == F.size("h"), F.lit(0).cast("long"))
@@ -123,7 +125,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None
         F.array_join(F.transform(F.filter("lines", lambda x: ~x["bad"]), lambda x: x["line"]), "\n").alias("clean_text"))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_SHARE)
     return (counted.withColumn("base_failed", failed)
-            .withColumn("kept", ~failed & (F.col("lost_chars") * 100 <= F.col("solid_chars") * LOSS_SHARE))
+            .withColumn("kept", F.col("drawn") & ~failed & (F.col("lost_chars") * 100 <= F.col("solid_chars") * LOSS_SHARE))
             .select("keep.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     "kept", "n_lines", "n_bad_lines", "lost_chars", "clean_text"))
 
