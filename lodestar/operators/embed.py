@@ -132,11 +132,9 @@ def embed_resumable(df: DataFrame, col: str, path: str, fn: Callable | None = No
                     id_col: str = "record_id", **kw) -> DataFrame:
     """Embed only what ``path`` does not hold yet, append, return all.
     Safe to re-run after a failure: written rows are never recomputed."""
+    from ..sources.io import path_exists
     spark = df.sparkSession
-    try:
-        done = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - nothing written yet
-        done = None
+    done = spark.read.parquet(path) if path_exists(spark, path) else None
     todo = pending(df, done, id_col)
     if todo.limit(1).count():
         embed_column(todo, col, fn, id_col, **kw).write.mode("append").parquet(path)

@@ -105,8 +105,10 @@ def _scan_topk_fn(bc, k: int, bc_thr=None):
         q = np.repeat(qids, kk)
         S, I = S.reshape(-1), I.reshape(-1)
         if thr is not None:
-            # exact: every true top-k score is >= the sample's k-th best
-            keep = S >= np.repeat(thr, kk)
+            # every true top-k score is >= the sample's k-th best, up to the
+            # rounding of products taken over blocks of other shapes
+            floor = thr - 1e-11 * np.maximum(1.0, np.abs(np.where(np.isfinite(thr), thr, 0.0)))
+            keep = S >= np.repeat(floor, kk)
             q, S, I = q[keep], S[keep], I[keep]
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(I), pa.array(S)],
                                          names=["q_id", "record_id", "score"])
@@ -147,6 +149,7 @@ def partial_topk(queries: DataFrame, corpus_flagged: DataFrame, k: int,
     top-k (exact; shrinks the partial shuffle for large corpora)."""
     spark = corpus_flagged.sparkSession
     ship_package(spark)
+    queries = queries.filter(F.col("embedding").isNotNull())     # on every path alike
     if query_matrix is not None and block_size(queries)[2] > cap:
         from .adapter import apply_adapter
         queries, query_matrix = apply_adapter(queries, query_matrix), None

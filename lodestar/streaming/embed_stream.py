@@ -20,16 +20,14 @@ def embed_stream(spark: SparkSession, source_dir: str, schema: str, out_dir: str
                  text_col: str = "text", id_col: str = "record_id", fn: Callable | None = None,
                  max_files_per_trigger: int | None = None, **kw):
     """Start (or resume) the stream; returns the finished StreamingQuery."""
+    from ..sources.io import path_exists
     reader = spark.readStream.schema(schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     src = reader.parquet(source_dir)
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        try:
-            done = batch.sparkSession.read.parquet(out_dir)
-        except Exception:  # noqa: BLE001 - first batch, nothing written yet
-            done = None
+        done = batch.sparkSession.read.parquet(out_dir) if path_exists(spark, out_dir) else None
         todo = pending(batch, done, id_col)
         embed_column(todo, text_col, fn, id_col, **kw).write.mode("append").parquet(out_dir)
 
