@@ -93,7 +93,7 @@ def windows(slots: np.ndarray, canon: np.ndarray, size: int) -> tuple[np.ndarray
     """(positions, hashes) of the windows of ``size`` tokens with enough literals."""
     h = gram_hashes(canon, size)
     words = np.cumsum(np.concatenate([[0], slots == 0]))
-    at = np.flatnonzero(words[size:] - words[:len(h)] >= min(LEAST_WORDS, (size + 1) // 2)) if len(h) else np.zeros(0, np.int64)
+    at = np.flatnonzero(words[size:] - words[:len(h)] >= -(-LEAST_WORDS * size // WINDOW)) if len(h) else np.zeros(0, np.int64)
     return at, h[at]
 
 

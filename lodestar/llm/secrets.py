@@ -78,11 +78,11 @@ def entropy_spans(text: str, window: int, bits: float, digits: int, upper: int,
         yield start, end
 
 
-def allowed(text: str, start: int, end: int) -> bool:
-    """True where the span is on the allow list."""
+def allowed(text: str, start: int, end: int, run: int) -> bool:
+    """True where the span, in the candidate that starts at ``run``, is on the allow list."""
     found = text[start:end]
     low = found.lower()
-    before = text[max(0, start - 200):start]
+    before = text[max(0, run - 200):run]
     if PLACEHOLDER.search(found) or NAMED.search(before) or ADDRESS.search(before):
         return True
     if any(a[i:i + 8] in low for a in ALPHABETS for i in range(len(a) - 7)):
@@ -111,7 +111,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
             for part in alphabet.finditer(run):
                 for a, b in entropy_spans(part.group(), window, bits, digits, upper, lower):
                     a, b = a + part.start() + m.start(), b + part.start() + m.start()
-                    if not any(s[0] < b and a < s[1] for s in near) and not allowed(text, a, b):
+                    if not any(s[0] < b and a < s[1] for s in near) and not allowed(text, a, b, m.start()):
                         out.append((a, b, kind))
                         near.append(out[-1])
     return out
