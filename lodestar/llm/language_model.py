@@ -36,7 +36,7 @@ from .._ship import ship_package
 from ..plans.materialize import materialize
 from .common import slices
 from .repeated_passages import release_shuffles
-from .words import split_words, word_hashes
+from .words import hashes_of_words
 
 CONTEXTS = 128                 # contexts besides the start
 FREQUENT_WORDS = 1 << 17       # broadcast words, at most
@@ -48,12 +48,6 @@ END = xxhash.xxh64_intdigest(b"end of text", 7)
 START = CONTEXTS               # its context number; -1 is no context of its own
 
 
-def tokens_of(texts) -> list[np.ndarray]:
-    """Word hashes of each text, the end token last."""
-    end = np.array([END], np.uint64)
-    return [np.concatenate([h, end]) for h in word_hashes(split_words(texts, lower=True))]
-
-
 def contexts_of(tokens: np.ndarray, starts: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
     """The context of each token of joined texts."""
     if len(known):
@@ -67,9 +61,11 @@ def contexts_of(tokens: np.ndarray, starts: np.ndarray, known: np.ndarray, numbe
 
 
 def _joined(part):
-    tokens = tokens_of(part)
-    size = np.array([len(t) for t in tokens])
-    return np.concatenate(tokens), size, np.concatenate([[0], np.cumsum(size)[:-1]])
+    """(token hashes of all texts, each with its end token, tokens of each text, first token of each)."""
+    words, n = hashes_of_words(part, lower=True)
+    last = np.cumsum(n)
+    size = n + 1
+    return np.insert(words, last, np.uint64(END)), size, last - n + np.arange(len(n))
 
 
 def _word_counts(batches):

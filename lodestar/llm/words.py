@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
@@ -58,6 +59,50 @@ def word_hashes(words: list[list[bytes]]) -> list[np.ndarray]:
     return [table[i] for i in local]
 
 
+_BYTES = np.arange(256)
+IN_WORD = ~(((_BYTES >= 9) & (_BYTES <= 13)) | (_BYTES == 32))
+LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
+LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+LONG_WORD = 64                 # bytes; longer words are hashed one by one
+
+
+def hashes_of_words(texts, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, number of words of each text) of an Arrow string
+    array; null has none.  Eight bytes of all words are mixed in at a time, no word
+    becomes a Python object.  Other hashes than those of ``word_hashes``."""
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    offsets = np.frombuffer(texts.buffers()[1], kind)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    size = int(offsets[-1] - offsets[0])
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    data = np.zeros(size + 8, np.uint8)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+    data[:size] = LOWER[raw] if lower else raw
+    edge = offsets[1:-1] - offsets[0]
+    inside = IN_WORD[raw]
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    cut = edge[(edge > 0) & (edge < size)]                # words end with their text
+    opens[cut] = inside[cut]
+    closes[cut - 1] = inside[cut - 1]
+    at, stop = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    length = stop - at
+    out = length.astype(np.uint64) * MIX
+    eight = np.ndarray((size + 1,), "<u8", data, strides=(1,))
+    todo = np.flatnonzero(length <= LONG_WORD)
+    for k in range(0, LONG_WORD, 8):
+        todo = todo[length[todo] > k]
+        if not len(todo):
+            break
+        part = eight[at[todo] + k] & LOW_BYTES[np.minimum(length[todo] - k, 8)]
+        out[todo] = mixed(out[todo] * ODD + part + MIX)
+    for i in np.flatnonzero(length > LONG_WORD).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[at[i]:stop[i]])
+    return out, np.diff(np.searchsorted(at, offsets - offsets[0]))
+
+
 def gram_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     """Hash of the ``n`` words from each position on (none for the last n - 1)."""
     m = len(hashes) - n + 1

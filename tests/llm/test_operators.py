@@ -5,11 +5,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from lodestar.llm import (chat_records, decontaminate, language_model, packing, page_text, quality_rules,
-                          repeated_passages, secrets, token_counts)
+                          repeated_passages, secrets, token_counts, words)
 
 SCHEMA = "doc_id long, text string"
 R = random.Random(7)
@@ -131,6 +132,22 @@ def test_repeated_passages_match_brute_force(spark):
     assert got == Counter(want(i, t) for i, t in rows)
 
 
+def test_word_hashes_by_eight_bytes():
+    r, seen = random.Random(3), {}
+    for _ in range(200):
+        texts = [None if r.random() < .1 else "".join(r.choice("aAbBé \t\n\x1f\x00") for _ in range(r.choice([0, 1, 5, 80, 300])))
+                 + "x" * r.choice([0, 0, 70]) for _ in range(r.randint(1, 8))]
+        for kind in (pa.string(), pa.large_string()):
+            part = pa.array(texts, kind).slice(r.randint(0, len(texts) - 1))
+            hashes, n = words.hashes_of_words(part, lower=True)
+            split = words.split_words(part, lower=True)
+            assert [len(w) for w in split] == n.tolist()
+            for w, h in zip([w for ws in split for w in ws], hashes.tolist()):
+                assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert words.hashes_of_words(pa.array([], pa.string()))[1].tolist() == []
+
+
 def test_language_model(spark):
     base = ["alpha", "beta", "gamma", "delta", "of", "the"]
     rows = [(i, " ".join(R.choice(base) for _ in range(30))) for i in range(60)] + [(100, None), (101, "unknown words here"), (None, "the")]
