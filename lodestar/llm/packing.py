@@ -28,30 +28,59 @@ from .token_counts import tokenizer_path
 
 SIZE = 2048
 GROUP_PIECES = 16384          # expected pieces of a group
-CACHE_WORDS = 400_000         # words whose ids a worker remembers
+CACHE_WORDS = 1_000_000       # words whose ids a worker remembers, at about 130 bytes each
+MARK = b"\x01"                # stands between words that are encoded together
+TOGETHER = 128                # words of one call of the library
 _IDS: dict[str, tuple] = {}
 
 
 def word_ids(tokenizer: str):
-    """(library, remembered ids by word) of this worker."""
+    """(library, remembered ids by word, those of the generation before, the mark's
+    id or None) of this worker."""
     if tokenizer not in _IDS:
         from tokenizers import Tokenizer
-        _IDS[tokenizer] = (Tokenizer.from_file(tokenizer_path(tokenizer)), {})
+        library = Tokenizer.from_file(tokenizer_path(tokenizer))
+        mark = library.encode(MARK.decode(), add_special_tokens=False).ids
+        _IDS[tokenizer] = (library, {}, {}, mark[0] if len(mark) == 1 else None)
     return _IDS[tokenizer]
 
 
+def learn(words: list[bytes], library, known: dict, mark: int | None) -> None:
+    """Put the ids of ``words`` into ``known``.  Words travel to the library in one
+    text, a mark between them; words that hold the mark's character go alone."""
+    alone = [w for w in words if MARK in w] if mark is not None else words
+    for w, e in zip(alone, library.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)):
+        known[w] = np.array(e.ids, "<u4").tobytes()
+    if mark is None:
+        return
+    rest = [w for w in words if MARK not in w] if alone else words
+    for at in range(0, len(rest), TOGETHER):
+        some = rest[at:at + TOGETHER]
+        text = (b" " + MARK + b" ").join(some).decode()
+        ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        marks = np.flatnonzero(ids == mark) * 4
+        raw, start = ids.tobytes(), 0
+        for w, end in zip(some, [*marks.tolist(), len(raw)], strict=True):
+            known[w] = raw[start:end]
+            start = end + 4
+
+
 def encode(texts: list[bytes], tokenizer: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.  The tokenizer must drop white
     space, as the word tokenizers do: then words can be encoded one by one."""
-    library, known = word_ids(tokenizer)
+    library, known, before, mark = word_ids(tokenizer)
     split = [t.split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in known})
+    new = [w for w in set().union(*split) if w not in known]
     if new:
-        if len(known) + len(new) > CACHE_WORDS:
+        if len(known) + len(new) > CACHE_WORDS // 2:      # half of the cache is the generation before
+            before.clear()
+            before.update(known)
             known.clear()
-            new = list({w for ws in split for w in ws})
-        for w, e in zip(new, library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
+            new = list(set().union(*split))
+        for w in new:
+            if w in before:
+                known[w] = before[w]
+        learn([w for w in new if w not in known], library, known, mark)
     get = known.__getitem__
     return [b"".join(map(get, ws)) for ws in split]
 

@@ -107,6 +107,19 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("cache", [40, 1_000_000])
+def test_words_encoded_together_match_the_library(monkeypatch, cache):
+    monkeypatch.setattr(packing, "CACHE_WORDS", cache)
+    monkeypatch.setattr(packing, "_IDS", {})
+    library = packing.word_ids("word_bpe_49k.json")[0]
+    r = random.Random(5)
+    parts = ["a", "É", "e", "\u0301", " ", "\t", "\x01", "<|endoftext|>", "'s", "12", "…", "\u2003", "\xa0", "中", "\x00", "İ", "n't", "."]
+    for _ in range(60):
+        some = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(9)]
+        for t, ids in zip(some, packing.encode([t.encode() for t in some], "word_bpe_49k.json")):
+            assert np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() == ids
+
+
 def test_repeated_passages_match_brute_force(spark):
     words = [f"w{k}" for k in range(25)]
     shared = [R.choice(words) for _ in range(60)]
