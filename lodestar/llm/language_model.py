@@ -1,23 +1,26 @@
 """Hierarchical Pitman-Yor language model: seating by Gibbs sampling, averaged
 predictive probabilities.
 
-Restaurants: one for each context (the text's start and the most frequent words,
-their number a model parameter) and the root, which all contexts share as parent
-and where words behind any other word sit directly; the root's base is uniform
-over the words seen and one for all others.  A word's customers in a context sit
-at tables; each table is a customer of the root.
-
-The corpus' counts are summed over all training documents.  All customers of a
-word lie in one row (the word, its contexts, their counts), so that a sweep is one
-pass over the words: every customer draws a seat given the seating so far and the
-totals of the last sweep, first in the contexts, then in the root.  Totals are sums
-over the words.  Beyond the first customers of a large count the number of new
-tables is drawn at once from its Poisson limit.  After the burn-in, the
-predictive probabilities of all sweeps are averaged.
-
-Scoring: the most frequent words and pairs travel to the documents as a list of
-bounded size; every other (word, context) of a document travels to its word.
-Nothing is left out either way; the list only saves traffic.
+Restaurants: one for each context (the text's start and every word that another
+token follows) and the root, which all contexts share as parent; the root's base is
+uniform over the words seen and one for all others.  A word's customers in a context
+sit at tables; each table is a customer of the root.
+
+The (context, word) pairs of all training documents are counted as one table.  A
+sweep joins the pairs with the totals of their contexts and with their words, and
+every customer draws a seat given the totals of the last sweep, first in the
+contexts, then in the root.  A pair's only customer always has one table, so that
+such pairs are left out of the sweeps and counted in the totals.  Contexts and words
+of many pairs are dealt over several groups.  Beyond the first customers of a large
+count the number of new tables is drawn at once from its Poisson limit.  Draws
+depend on the seed and the pair alone.  After the burn-in, the predictive
+probabilities of all sweeps are averaged: a pair has c customers and the mean of its
+tables, contexts and words have one factor for each sweep.
+
+Scoring: the most frequent pairs travel to the documents as a list of bounded size;
+every other (context, word) of a document travels to its pair, and to its context
+and its word if training has no such pair.  Nothing is left out either way; the list
+only saves traffic.
 
 Edge cases: a null or empty text is its end token alone.  Rows without an id are
 training rows.  Rows of equal id and text are scored alike, each in its row; of
@@ -36,28 +39,23 @@ from .._ship import ship_package
 from ..plans.materialize import materialize
 from .common import slices
 from .repeated_passages import release_shuffles
-from .words import hashes_of_words
+from .words import MIX, hashes_of_words, mixed
 
-CONTEXTS = 128                 # contexts besides the start
-FREQUENT_WORDS = 1 << 17       # broadcast words, at most
-FREQUENT_PAIRS = 1 << 18       # broadcast (word, context) pairs, at most
+FREQUENT_PAIRS = 1 << 18       # broadcast (context, word) pairs, at most
+HOT_KEYS = 2000                # contexts or words whose pairs are dealt over several groups, at most
+HOT_LEAST = 1000               # pairs that a key has at least before that
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 ONE_BY_ONE = 32                # customers of a count that are seated one by one
 END = xxhash.xxh64_intdigest(b"end of text", 7)
-START = CONTEXTS               # its context number; -1 is no context of its own
+START = xxhash.xxh64_intdigest(b"start of text", 7)
 
 
-def contexts_of(tokens: np.ndarray, starts: np.ndarray, known: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """The context of each token of joined texts."""
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        own = np.where(known[at] == tokens, number[at], -1)
-    else:
-        own = np.full(len(tokens), -1)
-    out = np.concatenate([[START], own[:-1]])
+def contexts_of(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The context of each token of joined texts: the token before, or the start."""
+    out = np.roll(tokens, 1)
     out[starts] = START
-    return out.astype(np.int64)
+    return out
 
 
 def _joined(part):
@@ -68,105 +66,59 @@ def _joined(part):
     return np.insert(words, last, np.uint64(END)), size, last - n + np.arange(len(n))
 
 
-def _word_counts(batches):
-    for b in batches:
-        for start, n in slices(b.column(0)):
-            w, c = np.unique(_joined(b.column(0).slice(start, n))[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], names=["w", "c"])
+def _pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(u * MIX + w)
 
 
-def _pair_counter(bc):
-    def run(batches):
-        for b in batches:
-            for start, n in slices(b.column(0)):
-                tokens, _, starts = _joined(b.column(0).slice(start, n))
-                u = contexts_of(tokens, starts, *bc.value)
-                own = u >= 0
-                pairs = np.zeros(own.sum(), [("w", np.int64), ("u", np.int64)])
-                pairs["w"], pairs["u"] = tokens[own].view(np.int64), u[own]
-                order = np.lexsort((pairs["u"], pairs["w"]))
-                pairs = pairs[order]
-                first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
-                c = np.diff(np.append(first, len(pairs)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(pairs["w"][first])), pa.array(pairs["u"][first].astype(np.int32)),
-                     pa.array(c.astype(np.int64))], names=["w", "u", "c"])
-    return run
+def _pair_counts(batches):
+    for b in batches:
+        for start, n in slices(b.column(0)):
+            tokens, _, starts = _joined(b.column(0).slice(start, n))
+            u = contexts_of(tokens, starts)
+            _, first, c = np.unique(_pair_key(u, tokens), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(u[first].view(np.int64)), pa.array(tokens[first].view(np.int64)), pa.array(c.astype(np.int64))],
+                names=["u", "w", "c"])
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, random) -> np.ndarray:
+def seat(customers: np.ndarray, weight: np.ndarray, discount: float, keys: np.ndarray, seed: int) -> np.ndarray:
     """Tables of each dish: every customer opens one with its seat's probability."""
     tables = (customers > 0).astype(np.float64)
+    salt = mixed(np.arange(ONE_BY_ONE * seed, ONE_BY_ONE * (seed + 1), dtype=np.uint64) * MIX)
     for j in range(1, min(ONE_BY_ONE, int(customers.max(initial=0)))):
         more = np.flatnonzero(customers > j)
         new = weight[more]
         p = new / (new + j - discount * tables[more])
-        tables[more] += random.random(len(more)) < p
+        tables[more] += mixed(keys[more] ^ salt[j]) / 2.0 ** 64 < p
     large = np.flatnonzero(customers > ONE_BY_ONE)
     if len(large):
         a, c, t = weight[large], customers[large], tables[large]
-        mean = a * np.log((a + c - discount * t) / (a + ONE_BY_ONE - discount * t))
-        tables[large] = np.minimum(c, t + random.poisson(np.maximum(mean, 0)))
+        mean = np.maximum(a * np.log((a + c - discount * t) / (a + ONE_BY_ONE - discount * t)), 0)
+        more = [np.random.default_rng([seed, k]).poisson(m) for k, m in zip(keys[large].tolist(), mean.tolist())]
+        tables[large] = np.minimum(c, t + np.array(more))
     return tables
 
 
-class Totals:
-    """Sums over all words and the model's constants, as they stand after a sweep."""
-
-    def __init__(self, v, pair_customers, pair_tables, root_customers, root_tables, d1, d0):
-        self.v, self.d1, self.d0 = v, d1, d0
-        self.cu, self.tu = pair_customers, pair_tables          # by context
-        self.n0, self.t0 = root_customers, root_tables
-        self.base = 1.0 / (v + 1)
-        self.back = (STRENGTH + d1 * self.tu) / (STRENGTH + self.cu)   # weight of the root in a context
-
-    def root(self, customers, tables):
-        return (customers - self.d0 * tables + (STRENGTH + self.d0 * self.t0) * self.base) / (STRENGTH + self.n0)
-
-    def pair(self, u, customers, tables, root):
-        return (customers - self.d1 * tables) / (STRENGTH + self.cu[u]) + self.back[u] * root
-
-
-_STATE = "w long, c long, us array<int>, cs array<long>, ts array<int>, root long, tables long, p double, ps array<double>"
-
-
-def _sweep(totals: Totals, add: bool, seed: int, last: bool):
-    """Add the predictive probabilities of the seating read, then seat anew."""
+def _seater(keys: int, discount: float, seed: int):
+    """Columns: the keys of a dish, its customers, the weight of a new table, then what stays as it is."""
     def run(batches):
         for b in batches:
-            w, c = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            if not len(w):
-                continue
-            lists = b.column(2)
-            offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            flat = lambda col: col.flatten().to_numpy(zero_copy_only=False)
-            us, cs, ts, ps = (flat(b.column(i)) for i in (2, 3, 4, 8))
-            root, tables, p = (b.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (5, 6, 7))
-            row = np.repeat(np.arange(len(w)), np.diff(offsets))
-            now = totals.root(root, tables)
-            if add:
-                p = p + now
-                ps = ps + totals.pair(us, cs, ts, now[row])
-            if not last:
-                random = np.random.default_rng([seed, int(w[0]) & 0xFFFFFFFF, len(w)])
-                ts = seat(cs, (STRENGTH + totals.d1 * totals.tu[us]) * now[row], totals.d1, random)
-                direct = c - np.bincount(row, weights=cs, minlength=len(w))
-                root = direct + np.bincount(row, weights=ts, minlength=len(w))
-                tables = seat(root, np.full(len(w), (STRENGTH + totals.d0 * totals.t0) * totals.base), totals.d0, random)
-            lists = lambda v, t: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(v, t))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(w), pa.array(c), lists(us, pa.int32()), lists(cs, pa.int64()), lists(np.asarray(ts).astype(np.int32), pa.int32()),
-                 pa.array(root.astype(np.int64)), pa.array(tables.astype(np.int64)), pa.array(p), lists(ps, pa.float64())],
-                names=["w", "c", "us", "cs", "ts", "root", "tables", "p", "ps"])
+            k, c, weight = ([b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)],
+                            b.column(keys).to_numpy(zero_copy_only=False), b.column(keys + 1).to_numpy(zero_copy_only=False))
+            dish = _pair_key(k[0].view(np.uint64), k[-1].view(np.uint64))
+            t = pa.array(seat(c, weight, discount, dish, seed).astype(np.int64))
+            names = b.schema.names
+            yield pa.RecordBatch.from_arrays([*b.columns[:keys + 1], t, *b.columns[keys + 2:]],
+                                             names=[*names[:keys + 1], "t", *names[keys + 2:]])
     return run
 
 
 class Model:
-    """Words with their averaged probabilities, and the constants of the unknown."""
+    """Pairs, contexts and words with their averaged probabilities or the factors of these by sweep."""
 
-    def __init__(self, words: DataFrame, tokens: int, v: int, unknown: float, back: np.ndarray, known: np.ndarray, number: np.ndarray):
-        self.words, self.tokens, self.v = words, tokens, v       # words: w, c, us, p, ps
-        self.unknown, self.back, self.known, self.number = unknown, back, known, number
+    def __init__(self, pairs: DataFrame, contexts: DataFrame, words: DataFrame, unknown: list[float], tokens: int, v: int):
+        self.pairs, self.contexts, self.words = pairs, contexts, words     # u, w, c, p, wc; u, backs; w, c, roots
+        self.unknown, self.tokens, self.v = unknown, tokens, v
 
 
 def _discount(counts: DataFrame) -> float:
@@ -175,106 +127,110 @@ def _discount(counts: DataFrame) -> float:
     return min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
 
 
+def _with_side(pairs: DataFrame, side: DataFrame, key: str, other: str, hot: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of ``side``; the pairs of a hot key go to ``parts`` groups by their other key."""
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    left = (pairs.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(other), parts)).drop("parts"))
+    right = (side.join(F.broadcast(hot), key, "left")
+             .withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts"))
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def fit(texts: DataFrame, seed: int = 11) -> Model:
     """Learn from the column ``text``."""
     spark = texts.sparkSession
     ship_package(spark)
-    sc = spark.sparkContext
-    words = materialize(texts.mapInArrow(_word_counts, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
-    n = words.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    tokens, v = int(n["n"] or 0), int(n["v"])
-    end = END - (1 << 64) if END >= 1 << 63 else END
-    top = [r["w"] for r in words.filter(F.col("w") != end).orderBy(F.desc("c"), "w").limit(CONTEXTS).collect()]
-    known = np.array(top, np.int64).view(np.uint64)
-    order = np.argsort(known)
-    known, number = known[order], order.astype(np.int64)
-    pairs = materialize(texts.mapInArrow(_pair_counter(sc.broadcast((known, number))), "w long, u int, c long")
-                        .groupBy("w", "u").agg(F.sum("c").alias("c")), "lm-pairs")
+    pairs = materialize(texts.mapInArrow(_pair_counts, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c")), "lm-pairs")
     release_shuffles(spark)
+    sums = [F.sum("c").alias("c"), F.count(F.lit(1)).alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("singles")]
+    none = F.array().cast("array<double>")
+    contexts = materialize(pairs.groupBy("u").agg(*sums).withColumn("backs", none), "lm-contexts")
+    words = materialize(pairs.groupBy("w").agg(*sums).withColumn("root", F.col("n")).withColumn("t", F.lit(1).cast("long"))
+                        .withColumn("roots", none), "lm-words")
+    n = words.agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).first()
+    tokens, v = int(n["c"] or 0), int(n["v"])
     d1, d0 = _discount(pairs), _discount(words)
-    none = F.array()
-    start = (words.join(pairs.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("u", "c"))).alias("x")), "w", "left")
-             .select("w", "c", F.coalesce(F.col("x.u"), none.cast("array<int>")).alias("us"),
-                     F.coalesce(F.col("x.c"), none.cast("array<bigint>")).alias("cs")))
-    start = start.select("w", "c", "us", "cs", F.transform("us", lambda u: F.lit(1)).alias("ts"))
-    held = F.aggregate("cs", F.lit(0).cast("long"), lambda a, x: a + x)
-    state = materialize(start.select("w", "c", "us", "cs", "ts", (F.col("c") - held + F.size("us")).alias("root"),
-                                     F.lit(1).cast("long").alias("tables"), F.lit(0.0).alias("p"),
-                                     F.transform("us", lambda u: F.lit(0.0)).alias("ps")), "lm-seats")
+    least = max(HOT_LEAST, int(n["n"] or 0) // HOT_KEYS)
+    hot_u, hot_w = (materialize(x.filter(F.col("n") > least).select(k, F.ceil(F.col("n") / least).alias("parts")), "lm-hot")
+                    for x, k in ((contexts, "u"), (words, "w")))
+    seats = materialize(pairs.filter("c > 1").select("u", "w", "c", F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("sum")), "lm-seats")
     release_shuffles(spark)
-
-    def totals() -> Totals:
-        cu, tu = np.zeros(CONTEXTS + 1), np.zeros(CONTEXTS + 1)
-        for r in (state.select(F.explode(F.arrays_zip("us", "cs", "ts")).alias("x")).groupBy("x.us")
-                  .agg(F.sum("x.cs").alias("c"), F.sum("x.ts").alias("t")).collect()):
-            cu[r["us"]], tu[r["us"]] = r["c"], r["t"]
-        r = state.agg(F.sum("root").alias("n"), F.sum("tables").alias("t")).first()
-        return Totals(v, cu, tu, float(r["n"] or 0), float(r["t"] or 0), d1, d0)
-
-    unknown, back, used = 0.0, np.zeros(CONTEXTS + 1), 0
+    unknown, base = [], 1.0 / (v + 1)
     for s in range(SWEEPS + 1):
-        t = totals()
-        add = s > BURN_IN
-        if add:
-            unknown += (STRENGTH + t.d0 * t.t0) * t.base / (STRENGTH + t.n0)
-            back += t.back
-            used += 1
-        state = materialize(state.mapInArrow(_sweep(t, add, seed + s, s == SWEEPS), _STATE), "lm-seats")
-    out = state.select("w", "c", "us", (F.col("p") / used).alias("p"), F.transform("ps", lambda x: x / used).alias("ps"))
-    return Model(out, tokens, v, unknown / used, back / used, known, number)
-
-
-def _pair_key(w: np.ndarray, u: np.ndarray) -> np.ndarray:
-    return w ^ ((u.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-
-
-def _look(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(table):
-        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys, at
+        r = words.agg(F.sum("root").alias("n"), F.sum("t").alias("t")).first()
+        n0, new = float(r["n"] or 0), (STRENGTH + d0 * float(r["t"] or 0)) * base
+        now = (F.col("root") - d0 * F.col("t") + new) / (STRENGTH + n0)
+        held = contexts.join(seats.groupBy("u").agg(F.sum("t").alias("more")), "u", "left") \
+            .withColumn("weight", F.lit(STRENGTH) + d1 * (F.col("singles") + F.coalesce("more", F.lit(0)))).drop("more")
+        if s > BURN_IN:
+            unknown.append(new / (STRENGTH + n0))
+            contexts = materialize(held.withColumn("backs", F.array_append("backs", F.col("weight") / (STRENGTH + F.col("c")))).drop("weight"),
+                                   "lm-contexts")
+            seats = seats.withColumn("sum", F.col("sum") + F.col("t"))
+            words = words.withColumn("roots", F.array_append("roots", now))
+        if s < SWEEPS:
+            both = _with_side(_with_side(seats, held.select("u", "weight"), "u", "w", hot_u),
+                              words.select("w", now.alias("now")), "w", "u", hot_w)
+            seats = materialize(both.select("u", "w", "c", (F.col("weight") * F.col("now")).alias("weight"), "sum")
+                                .mapInArrow(_seater(2, d1, seed + s), "u long, w long, c long, t long, sum long"), "lm-seats")
+            root = (F.col("singles") + F.coalesce("more", F.lit(0))).alias("root")
+            words = materialize(words.join(seats.groupBy("w").agg(F.sum("t").alias("more")), "w", "left")
+                                .select("w", root, F.lit(new).alias("weight"), "c", "n", "singles", "roots")
+                                .mapInArrow(_seater(1, d0, seed + s), "w long, root long, t long, c long, n long, singles long, roots array<double>"),
+                                "lm-words")
+        release_shuffles(spark)
+    used = SWEEPS - BURN_IN
+    words = materialize(words.select("w", "c", "roots"), "lm-words")
+    every = pairs.filter("c = 1").select("u", "w", "c", F.lit(1.0).alias("t")).unionByName(
+        seats.select("u", "w", "c", (F.col("sum") / used).alias("t")))
+    both = _with_side(_with_side(every, contexts.select("u", F.col("c").alias("cu"), "backs"), "u", "w", hot_u),
+                      words.select("w", F.col("c").alias("wc"), "roots"), "w", "u", hot_w)
+    p = (F.col("c") - d1 * F.col("t")) / (STRENGTH + F.col("cu")) + _dot("backs", "roots") / used
+    out = materialize(both.select("u", "w", "c", p.alias("p"), "wc"), "lm-model")
+    release_shuffles(spark)
+    return Model(out, contexts.select("u", "backs"), words, unknown, tokens, v)
 
 
-_PART = ("doc_id long, tag long, held_out boolean, w long, u int, n long, rows long, n_tokens long, n_known long, "
+_PART = ("doc_id long, tag long, held_out boolean, u long, w long, n long, rows long, n_tokens long, n_known long, "
          "base double, score double")
 
 
 def _scorer(bc, per_token: float):
     def run(batches):
-        (words, counts, roots), (pair_keys, pair_p), known, number = bc.value
+        keys, log_p, log_base = bc.value
         for b in batches:
             for start, n in slices(b.column(0)):
                 part = b.slice(start, n)
                 tokens, size, starts = _joined(part.column(0))
-                u = contexts_of(tokens, starts, known, number)
+                u = contexts_of(tokens, starts)
                 doc = np.repeat(np.arange(n), size)
-                has, at = _look(tokens, words)
-                pair, pat = _look(_pair_key(tokens, u), pair_keys)
-                own = u >= 0
-                done = has & (~own | pair)
-                p = np.where(own, pair_p[pat] if len(pair_p) else 0.0, roots[at] if len(roots) else 0.0)
-                sums = lambda x: np.bincount(doc[done], weights=x, minlength=n)
-                base = sums(np.log10((counts[at[done]] + 0.1) / per_token)) if len(words) else np.zeros(n)
-                score = sums(np.log10(p[done]))
+                key = _pair_key(u, tokens)
+                at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+                done = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                sums = lambda x: np.bincount(doc[done], weights=x[at[done]], minlength=n)
                 known_n = np.bincount(doc[done], minlength=n)
-                rest = ~done
-                order = np.lexsort((u[rest], tokens[rest], doc[rest]))
-                d, w, v = doc[rest][order], tokens[rest][order].view(np.int64), u[rest][order]
-                first = np.ones(len(d), bool)
-                first[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1]) | (v[1:] != v[:-1])
+                rest = np.flatnonzero(~done)
+                order = rest[np.lexsort((key[rest], doc[rest]))]
+                first = np.ones(len(order), bool)
+                first[1:] = (doc[order][1:] != doc[order][:-1]) | (key[order][1:] != key[order][:-1])
                 first = np.flatnonzero(first)
-                times = np.diff(np.append(first, len(d)))
-                d = d[first]
+                times, order = np.diff(np.append(first, len(order))), order[first]
+                d, m = doc[order], len(order)
                 ids, tag, held = part.column(1), part.column(2), part.column(3)
-                zero, m = np.zeros(len(d)), len(d)
+                zero, flat = np.zeros(m), np.zeros(n, np.int64)
                 take = lambda col: pa.concat_arrays([col, col.take(pa.array(d))])
                 both = lambda x, y, t: pa.array(np.concatenate([x, y]), t)
-                flat = np.zeros(n, np.int64)
+                none = zero.astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [take(ids), take(tag), take(held), both(tag.to_numpy(), w[first], pa.int64()), both(flat - 2, v[first], pa.int32()),
-                     both(flat, times, pa.int64()), both(flat + 1, np.zeros(m), pa.int64()), both(size, np.zeros(m), pa.int64()),
-                     both(known_n, np.zeros(m), pa.int64()), both(base, zero, pa.float64()), both(score, zero, pa.float64())],
-                    names=["doc_id", "tag", "held_out", "w", "u", "n", "rows", "n_tokens", "n_known", "base", "score"])
+                    [take(ids), take(tag), take(held), both(flat, u[order].view(np.int64), pa.int64()),
+                     both(tag.to_numpy(), tokens[order].view(np.int64), pa.int64()), both(flat, times, pa.int64()),
+                     both(flat + 1, none, pa.int64()), both(size, none, pa.int64()), both(known_n, none, pa.int64()),
+                     both(sums(log_base), zero, pa.float64()), both(sums(log_p), zero, pa.float64())],
+                    names=["doc_id", "tag", "held_out", "u", "w", "n", "rows", "n_tokens", "n_known", "base", "score"])
     return run
 
 
@@ -282,36 +238,41 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     """``rows``: text, doc_id, held_out.  Returns doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score."""
     spark = rows.sparkSession
-    sc = spark.sparkContext
-    words = model.words
-    often = words.orderBy(F.desc("c"), "w").limit(FREQUENT_WORDS).select("w", "c", "p").toPandas()
-    hashes = often["w"].to_numpy(np.int64).view(np.uint64)
-    o = np.argsort(hashes)
-    first = (hashes[o], often["c"].to_numpy(np.int64)[o], often["p"].to_numpy(np.float64)[o])
-    pairs = (words.select("w", F.explode(F.arrays_zip("us", "ps")).alias("x"))
-             .select("w", F.col("x.us").alias("u"), F.col("x.ps").alias("p")).orderBy(F.desc("p"), "w", "u")
-             .limit(FREQUENT_PAIRS).toPandas())
-    keys = _pair_key(pairs["w"].to_numpy(np.int64).view(np.uint64), pairs["u"].to_numpy(np.int64))
-    keep = np.unique(keys, return_index=True)[1]
-    second = (keys[keep], pairs["p"].to_numpy(np.float64)[keep])
-    bc = sc.broadcast((first, second, model.known, model.number))
     per_token = model.tokens + 0.1 * (model.v + 1)
+    often = model.pairs.orderBy(F.desc("c"), "u", "w").limit(FREQUENT_PAIRS).select("u", "w", "p", "wc").toArrow()
+    u, w, p, wc = (often.column(i).to_numpy() for i in range(4))
+    keys = _pair_key(u.view(np.uint64), w.view(np.uint64))
+    o = np.argsort(keys)
+    bc = spark.sparkContext.broadcast((keys[o], np.log10(p[o]), np.log10((wc[o] + 0.1) / per_token)))
     tagged = rows.select("text", "doc_id", F.xxhash64("text").alias("tag"), "held_out")
     parts = tagged.mapInArrow(_scorer(bc, per_token), _PART)
-    back = F.array(*[F.lit(float(x)) for x in model.back])
-    table = words.select("w", F.col("c").alias("wc"), "us", "p", "ps")
-    joined = parts.join(table, "w", "left")
-    n, u = F.col("n"), F.col("u")
-    at = F.when(u >= 0, F.array_position("us", u))
-    root = F.coalesce("p", F.lit(model.unknown))
-    own = F.when(u < 0, root).when(at > 0, F.get("ps", (at - 1).cast("int"))).otherwise(F.get(back, u) * root)
-    more = F.when(n > 0, n)
-    summed = (joined.select("doc_id", "tag", "held_out", "rows", "n_tokens",
-                            (F.col("n_known") + F.coalesce(F.when(F.col("wc").isNotNull(), more), F.lit(0))).alias("n_known"),
-                            (F.col("base") + F.coalesce(more * F.log10((F.coalesce("wc", F.lit(0)) + 0.1) / F.lit(per_token)), F.lit(0.0))).alias("base"),
-                            (F.col("score") + F.coalesce(more * F.log10(own), F.lit(0.0))).alias("score"))
-              .groupBy("doc_id", "tag", "held_out")
-              .agg(*[F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")]))
+    n, doc = F.col("n"), ["doc_id", "tag", "held_out"]
+    measures = ["rows", "n_tokens", "n_known", "base", "score"]
+
+    def add(wc, p, where):
+        """The measures, with those of the ``n`` tokens of a pair where it is settled."""
+        known = F.when(wc.isNotNull(), n).otherwise(0)
+        base = n * F.log10((F.coalesce(wc, F.lit(0)) + 0.1) / F.lit(per_token))
+        more = {"n_known": known, "base": base, "score": n * F.log10(p)}
+        return [(F.col(c) + F.when(where, more[c]).otherwise(F.lit(0))).alias(c) if c in more else F.col(c) for c in measures]
+
+    sums = [F.sum(c).alias(c) for c in measures]
+    met = parts.join(model.pairs.select("u", "w", "p", "wc"), ["u", "w"], "left")
+    new = (n > 0) & F.col("p").isNull()           # pairs that training doesn't have
+    some = materialize(met.select(*doc, F.when(new, F.col("u")).alias("u"), F.when(new, F.col("w")).alias("w"), F.when(new, n).alias("n"),
+                                  *add(F.col("wc"), F.col("p"), (n > 0) & F.col("p").isNotNull()))
+                       .groupBy(*doc, "u", "w").agg(F.sum("n").alias("n"), *sums), "lm-scores")
+    release_shuffles(spark)
+    rest = some.filter("n is not null")
+    least = max(HOT_LEAST, rest.count() // HOT_KEYS)
+    hot = lambda k: rest.groupBy(k).count().filter(F.col("count") > least).select(k, F.ceil(F.col("count") / least).alias("parts"))
+    ones = F.array(*[F.lit(1.0) for _ in model.unknown])
+    left = lambda k, side: rest.select(k).distinct().join(side, k, "left")
+    rest = _with_side(_with_side(rest, left("u", model.contexts), "u", "w", hot("u")), left("w", model.words), "w", "u", hot("w"))
+    p = _dot(F.coalesce("backs", ones), F.coalesce("roots", F.array(*[F.lit(x) for x in model.unknown]))) / len(model.unknown)
+    summed = (some.filter("n is null").select(*doc, *measures)
+              .unionByName(rest.select(*doc, *add(F.col("c"), p, F.lit(True))))
+              .groupBy(*doc).agg(*sums))
     each = summed.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
     whole = lambda c: (F.col(c) / F.col("rows")).cast("long").alias(c)
     return each.select("doc_id", "held_out", whole("n_tokens"), whole("n_known"),

@@ -176,6 +176,54 @@ def test_language_model(spark):
     assert all(r.score < 0 for r in got)
 
 
+def test_every_context_has_its_restaurant(spark):
+    """300 contexts, all as rare as each other: what follows them is known, and each context's probabilities sum to 1."""
+    rows = [(i, f"left{i} right{i} left{i} right{i}") for i in range(300)] + [(1000 + k, "the left0 right1") for k in range(40)] + [(2000, None)]
+    texts = frame(spark, rows).selectExpr("coalesce(text, '') as text")
+    model = language_model.fit(texts)
+    pairs = Counter()
+    for _, t in rows:
+        w = (t or "").split()
+        pairs.update(zip([None, *w], [*w, ""]))
+    got = model.pairs.toPandas()
+    assert sorted(got.c) == sorted(pairs.values()) and got.u.nunique() == len({u for u, _ in pairs})
+    backs, roots = ({r[0]: np.array(r[1]) for r in d.collect()} for d in (model.contexts, model.words.select("w", "roots")))
+    whole = sum(roots.values())
+    assert np.allclose(whole + np.array(model.unknown), 1)
+    for u, g in got.groupby("u"):
+        other = whole - sum(roots[w] for w in g.w) + np.array(model.unknown)
+        assert abs(g.p.sum() + (backs[u] * other).mean() - 1) < 1e-9
+    asked = spark.createDataFrame([(i, f"left{i} right{i + d}") for d in (0, 1) for i in range(1, 299)], "doc_id long, text string")
+    out = language_model.score(asked.selectExpr("text", "doc_id * 2 + if(text = concat('left', doc_id, ' right', doc_id), 0, 1) as doc_id",
+                                                "true as held_out"), model)
+    scores = {r.doc_id: r.score for r in out.collect()}
+    assert len(scores) == 596 and all(scores[2 * i] > scores[2 * i + 1] + 0.5 for i in range(1, 299))
+
+
+@pytest.mark.parametrize("listed", [0, 1 << 18])
+def test_scores_do_not_depend_on_the_list(spark, monkeypatch, listed):
+    """Pairs in the broadcast list, pairs joined, new pairs, new contexts and new words; hot keys and repeated rows."""
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 40)))) for i in range(200)]
+    monkeypatch.setattr(language_model, "FREQUENT_PAIRS", listed or 1)
+    monkeypatch.setattr(language_model, "HOT_LEAST", 3)
+    monkeypatch.setattr(language_model, "HOT_KEYS", 20)
+    model = language_model.fit(frame(spark, rows).select("text"))
+    h = lambda t: words.hashes_of_words(pa.array([t]))[0].view(np.int64).tolist()
+    end, start = (int(np.uint64(x).view(np.int64)) for x in (language_model.END, language_model.START))
+    pairs = {(x.u, x.w): x.p for x in model.pairs.collect()}
+    backs, roots = ({x[0]: x[1] for x in d.collect()} for d in (model.contexts, model.words.select("w", "roots")))
+    asked = [*rows[:20], (500, "a zz b"), (500, "a zz b"), (500, "zz zz"), (None, "q a h"), (501, "")]
+
+    def want(t):
+        w = [*h(t), end]
+        return sum(np.log10(pairs[p] if p in pairs else np.mean([x * y for x, y in zip(backs.get(p[0], [1, 1]), roots.get(p[1], model.unknown))]))
+                   for p in zip([start, *w], w))
+    out = language_model.score(frame(spark, asked).selectExpr("text", "doc_id", "false as held_out"), model).collect()
+    assert Counter((x.doc_id, x.n_tokens, round(x.score, 8)) for x in out) == \
+        Counter((i, len(t.split()) + 1, round(float(want(t)), 8)) for i, t in asked)
+
+
 def test_page_text():
     tree = page_text.grow(page_text.labelled())
     assert all(page_text.decide(tree, r[:-1]) == r[-1] for r in page_text.labelled())
