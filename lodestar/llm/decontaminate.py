@@ -2,11 +2,15 @@
 
 Numbers, names (capitalised words that occur inside a sentence) and units after a number
 become typed placeholders; every run of 8 tokens of the result is a template
-window.  The windows of documents are hash-joined to those of the benchmark.
-Where they meet, the tokens are compared: literal tokens must be equal, and the
-values in the slots must replace the item's values one to one throughout the
-document, as they do where a question was given other parameters.  A document is
-a leak of an item when consistent windows cover 60 % of the item's tokens.
+window.  The windows of documents are hash-joined to those of the benchmark; windows
+poor in literal tokens are joined by their tokens and values, too, and those without
+any literal by these alone.  Where windows meet, document and item are aligned and
+the tokens compared: literal tokens must be equal, and the values in the slots must
+replace the item's values one to one throughout the document, as they do where a
+question was given other parameters.  A window poor in literals counts where its
+values are the item's, where the aligned run around it holds the literals of a full
+window, or where the whole item aligns.  A document is a leak of an item when
+consistent windows cover 60 % of the item's tokens.
 
 Each text is also read without name slots, so that a copy that lost its
 punctuation or its capitals still meets its item.
@@ -36,7 +40,7 @@ from .common import column_name, slices
 from .words import gram_hashes
 
 WINDOW = 8
-LEAST_WORDS = 5               # literal tokens of a full window
+LEAST_WORDS = 5               # literal tokens of a full window that isn't poor in them
 COVER = 0.6
 KNOWN_TOKENS = 400_000        # distinct tokens that a task remembers
 BLOCK_ITEMS = 20_000          # items of a broadcast block
@@ -47,6 +51,7 @@ UNITS = frozenset("""mm cm m km in inch inches ft foot feet yard yards mile mile
 ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month
 months year years percent degrees dollars dollar cents euros euro pounds mph kmh""".split())
 NUM, NAME, UNIT = 1, 2, 3     # slot kinds; 0 is a literal
+EXACT = np.uint64(0x5851F42D4C957F2D)
 
 
 class Reader:
@@ -75,7 +80,7 @@ SLOT = np.array([0, *(xxhash.xxh64_intdigest(f"<{n}>") for n in ("number", "name
 
 
 def templates(ids: np.ndarray, hashes: np.ndarray, kinds: np.ndarray):
-    """(token ids without marks, [(slots, canonical hashes) with names, the same without])."""
+    """(token ids without marks, [(slots, canonical hashes) with names, the same without], numbers and units)."""
     kind = kinds[ids]
     keep = kind != 4
     before = np.concatenate([[4], kind[:-1]])
@@ -86,19 +91,35 @@ def templates(ids: np.ndarray, hashes: np.ndarray, kinds: np.ndarray):
     named = slots.copy()
     inside = (kind == 1) & (before != 4)
     named[inside | ((kind == 1) & np.isin(ids, ids[inside]))] = NAME
-    return ids, [(s, np.where(s > 0, SLOT[s], hashes[ids])) for s in (named, slots)]
+    return ids, [(s, np.where(s > 0, SLOT[s], hashes[ids])) for s in (named, slots)], (kind == 2) | (kind == 3)
+
+
+def least(size: int) -> int:
+    """Literal tokens of a window of ``size`` that isn't poor in them."""
+    return -(-LEAST_WORDS * size // WINDOW)
+
+
+def literals(slots: np.ndarray, size: int) -> np.ndarray:
+    """Literal tokens of each window of ``size`` tokens."""
+    n = np.cumsum(np.concatenate([[0], slots == 0]))
+    return n[size:] - n[:-size]
 
 
 def windows(slots: np.ndarray, canon: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the windows of ``size`` tokens with enough literals."""
+    """(positions, hashes) of the windows of ``size`` tokens with a literal."""
     h = gram_hashes(canon, size)
-    words = np.cumsum(np.concatenate([[0], slots == 0]))
-    at = np.flatnonzero(words[size:] - words[:len(h)] >= -(-LEAST_WORDS * size // WINDOW)) if len(h) else np.zeros(0, np.int64)
+    at = np.flatnonzero(literals(slots, size)) if len(h) else np.zeros(0, np.int64)
     return at, h[at]
 
 
+def exact_windows(hard: np.ndarray, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, hashes of the tokens) of the windows poor in tokens other than numbers and units."""
+    poor = np.flatnonzero(literals(hard, size) < least(size)) if len(hard) >= size else np.zeros(0, np.int64)
+    return poor, (gram_hashes(hashes, size) ^ EXACT)[poor] if len(poor) else np.zeros(0, np.uint64)
+
+
 class Items:
-    """Template windows of a block of benchmark items."""
+    """Windows of a block of benchmark items."""
 
     def __init__(self, rows):
         self.reader = Reader()
@@ -106,14 +127,14 @@ class Items:
         entries = defaultdict(lambda: defaultdict(list))
         for item_id, text in rows:
             raw = np.array(self.reader.tokens(text or ""), np.int64)
-            ids, kinds = templates(raw, np.array(self.reader.hash, np.uint64), np.array(self.reader.kind, np.int8))
+            hashes = np.array(self.reader.hash, np.uint64)
+            ids, kinds, hard = templates(raw, hashes, np.array(self.reader.kind, np.int8))
             if not len(ids):
                 continue
             k = len(self.texts)
-            self.texts.append((item_id, [self.reader.low[i] for i in ids], [s for s, _ in kinds]))
+            self.texts.append((item_id, [self.reader.low[i] for i in ids], [s.tolist() for s, _ in kinds]))
             size = min(WINDOW, len(ids))
-            for variant, (slots, canon) in enumerate(kinds):
-                at, h = windows(slots, canon, size)
+            for variant, (at, h) in enumerate([*(windows(*x, size) for x in kinds), exact_windows(hard, hashes[ids], size)]):
                 for p, x in zip(at.tolist(), h.tolist()):
                     entries[size][x].append((k, p, variant))
         self.entries = {size: dict(e) for size, e in entries.items()}
@@ -125,44 +146,59 @@ class Items:
         self.reader = None
 
 
-def matches(ids, variants, low, items: Items) -> list[tuple]:
+def aligned(tokens, slots, own, words, shift: int, size: int):
+    """(first, behind) of the runs of ``size`` tokens or more where an item and a document are alike."""
+    start = None
+    for q in range(max(0, -shift), min(len(tokens), len(words) - shift) + 1):
+        alike = q < len(tokens) and q + shift < len(words) and (
+            tokens[q] == words[q + shift] or (slots[q] > 0 and slots[q] == own[q + shift]))
+        if alike and start is None:
+            start = q
+        elif not alike and start is not None:
+            if q - start >= size:
+                yield start, q
+            start = None
+
+
+def matches(ids, variants, hard, hashes, low, items: Items) -> list[tuple]:
     """(item index, covered tokens, changed slots) of the items that a document leaks."""
-    met = defaultdict(set)                    # (item, variant, diagonal) -> item positions
+    met = defaultdict(int)                    # (item, variant, diagonal) -> windows
     for size, filt in items.filters.items():
-        for variant, (slots, canon) in enumerate(variants):
-            if size < 4 and len(ids) != size:
-                continue
-            at, h = windows(slots, canon, size)
+        if len(ids) < size or (size < 4 and len(ids) != size):
+            continue
+        for variant, (at, h) in enumerate([*(windows(*x, size) for x in variants), exact_windows(hard, hashes, size)]):
             for j in np.flatnonzero(filt[h & np.uint64((1 << 22) - 1)]).tolist():
                 for k, p, v in items.entries[size].get(int(h[j]), ()):
                     if v == variant:
-                        met[k, variant, int(at[j]) - p].add((p, size))
+                        met[k, min(variant, 1), int(at[j]) - p] += 1
     if not met:
         return []
     by_item = defaultdict(list)
-    for (k, variant, shift), places in met.items():
-        by_item[k, variant].append((shift, sorted(places)))
+    for (k, variant, shift), n in met.items():
+        by_item[k, variant].append((-n, shift))
+    words = [low[i] for i in ids.tolist()]
+    all_own = [s.tolist() for s, _ in variants]
     best: dict[int, tuple] = {}
-    for (k, variant), runs in by_item.items():
+    for (k, variant), shifts in by_item.items():
         _, tokens, item_slots = items.texts[k]
-        slots, own = item_slots[variant], variants[variant][0]
+        slots, own = item_slots[variant], all_own[variant]
+        size = min(WINDOW, len(tokens))
         covered, changed, to, back = set(), set(), {}, {}
-        for shift, places in sorted(runs, key=lambda r: -len(r[1])):       # the longest alignment sets the values
-            for p, size in places:
-                pairs, good = [], True
-                for q in range(p, p + size):
-                    a, b = tokens[q], low[ids[q + shift]]
-                    if slots[q] != own[q + shift] or (not slots[q] and a != b):
-                        good = False
-                        break
-                    if slots[q]:
-                        pairs.append((int(slots[q]), a, b, q))
-                if good and all(to.get((s, a), b) == b and back.get((s, b), a) == a for s, a, b, _ in pairs):
-                    for s, a, b, q in pairs:
-                        to[s, a], back[s, b] = b, a
-                        if a != b:
-                            changed.add(q)
-                    covered.update(range(p, p + size))
+        for _, shift in sorted(shifts):       # the longest alignment sets the values
+            for first, behind in aligned(tokens, slots, own, words, shift, size):
+                n = slots[first:behind].count(0)
+                rich = n >= LEAST_WORDS or (n > 0 and behind - first == len(tokens))
+                for p in range(first, behind - size + 1):
+                    pairs = [(slots[q], tokens[q], words[q + shift], q) for q in range(p, p + size) if slots[q]]
+                    if not (rich or size - len(pairs) >= least(size) or all(x == y for _, x, y, _ in pairs)):
+                        continue
+                    new, old = {}, {}
+                    if all(new.setdefault((s, x), to.get((s, x), y)) == y and old.setdefault((s, y), back.get((s, y), x)) == x
+                           for s, x, y, _ in pairs):
+                        to.update(new)
+                        back.update(old)
+                        changed.update(q for _, x, y, q in pairs if x != y)
+                        covered.update(range(p, p + size))
         if len(covered) >= COVER * len(tokens) and len(covered) > best.get(k, (0,))[0]:
             best[k] = (len(covered), len(changed))
     return [(k, *v) for k, v in sorted(best.items())]
@@ -185,8 +221,8 @@ def _finder(bc, id_type):
                 hashes, kinds = np.array(reader.hash, np.uint64), np.array(reader.kind, np.int8)
                 for doc, raw in zip(part.column(1).to_pylist(), texts):
                     if raw is not None and len(raw):
-                        ids, variants = templates(raw, hashes, kinds)
-                        rows += [(doc, *r) for r in matches(ids, variants, reader.low, items)]
+                        ids, variants, hard = templates(raw, hashes, kinds)
+                        rows += [(doc, *r) for r in matches(ids, variants, hard, hashes[ids], reader.low, items)]
                 cols = list(zip(*rows)) or [()] * 4
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cols[0], id_type), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),

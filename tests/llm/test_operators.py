@@ -250,6 +250,19 @@ def test_leaks(spark):
     assert sorted((r.doc_id or 0) for r in decontaminate.without_leaks(frame(spark, rows), bench).collect()) == [0, 3, 4, 6]
 
 
+def test_leaks_of_items_full_of_numbers(spark):
+    items = {1: "What is 12 times 34?", 2: "Add 12, 15, 18, 21 and 24.", 3: "If f(2) = 3, f(3) = 7 and f(5) = 11, find f(9).",
+             4: "2 4 8 16 32 64 128 256 512 1024", 5: "Sort 5 3 9 1 7 2 8 6 4 11 13 17 19 and then 23 29 31 37 41 43 47."}
+    rows = [(10 * i, "We were asked this before. " + t + " That was all of it.") for i, t in items.items()]
+    rows += [(11, "Tell me: what is 56 times 78? Thanks."), (12, "What is 12 divided by 34? Thanks."), (21, "So add 1, 2, 3, 4 and 5."),
+             (22, "So add 1, 2, 3, 4 or 5."), (23, "Then add 7, 7, 7, 8 and 9."), (31, "if f(4) = 8, f(8) = 1 and f(6) = 12, find f(10)."),
+             (41, "They had 3 5 9 17 33 65 129 257 513 1025 of them."),
+             (51, "Sort 50 30 90 10 70 20 80 60 40 110 130 170 190 and then 230 290 310 370 410 430 470."), (60, "1 2 3 " * 30)]
+    got = {(r.doc_id, r.item_id): r.changed_slots for r in decontaminate.leaks(
+        frame(spark, rows), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()}
+    assert {k: n > 0 for k, n in got.items()} == {**{(10 * i, i): False for i in items}, (11, 1): True, (21, 2): True, (31, 3): True, (51, 5): True}
+
+
 def test_chat_records(spark):
     call = {"tool_calls": [{"id": "b", "name": "f", "arguments": {"x": 1}, "after": ["a"]}, {"id": "a", "name": "f", "arguments": "{\"x\":\"q\"}"},
                            {"id": "c", "name": "g", "after": ["d"]}, {"id": "d", "name": "g", "after": ["c"]}]}
