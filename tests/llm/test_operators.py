@@ -233,6 +233,27 @@ def test_page_text():
     assert page_text.main_text(page, tree) == "Title & more\nSome text here.\nSecond line"
 
 
+def test_page_text_in_wrappers_and_broken_elements():
+    tree = page_text.grow(page_text.labelled())
+    body = [f"This is paragraph {k} of the article, and it has quite a few words to be read by whoever likes them." for k in range(4)]
+    paragraphs, want = "".join(f"<p>{t}</p>" for t in body), "\n".join(body)
+    menu = "<div class=menu><a href=x>Home</a> <a href=y>News</a></div>"
+    foot = "<div class='site-footer'>All rights reserved by somebody or other, who lives in a house by the sea.</div>"
+    for name in ("page has-sidebar", "layout no-sidebar", "content-with-nav", "elementor-widget-theme-post-content", "sticky-footer"):
+        for inner in (paragraphs, f"<article>{paragraphs}</article>", f"<main>{paragraphs}</main>"):
+            assert page_text.main_text(f"<body><div class='{name}'>{menu}{inner}</div>{foot}", tree) == want, (name, inner[:9])
+    assert page_text.main_text(f"<form id=aspnet>{menu}<main>{paragraphs}</main></form>", tree) == want
+    assert page_text.main_text(f"<article>{paragraphs}<div class=comments>" + "<div class=comment><p>Nice text, I liked it.</p></div>" * 3
+                               + "</div></article>", tree) == want
+    for broken in ("<svg width=1 />", "<svg><path d='M0'/><title>x</title></svg>", "<object-card></object-card>", "<svg-icon name=a></svg-icon>",
+                   "<div><object data=x></div>", "<svg><path>", "<script-loader src=x></script-loader>", "<script>var p = '<p>no</p>'</script>"):
+        for page in (f"{broken}{paragraphs}", f"<article>{broken}{paragraphs}</article>"):
+            assert page_text.main_text(page, tree) == want, broken
+    assert page_text.main_text("<p>One <svg><title>no</title><text>no</text></svg>word.</p>", tree) == "One word."
+    talk = ["Where were you?", "I was out.", "Out where?", "By the river, all day."]
+    assert page_text.main_text(f"{menu}<h2>A short talk</h2>" + "".join(f"<p>{t}</p>" for t in talk), tree) == "\n".join(["A short talk", *talk])
+
+
 def test_page_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (1, "u", ""), (None, None, "<article><p>x</p></article>")],
                                "page_id long, url string, html string").selectExpr("*", "'t' as text")
