@@ -300,6 +300,28 @@ def test_chat_records(spark):
         '{"content":{"a":2,"z":1},"conv_id":1,"role":"tool","tool_call_id":"a","turn":2}'
 
 
+def test_calls_of_repeated_identifiers_are_kept(spark, monkeypatch):
+    monkeypatch.setattr(chat_records, "TURNS", 3)
+    call = lambda *ids, x=1, after=(): json.dumps({"tool_calls": [
+        {"id": i, "name": "f", "arguments": {"x": x}, "after": list(after)} for i in ids]})
+    answer = lambda i: json.dumps({"tool_call_id": i, "content": "r"})
+    rows = [(1, 0, "assistant", call("call_0")), (1, 1, "tool", answer("call_0")), (1, 2, "tool", answer("call_0")),
+            (1, 20, "assistant", call("call_0", x="bad", after=["call_0"])), (1, 27, "tool", answer("call_0")),
+            (1, 30, "assistant", call("call_0", after=["call_9"])), (1, 40, "assistant", call("call_9", "call_9", after=["call_0"])),
+            (1, 41, "tool", answer("call_9")), (2, 50, "tool", answer("call_0")),
+            (None, 3, "assistant", call("call_0", x="bad", after=["call_0"])), (None, 4, "tool", answer("call_0")),
+            (3, None, "assistant", call("call_0")), (None, None, "assistant", call("call_0", "call_1"))]
+    rows.append(rows[3])
+    schemas = spark.createDataFrame([("f", '{"properties":{"x":{"type":"integer"}}}')], "name string, schema string")
+    got = chat_records.link(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), schemas).collect()
+    assert Counter((r.conv_id, r.turn, r.n_calls, r.n_linked, r.n_invalid, r.n_cyclic) for r in got if r.role == "assistant") == Counter(
+        [(1, 0, 1, 1, 0, 0), *[(1, 20, 1, 1, 1, 0)] * 2, (1, 30, 1, 0, 0, 1), (1, 40, 2, 1, 0, 2), (None, 3, 1, 0, 1, 0),
+         (3, None, 1, 0, 0, 0), (None, None, 2, 0, 0, 0)])
+    found = {(r.conv_id, r.turn): [(c["id"], c["level"], c["result_turn"]) for c in json.loads(r.record).get("tool_calls", [])] for r in got}
+    assert len(got) == len(rows) and found[1, 0] == [("call_0", 0, 1)] and found[1, 20] == [("call_0", 1, 27)]
+    assert found[1, 30] == [("call_0", None, None)] and found[1, 40] == [("call_9", None, None), ("call_9", None, 41)]
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_stages_keep_columns(spark, tmp_path, empty):
     word = lambda: "".join(R.choice("abcdefghij") for _ in range(5))
