@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship_package
 from ..functions.vectors import as_double, list_to_matrix, matrix_to_list, np_normalize
-from .ranks import row_index
+from .ranks import ordered_index, row_index
 
 # fixed values (baseline settings)
 DEFAULTS = dict(batch_size=4096, steps=10000, val_freq=50, loss_scale=20.0, loss_sim_thresh=-1.0,
@@ -30,10 +30,12 @@ ADAMW = dict(beta1=0.9, beta2=0.999, eps=1e-8, weight_decay=0.01)
 def batch_pairs(pairs: DataFrame, batch_size: int, seed: int | None = None) -> DataFrame:
     """Assign ``batch_id`` over a deterministic order of (q_id, record_id)
     (shuffled by a seeded hash when ``seed`` is given)."""
-    k = (F.xxhash64(F.lit(seed), "q_id", "record_id") if seed is not None
-         else F.col("q_id") * F.lit(1 << 24) + F.col("record_id"))
-    r = row_index(pairs.withColumn("__k", k), "__k", "__i", order=[F.col("__k"), F.col("q_id"), F.col("record_id")])
-    return r.withColumn("batch_id", (F.col("__i") / F.lit(batch_size)).cast("long")).drop("__k", "__i")
+    if seed is None:
+        r = ordered_index(pairs, [F.col("q_id"), F.col("record_id")], "__i")
+    else:
+        r = row_index(pairs.withColumn("__k", F.xxhash64(F.lit(seed), "q_id", "record_id")), "__k", "__i",
+                      order=[F.col("__k"), F.col("q_id"), F.col("record_id")]).drop("__k")
+    return r.withColumn("batch_id", (F.col("__i") / F.lit(batch_size)).cast("long")).drop("__i")
 
 
 def _loss_and_grad(Qb, Db, W, scale, thresh, want_grad):

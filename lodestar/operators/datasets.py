@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import keep_keys, missing_keys, small
-from .ranks import hex_key, row_index
+from .ranks import hex_key, ordered_index, row_index
 
 # fixed values
 DEV_FRACTION, DEV_CAP = 0.1, 10000
@@ -185,9 +185,8 @@ def train_first_order(records: DataFrame, judgments: DataFrame, train_dev_querie
     stable by old record_id; adds ``new_id``."""
     ans = (judgments.join(train_dev_queries.select("q_id"), "q_id", "left_semi")
            .select("record_id").distinct().withColumn("__t", F.lit(1)))
-    r = (records.join(small(ans), "record_id", "left").withColumn("__t", F.coalesce("__t", F.lit(0)))
-         .withColumn("__k", (F.lit(1) - F.col("__t")) * F.lit(1 << 40) + F.col("record_id")))
-    return row_index(r, "__k", "new_id").drop("__t", "__k")
+    r = records.join(small(ans), "record_id", "left").withColumn("__t", F.lit(1) - F.coalesce("__t", F.lit(0)))
+    return row_index(r, "record_id", "new_id", lead="__t").drop("__t")
 
 
 def answerable_cut(records: DataFrame, judgments: DataFrame, train_dev_queries: DataFrame):
@@ -229,8 +228,7 @@ def explode_captions(items: DataFrame, item_key: str, pos_col: str, text_col: st
     order; ``doc_id`` points at the caption's own item (its truth)."""
     q = items.select(F.col(item_key).alias("doc_id"), F.col(pos_col).alias("pos"),
                      F.col(text_col).alias("input"))
-    q = q.withColumn("__k", F.col("doc_id").cast("long") * F.lit(1 << 20) + F.col("pos").cast("long"))
-    return row_index(q, "__k", "q_id").drop("__k")
+    return ordered_index(q, [F.col("doc_id"), F.col("pos")], "q_id")
 
 
 def rekey_per_split(queries: DataFrame, split_col: str = "split", old: str = "q_id") -> DataFrame:
@@ -239,12 +237,11 @@ def rekey_per_split(queries: DataFrame, split_col: str = "split", old: str = "q_
     rank = F.lit(len(names))
     for i, n in enumerate(names):
         rank = F.when(F.col(split_col) == n, F.lit(i)).otherwise(rank)
-    q = (queries.withColumnRenamed(old, "old_q_id").withColumn("__s", rank)
-         .withColumn("__k", F.col("__s").cast("long") * F.lit(1 << 40) + F.col("old_q_id")))
-    r = row_index(q, "__k", "__g")
+    q = queries.withColumnRenamed(old, "old_q_id").withColumn("__s", rank)
+    r = row_index(q, "old_q_id", "__g", lead="__s")
     first = r.groupBy("__s").agg(F.min("__g").alias("__m"))
     return (r.join(F.broadcast(first), "__s").withColumn("q_id", F.col("__g") - F.col("__m"))
-            .drop("__s", "__k", "__g", "__m"))
+            .drop("__s", "__g", "__m"))
 
 
 def training_pairs(queries: DataFrame, judgments: DataFrame, corpus: DataFrame) -> DataFrame:

@@ -480,11 +480,9 @@ def q_prefix(spark, sf_dir):
 
 @register("length_order")
 def q_lenorder(spark, sf_dir):
-    from ..operators.ranks import row_index
+    from ..operators.ranks import ordered_index
     d = load_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len"))
-    # unique composite key (length desc, id asc): equal lengths cannot pile into one bucket
-    k = (F.lit(1 << 22) - F.col("len")).cast("long") * F.lit(1 << 40) + F.col("doc_id")
-    r = row_index(d.withColumn("__k", k), "__k", "pos")
+    r = ordered_index(d, [F.desc("len"), F.col("doc_id")], "pos")
     return out(r.select("doc_id", "len", "pos"))
 
 

@@ -19,7 +19,6 @@ from .._ship import ship_package
 from .fixture import load_table
 
 AUTOMATON_CAP = 256 << 20
-NEST_CHUNK = 64  # outputs per nested row (bounded arrays)
 
 
 def _automaton(items: DataFrame, item_key: str):
@@ -103,9 +102,8 @@ def kilt_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(P)).cast("string").alias("wikipedia_id"),
         (F.col("turn") % 4).cast("int").alias("start_paragraph_id"))))
     outs = (conv.filter(F.col("turn") > 0)
-            .select("conv_id", F.floor(F.col("turn") / NEST_CHUNK).alias("chunk"),
-                    F.struct("turn", F.struct(F.col("text").alias("answer"), prov.alias("provenance")).alias("o")).alias("x"))
-            .groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("x")).alias("xs")))
+            .select("conv_id", F.struct("turn", F.struct(F.col("text").alias("answer"), prov.alias("provenance")).alias("o")).alias("x"))
+            .groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs")))
     nested = outs.select("conv_id", F.transform("xs", lambda e: e["o"]).alias("output"))
     return (first.join(nested, "conv_id", "left")
             .select(F.col("conv_id").cast("string").alias("id"), "input",

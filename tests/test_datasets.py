@@ -126,3 +126,42 @@ def test_truncate_with_injected_tokenizer(spark):
     r = EM.truncate_with_tokenizer(d, "text", encode=lambda s: s.split(" "), decode=lambda t: "+".join(t), n=3)
     got = {x["doc_id"]: x["text"] for x in r.collect()}
     assert got == {1: "a+b+c", 2: None, 3: "x"}
+
+
+def test_orders_hold_for_hashed_ids_and_far_positions(spark):
+    """Ids of all 64 bits, positions past 2^20 and more than 2^24 records: no key is packed."""
+    from lodestar.operators import adapter as AD
+    ids = [5, -7, 1 << 62, (1 << 62) + 1, -(1 << 61), 3 << 40, 1 << 41]
+    recs = spark.createDataFrame([(i,) for i in ids], "record_id long")
+    j = spark.createDataFrame([(1, 1 << 62, 1), (1, 1 << 41, 1), (2, 5, 1)], "q_id long, record_id long, rel int")
+    got = DS.train_first_order(recs, j, spark.createDataFrame([(1,)], "q_id long")).orderBy("new_id").collect()
+    assert [r.record_id for r in got] == [1 << 41, 1 << 62] + sorted(set(ids) - {1 << 41, 1 << 62})
+    assert [r.new_id for r in got] == list(range(7))
+    q = spark.createDataFrame([(i, "b" if i % 2 else "a") for i in ids], "q_id long, split string")
+    got = DS.rekey_per_split(q).orderBy("split", "q_id").collect()
+    assert [(r.split, r.old_q_id) for r in got] == sorted(("b" if i % 2 else "a", i) for i in ids)
+    assert [r.q_id for r in got] == [*range(sum(i % 2 == 0 for i in ids)), *range(sum(i % 2 for i in ids))]
+    c = [(i, p, "t") for i in ids for p in (0, 3, 1 << 20, (1 << 21) + 1)]
+    got = DS.explode_captions(spark.createDataFrame(c[::-1], "item long, pos long, t string"), "item", "pos", "t").orderBy("q_id").collect()
+    assert [(r.q_id, r.doc_id, r.pos) for r in got] == [(k, i, p) for k, (i, p, _) in enumerate(sorted(c))]
+    pairs = [(a, b) for a in (1, 2, 3) for b in (0, 1 << 25, 1 << 62)]
+    got = AD.batch_pairs(spark.createDataFrame(pairs[::-1], "q_id long, record_id long"), 3).collect()
+    assert sorted((r.q_id, r.record_id, r.batch_id) for r in got) == [(*x, k // 3) for k, x in enumerate(pairs)]
+
+
+def test_a_long_conversation_is_one_query(spark, tmp_path):
+    from lodestar.plans import standins as SI
+    turns = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(200)] + [(2, 0, "user", "hi")]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(k, "x") for k in range(9)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.id: [o.answer for o in r.output] for r in SI.kilt_queries(spark, str(tmp_path)).collect()}
+    assert got == {"1": [f"t{t}" for t in range(1, 200)], "2": []}
+    assert DS.queries_with_provenance(SI.kilt_queries(spark, str(tmp_path))).count() == 1
+
+
+def test_length_order_takes_long_texts(spark, tmp_path):
+    from lodestar.plans.registry import q_lenorder
+    rows = [(1 << 62, "a"), (-5, "abc"), (7, "abc"), (9, "x" * ((1 << 22) + 9)), (3 << 41, "abc")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.pos, r.doc_id) for r in q_lenorder(spark, str(tmp_path)).collect())
+    assert got == list(enumerate([9, -5, 7, 3 << 41, 1 << 62]))
