@@ -7,9 +7,10 @@ matches, each of which is merged by itself.  Decoding turns ids back into bytes
 reversed table; a token may hold a part of a character, so that bytes become text only
 when all tokens of a row are joined.
 
-A text longer than ``PART`` travels to the library in parts, cut before white
-space that follows something else: every match of the pattern ends there.  What a task
-holds is bounded by the part, but for a longer run without white space.
+A match of the pattern never goes on from another character into white space, nor from a
+letter into a stop or comma, so that a text falls into units there.  A worker remembers the
+tokens of the units it has met; the library gets the new ones.  What a task holds is bounded
+by a batch of texts.
 
 Edge cases: a null or empty text has no tokens; null ids decode to null, no ids to
 nothing.  An id that is not in the file is an error.  Repeated rows stay rows.  An empty
@@ -31,10 +32,15 @@ from .common import add_columns, column_name
 from .token_counts import tokenizer_path
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
-PART = 1 << 18                # characters of one call of the library
-ROWS = 512                    # rows that are decoded together
-CUT = re.compile(r"(?<=\S)(?=[ \t\r\n])")
+KNOWN_UNITS = 500_000         # units that a worker remembers, at about 200 bytes each
+LONG_UNIT = 100               # characters; longer ones are not remembered
+ROWS = 512                    # rows that are handled together
+#: The characters with the property White_Space.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+UNIT = re.compile(f"[{WHITE}]*[A-Za-z]+(?=[.,;:!?])|[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+INNER = re.compile(f"[{WHITE}]+[^{WHITE}]")
 _LOADED: dict[str, tuple] = {}
+_KNOWN: dict[tuple, dict] = {}
 
 
 def byte_characters() -> list[str]:
@@ -51,7 +57,7 @@ def read_ranks(name: str) -> dict[bytes, int]:
 
 
 def library(name: str):
-    """(the library's tokenizer, bytes of each id) of a file of ranks, on this worker."""
+    """(the library's tokenizer, bytes of each id, their number) of a file of ranks, on this worker."""
     if name not in _LOADED:
         from public_tokenizers import PATTERN
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
@@ -64,45 +70,63 @@ def library(name: str):
             pre_tokenizers.Split(Regex(PATTERN), "isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         byte = {c: b for b, c in enumerate(char)}
-        _LOADED[name] = made, {i: bytes([byte[c] for c in made.id_to_token(i)]) for i in ranks.values()}
+        raw = {i: bytes([byte[c] for c in made.id_to_token(i)]) for i in ranks.values()}
+        width = np.zeros(max(raw) + 1, np.int64)
+        width[list(raw)] = [len(b) for b in raw.values()]
+        _LOADED[name] = made, raw, width
     return _LOADED[name]
 
 
-def parts(text: str, size: int = PART) -> list[str]:
-    """A text in parts of about ``size`` characters that are encoded alike apart."""
-    out, start = [], 0
-    while len(text) - start > size:
-        cut = CUT.search(text, start + size)
-        if cut is None:
-            break
-        out.append(text[start:cut.start()])
-        start = cut.start()
-    return [*out, text[start:]]
-
-
-def encoded(texts: list[str | None], name: str, offsets: bool, size: int = PART) -> list[tuple]:
+def learn(units: list[str], name: str, known: dict, offsets: bool) -> None:
+    """Put the tokens of ``units`` into ``known``: bytes of the ids, with ``offsets`` also those
+    of the first characters and of the characters after the last.
+
+    Units that open with white space and end with another character travel to the library
+    in one text; the bytes of the tokens tell where each ends."""
+    made, _, width = library(name)
+    if offsets:
+        for at in range(0, len(units), ROWS):
+            some = units[at:at + ROWS]
+            for unit, e in zip(some, made.encode_batch(some, add_special_tokens=False)):
+                places = np.array(e.offsets, np.int32).reshape(-1, 2)
+                known[unit] = np.array(e.ids, np.int32).tobytes(), places[:, 0].tobytes(), places[:, 1].tobytes()
+        return
+    inner = [bool(INNER.match(u)) for u in units]
+    alone, rest = [u for u, i in zip(units, inner) if not i], [u for u, i in zip(units, inner) if i]
+    for unit, e in zip(alone, made.encode_batch_fast(alone, add_special_tokens=False)):
+        known[unit] = np.array(e.ids, np.int32).tobytes()
+    for at in range(0, len(rest), ROWS):
+        some = rest[at:at + ROWS]
+        ids = np.array(made.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, np.int32)
+        stops = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(u.encode()) for u in some])) + 1
+        raw, start = ids.tobytes(), 0
+        for unit, stop in zip(some, (4 * stops).tolist()):
+            known[unit] = raw[start:stop]
+            start = stop
+
+
+def encoded(texts: list[str | None], name: str, offsets: bool = False) -> list[tuple]:
     """(ids,) of each text, or (ids, first characters, characters after the last)."""
-    made = library(name)[0]
-    call = made.encode_batch if offsets else made.encode_batch_fast      # the fast one gives no offsets
-    pieces = [(i, p) for i, t in enumerate(texts) for p in parts(t or "", size)]
-    found, shift, row, begin = [[] for _ in texts], 0, -1, 0
-    while begin < len(pieces):
-        end, total = begin, 0
-        while end < len(pieces) and (end == begin or total + len(pieces[end][1]) <= size):
-            total += len(pieces[end][1])
-            end += 1
-        some = pieces[begin:end]
-        for (i, p), e in zip(some, call([p for _, p in some], add_special_tokens=False)):
-            shift = shift if i == row else 0
-            ids = np.array(e.ids, np.int32)
-            if offsets:
-                places = np.array(e.offsets, np.int32).reshape(-1, 2) + shift
-                found[i].append((ids, places[:, 0], places[:, 1]))
-            else:
-                found[i].append((ids,))
-            row, shift = i, shift + len(p)
-        begin = end
-    return [tuple(np.concatenate(column) for column in zip(*some)) for some in found]
+    known = _KNOWN.setdefault((name, offsets), {})
+    units = [UNIT.findall(t or "") for t in texts]
+    new = list(set().union(*units) - known.keys())
+    learn(new, name, known, offsets)
+    out = []
+    for some in units:
+        found = [known[u] for u in some]
+        if not offsets:
+            out.append((np.frombuffer(b"".join(found), np.int32),))
+            continue
+        columns = [np.frombuffer(b"".join(column), np.int32) for column in zip(*found)] or [np.zeros(0, np.int32)] * 3
+        ends = np.cumsum([len(u) for u in some])
+        shift = np.repeat(ends - [len(u) for u in some], [len(f[0]) // 4 for f in found]).astype(np.int32)
+        out.append((columns[0], columns[1] + shift, columns[2] + shift))
+    if len(known) > KNOWN_UNITS:
+        known.clear()
+    for unit in new:
+        if len(unit) > LONG_UNIT:
+            known.pop(unit, None)
+    return out
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_records, decontaminate, jaccard_join, language_model, packing, page_text, quality_rules, repeated_passages, secrets, token_counts
+from . import byte_bpe, chat_records, collocations, decontaminate, jaccard_join, language_model, packing, page_text, quality_rules, repeated_passages, secrets, token_counts
 from .common import load
 
 QUERIES: dict = {}
@@ -73,6 +73,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_held_out(load(spark, sf_dir, "documents"))
 
 
+@query("op11_collocations", collocations.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(load(spark, sf_dir, "documents"))
+
+
 @query("op12_byte_bpe")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.round_trip(load(spark, sf_dir, "documents")))

@@ -9,7 +9,7 @@ from lodestar.llm import byte_bpe
 from lodestar.llm.common import load
 
 R = random.Random(5)
-ODD = ["a", " ", "  ", "\n", "\t", "'s", "'LL", "é", "é", "日本語", "👍🏽", "‍", "\x1c", "\x85", "\xa0", "﻿", "123", "٣", "-=-", "<|endoftext|>"]
+ODD = ["a", " ", "  ", "\n", "\t", "'s", "'LL", "é", "é", "日本語", "👍🏽", "\u200d", "\x1c", "\x85", "\xa0", "\ufeff", "\u3000", "123", "٣", "-=-", "<|endoftext|>"]
 
 
 @pytest.fixture(scope="module")
@@ -65,13 +65,20 @@ def test_offsets_cover_the_text(spark):
         assert all(b <= z and a <= b for a, z, b in zip(r.starts, r.ends, r.starts[1:]))
 
 
-def test_parts_are_encoded_alike(expected):
-    for size in (1, 7, 50):
-        for text in [odd_text(300) for _ in range(20)] + ["x" * 100, " \n" * 60, "word " * 60]:
-            assert "".join(byte_bpe.parts(text, size)) == text
-            ids, starts, ends = byte_bpe.encoded([text], byte_bpe.RANKS, True, size)[0]
-            assert ids.tolist() == expected.encode_ordinary(text)
-            assert starts[0] == 0 and ends[-1] == len(text)
+def test_units_are_encoded_alike(expected, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "KNOWN_UNITS", 50)
+    for text in [odd_text(300) for _ in range(60)] + ["x" * 1000, " \n" * 60, "word " * 60, " ", "a\xa0  b\x0b\x0b c\u3000 d \x1c !\x1c "]:
+        assert "".join(byte_bpe.UNIT.findall(text)) == text
+        ids, starts, ends = byte_bpe.encoded([text, "", None], byte_bpe.RANKS, True)[0]
+        assert ids.tolist() == expected.encode_ordinary(text) == byte_bpe.encoded([text], byte_bpe.RANKS)[0][0].tolist()
+        assert starts[0] == 0 and ends[-1] == len(text)
+
+
+def test_every_character_splits_alike(expected):
+    for mixed in ("a{0}b", "!{0}{0} ", "  {0} {0}  1{0}"):
+        texts = [mixed.format(chr(c)) for c in [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x11000), *range(0x1F000, 0x20000)]]
+        for text, ids in zip(texts, byte_bpe.encoded(texts, byte_bpe.RANKS)):
+            assert ids[0].tolist() == expected.encode_ordinary(text), ascii(text)
 
 
 def test_decoding(spark):
