@@ -316,12 +316,15 @@ WITH pieces AS (
          unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                    '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents),
-split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
-runs AS (
-  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) AS phrase
-  FROM split, (VALUES (1), (2), (3)) AS sizes(k)),
-f AS (SELECT lang, k, phrase, count(*) AS n FROM runs GROUP BY ALL),
-total AS (SELECT lang, sum(len(w))::BIGINT AS n FROM split GROUP BY lang),
+split AS (SELECT lang, row_number() OVER () AS id, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+words AS (SELECT lang, id, unnest(w) AS w, generate_subscripts(w, 1) AS place FROM split),
+ahead AS (
+  SELECT lang, w, lead(w) OVER p AS x, lead(w, 2) OVER p AS y FROM words WINDOW p AS (PARTITION BY id ORDER BY place)),
+f AS (
+  SELECT lang, 1 AS k, w AS phrase, count(*) AS n FROM ahead GROUP BY ALL
+  UNION ALL SELECT lang, 2, w || ' ' || x, count(*) FROM ahead WHERE x IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, w || ' ' || x || ' ' || y, count(*) FROM ahead WHERE y IS NOT NULL GROUP BY ALL),
+total AS (SELECT lang, count(*) AS n FROM words GROUP BY lang),
 found AS (SELECT lang, k AS size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND n >= 10),
 cuts AS (
   SELECT c.lang, c.size, c.phrase, c.a, x.cut, l.n AS l, r.n AS r,

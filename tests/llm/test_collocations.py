@@ -107,3 +107,10 @@ def test_no_rows(spark):
     for rows in ([], [("en", None), (None, "")]):
         got = C.mine(frame(spark, rows))
         assert got.collect() == [] and got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+
+
+def test_scores_of_large_counts(spark):
+    a, left, right = 4 * 10 ** 12 + 7, 9 * 10 ** 12 + 1, 8 * 10 ** 12 + 3
+    rows = [("en", 2, "x y", a), ("en", 1, "x", left), ("en", 1, "y", right)]
+    got = C.scored(spark.createDataFrame(rows, "lang string, words int, phrase string, n long")).collect()
+    assert [(r.a, r.l, r.r, r.score) for r in got] == [(a, left, right, 10 ** 6 * a * a // (left * right))]
