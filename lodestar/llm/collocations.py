@@ -10,9 +10,10 @@
 3. Counting.  A second scan counts, as words and not as hashes, every phrase that the
    filter lets through, and all single words.  What has ``least`` occurrences is exact.
 
-A shard is a share of the input and not what one task holds: its counts are grouped by
-Spark, so that shards stay few (and the lower support useful) however large the input.
-Hot phrases are counted in their tasks first and never gathered.
+A shard is a share of the input and not what one task holds: its counts travel by ranges of
+hashes, in blocks, and a task counts one range at a time.  So shards stay few (and the lower
+support useful) however large the input.  Hot phrases are counted where they are read and
+never gathered; the ranges shrink as ``spark.sql.shuffle.partitions`` grows.
 
 Scores: cutting a phrase after its first k words gives floor(10^6 a a / (l r)), computed in
 decimals; the lowest cut counts.  A phrase goes if a longer frequent phrase holds it and has
@@ -38,8 +39,9 @@ from .repeated_passages import release_shuffles
 from .words import LONG_WORD, LOW_BYTES, LOWER, MIX, ODD, gram_hashes, mixed
 
 SHARDS = 3
-SLICE = 4 << 20               # bytes of text that are cut into words together
-HELD = 4 << 20                # hashes that a mining task counts together
+SLICE = 2 << 20               # bytes of text that are cut into words together
+HELD = 2 << 20                # hashes that a mining task counts together
+BUCKETS = 8                   # ranges of hashes for each shuffle partition; one is counted at a time
 FILTER_BITS = 28              # at most 2^28 bits, 32 MB
 CHUNK_BITS = 16               # bits of the filter that travel as one row
 CHUNK = 1 << CHUNK_BITS >> 3  # their bytes
@@ -146,11 +148,33 @@ def phrase_hashes(words: Words, n: int, places: np.ndarray) -> np.ndarray:
     return gram_hashes(words.hashes, n)[places] + np.uint64(n)
 
 
-def _mined(longest: int):
+def packed(keys: np.ndarray, n: np.ndarray) -> bytes:
+    """Keys and their counts, of which most are 1."""
+    more = np.flatnonzero(n > 1)
+    return b"".join([np.array([len(keys), len(more)], "<i8").tobytes(), keys.tobytes(), more.astype("<u4").tobytes(), n[more].astype("<u4").tobytes()])
+
+
+def unpacked(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    size, more = np.frombuffer(block, "<i8", 2).tolist()
+    n = np.ones(size, np.int64)
+    at = 16 + 8 * size
+    n[np.frombuffer(block, "<u4", more, at)] = np.frombuffer(block, "<u4", more, at + 4 * more)
+    return np.frombuffer(block, np.uint64, size, 16), n
+
+
+def _mined(longest: int, buckets: int):
+    edges = np.array([(b << 64) // buckets for b in range(1, buckets)], np.uint64)
+
     def rows(shard: int, held: list[np.ndarray]):
         keys, n = np.unique(np.concatenate(held), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), shard, np.int32)), pa.array(keys.view(np.int64)),
-                                           pa.array(n.astype(np.int64))], names=["shard", "key", "n"])
+        cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
+        some = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
+        for at in range(0, len(some), 64):
+            part = some[at:at + 64]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int64()), pa.array([shard] * len(part), pa.int32()),
+                 pa.array([packed(keys[cuts[b]:cuts[b + 1]], n[cuts[b]:cuts[b + 1]]) for b in part], pa.binary())],
+                names=["bucket", "shard", "block"])
 
     def run(batches):
         shard, held, size = TaskContext.get().partitionId() % SHARDS, [], 0
@@ -160,18 +184,45 @@ def _mined(longest: int):
                 held.append(phrase_hashes(words, n, words.phrases(n)))
                 size += len(held[-1])
             if size >= HELD:
-                yield rows(shard, held)
+                yield from rows(shard, held)
                 held, size = [], 0
         if size:
-            yield rows(shard, held)
+            yield from rows(shard, held)
+    return run
+
+
+def _frequent(support: int):
+    """Blocks sorted by bucket to the keys with that support in some shard."""
+    def keys_of(shards: dict):
+        out = []
+        for blocks in shards.values():
+            keys, n = (np.concatenate(x) for x in zip(*blocks))
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            out.append(keys[first[np.add.reduceat(n[order], first) >= support]])
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).view(np.int64))], names=["key"])
+
+    def run(batches):
+        bucket, shards = None, {}
+        for batch in batches:
+            for b, shard, block in zip(*[c.to_pylist() for c in batch.columns]):
+                if b != bucket and shards:
+                    yield keys_of(shards)
+                    shards = {}
+                bucket = b
+                shards.setdefault(shard, []).append(unpacked(block))
+        if shards:
+            yield keys_of(shards)
     return run
 
 
 def locally_frequent(texts: DataFrame, least: int, longest: int) -> DataFrame:
     """``key``: hashes of the phrases frequent in some shard."""
-    mined = texts.mapInArrow(_mined(longest), "shard int, key long, n long")
-    return (mined.repartition("key").groupBy("shard", "key").agg(F.sum("n").alias("n"))
-            .filter(F.col("n") >= -(-least // SHARDS)).select("key").distinct())
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mined = texts.mapInArrow(_mined(longest, BUCKETS * partitions), "bucket long, shard int, block binary")
+    return (mined.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(_frequent(-(-least // SHARDS)), "key long"))
 
 
 class Filter:
