@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_records, collocations, decontaminate, jaccard_join, language_model, packing, page_text, quality_rules, repeated_passages, secrets, token_counts
+from . import byte_bpe, chat_records, collocations, decontaminate, jaccard_join, language_model, packing, page_text, prefix_trie, quality_rules, repeated_passages, secrets, token_counts
 from .common import load
 
 QUERIES: dict = {}
@@ -81,3 +81,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_byte_bpe")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.round_trip(load(spark, sf_dir, "documents")))
+
+
+@query("op13_prefix_trie", prefix_trie.ORACLE)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(load(spark, sf_dir, "conversations")).drop("turn_conv_id", "turn_place")
