@@ -43,6 +43,7 @@ SLICE = 2 << 20               # bytes of text that are cut into words together
 HELD = 2 << 20                # hashes that a mining task counts together
 BUCKETS = 8                   # ranges of hashes for each shuffle partition; one is counted at a time
 FILTER_BITS = 28              # at most 2^28 bits, 32 MB
+SALTS = 16                    # parts in which a language is ranked
 CHUNK_BITS = 16               # bits of the filter that travel as one row
 CHUNK = 1 << CHUNK_BITS >> 3  # their bytes
 _BYTES = np.arange(256)
@@ -354,9 +355,11 @@ def mine(docs: DataFrame, least: int = 10, longest: int = 3, share: int = 50, to
     counts = materialize(counted_phrases(texts, build_filter(keys), least, longest), "phrase-counts")
     release_shuffles(spark)
     all_words = counts.filter("words = 0").select("lang", "n")
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    first = (without_contained(scored(counts), share).withColumn("rank", F.row_number().over(order))
-             .filter(F.col("rank") <= top))
+    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
+    salted = without_contained(scored(counts), share).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
+    some = (salted.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order)))
+            .filter(F.col("rank") <= top).drop("rank"))                # a language is ranked in SALTS parts first
+    first = some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return (first.join(all_words, "lang")
             .select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score"))
 
