@@ -6,26 +6,35 @@ packed into one numpy block and broadcast; the corpus is scanned in place by
 ``mapInArrow`` (matmul + running top-k per task, one emit per task) and the
 per-task partials are merged by a ``row_number`` window whose limit Catalyst
 pushes below the shuffle (``WindowGroupLimit``).  Beyond the cap the queries
-are chunked and both sides are replicated onto a (query chunk, corpus block)
-grid and co-grouped, so no single task or the driver holds all queries.
+are dealt into chunks under it, which scan the corpus in place one after
+another: a first part of the corpus gives every query its k-th best score so
+far, and the scan of the rest emits only what reaches it.  Each chunk's result
+is written before the next one starts, and its broadcasts are destroyed, so
+that neither the driver nor a task holds more than one chunk and the corpus is
+never shuffled.
 """
 from __future__ import annotations
 
-import math
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_double, list_to_matrix, np_normalize
 from .._ship import ship_package
-from .topk_kernel import doc_step, merge_topk, round_scores
+from ..plans.materialize import materialize
+from ..session import shared_dir
+from .ranks import ordered_index
+from .topk_kernel import block_scores, doc_step, merge_topk, round_scores
 
 QUERY_BLOCK_CAP = 256 << 20   # bytes of float64 query block we allow to broadcast
 METRICS = ("cos", "dot")
 TOPK_SCHEMA = "q_id long, record_id long, score double"
+FIRST_PART = 1 / 16           # share of the corpus that gives the floors for the rest, for large query sets
+_PARTS = 1 << 20
 
 
 def check_metric(metric: str) -> None:
@@ -66,24 +75,28 @@ def collect_block(df: DataFrame, id_col: str = "q_id", vec_col: str = "embedding
 
 
 def broadcast_chunks(df: DataFrame, id_col: str, vec_col: str = "embedding",
-                     cap: int = QUERY_BLOCK_CAP) -> list[tuple[DataFrame, tuple | None]]:
-    """Split a vector table into hash chunks whose blocks fit ``cap`` (one
-    chunk when it already fits); each chunk is collected and broadcast on its
-    own, so neither the driver nor a task ever holds more than one chunk.
-    Returns (chunk, known sizes or None)."""
+                     cap: int = QUERY_BLOCK_CAP) -> list[tuple[DataFrame, tuple]]:
+    """A vector table in chunks whose blocks fit ``cap`` (one vector at least; the
+    table itself when it fits), with their (rows, dim, bytes).  Rows are dealt by
+    their number in the order of ``id_col``, so that no chunk is over the cap
+    however ids repeat, and written once."""
     sizes = block_size(df, vec_col)
-    if sizes[2] <= cap:
+    n, d, nbytes = sizes
+    if nbytes <= cap:
         return [(df, sizes)]
-    c = int(math.ceil(2 * sizes[2] / cap))
-    key = F.pmod(F.xxhash64(F.col(id_col)), F.lit(c))
-    return [(df.filter(key == i), None) for i in range(c)]
+    most = max(1, cap // (8 * max(d, 1)))
+    dealt = materialize(ordered_index(df.withColumn("__row", F.monotonically_increasing_id()), [F.col(id_col), F.col("__row")], "__at")
+                        .withColumn("__chunk", F.floor(F.col("__at") / most)).drop("__at", "__row"), "query-chunks", ["__chunk"])
+    rows = [min(most, n - i) for i in range(0, n, most)]
+    return [(dealt.filter(F.col("__chunk") == i).drop("__chunk"), (r, d, 8 * r * max(d, 1))) for i, r in enumerate(rows)]
 
 
-def _scan_topk_fn(bc, k: int, bc_thr=None):
+def _scan_topk_fn(bc, k: int, bc_floor=None):
+    """Top-k of each query over a task's documents; with ``bc_floor`` (a score per
+    query) only what reaches the floor."""
     def fn(batches):
         blk = bc.value
         qids, Q = blk.ids, blk.mat
-        thr = None if bc_thr is None else bc_thr.value
         state = None
         step = doc_step(len(qids))
         for b in batches:
@@ -95,7 +108,7 @@ def _scan_topk_fn(bc, k: int, bc_thr=None):
             if cos.any():
                 D[cos] = np_normalize(D[cos])
             for s in range(0, len(rid), step):
-                S = round_scores(Q @ D[s:s + step].T)
+                S = round_scores(block_scores(Q, D[s:s + step]))
                 I = np.broadcast_to(rid[s:s + step], S.shape)
                 state = merge_topk(state, S, I, k)
         if state is None:
@@ -104,11 +117,8 @@ def _scan_topk_fn(bc, k: int, bc_thr=None):
         kk = S.shape[1]
         q = np.repeat(qids, kk)
         S, I = S.reshape(-1), I.reshape(-1)
-        if thr is not None:
-            # every true top-k score is >= the sample's k-th best, up to the
-            # rounding of products taken over blocks of other shapes
-            floor = thr - 1e-11 * np.maximum(1.0, np.abs(np.where(np.isfinite(thr), thr, 0.0)))
-            keep = S >= np.repeat(floor, kk)
+        if bc_floor is not None:
+            keep = S >= np.repeat(bc_floor.value, kk)
             q, S, I = q[keep], S[keep], I[keep]
         yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(I), pa.array(S)],
                                          names=["q_id", "record_id", "score"])
@@ -123,30 +133,32 @@ def _corpus_frame(corpus: DataFrame, cos: bool) -> DataFrame:
         as_double("embedding").alias("embedding"), F.lit(cos).alias("__cos"))
 
 
-def _thresholds(bc, corpus_flagged: DataFrame, k: int, fraction: float, ids: np.ndarray) -> np.ndarray:
-    """Per query, the k-th best score over a seeded sample of the corpus
-    (-inf when the sample holds fewer than k docs): a lower bound of the true
-    k-th best score, so filtering at it keeps every true top-k candidate."""
-    sample = corpus_flagged.sample(withReplacement=False, fraction=fraction, seed=17)
-    part = sample.mapInArrow(_scan_topk_fn(bc, k), TOPK_SCHEMA)
-    kth = (final_topk(part, k).groupBy("q_id")
-           .agg(F.min("score").alias("t"), F.count(F.lit(1)).alias("n")).toArrow())
-    thr = np.full(len(ids), -np.inf)
-    if kth.num_rows:
-        pos = {int(q): i for i, q in enumerate(ids)}
-        for q, t, n in zip(kth.column("q_id").to_pylist(), kth.column("t").to_pylist(), kth.column("n").to_pylist()):
-            if n >= k:
-                thr[pos[int(q)]] = t
-    return thr
+def scan_in_parts(bc, corpus: DataFrame, k: int, fraction: float) -> tuple[DataFrame, object]:
+    """Partial top-k rows of a corpus that is scanned in two parts, and the second
+    broadcast.  The first part (a share of the record ids' hashes) is merged and
+    written; its k-th best score of a query, if it has k, is the floor for the
+    rest.  Rows of the first part are kept as they were scored, so that nothing
+    is scored twice and the result doesn't rest on a rounding margin."""
+    spark = corpus.sparkSession
+    part = F.pmod(F.xxhash64("record_id"), F.lit(_PARTS))
+    cut = min(_PARTS, max(1, int(fraction * _PARTS)))
+    first = materialize(final_topk(corpus.filter(part < cut).mapInArrow(_scan_topk_fn(bc, k), TOPK_SCHEMA), k)
+                        .select("q_id", "record_id", "score"), "topk-first")
+    kth = (first.groupBy("q_id").agg(F.min("score").alias("t"), F.count(F.lit(1)).alias("n"))
+           .filter(F.col("n") >= k).select("q_id", "t").toArrow())
+    known = dict(zip(kth.column("q_id").to_pylist(), kth.column("t").to_pylist()))
+    floor = spark.sparkContext.broadcast(np.array([known.get(q, -np.inf) for q in bc.value.ids.tolist()]))
+    rest = corpus.filter(part >= cut).mapInArrow(_scan_topk_fn(bc, k, floor), TOPK_SCHEMA)
+    return first.unionByName(rest), floor
 
 
 def partial_topk(queries: DataFrame, corpus_flagged: DataFrame, k: int,
                  cap: int = QUERY_BLOCK_CAP, query_matrix=None, prefilter: float | None = None) -> DataFrame:
     """Per-task top-k rows (q_id, record_id, score); needs a final merge.
     ``query_matrix`` W (dim x dim) maps every query q -> W q first.
-    ``prefilter`` (a sample fraction) first finds per-query score floors on a
-    corpus sample so each task emits only candidates that can still make the
-    top-k (exact; shrinks the partial shuffle for large corpora)."""
+    ``prefilter`` (a fraction) scans that share of the corpus first, so that the
+    tasks of the rest emit only candidates that can still make the top-k (exact;
+    shrinks the partial shuffle for large corpora)."""
     spark = corpus_flagged.sparkSession
     ship_package(spark)
     queries = queries.filter(F.col("embedding").isNotNull())     # on every path alike
@@ -154,53 +166,29 @@ def partial_topk(queries: DataFrame, corpus_flagged: DataFrame, k: int,
         from .adapter import apply_adapter
         queries, query_matrix = apply_adapter(queries, query_matrix), None
     sizes = block_size(queries)
-    n, d, nbytes = sizes
-    if nbytes <= cap:
-        blk = collect_block(queries, cap=cap, sizes=sizes)
-        if query_matrix is not None:
-            blk = QueryBlock(blk.ids, blk.mat @ np.asarray(query_matrix, dtype=np.float64).T)
-        bc = spark.sparkContext.broadcast(blk)
-        bc_thr = None
-        if prefilter:
-            bc_thr = spark.sparkContext.broadcast(_thresholds(bc, corpus_flagged, k, prefilter, blk.ids))
-        return corpus_flagged.mapInArrow(_scan_topk_fn(bc, k, bc_thr), TOPK_SCHEMA)
-    return _grid_topk(queries, corpus_flagged, k, chunks=math.ceil(nbytes / cap))
-
-
-def _grid_topk(queries: DataFrame, corpus: DataFrame, k: int, chunks: int,
-               blocks: int | None = None) -> DataFrame:
-    """Large query sets: (query chunk x corpus block) grid, co-grouped."""
+    if sizes[2] > cap:
+        return _topk_in_turn(queries, corpus_flagged, k, cap, prefilter or FIRST_PART)
+    blk = collect_block(queries, cap=cap, sizes=sizes)
+    if query_matrix is not None:
+        blk = QueryBlock(blk.ids, blk.mat @ np.asarray(query_matrix, dtype=np.float64).T)
+    bc = spark.sparkContext.broadcast(blk)
+    if prefilter:
+        return scan_in_parts(bc, corpus_flagged, k, prefilter)[0]
+    return corpus_flagged.mapInArrow(_scan_topk_fn(bc, k), TOPK_SCHEMA)
+
+
+def _topk_in_turn(queries: DataFrame, corpus: DataFrame, k: int, cap: int, fraction: float = FIRST_PART) -> DataFrame:
+    """Large query sets: chunks under ``cap``, one after another; the top-k rows of
+    each are written, then its broadcasts go."""
     spark = corpus.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    q = (queries.select(F.col("q_id").cast("long"), as_double("embedding").alias("qv"))
-         .withColumn("qc", F.pmod(F.xxhash64("q_id"), F.lit(chunks)))
-         .withColumn("db", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))))
-    c = (corpus.withColumn("db", F.pmod(F.xxhash64("record_id"), F.lit(blocks)))
-         .withColumn("qc", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))))
-
-    def fn(qt: pa.Table, ct: pa.Table) -> pa.Table:
-        empty = pa.table({"q_id": pa.array([], pa.int64()), "record_id": pa.array([], pa.int64()),
-                          "score": pa.array([], pa.float64())})
-        if qt.num_rows == 0 or ct.num_rows == 0:
-            return empty
-        Q = list_to_matrix(qt.column("qv"))
-        D = list_to_matrix(ct.column("embedding"))
-        cos = ct.column("__cos").to_numpy().astype(bool)
-        if cos.any():
-            D[cos] = np_normalize(D[cos])
-        rid = ct.column("record_id").to_numpy().astype(np.int64)
-        state = None
-        step = doc_step(len(Q))
-        for s in range(0, len(rid), step):
-            S = round_scores(Q @ D[s:s + step].T)
-            state = merge_topk(state, S, np.broadcast_to(rid[s:s + step], S.shape), k)
-        S, I = state
-        kk = S.shape[1]
-        return pa.table({"q_id": np.repeat(qt.column("q_id").to_numpy(), kk),
-                         "record_id": I.reshape(-1), "score": S.reshape(-1)})
-
-    return (q.groupBy("qc", "db").cogroup(c.groupBy("qc", "db"))
-            .applyInArrow(fn, TOPK_SCHEMA))
+    folder = shared_dir(spark, f"topk-large-{uuid.uuid4().hex[:12]}")
+    for i, (chunk, sizes) in enumerate(broadcast_chunks(queries, "q_id", cap=cap)):
+        bc = spark.sparkContext.broadcast(collect_block(chunk, cap=max(cap, sizes[2]), sizes=sizes))
+        part, floor = scan_in_parts(bc, corpus, k, fraction)
+        final_topk(part, k).select("q_id", "record_id", "score").write.mode("overwrite").parquet(f"{folder}/chunk={i}")
+        floor.destroy()
+        bc.destroy()
+    return spark.read.parquet(folder).drop("chunk")
 
 
 def final_topk(partial: DataFrame, k: int, keys=("q_id",)) -> DataFrame:
@@ -228,7 +216,7 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cos",
     disjoint record ids) is always scored with cosine.  ``query_transform`` is
     a DataFrame -> DataFrame hook applied to the queries first; a linear hook
     can instead be given as ``query_matrix`` W (applied to the broadcast block).
-    ``prefilter=fraction`` enables the exact sample-threshold candidate filter.
+    ``prefilter=fraction`` scans that share of the corpus first for score floors (exact).
     Returns (q_id, rank, record_id, score).
     """
     check_metric(metric)

@@ -13,6 +13,21 @@ SCORE_DECIMALS = 12  # fixed value: rounding of scores before ranking
 BLOCK_ELEMENTS = 1 << 23
 
 
+ROWS = 64                     # block_scores pads both sides to a multiple
+
+
+def _padded(m: np.ndarray) -> np.ndarray:
+    more = -len(m) % ROWS
+    return np.concatenate([m, np.zeros((more, m.shape[1]))]) if more else m
+
+
+def block_scores(Q: np.ndarray, D: np.ndarray) -> np.ndarray:
+    """``Q @ D.T`` with both sides padded to whole kernel tiles, so that a product
+    does not depend on how many rows stand beside it (edge tiles sum in another
+    order, which rounding hides only while norms are near 1)."""
+    return (_padded(Q) @ _padded(D).T)[:len(Q), :len(D)]
+
+
 def round_scores(s: np.ndarray) -> np.ndarray:
     return np.round(s, SCORE_DECIMALS)
 
@@ -49,4 +64,4 @@ def merge_topk(state, S: np.ndarray, I: np.ndarray, k: int):
 
 
 def doc_step(n_queries: int) -> int:
-    return max(1, BLOCK_ELEMENTS // max(1, n_queries))
+    return max(1, BLOCK_ELEMENTS // max(1, n_queries) // ROWS) * ROWS

@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from ..functions.vectors import (EPS_NORM, as_double, dot, list_to_matrix, nan_t
 from .joins import KEY_BROADCAST_CAP as ID_BROADCAST_CAP
 from .ranks import prefix_sum
 from .retrieval import (QUERY_BLOCK_CAP, TOPK_SCHEMA, QueryBlock, _corpus_frame, _scan_topk_fn,
-                        _thresholds, broadcast_chunks, collect_block, final_topk)
-from .topk_kernel import doc_step, merge_topk, round_scores
+                        broadcast_chunks, collect_block, final_topk, scan_in_parts)
+from .topk_kernel import block_scores, doc_step, merge_topk, round_scores
 
 # fixed values
 GAMMA_GRID = [0.02 * i for i in range(25)]   # 0, 0.02, ..., 0.48
@@ -74,35 +75,26 @@ class TuneResult:
 # split the corpus so only documents with training queries are tuned
 # --------------------------------------------------------------------------
 
-def split_by_ids(corpus: DataFrame, ids: DataFrame, cache: bool = False):
+def split_by_ids(corpus: DataFrame, ids: DataFrame, key: str = "record_id"):
     """(part, rest) = corpus ⋉ ids, corpus ▷ ids.  The id side is broadcast
     when its size is proven small, so the corpus is filtered in place."""
-    if cache:
-        ids.cache()              # small; the size check and the join share it
     n = ids.count()
     side = F.broadcast(ids) if n <= ID_BROADCAST_CAP else ids
-    return (corpus.join(side, "record_id", "left_semi"),
-            corpus.join(side, "record_id", "left_anti"))
-
-
-_CACHED: dict = {}
+    on = F.col(key) == F.col("__id")
+    side = side.select(F.col("record_id").alias("__id"))
+    return corpus.join(side, on, "left_semi"), corpus.join(side, on, "left_anti")
 
 
 def trained_split(corpus: DataFrame, train: "QuerySet"):
     """Documents with at least one training query vs. the rest.  The rest
     never moves (c = 0) and only competes through its scores, with its own
-    ids and labels (F15)."""
-    ids = train.judgments.select(F.col("record_id").cast("long")).distinct()
-    _CACHED[id(train)] = ids
-    return split_by_ids(corpus, ids, cache=True)
-
-
-def _release(train: "QuerySet") -> None:
-    """Drop the small cached id table once γ is chosen (later reads of the
-    lazy result simply recompute it)."""
-    ids = _CACHED.pop(id(train), None)
-    if ids is not None:
-        ids.unpersist()
+    ids and labels (F15).  A document without a vector belongs to the rest.
+    The ids are written once: the size check and both joins read them."""
+    from ..plans.materialize import materialize
+    ids = materialize(train.judgments.select(F.col("record_id").cast("long")).distinct(), "trained-ids")
+    marked = corpus.withColumn("__trained", F.when(F.col("embedding").isNotNull(), F.col("record_id")))
+    part, rest = split_by_ids(marked, ids, "__trained")
+    return part.drop("__trained"), rest.drop("__trained")
 
 
 def normalized(corpus: DataFrame) -> DataFrame:
@@ -126,7 +118,7 @@ def doc_directions(corpus: DataFrame, train: QuerySet) -> DataFrame:
     """(record_id, v, c): v unit, c = Σ train queries answering the doc
     (repeated judgments counted once); docs without train queries get c=null."""
     inv = (train.dedup_judgments()
-           .join(train.queries.select("q_id", as_double("embedding").alias("qv")), "q_id"))
+           .join(train.queries.select("q_id", as_double("embedding").alias("qv")).filter(F.col("qv").isNotNull()), "q_id"))
     sums = (inv.groupBy("record_id").agg(vector_sum("qv").alias("c"))
             .withColumn("c", nan_to_zero("c")))
     docs = with_normalized(corpus.select(F.col("record_id").cast("long"),
@@ -220,7 +212,7 @@ def _grid_scan_fn(bc, gammas, val_k):
             if st.any():
                 for s in range(0, int(st.sum()), step):
                     sl = np.nonzero(st)[0][s:s + step]
-                    S = round_scores(Q @ V[sl].T)
+                    S = round_scores(block_scores(Q, V[sl]))
                     static = merge_topk(static, S, np.broadcast_to(rid[sl], S.shape), val_k)
             if has_c.any():
                 idx = np.nonzero(has_c)[0]
@@ -228,8 +220,8 @@ def _grid_scan_fn(bc, gammas, val_k):
                 for s in range(0, len(idx), step):
                     sl = idx[s:s + step]
                     Cs = C[s:s + step]
-                    S = Q @ V[sl].T
-                    T = Q @ Cs.T
+                    S = block_scores(Q, V[sl])
+                    T = block_scores(Q, Cs)
                     ids = np.broadcast_to(rid[sl], S.shape)
                     for gi, g in enumerate(gammas):
                         a, bb = _n_coeffs_np(g, vtc[sl], ctc[sl])
@@ -250,64 +242,69 @@ def _grid_scan_fn(bc, gammas, val_k):
     return fn
 
 
-def _lcm_upto(k: int) -> int:
-    out = 1
-    for i in range(2, k + 1):
-        out = out * i // math.gcd(out, i)
-    return out
+def _hits(top: DataFrame, dev: QuerySet, val_k: int) -> DataFrame:
+    """(g, m, hits, n): queries with ``m`` = min(answers, val_k) and their hits among ``top``."""
+    ans = dev.dedup_judgments()
+    n_ans = ans.groupBy("q_id").agg(F.least(F.count(F.lit(1)), F.lit(val_k)).alias("m"))
+    per_q = (top.join(ans.withColumn("hit", F.lit(1)), ["q_id", "record_id"], "left")
+             .groupBy("g", "q_id").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits")).join(n_ans, "q_id"))
+    return per_q.groupBy("g", "m").agg(F.sum("hits").alias("hits"), F.count(F.lit(1)).alias("n"))
 
 
 def n_accuracy_grid(stats: DataFrame, dev: QuerySet, untouched: DataFrame | None = None,
-                    val_k: int = 1, gammas=None, prefilter: float | None = None) -> DataFrame:
-    """(g, gamma, acc_num, n_dev, acc) for every γ of the grid.
-
-    ``acc_num`` is an exact integer numerator (common denominator
-    ``lcm(1..val_k)``) so equal accuracies compare equal."""
+                    val_k: int = 1, gammas=None, prefilter: float | None = None,
+                    cap: int | None = None) -> DataFrame:
+    """(g, gamma, acc_num, n_dev, acc, place) for every γ of the grid.
+
+    Hits are summed for each denominator ``min(answers, val_k)`` and added as
+    fractions on the driver (grid x val_k numbers), so that equal accuracies compare
+    equal for any ``val_k``: ``place`` is the dense rank of the accuracy (0 = best).
+    ``acc_num`` is its numerator over the denominators' common multiple (null where
+    that passes 64 bits).  Dev queries over ``cap`` scan in chunks, one after another."""
+    cap = cap or QUERY_BLOCK_CAP // 2
     gammas = list(GAMMA_GRID if gammas is None else gammas)
     for g in gammas:
         check_gamma(g)
     spark = stats.sparkSession
     ship_package(spark)
-    devq = dev.judged_queries().select("q_id", "embedding").cache()   # size check + collect share it
+    devq = dev.judged_queries().select("q_id", "embedding").filter(F.col("embedding").isNotNull())
     scan = stats.select("record_id", "v", "c", "vTc", "cTc")
     ucorp = None if untouched is None else _corpus_frame(untouched, True)
-    moving, static = None, None
-    for chunk, sizes in broadcast_chunks(devq, "q_id", cap=QUERY_BLOCK_CAP // 2):
-        bc = spark.sparkContext.broadcast(collect_block(chunk, cap=QUERY_BLOCK_CAP, sizes=sizes))
-        p = scan.mapInArrow(_grid_scan_fn(bc, gammas, val_k), _GRID_SCHEMA)
-        moving = p if moving is None else moving.unionByName(p)
+    every_g = F.explode(F.array(*[F.lit(i) for i in range(len(gammas))]))
+    hits: list[dict] = [{} for _ in gammas]
+    for chunk, sizes in broadcast_chunks(devq, "q_id", cap=cap):
+        bc = spark.sparkContext.broadcast(collect_block(chunk, cap=max(cap, sizes[2]), sizes=sizes))
+        held = [bc]
+        part = scan.mapInArrow(_grid_scan_fn(bc, gammas, val_k), _GRID_SCHEMA)
         if ucorp is not None:
             # untouched docs never move: one plain top-val_k serves every γ
-            bt = None
             if prefilter:
-                blk = bc.value
-                bt = spark.sparkContext.broadcast(_thresholds(bc, ucorp, val_k, prefilter, blk.ids))
-            st = ucorp.mapInArrow(_scan_topk_fn(bc, val_k, bt), TOPK_SCHEMA)
-            static = st if static is None else static.unionByName(st)
-    devq.unpersist()
-    part = moving
-    if static is not None:
-        best = final_topk(static, val_k).select("q_id", "record_id", "score")
-        every_g = F.explode(F.array(*[F.lit(i) for i in range(len(gammas))]))
-        part = part.unionByName(best.select(every_g.alias("g"), "q_id", "record_id", "score"))
-    top = final_topk(part, val_k, keys=("g", "q_id"))
-    ans = dev.dedup_judgments()
-    n_ans = ans.groupBy("q_id").agg(F.count(F.lit(1)).alias("n_ans"))
-    L = _lcm_upto(val_k)
-    per_q = (top.join(ans.withColumn("hit", F.lit(1)), ["q_id", "record_id"], "left")
-             .groupBy("g", "q_id").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("hits"))
-             .join(n_ans, "q_id")
-             .withColumn("num", F.col("hits") * (F.lit(L) / F.least("n_ans", F.lit(val_k))).cast("long")))
-    gdf = spark.createDataFrame([(i, float(g)) for i, g in enumerate(gammas)], "g int, gamma double")
-    acc = per_q.groupBy("g").agg(F.sum("num").alias("acc_num"), F.count(F.lit(1)).alias("n_dev"))
-    return (acc.join(F.broadcast(gdf), "g")
-            .withColumn("acc", F.col("acc_num") / (F.col("n_dev") * F.lit(L)))
-            .select("g", "gamma", "acc_num", "n_dev", "acc"))
+                static, floor = scan_in_parts(bc, ucorp, val_k, prefilter)
+                held.append(floor)
+            else:
+                static = ucorp.mapInArrow(_scan_topk_fn(bc, val_k), TOPK_SCHEMA)
+            best = final_topk(static, val_k)
+            part = part.unionByName(best.select(every_g.alias("g"), "q_id", "record_id", "score"))
+        for r in _hits(final_topk(part, val_k, keys=("g", "q_id")), dev, val_k).collect():
+            h, n = hits[r.g].get(r.m, (0, 0))
+            hits[r.g][r.m] = h + r.hits, n + r.n
+        for b in held:
+            b.destroy()
+    common = math.lcm(*[m for by_m in hits for m in by_m]) if any(hits) else 1
+    total = [sum(Fraction(h, m) for m, (h, _) in by_m.items()) for by_m in hits]
+    n_dev = [sum(n for _, n in by_m.values()) for by_m in hits]
+    place = {t: i for i, t in enumerate(sorted({t for t, n in zip(total, n_dev) if n}, reverse=True))}
+    rows = []
+    for i, g in enumerate(gammas):
+        if n_dev[i]:
+            num = int(total[i] * common)
+            rows.append((i, float(g), num if num < 1 << 63 else None, n_dev[i], float(total[i] / n_dev[i]), place[total[i]]))
+    return spark.createDataFrame(rows, "g int, gamma double, acc_num long, n_dev long, acc double, place int")
 
 
 def n_best_gamma(grid: DataFrame) -> float:
     """Strict improvement in increasing γ: best accuracy, smallest γ."""
-    r = grid.orderBy(F.col("acc_num").desc(), F.col("gamma").asc()).first()
+    r = grid.orderBy(F.col("place").asc(), F.col("gamma").asc()).first()
     return 0.0 if r is None else float(r["gamma"])
 
 
@@ -329,7 +326,6 @@ def tune_n(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFra
         grid = n_accuracy_grid(stats, dev, _static(untouched, rest), val_k, gammas, prefilter)
         gamma = n_best_gamma(grid)
     check_gamma(gamma)
-    _release(train)
     emb = n_apply(stats, gamma)
     if return_rest:
         emb = emb.unionByName(normalized(rest))
@@ -358,10 +354,10 @@ def m_pairs(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None)
         # untouched side in place by the answer ids before any shuffle
         xs = dev.dedup_judgments().select(F.col("record_id").cast("long")).distinct()
         ux, _ = split_by_ids(untouched.select(F.col("record_id").cast("long"), "embedding"), xs)
-        u = with_normalized(ux.select("record_id", as_double("embedding").alias("v")), "v")
+        u = with_normalized(ux.filter(F.col("embedding").isNotNull()).select("record_id", as_double("embedding").alias("v")), "v")
         docs = docs.unionByName(u.select("record_id", "v", F.lit(None).cast("array<double>").alias("u")))
     pairs = (dev.dedup_judgments()
-             .join(dev.queries.select("q_id", as_double("embedding").alias("qv")), "q_id")
+             .join(dev.queries.select("q_id", as_double("embedding").alias("qv")).filter(F.col("qv").isNotNull()), "q_id")
              .join(docs.withColumnRenamed("record_id", "x"),
                    F.col("record_id") == F.col("x")).drop("record_id"))
     return (pairs.withColumn("s_x", F.round(dot("qv", "v"), 12))
@@ -393,8 +389,8 @@ def _interval_scan_fn(bc):
             if has_u.any():
                 U[has_u] = list_to_matrix(b.column(2).filter(pa.array(has_u)))
             for s in range(0, len(rid), step):
-                S = round_scores(Qp @ V[s:s + step].T)
-                G = round_scores(-(Qp @ U[s:s + step].T))
+                S = round_scores(block_scores(Qp, V[s:s + step]))
+                G = round_scores(-block_scores(Qp, U[s:s + step]))
                 ds = S - sx[:, None]
                 dg = G - gx[:, None]
                 other = rid[None, s:s + step] != x[:, None]
@@ -421,29 +417,16 @@ PAIR_BLOCK_CAP = QUERY_BLOCK_CAP // 2
 def _pair_block(pairs: DataFrame):
     tbl = pairs.select("pair_id", "q_id", "x", "qv", "s_x", "g_x").toArrow()
     n = tbl.num_rows
-    if n and (list_to_matrix(tbl.column("qv")).nbytes > 2 * PAIR_BLOCK_CAP):
-        raise OverflowError("dev pair chunk exceeds the broadcast cap")
     return (tbl.column("pair_id").to_numpy(), tbl.column("q_id").to_numpy(), tbl.column("x").to_numpy(),
             list_to_matrix(tbl.column("qv")) if n else np.zeros((0, 1)),
             tbl.column("s_x").to_numpy(), tbl.column("g_x").to_numpy())
 
 
-def _untouched_bounds(pairs: DataFrame, dev: QuerySet, untouched: DataFrame,
-                      qblock=None, prefilter: float | None = None) -> DataFrame:
+def _untouched_bounds(pairs: DataFrame, best: DataFrame) -> DataFrame:
     """Untouched docs have u = 0, so for a pair their Δg is the same
     (-g_x) and only the best untouched score other than x itself can bind:
     collapse them to the top-2 cosine per dev query (exact) and turn the best
     one that is not x into one bound row per pair."""
-    from .retrieval import topk
-    if qblock is not None:
-        sc = untouched.sparkSession.sparkContext
-        bc = sc.broadcast(qblock)
-        uc = _corpus_frame(untouched, True)
-        bt = sc.broadcast(_thresholds(bc, uc, 2, prefilter, qblock.ids)) if prefilter else None
-        best = final_topk(uc.mapInArrow(_scan_topk_fn(bc, 2, bt), TOPK_SCHEMA), 2)
-    else:
-        best = topk(dev.judged_queries().select("q_id", "embedding"), untouched, 2, "cos",
-                    prefilter=prefilter)
     j = (pairs.select("pair_id", "q_id", "x", "s_x", "g_x")
          .join(best.select("q_id", F.col("record_id").alias("d"), F.col("score").alias("sc")), "q_id")
          .filter(F.col("d") != F.col("x"))
@@ -463,35 +446,44 @@ def m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = N
 
 
 def _m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None,
-                 prefilter: float | None = None):
-    """(pair_id, q_id, x, low, high, bad, valid) per dev pair.
+                 prefilter: float | None = None, cap: int | None = None):
+    """(pair_id, q_id, x, low, high, bad, valid) per dev pair, and the number of pairs.
 
     The pair block (query vector + the answer's two scores) is size-checked
-    and broadcast (in hash chunks when large); the corpus is scanned by
-    ``mapInArrow`` emitting one partial (max, min, count) row per pair per
-    task, merged by a two-phase aggregate."""
+    and broadcast; the corpus is scanned by ``mapInArrow`` emitting one partial
+    (max, min, count) row per pair per task, merged by a two-phase aggregate.
+    Pairs over ``cap`` scan in chunks, one after another, each written before its
+    broadcast goes."""
+    from ..plans.materialize import materialize
+    from .retrieval import topk
+    cap = cap or PAIR_BLOCK_CAP
     spark = mdirs.sparkSession
     ship_package(spark)
-    pairs = m_pairs(mdirs, dev, untouched)
-    pc = pairs.cache()                   # the size check and the collection share it
+    pairs = materialize(m_pairs(mdirs, dev, untouched), "m-pairs")     # size check, collection and bounds read it
     scan = mdirs.select("record_id", "v", "u")
-    part = None
-    chunks = broadcast_chunks(pc, "pair_id", "qv", cap=PAIR_BLOCK_CAP)
-    qblock = None
-    n_pairs = 0
+    part, best, n_pairs = None, None, 0
+    chunks = broadcast_chunks(pairs, "pair_id", "qv", cap=cap)
     for chunk, _ in chunks:
         blk = _pair_block(chunk)
         n_pairs += len(blk[0])
-        if len(chunks) == 1:
-            # every judged dev query is in the pair block: reuse its vectors
-            _, first = np.unique(blk[1], return_index=True)
-            qblock = QueryBlock(blk[1][first], blk[3][first])
         bc = spark.sparkContext.broadcast(blk)
         p = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
+        if len(chunks) > 1:
+            p = materialize(p.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
+                                                                  F.sum("bad").alias("bad")), "m-bounds")
+            bc.destroy()
+        elif untouched is not None:
+            # every judged dev query is in the pair block: reuse its vectors
+            _, first = np.unique(blk[1], return_index=True)
+            qbc = spark.sparkContext.broadcast(QueryBlock(blk[1][first], blk[3][first]))
+            uc = _corpus_frame(untouched, True)
+            best = final_topk(scan_in_parts(qbc, uc, 2, prefilter)[0] if prefilter
+                              else uc.mapInArrow(_scan_topk_fn(qbc, 2), TOPK_SCHEMA), 2)
         part = p if part is None else part.unionByName(p)
-    pc.unpersist()
     if untouched is not None:
-        part = part.unionByName(_untouched_bounds(pairs, dev, untouched, qblock, prefilter))
+        if best is None:
+            best = topk(dev.judged_queries().select("q_id", "embedding"), untouched, 2, "cos", cap=cap, prefilter=prefilter)
+        part = part.unionByName(_untouched_bounds(pairs, best))
     agg = part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
                                                    F.sum("bad").alias("bad"))
     return agg.withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low"))), n_pairs
@@ -536,7 +528,6 @@ def tune_m(corpus: DataFrame, train: QuerySet, dev: QuerySet, untouched: DataFra
         diag = iv
         gamma, best = m_best_gamma(m_sweep(iv, n_pairs))
         extra["overlap"] = best
-    _release(train)
     emb = m_apply(mdirs, gamma)
     if return_rest:
         emb = emb.unionByName(normalized(rest))

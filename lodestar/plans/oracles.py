@@ -14,6 +14,7 @@ CORP = "cemb as (select record_id, v emb from corpus)"
 
 ORACLES["topk_cos"] = sql(*BASE, CORP, topk("t", "te", "cemb", 10),
                           select=f"select q_id, rank, record_id, {r6('score')} score from t")
+ORACLES["topk_large_queries"] = ORACLES["topk_cos"]
 ORACLES["topk_dot"] = sql(*BASE, "sc3 as (select record_id, list_transform(v, lambda x: x*(1.0 + (record_id % 3))) emb from corpus)",
                           topk("t", "te", "sc3", 10, cos=False),
                           select=f"select q_id, rank, record_id, {r6('score')} score from t")

@@ -87,6 +87,13 @@ def q_topk_cos(spark, sf_dir):
     return out(RET.topk(f.split("test"), f.corpus, 10, "cos"))
 
 
+@register("topk_large_queries")
+def q_topk_large(spark, sf_dir):
+    """A query set over the block cap (here a cap of 64 KB): chunks scan the corpus one after another."""
+    f = fx(spark, sf_dir)
+    return out(RET.topk(f.split("test"), f.corpus, 10, "cos", cap=1 << 16))
+
+
 @register("topk_dot")
 def q_topk_dot(spark, sf_dir):
     f = fx(spark, sf_dir)
@@ -167,7 +174,7 @@ def q_nsnap(spark, sf_dir):
 def q_ngrid(spark, sf_dir):
     f = fx(spark, sf_dir)
     tr, dv, _ = sets(f)
-    return out(TUNE.n_accuracy_grid(TUNE.n_stats(TUNE.doc_directions(f.corpus, tr)), dv))
+    return out(TUNE.n_accuracy_grid(TUNE.n_stats(TUNE.doc_directions(f.corpus, tr)), dv).drop("place"))
 
 
 @register("n_best_gamma")
@@ -175,7 +182,7 @@ def q_nbest(spark, sf_dir):
     f = fx(spark, sf_dir)
     tr, dv, _ = sets(f)
     grid = TUNE.n_accuracy_grid(TUNE.n_stats(TUNE.doc_directions(f.corpus, tr)), dv)
-    return out(grid.orderBy(F.col("acc_num").desc(), F.col("gamma").asc()).limit(1).select("gamma", "acc"))
+    return out(grid.orderBy(F.col("place").asc(), F.col("gamma").asc()).limit(1).select("gamma", "acc"))
 
 
 @register("tune_n")

@@ -27,16 +27,17 @@ def test_topk_matches_bruteforce_any_partitioning(spark, data, metric, parts):
     assert np.allclose([g[3] for g in got], [w[3] for w in want])
 
 
-def test_grid_path_equals_broadcast_path(spark, data):
+def test_large_query_sets_in_turn(spark, data):
     Q, D = data
     q = vec_df(spark, range(len(Q)), Q, "q_id")
     d = RET._corpus_frame(vec_df(spark, range(len(D)), D), True)
-    a = rows(RET.final_topk(RET._grid_topk(q, d, 5, chunks=3, blocks=4), 5), ["q_id", "rank", "record_id"])
     b = rows(RET.final_topk(RET.partial_topk(q, d, 5), 5), ["q_id", "rank", "record_id"])
-    assert a == b
+    for cap, fraction in ((1000, 1 / 16), (1000, 1e-9), (700, 0.9)):
+        a = rows(RET.final_topk(RET._topk_in_turn(q, d, 5, cap, fraction), 5), ["q_id", "rank", "record_id"])
+        assert a == b
 
 
-def test_oversized_query_block_uses_grid(spark, data):
+def test_oversized_query_block_goes_in_turn(spark, data):
     Q, D = data
     q = vec_df(spark, range(len(Q)), Q, "q_id")
     d = vec_df(spark, range(len(D)), D)
@@ -45,6 +46,50 @@ def test_oversized_query_block_uses_grid(spark, data):
     assert small == want
 
 
+def test_chunks_are_under_the_cap(spark, data):
+    Q, _ = data
+    q = vec_df(spark, [5] * 20 + list(range(17)), Q, "q_id")         # a repeated id spans chunks
+    for cap, most in ((64, 1), (130, 2), (640, 10), (2368, 37)):
+        chunks = RET.broadcast_chunks(q, "q_id", cap=cap)
+        assert [c.count() for c, _ in chunks] == [s[0] for _, s in chunks] and max(s[0] for _, s in chunks) == most
+        assert sorted(r.q_id for c, _ in chunks for r in c.collect()) == sorted([5] * 20 + list(range(17)))
+
+
+def test_scans_of_large_query_sets_shuffle_no_documents(spark, data, monkeypatch):
+    Q, D = data
+    plans, released = [], []
+    keep = RET.final_topk
+    monkeypatch.setattr(RET, "final_topk", lambda part, k: plans.append(part._jdf.queryExecution().optimizedPlan().toString()) or keep(part, k))
+    made = spark.sparkContext.broadcast
+    class Counted:
+        def __init__(self, b):
+            self.b = b
+            released.append(self)
+            self.gone = False
+        value = property(lambda self: self.b.value)
+        def destroy(self):
+            self.gone = True
+            self.b.destroy()
+        def __reduce__(self):
+            return self.b.__reduce__()
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda v: Counted(made(v)))
+    q, d = vec_df(spark, range(len(Q)), Q, "q_id"), vec_df(spark, range(len(D)), D)
+    RET.topk(q, d, 3, cap=800).collect()
+    assert plans and all("Repartition" not in p and "Join" not in p for p in plans)
+    assert len(released) >= 6 and all(b.gone for b in released)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e3])
+def test_prefilter_at_large_norms(spark, scale):
+    rng = np.random.default_rng(3)
+    Q, D = rng.normal(size=(30, 256)) * scale, rng.normal(size=(400, 256)) * scale
+    D[100:200] = D[:100]                                             # copies: ties at every floor
+    q, d = vec_df(spark, range(30), Q, "q_id"), vec_df(spark, range(400), D).repartition(7)
+    plain = rows(RET.topk(q, d, 5, "dot"), ["q_id", "record_id"])
+    got = rows(RET.topk(q, d, 5, "dot", prefilter=0.2), ["q_id", "record_id"])
+    assert got == plain
+
+
 def test_two_corpora_and_k_clamp(spark, data):
     Q, D = data
     q = vec_df(spark, range(len(Q)), Q, "q_id")
@@ -107,4 +152,4 @@ def test_prefilter_is_exact_and_cuts_candidates(spark, data, fraction):
     c = RET._corpus_frame(d, True)
     full = RET.partial_topk(q, c, 5).count()
     cut = RET.partial_topk(q, c, 5, prefilter=fraction).count()
-    assert cut <= full
+    assert cut - 5 * len(Q) <= full                                  # the first part's rows stay

@@ -78,3 +78,52 @@ def test_tune_n_matches_literal_evaluation(spark, seed, val_k):
     U = np.where(np.linalg.norm(C, axis=1, keepdims=True) > 0, C / np.maximum(np.linalg.norm(C, axis=1, keepdims=True), 1e-12), 0)
     mg = sorted((x["record_id"], x["embedding"]) for x in m.embeddings.collect())
     assert m.gamma == 0.7 and np.allclose(np.array([g for _, g in mg]), V + 0.7 * U)
+
+
+@pytest.mark.parametrize("val_k", [40, 41, 43, 100])
+def test_large_val_k(spark, val_k):
+    """Accuracies with many denominators are compared exactly."""
+    rng = np.random.default_rng(9)
+    n, dim = 130, 5
+    D, Qtr, Qdv = rng.normal(size=(n, dim)), rng.normal(size=(50, dim)), rng.normal(size=(60, dim))
+    tr_pairs = [(q, int(rng.integers(0, 60))) for q in range(50)]
+    dv_ans = {q: set(int(x) for x in rng.choice(n, q + 1, replace=False)) for q in range(60)}
+    want_g, want = np_tune_n(D, Qtr, tr_pairs, Qdv, dv_ans, val_k)
+    tr = TUNE.QuerySet(vec_df(spark, range(50), Qtr, "q_id"),
+                       spark.createDataFrame([(q, d, 1) for q, d in tr_pairs], "q_id long, record_id long, rel int"))
+    dv = TUNE.QuerySet(vec_df(spark, range(60), Qdv, "q_id"),
+                       spark.createDataFrame([(q, d, 1) for q, s in dv_ans.items() for d in s], "q_id long, record_id long, rel int"))
+    r = TUNE.tune_n(vec_df(spark, range(n), D), tr, dv, val_k=val_k)
+    assert r.gamma == pytest.approx(want_g)
+    grid = r.diagnostics.collect()
+    assert len(grid) == 25 and all(0 < x.acc <= 1 and x.n_dev == 60 for x in grid)
+    assert sorted(grid, key=lambda x: x.place)[0].acc == max(x.acc for x in grid)
+    got = sorted((x["record_id"], x["embedding"]) for x in r.embeddings.collect())
+    assert np.allclose(np.array([g for _, g in got]), want, atol=1e-10)
+
+
+def test_documents_and_queries_without_vectors(spark):
+    """Null vectors neither move nor compete, and come back null; the rest is tuned as without them."""
+    rng = np.random.default_rng(4)
+    D, Q = rng.normal(size=(20, 4)), rng.normal(size=(16, 4))
+    judged = [(q, d, 1) for q in range(8) for d in (q, q + 5)]
+    dev = [(q, d, 1) for q in range(8, 14) for d in (q - 8, q)]
+    schema = "q_id long, record_id long, rel int"
+
+    def sets(more):
+        q = vec_df(spark, range(16), Q, "q_id")
+        if more:
+            q = q.unionByName(spark.createDataFrame([(100, None), (101, None)], "q_id long, embedding array<double>"))
+        tr = judged + ([(0, 50, 1), (100, 3, 1)] if more else [])
+        dv = dev + ([(9, 51, 1), (101, 3, 1)] if more else [])
+        return (TUNE.QuerySet(q.filter("q_id < 8 or q_id = 100"), spark.createDataFrame(tr, schema)),
+                TUNE.QuerySet(q.filter("(q_id >= 8 and q_id < 14) or q_id = 101"), spark.createDataFrame(dv, schema)))
+    plain = vec_df(spark, range(20), D)
+    nulls = plain.unionByName(spark.createDataFrame([(50, None), (51, None), (52, None)], "record_id long, embedding array<double>"))
+    for tune in (TUNE.tune_n, TUNE.tune_m):
+        for gamma in (0.3, None):
+            a = {r.record_id: r.embedding for r in tune(plain, *sets(False), gamma=gamma).embeddings.collect()}
+            b = {r.record_id: r.embedding for r in tune(nulls, *sets(True), gamma=gamma).embeddings.collect()}
+            assert [b.pop(i) for i in (50, 51, 52)] == [None] * 3 and b.keys() == a.keys()
+            if gamma or tune is TUNE.tune_m:
+                assert all(np.allclose(a[i], b[i]) for i in a)
