@@ -233,3 +233,5 @@ ORACLES["axpy"] = sql(*BASE, DIRS, """
 ax as (select record_id, list_transform(range(1, len(v)+1), lambda i: 0.25*v[i] + 0.75*c[i]) emb from docs where c is not null)""",
                       select=long_form("ax"))
 ORACLES["topk_prefiltered"] = ORACLES["topk_cos"]
+ORACLES["read_query_csv"] = """
+select doc_id q_id, lang, length(text)::bigint n_chars, sha256(text) input_sha256 from documents"""

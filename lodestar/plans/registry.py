@@ -512,9 +512,23 @@ def q_embed(spark, sf_dir):
 from ..sources import io as IO  # noqa: E402
 
 
+@register("read_query_csv")
+def q_read_csv(spark, sf_dir):
+    """Documents written as CSV with records over several lines, then read by blocks."""
+    import uuid
+
+    from ..session import shared_dir
+    from ..sources.io import read_query_csv
+    path = shared_dir(spark, f"query-csv-{uuid.uuid4().hex[:12]}")
+    docs = load_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("q_id"), "lang", F.col("text").alias("input"))
+    docs.write.option("header", True).option("escape", '"').csv(path)
+    return read_query_csv(spark, path).select(F.col("q_id").cast("long").alias("q_id"), "lang", F.length("input").cast("long").alias("n_chars"),
+                                              F.sha2(F.col("input"), 256).alias("input_sha256"))
+
+
 @register("read_records")
 def q_read_records(spark, sf_dir):
-    d = spark.read.schema("doc_id long, text string, lang string").parquet(f"{sf_dir}/documents.parquet")
+    d = IO.read_records(spark, f"{sf_dir}/documents.parquet", "doc_id long, text string, lang string")
     return out(d.select("doc_id", "lang", F.length("text").alias("len")))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import datasets as DS
+from .csv_blocks import read_csv
 
 RECORD_SCHEMA = T.StructType([T.StructField("record_id", T.LongType()),
                               T.StructField("doc_id", T.StringType()),
@@ -41,10 +42,9 @@ def drop_index_columns(df: DataFrame) -> DataFrame:
 
 
 def read_query_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with an ``input`` text column (quoted, multi-line)."""
-    df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-          .csv(path))
-    return drop_index_columns(df)
+    """Header CSV with an ``input`` text column (quoted, multi-line); a file is
+    read by as many tasks as it has blocks."""
+    return drop_index_columns(read_csv(spark, path))
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
