@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship_package
-from .common import column_name, slices
+from .common import slices
 from .words import gram_hashes
 
 WINDOW = 8
@@ -246,11 +246,16 @@ def _blocks(benchmark: DataFrame, text_col: str, id_col: str):
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", doc_id: str = "doc_id",
           item_text: str = "text", item_id: str = "item_id") -> DataFrame:
     """(doc_id, item_id, item_tokens, covered_tokens, changed_slots) of every leak."""
+    rows = docs.select(F.col(f"`{doc_text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
+    return _leaks(rows, benchmark, item_text, item_id)
+
+
+def _leaks(rows: DataFrame, benchmark: DataFrame, item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """The leaks of ``rows`` (text, doc_id of any type)."""
     from pyspark.sql.pandas.types import to_arrow_type
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     ship_package(spark)
-    kind, item_kind = docs.schema[doc_id].dataType, benchmark.schema[item_id].dataType
-    rows = docs.select(F.col(f"`{doc_text}`").alias("text"), F.col(f"`{doc_id}`").alias("doc_id"))
+    kind, item_kind = rows.schema["doc_id"].dataType, benchmark.schema[item_id].dataType
     schema = f"doc_id {kind.simpleString()}, {_OUT}"
     found = None
     for block in _blocks(benchmark, item_text, item_id):
@@ -270,6 +275,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_text: str = "text", doc_id:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the documents that leak an item (rows without an id stay)."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias(column_name(docs, "leaked_id"))).distinct()
-    return docs.join(bad, docs["doc_id"] == bad[bad.columns[0]], "left_anti")
+    """``docs`` without the rows that leak an item (rows without an id stay).  Rows of
+    equal id are judged by their texts."""
+    def tag(text):
+        return F.xxhash64(F.coalesce(text, F.lit("")))
+    rows = docs.select("text", F.struct(F.col("doc_id").alias("id"), tag(F.col("text")).alias("tag")).alias("doc_id"))
+    bad = _leaks(rows, benchmark).select(F.col("doc_id.id").alias("leaked_id"), F.col("doc_id.tag").alias("leaked_tag")).distinct()
+    return docs.join(bad, (docs["doc_id"] == bad["leaked_id"]) & (tag(docs["text"]) == bad["leaked_tag"]), "left_anti")

@@ -36,7 +36,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship_package
@@ -170,16 +170,16 @@ def _sent(batches):
         for start, n in slices(b.column(0)):
             part = b.slice(start, n)
             out = [[], [], [], [], []]
-            for s, doc, point, regions in zip(shingle_sets(part.column(0)), *(part.column(i).to_pylist() for i in (1, 2, 3))):
+            for s, point, regions in zip(shingle_sets(part.column(0)), *(part.column(i).to_pylist() for i in (1, 2))):
                 if point_of(s) != point:          # another row of the same id
                     continue
                 raw = s.tobytes()
                 for r in regions:
-                    for o, v in zip(out, (r["region"], r["i"], r["j"], doc, raw)):
+                    for o, v in zip(out, (r["region"], r["i"], r["j"], point, raw)):
                         o.append(v)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()),
-                 pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["region", "i", "j", "doc", "shingles"])
+                 pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], names=["region", "i", "j", "point", "shingles"])
 
 
 def region_links(docs: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -244,11 +244,21 @@ def _joined(batches):
 
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) per row."""
+    return _classes(docs, text_col, id_col).drop("tag")
+
+
+def _tag(text: Column) -> Column:
+    """Tells rows of equal id and different text apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, tag, n_shingles, component_id) per row."""
     spark = docs.sparkSession
     ship_package(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"))
-    points = materialize(add_columns(rows, "text", ["doc_id"], _points, "n_shingles long, point long"), "points")
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{id_col}`").cast("long").alias("doc_id"), _tag(F.col(f"`{text_col}`")).alias("tag"))
+    points = materialize(add_columns(rows, "text", ["doc_id", "tag"], _points, "n_shingles long, point long"), "points")
     firsts = points.filter("doc_id is not null and n_shingles > 0").groupBy("point").agg(
         F.min(F.struct("doc_id", "n_shingles")).alias("first")).select("point", "first.*")
 
@@ -272,25 +282,26 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
                 .select("doc_id", "point", "region", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
                 .groupBy("doc_id", "point").agg(F.collect_list(F.struct(
                     "region", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))).alias("regions")))
-    sent = rows.join(meetings, "doc_id").select("text", "doc_id", "point", "regions") \
-        .mapInArrow(_sent, "region long, i int, j int, doc long, shingles binary")
-    links = sent.repartition(partitions, "region", "i", "j").sortWithinPartitions("region", "i", "j", "doc") \
+    sent = rows.join(meetings, "doc_id").select("text", "point", "regions") \
+        .mapInArrow(_sent, "region long, i int, j int, point long, shingles binary")
+    links = sent.repartition(partitions, "region", "i", "j").sortWithinPartitions("region", "i", "j", "point") \
         .mapInArrow(_joined, "u long, v long")
     found_components = components(links)
     release_shuffles(spark)
 
-    joined = firsts.join(found_components, F.col("doc_id") == F.col("node"), "left") \
-        .select("point", F.coalesce("component", "doc_id").alias("component_id"))
+    nodes = firsts.join(found_components, F.col("point") == F.col("node"), "left") \
+        .select("point", "doc_id", F.coalesce("component", "point").alias("component"))
+    least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = nodes.join(least, "component").select("point", "component_id")
     return points.join(joined, "point", "left").select(
-        F.col("doc_id"), "n_shingles",
+        "doc_id", "tag", "n_shingles",
         F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id"))
         .otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents that belong to another one's group (rows
-    without an id stay, as do repeated rows of the group's first document)."""
-    from .common import column_name
-    name = column_name(docs, "dropped_id")
-    away = near_duplicates(docs).filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(away, docs["doc_id"] == away[name], "left_anti")
+    """``docs`` without the rows that belong to another document's group (rows without
+    an id stay, as do repeated rows of the group's first document).  Rows of equal id
+    are judged by their texts."""
+    away = _classes(docs).filter("component_id < doc_id").select(F.col("doc_id").alias("away_id"), F.col("tag").alias("away_tag")).distinct()
+    return docs.join(away, (docs["doc_id"] == away["away_id"]) & (_tag(docs["text"]) == away["away_tag"]), "left_anti")
