@@ -89,9 +89,10 @@ def q_topk_cos(spark, sf_dir):
 
 @register("topk_large_queries")
 def q_topk_large(spark, sf_dir):
-    """A query set over the block cap (here a cap of 64 KB): chunks scan the corpus one after another."""
+    """A query set over the block cap (here a quarter of its size): chunks scan the corpus one after another."""
     f = fx(spark, sf_dir)
-    return out(RET.topk(f.split("test"), f.corpus, 10, "cos", cap=1 << 16))
+    q = f.split("test")
+    return out(RET.topk(q, f.corpus, 10, "cos", cap=max(1, RET.block_size(q)[2] // 4)))
 
 
 @register("topk_dot")
