@@ -4,9 +4,9 @@ B1 in-batch-negatives ranking loss: per batch, cosine matrix of transformed
 queries vs positives, entries below ``sim_thresh`` zeroed, times ``scale``,
 softmax cross-entropy against the diagonal.  Batches are bounded (batch_size
 rows) and evaluated per group with ``applyInArrow``.
-B2 synchronous training: each step one job computes the batch gradient on an
-executor and returns the dim x dim gradient; the driver applies AdamW (linear
-warm-up) and broadcasts W again.  Validation every ``val_freq`` steps (B4).
+B2 synchronous training: the pairs are written by batch; one job runs the steps
+between two validations in one task, which reads just their batches and keeps W and
+the AdamW state (linear warm-up).  The driver validates every ``val_freq`` steps (B4).
 """
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .._ship import ship_package
 from ..functions.vectors import as_double, list_to_matrix, matrix_to_list, np_normalize
-from .ranks import ordered_index, row_index
+from .ranks import ordered_index
 
 # fixed values (baseline settings)
 DEFAULTS = dict(batch_size=4096, steps=10000, val_freq=50, loss_scale=20.0, loss_sim_thresh=-1.0,
@@ -33,8 +33,8 @@ def batch_pairs(pairs: DataFrame, batch_size: int, seed: int | None = None) -> D
     if seed is None:
         r = ordered_index(pairs, [F.col("q_id"), F.col("record_id")], "__i")
     else:
-        r = row_index(pairs.withColumn("__k", F.xxhash64(F.lit(seed), "q_id", "record_id")), "__k", "__i",
-                      order=[F.col("__k"), F.col("q_id"), F.col("record_id")]).drop("__k")
+        r = ordered_index(pairs.withColumn("__k", F.xxhash64(F.lit(seed), "q_id", "record_id")),
+                          [F.col("__k"), F.col("q_id"), F.col("record_id")], "__i").drop("__k")
     return r.withColumn("batch_id", (F.col("__i") / F.lit(batch_size)).cast("long")).drop("__i")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .joins import keep_keys, missing_keys, small
-from .ranks import hex_key, ordered_index, row_index
+from .ranks import ordered_index
 
 # fixed values
 DEV_FRACTION, DEV_CAP = 0.1, 10000
@@ -160,19 +160,17 @@ def split_sizes(n: int) -> tuple[int, int, int]:
 def seeded_split(queries: DataFrame, seed: int = 0, key: str = "q_id") -> DataFrame:
     """Permutation by md5(seed:key); train, dev, test take consecutive
     ranges of it with the reference sizes.  Adds ``split``."""
-    n = queries.count()
-    n_tr, n_dev, _ = split_sizes(n)
     h = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
-    r = row_index(queries.withColumn("__h", h).withColumn("__hk", hex_key(F.col("__h"))),
-                  "__hk", "__perm", order=[F.col("__hk"), F.col("__h"), F.col(key)])
+    r = ordered_index(queries.withColumn("__h", h), [F.col("__h"), F.col(key)], "__perm")
+    n_tr, n_dev, _ = split_sizes(r.count())
     split = (F.when(F.col("__perm") < n_tr, "train")
              .when(F.col("__perm") < n_tr + n_dev, "dev").otherwise("test"))
-    return r.withColumn("split", split).drop("__h", "__hk", "__perm")
+    return r.withColumn("split", split).drop("__h", "__perm")
 
 
 def dense_ids(df: DataFrame, order_key: str, out: str = "record_id", order: list | None = None) -> DataFrame:
-    """Dense 0-based ids over an explicit numeric order column."""
-    return row_index(df, order_key, out, order=order)
+    """Dense 0-based ids over an explicit order column, or the columns ``order``."""
+    return ordered_index(df, order or [F.col(order_key)], out)
 
 
 def judged_only(queries: DataFrame, judgments: DataFrame) -> DataFrame:
@@ -186,7 +184,7 @@ def train_first_order(records: DataFrame, judgments: DataFrame, train_dev_querie
     ans = (judgments.join(train_dev_queries.select("q_id"), "q_id", "left_semi")
            .select("record_id").distinct().withColumn("__t", F.lit(1)))
     r = records.join(small(ans), "record_id", "left").withColumn("__t", F.lit(1) - F.coalesce("__t", F.lit(0)))
-    return row_index(r, "record_id", "new_id", lead="__t").drop("__t")
+    return ordered_index(r, [F.col("__t"), F.col("record_id")], "new_id").drop("__t")
 
 
 def answerable_cut(records: DataFrame, judgments: DataFrame, train_dev_queries: DataFrame):
@@ -233,14 +231,10 @@ def explode_captions(items: DataFrame, item_key: str, pos_col: str, text_col: st
 
 def rekey_per_split(queries: DataFrame, split_col: str = "split", old: str = "q_id") -> DataFrame:
     """Dense q_id per split in old-id order (old kept as ``old_q_id``)."""
-    names = [r[0] for r in queries.select(split_col).distinct().orderBy(split_col).collect()]
-    rank = F.lit(len(names))
-    for i, n in enumerate(names):
-        rank = F.when(F.col(split_col) == n, F.lit(i)).otherwise(rank)
-    q = queries.withColumnRenamed(old, "old_q_id").withColumn("__s", rank)
-    r = row_index(q, "old_q_id", "__g", lead="__s")
-    first = r.groupBy("__s").agg(F.min("__g").alias("__m"))
-    return (r.join(F.broadcast(first), "__s").withColumn("q_id", F.col("__g") - F.col("__m"))
+    q = queries.withColumnRenamed(old, "old_q_id")
+    r = ordered_index(q, [F.asc_nulls_first(split_col), F.col("old_q_id")], "__g")
+    first = r.groupBy(F.col(split_col).alias("__s")).agg(F.min("__g").alias("__m"))
+    return (r.join(first, F.col(split_col).eqNullSafe(F.col("__s"))).withColumn("q_id", F.col("__g") - F.col("__m"))
             .drop("__s", "__g", "__m"))
 
 

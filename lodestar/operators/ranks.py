@@ -6,8 +6,8 @@ Rows are range-bucketed on a numeric key using bounds from
 partitioned window finishes the running sum.  Equal keys always share a
 bucket, so the result equals the global ordered running sum.  Give it a
 unique key: a value repeated by a third of all rows would land in one bucket,
-i.e. one task.  A few groups in a row (splits) go in ``lead``; an order of
-several columns is dealt out by ``ordered_index``.
+i.e. one task.  Dense ids come from ``ordered_index``, which deals the rows out
+by ranges of all columns of their order.
 """
 from __future__ import annotations
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..plans.materialize import materialize
 
 ROWS_PER_BUCKET = 2_000_000   # rows one bucket's window may hold (bounded, spillable)
+RANGES_MOST = 1_000_000       # ranges of one order
 
 
 def _bounds(df: DataFrame, key: str, buckets: int) -> list:
@@ -51,10 +52,9 @@ def _offsets(totals: DataFrame) -> DataFrame:
 
 def prefix_sum(df: DataFrame, key: str, value: Column | str, out: str,
                order: list | None = None, buckets: int | None = None,
-               max_rows: int | None = None, lead: str | None = None) -> DataFrame:
+               max_rows: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` in the order ``order`` (default:
-    ``key``); ``order`` must sort by ``key`` first.  ``lead``: a column of few
-    values (not null) that comes before ``key`` and isn't in ``order``.  ``max_rows`` is a known
+    ``key``); ``order`` must sort by ``key`` first.  ``max_rows`` is a known
     upper bound of the row count: when it fits one bucket, no bounds job runs."""
     spark = df.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -63,8 +63,7 @@ def prefix_sum(df: DataFrame, key: str, value: Column | str, out: str,
     if max_rows is not None and max_rows <= ROWS_PER_BUCKET:
         buckets = 1
     bounds = _bounds(df, key, buckets)
-    bucket = bucket_of(key, bounds) if lead is None else F.struct(F.col(lead).alias("lead"), bucket_of(key, bounds).alias("bucket"))
-    b = df.withColumn("__bk", bucket).withColumn("__v", val)
+    b = df.withColumn("__bk", bucket_of(key, bounds)).withColumn("__v", val)
     tot = b.groupBy("__bk").agg(F.sum("__v").alias("__t"))
     off = _offsets(tot)
     w = Window.partitionBy("__bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -73,26 +72,28 @@ def prefix_sum(df: DataFrame, key: str, value: Column | str, out: str,
             .drop("__bk", "__v", "__off"))
 
 
-def row_index(df: DataFrame, key: str, out: str, order: list | None = None,
-              buckets: int | None = None, lead: str | None = None) -> DataFrame:
-    """Dense 0-based global index in ``order`` (ties must be broken by it)."""
-    r = prefix_sum(df, key, F.lit(1).cast("long"), "__cnt", order, buckets, lead=lead)
-    return r.withColumn(out, F.col("__cnt") - 1).drop("__cnt")
+def in_ranges(df: DataFrame, order: list) -> DataFrame:
+    """``df`` dealt out by ranges of ``order`` (columns of any type, together unique)
+    and written, with its range ``__bk``; ranges follow each other in that order.
+    The input is written first, so that it is computed once and the ranges are taken
+    from the rows that are dealt.  A range of more than ``ROWS_PER_BUCKET`` rows makes
+    the written rows be dealt again, over more ranges."""
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = materialize(df, "order-input")
+    while True:
+        dealt = materialize(rows.repartitionByRange(buckets, *order).withColumn("__bk", F.spark_partition_id()), "ordered")
+        largest = dealt.groupBy("__bk").count().agg(F.max("count")).first()[0] or 0
+        if largest <= ROWS_PER_BUCKET or buckets >= RANGES_MOST:
+            return dealt
+        buckets = min(RANGES_MOST, buckets * -(-2 * largest // ROWS_PER_BUCKET))
 
 
 def ordered_index(df: DataFrame, order: list, out: str) -> DataFrame:
     """Dense 0-based global index in the order of several columns of any type
-    (together unique).  The rows are dealt out by ranges of all these columns and
-    written once, so that each keeps its range; one hot value of the first column
-    spreads over many ranges."""
-    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    b = materialize(df.repartitionByRange(buckets, *order).withColumn("__bk", F.spark_partition_id()), "ordered")
+    (together unique).  Each range counts on from the rows of the ranges before it;
+    one hot value of the first column spreads over many ranges."""
+    b = in_ranges(df, order)
     off = _offsets(b.groupBy("__bk").agg(F.count(F.lit(1)).alias("__t")))
     w = Window.partitionBy("__bk").orderBy(*order)
     return (b.join(F.broadcast(off.select("__bk", "__off")), "__bk")
             .withColumn(out, F.col("__off") + F.row_number().over(w) - 1).drop("__bk", "__off"))
-
-
-def hex_key(c: Column) -> Column:
-    """Order-preserving 60-bit numeric prefix of a lowercase hex string."""
-    return F.conv(F.substring(c, 1, 15), 16, 10).cast("long")

@@ -369,7 +369,9 @@ def m_pairs(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None = None)
 _INT_SCHEMA = "pair_id long, q_id long, x long, low double, high double, bad long"
 
 
-def _interval_scan_fn(bc):
+def _interval_scan_fn(bc, bc_known=None):
+    """Bounds of each pair over a task's documents; with ``bc_known`` (low, high of
+    each pair so far) only those of pairs that a document of the task moves."""
     def fn(batches):
         pid, qid, x, Qp, sx, gx = bc.value
         npairs = len(pid)
@@ -405,12 +407,38 @@ def _interval_scan_fn(bc):
                 bad += (other & (dg == 0) & (ds > 0)).sum(axis=1)
         if not seen:
             return
-        yield pa.RecordBatch.from_arrays([pa.array(pid), pa.array(qid), pa.array(x), pa.array(low),
-                                          pa.array(high), pa.array(bad)],
-                                         names=["pair_id", "q_id", "x", "low", "high", "bad"])
+        cols = [pid, qid, x, low, high, bad]
+        if bc_known is not None:
+            moved = ~((low <= bc_known.value[0]) & (high >= bc_known.value[1]) & (bad == 0))     # NaN bounds count
+            cols = [c[moved] for c in cols]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["pair_id", "q_id", "x", "low", "high", "bad"])
     return fn
 
 
+def _merged_bounds(part: DataFrame) -> DataFrame:
+    return part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"), F.sum("bad").alias("bad"))
+
+
+def _bounds_in_parts(bc, pairs: DataFrame, scan: DataFrame, fraction: float) -> tuple[DataFrame, object]:
+    """Partial bounds of a corpus that is scanned in two parts, and the second
+    broadcast.  The first part's merged bounds are written; a task of the rest emits
+    a pair only if it moves them, so that the rows that are shuffled grow with pairs
+    / ``fraction`` and not with pairs x tasks."""
+    from ..plans.materialize import materialize
+    key = F.pmod(F.xxhash64("record_id"), F.lit(1 << 20))
+    cut = min(1 << 20, max(1, int(fraction * (1 << 20))))
+    start = pairs.select("pair_id", "q_id", "x", F.lit(0.0).alias("low"), F.lit(M_LARGE).alias("high"), F.lit(0).cast("long").alias("bad"))
+    first = materialize(_merged_bounds(start.unionByName(scan.filter(key < cut).mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA))), "m-first")
+    pid = bc.value[0]
+    low, high, order = np.zeros(len(pid)), np.full(len(pid), M_LARGE), np.argsort(pid)
+    got = first.select("pair_id", "low", "high").toArrow()             # one row per pair of the block
+    at = order[np.searchsorted(pid, got.column("pair_id").to_numpy(), sorter=order)] if len(pid) else order
+    low[at], high[at] = got.column("low").to_numpy(), got.column("high").to_numpy()
+    known = scan.sparkSession.sparkContext.broadcast((low, high))
+    rest = scan.filter(key >= cut).mapInArrow(_interval_scan_fn(bc, known), _INT_SCHEMA)
+    return first.unionByName(rest), known
+
+
 PAIR_BLOCK_CAP = QUERY_BLOCK_CAP // 2
 
 
@@ -451,7 +479,9 @@ def _m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None =
 
     The pair block (query vector + the answer's two scores) is size-checked
     and broadcast; the corpus is scanned by ``mapInArrow`` emitting one partial
-    (max, min, count) row per pair per task, merged by a two-phase aggregate.
+    (max, min, count) row per pair per task, merged by a two-phase aggregate.  With
+    ``prefilter`` that share of the corpus is scanned first, and the tasks of the rest
+    emit only the pairs whose bounds they move.
     Pairs over ``cap`` scan in chunks, one after another, each written before its
     broadcast goes."""
     from ..plans.materialize import materialize
@@ -467,11 +497,16 @@ def _m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None =
         blk = _pair_block(chunk)
         n_pairs += len(blk[0])
         bc = spark.sparkContext.broadcast(blk)
-        p = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
+        held = [bc]
+        if prefilter:
+            p, known = _bounds_in_parts(bc, chunk, scan, prefilter)
+            held.append(known)
+        else:
+            p = scan.mapInArrow(_interval_scan_fn(bc), _INT_SCHEMA)
         if len(chunks) > 1:
-            p = materialize(p.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
-                                                                  F.sum("bad").alias("bad")), "m-bounds")
-            bc.destroy()
+            p = materialize(_merged_bounds(p), "m-bounds")
+            for h in held:
+                h.destroy()
         elif untouched is not None:
             # every judged dev query is in the pair block: reuse its vectors
             _, first = np.unique(blk[1], return_index=True)
@@ -484,8 +519,7 @@ def _m_intervals(mdirs: DataFrame, dev: QuerySet, untouched: DataFrame | None =
         if best is None:
             best = topk(dev.judged_queries().select("q_id", "embedding"), untouched, 2, "cos", cap=cap, prefilter=prefilter)
         part = part.unionByName(_untouched_bounds(pairs, best))
-    agg = part.groupBy("pair_id", "q_id", "x").agg(F.max("low").alias("low"), F.min("high").alias("high"),
-                                                   F.sum("bad").alias("bad"))
+    agg = _merged_bounds(part)
     return agg.withColumn("valid", (F.col("bad") == 0) & (F.col("high") >= F.col("low"))), n_pairs
 
 

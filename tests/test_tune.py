@@ -200,3 +200,18 @@ def test_prefilter_keeps_tuning_exact(fx, sets, tuned_n):
     assert g1 == g0
     m = TUNE.tune_m(fx.corpus, *sets, prefilter=0.2)
     assert m.gamma == pytest.approx(8.411400, abs=1e-6) and m.extra["overlap"] == 188
+
+
+@pytest.mark.parametrize("fraction", [1e-9, 0.1, 0.9])
+def test_intervals_in_two_parts(fx, sets, fraction):
+    """The same bounds, and fewer rows out of the tasks."""
+    dirs = TUNE.m_directions(TUNE.doc_directions(fx.corpus.repartition(24), sets[0]))
+    cols = ["pair_id", "q_id", "x", "low", "high", "bad", "valid"]
+    want = sorted(map(tuple, TUNE.m_intervals(dirs, sets[1]).select(*cols).collect()))
+    got = sorted(map(tuple, TUNE.m_intervals(dirs, sets[1], prefilter=fraction).select(*cols).collect()))
+    assert got == want and len(want) == 200
+    if fraction == 0.1:
+        pairs = TUNE.m_pairs(dirs, sets[1])
+        bc = fx.corpus.sparkSession.sparkContext.broadcast(TUNE._pair_block(pairs))
+        rows, _ = TUNE._bounds_in_parts(bc, pairs, dirs.select("record_id", "v", "u"), fraction)
+        assert rows.count() < 200 * 24 * 0.8
