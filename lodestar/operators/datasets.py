@@ -150,6 +150,26 @@ def pool_splits(splits: dict[str, tuple[DataFrame, bool]]) -> tuple[DataFrame, b
     return u, graded
 
 
+def pool_judgments(splits: dict[str, tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """O11 with answers and grades: (queries, judgments) of the pre-splits present, in their
+    order, as one set.  Queries get a dense ``q_id`` over (pre-split, old id), kept as
+    ``pre_split`` and ``old_q_id``; their judgments follow by that key.  ``grade`` is kept
+    only if every pre-split has grades (some rel above 1), else null."""
+    queries, judgments = None, None
+    for place, (name, (q, j)) in enumerate(splits.items()):
+        q = q.withColumnRenamed("q_id", "old_q_id").withColumn("pre_split", F.lit(name)).withColumn("__p", F.lit(place))
+        j = j.select(F.lit(name).alias("pre_split"), F.col("q_id").alias("old_q_id"), "record_id", "rel")
+        queries = q if queries is None else queries.unionByName(q)
+        judgments = j if judgments is None else judgments.unionByName(j)
+    pooled = ordered_index(queries, [F.col("__p"), F.col("old_q_id")], "q_id").drop("__p")
+    flags = judgments.groupBy("pre_split").agg((F.max("rel") > 1).alias("graded")).agg(
+        F.bool_and("graded").alias("all_graded"), F.count(F.lit(1)).alias("present"))
+    one = judgments.groupBy("pre_split", "old_q_id", "record_id").agg(F.max("rel").alias("rel"))
+    graded = F.col("all_graded") & (F.col("present") == len(splits))
+    keyed = one.join(pooled.select("pre_split", "old_q_id", "q_id"), ["pre_split", "old_q_id"])
+    return pooled, keyed.join(F.broadcast(flags)).select("q_id", "record_id", F.when(graded, F.col("rel")).alias("grade"))
+
+
 # ------------------------------------------------------------ O12-O23
 def split_sizes(n: int) -> tuple[int, int, int]:
     dev = min(DEV_CAP, int(DEV_FRACTION * n))

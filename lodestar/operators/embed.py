@@ -121,6 +121,51 @@ def embed_column(df: DataFrame, col: str, fn: Callable | None = None, id_col: st
     return src.mapInArrow(run, f"{id_col} long, {out} array<float>")
 
 
+def token_batches(tokens: list[int], budget: int, most: int = MAX_BATCH) -> list[tuple[int, int]]:
+    """(first, behind) of batches in the given order: rows x longest row <= ``budget``
+    (a longer row is a batch of its own) and ``most`` rows."""
+    out, first, longest = [], 0, 0
+    for i, n in enumerate(tokens):
+        longest = max(longest, n)
+        if i > first and (longest * (i + 1 - first) > budget or i - first >= most):
+            out.append((first, i))
+            first, longest = i, n
+    return out + [(first, len(tokens))] if tokens else []
+
+
+def embed_in_length_order(df: DataFrame, col: str, fn: Callable | None = None, id_col: str = "record_id",
+                          budget: int = 1 << 15, batch: int = MAX_BATCH, dim: int = 64, tokens=None,
+                          max_tokens: int | None = None) -> DataFrame:
+    """T5 + T6: (id, embedding, tokens, padded, batch_rows) of every row.  Rows go through
+    ``length_ordered``; each partition forms batches of ``budget`` tokens, padding
+    included, from its rows in order.  ``tokens`` makes the token count of the
+    prepared text column (default: its space-separated parts); ``padded`` is the
+    longest row of the row's batch, so that 1 - sum(tokens) / sum(padded) is the
+    share of padding."""
+    if batch > MAX_BATCH:
+        raise ValueError(f"batch must be <= {MAX_BATCH}")
+    fn = fn or hashing_embedder(dim)
+    ship_package(df.sparkSession)
+    t = fix_empty(clean_newlines(F.col(col)))
+    if max_tokens:
+        t = truncate_tokens(t, max_tokens)
+    count = tokens or (lambda c: F.size(F.split(c, " ")))
+    rows = df.select(F.col(id_col).cast("long").alias("id"), t.alias("t")).withColumn("n", count(F.col("t")).cast("long"))
+    ordered = length_ordered(rows, "t", "id")
+
+    def run(batches):
+        for b in batches:
+            ids, texts, n = b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()
+            for first, behind in token_batches(n, budget, batch):
+                m = np.asarray(fn(texts[first:behind]), dtype=np.float64)
+                size = behind - first
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(first, size), matrix_to_list(m).cast(pa.list_(pa.float32())), b.column(2).slice(first, size),
+                     pa.array([max(n[first:behind])] * size, pa.int64()), pa.array([size] * size, pa.int64())],
+                    names=[id_col, "embedding", "tokens", "padded", "batch_rows"])
+    return ordered.mapInArrow(run, f"{id_col} long, embedding array<float>, tokens long, padded long, batch_rows long")
+
+
 def pending(todo: DataFrame, done: DataFrame | None, id_col: str = "record_id") -> DataFrame:
     """Rows not yet embedded (anti join on the key)."""
     if done is None:

@@ -82,8 +82,3 @@ def method_report(matrix: DataFrame) -> DataFrame:
     ones the matrix has)."""
     cols = [c for c in ("recall_1", "recall_10", "ndcg_10") if c in matrix.columns]
     return matrix.groupBy("finetuner").agg(*[F.avg(c).alias(c) for c in cols])
-
-
-def append_result(df: DataFrame, path: str) -> None:
-    """Append result rows (schema travels with the parquet files)."""
-    df.write.mode("append").parquet(path)

@@ -235,3 +235,17 @@ ax as (select record_id, list_transform(range(1, len(v)+1), lambda i: 0.25*v[i]
 ORACLES["topk_prefiltered"] = ORACLES["topk_cos"]
 ORACLES["read_query_csv"] = """
 select doc_id q_id, lang, length(text)::bigint n_chars, sha256(text) input_sha256 from documents"""
+ORACLES["embed_batches"] = """
+with t as (select doc_id, case when coalesce(text, '') = '' then '.' else replace(text, chr(10), ' ') end x from documents)
+select doc_id, len(string_split(x, ' '))::bigint tokens, true fits, """ + ", ".join(
+    f"round((('0x' || substr(md5(x), {8 * i + 1}, 8))::bigint / 4294967296.0)::float::double, 6) + 0.0 v{i}" for i in range(4)) + " from t"
+ORACLES["published_sets"] = sql(*BASE, """
+rk as (select split, q_id old, (row_number() over (partition by split order by q_id) - 1)::bigint q_id from q),
+jr as (select rk.split, rk.q_id, judg.record_id, max(judg.rel) rel from judg join rk on rk.old = judg.q_id group by all),
+flags as (select split, max(rel) > 1 graded from jr group by split)""",
+                                select="select split, q_id, record_id, case when graded then rel::bigint end grade from jr join flags using (split)")
+ORACLES["pool_judgments"] = sql(*BASE, """
+pooled as (select q_id old, split, (row_number() over (order by case split when 'test' then 0 when 'train' then 1 else 2 end, q_id) - 1)::bigint q_id from q),
+jr as (select split, pooled.q_id, judg.record_id, max(judg.rel) rel from judg join pooled on pooled.old = judg.q_id group by all),
+flags as (select bool_and(m > 1) and count(*) = 3 graded from (select max(rel) m from jr group by split))""",
+                                select="select q_id, record_id, case when graded then rel::bigint end grade from jr, flags")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as T_W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -486,12 +487,33 @@ def q_prefix(spark, sf_dir):
     return out(b.select("q_id", F.md5(EM.with_prompt("input", "query: ")).alias("input_md5")))
 
 
+def md5_embedder(texts):
+    """Four numbers from a text's md5: an embedder that SQL can repeat."""
+    import hashlib
+    digests = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+    return _np.array([[int(h[8 * i:8 * i + 8], 16) / 2.0 ** 32 for i in range(4)] for h in digests]).reshape(-1, 4)
+
+
 @register("length_order")
 def q_lenorder(spark, sf_dir):
-    from ..operators.ranks import ordered_index
-    d = load_table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("len"))
-    r = ordered_index(d, [F.desc("len"), F.col("doc_id")], "pos")
-    return out(r.select("doc_id", "len", "pos"))
+    """T5: the place of each row in the order that ``length_ordered`` gives (partition, row in it)."""
+    from .materialize import materialize
+    d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
+    r = EM.length_ordered(d, "text", "doc_id").select("doc_id", F.length("text").alias("len"), F.monotonically_increasing_id().alias("at"))
+    r = materialize(r.withColumn("part", F.shiftright("at", 33)), "length-order")
+    before = T_W.orderBy("part").rowsBetween(T_W.unboundedPreceding, -1)
+    parts = r.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    place = F.col("off") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return out(r.join(F.broadcast(parts), "part").select("doc_id", "len", place.alias("pos")))      # one row per partition
+
+
+@register("embed_batches")
+def q_embed_batches(spark, sf_dir):
+    """T5 + T6: batches under a token budget, formed in length order."""
+    d = load_table(spark, sf_dir, "documents")
+    e = EM.embed_in_length_order(d, "text", md5_embedder, "doc_id", budget=20_000)
+    fits = (F.col("padded") * F.col("batch_rows") <= 20_000) | (F.col("batch_rows") == 1)
+    return out(e.select("doc_id", "tokens", fits.alias("fits"), *[F.col("embedding")[i].alias(f"v{i}") for i in range(4)]))
 
 
 @register("resume_todo")
@@ -551,6 +573,29 @@ def q_published(spark, sf_dir):
     return out(rel.select("split", "q_id", "record_id", "rel"))
 
 
+@register("published_sets")
+def q_published_sets(spark, sf_dir):
+    """Published twice (readers follow the second), then read as judged query sets."""
+    import uuid
+
+    from ..session import shared_dir
+    f = fx(spark, sf_dir)
+    root = shared_dir(spark, f"published-{uuid.uuid4().hex[:8]}")
+    few = f.queries.select("q_id", "split").filter("split = 'train'")
+    IO.write_published(f.corpus, few, f.judgments, root)
+    IO.write_published(f.corpus, f.queries.select("q_id", "split"), f.judgments, root)
+    _, judged, answers = IO.published_query_sets(spark, root)
+    return out(answers.join(judged.select("split", "q_id"), ["split", "q_id"], "left_semi").select("split", "q_id", "record_id", "grade"))
+
+
+@register("pool_judgments")
+def q_pool_judgments(spark, sf_dir):
+    """The fixture's splits pooled, with their answers and grades."""
+    f = fx(spark, sf_dir)
+    _, pooled = DS.pool_judgments({s: (f.split(s).select("q_id"), f.judged(s)) for s in ("test", "train", "dev")})
+    return out(pooled)
+
+
 # ---------------------------------------------------------------- adapter
 import numpy as _np  # noqa: E402
 

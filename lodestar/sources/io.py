@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..operators import datasets as DS
 from .csv_blocks import read_csv
+from .publish import append_run, commit, current
 
 RECORD_SCHEMA = T.StructType([T.StructField("record_id", T.LongType()),
                               T.StructField("doc_id", T.StringType()),
@@ -74,28 +75,59 @@ def read_beir(spark: SparkSession, root: str):
     return DS.with_default_passage(corpus), queries, qrels, split
 
 
-def write_published(records: DataFrame, queries: DataFrame, judgments: DataFrame, root: str,
-                    mode: str = "overwrite") -> None:
-    """Records (dense record_id), queries (dense q_id per split) and long
-    judgments, partitioned by split.  ``judgments`` carries the old q_id."""
+def read_beir_splits(spark: SparkSession, root: str):
+    """S5 for every split present: (corpus, queries, qrels); queries and qrels carry their
+    ``split``, and a query stands in each split that judges it."""
     root = root.rstrip("/")
-    rek = DS.rekey_per_split(queries.select("q_id", "split", *[c for c in queries.columns
-                                                                if c not in ("q_id", "split")]))
-    m = rek.select("old_q_id", "split", "q_id")
-    j = (judgments.withColumnRenamed("q_id", "old_q_id").join(m, "old_q_id")
-         .select("split", "q_id", "record_id", "rel"))
-    records.write.mode(mode).parquet(f"{root}/data_records")
-    rek.drop("old_q_id").write.mode(mode).partitionBy("split").parquet(f"{root}/qs")
-    j.write.mode(mode).partitionBy("split").parquet(f"{root}/qs_rel")
+    found = [s for s in SPLITS if path_exists(spark, f"{root}/qrels/{s}.tsv")]
+    if not found:
+        raise FileNotFoundError(f"no qrels under {root}/qrels")
+    corpus, queries, _, _ = read_beir(spark, root)
+    qrels = None
+    for s in found:
+        part = (spark.read.option("sep", "\t").option("header", True).schema("q_id string, doc_id string, rel int")
+                .csv(f"{root}/qrels/{s}.tsv").withColumn("split", F.lit(s)))
+        qrels = part if qrels is None else qrels.unionByName(part)
+    judged = qrels.select("q_id", "split").distinct()
+    return corpus, queries.join(judged, "q_id"), DS.with_default_passage(qrels)
+
+
+def write_published(records: DataFrame, queries: DataFrame, judgments: DataFrame, root: str) -> None:
+    """Records (dense record_id), queries (dense q_id per split) and long
+    judgments, partitioned by split, as a new version of ``root`` that readers see
+    once all three are written.  ``judgments`` carries the old q_id."""
+    def write(folder: str) -> None:
+        rek = DS.rekey_per_split(queries.select("q_id", "split", *[c for c in queries.columns
+                                                                    if c not in ("q_id", "split")]))
+        m = rek.select("old_q_id", "split", "q_id")
+        j = (judgments.withColumnRenamed("q_id", "old_q_id").join(m, "old_q_id")
+             .select("split", "q_id", "record_id", "rel"))
+        records.write.parquet(f"{folder}/data_records")
+        rek.drop("old_q_id").write.partitionBy("split").parquet(f"{folder}/qs")
+        j.write.partitionBy("split").parquet(f"{folder}/qs_rel")
+    commit(records.sparkSession, root, write)
 
 
 def read_published(spark: SparkSession, root: str):
-    """(records, queries with split, judgments with split)."""
-    root = root.rstrip("/")
+    """(records, queries with split, judgments with split) of the committed version, or
+    of a folder that holds the three tables itself."""
+    root = current(spark, root) or root.rstrip("/")
     return (spark.read.parquet(f"{root}/data_records"), spark.read.parquet(f"{root}/qs"),
             spark.read.parquet(f"{root}/qs_rel"))
 
 
+def published_query_sets(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(records, judged queries with split, answers).  Answers are one row per split,
+    query and record; ``grade`` is null in a split without grades (no rel above 1)."""
+    records, queries, judgments = read_published(spark, root)
+    graded = DS.with_rels_flag(judgments).withColumnRenamed("split", "__s")
+    one = judgments.groupBy("split", "q_id", "record_id").agg(F.max("rel").alias("rel"))
+    answers = one.join(F.broadcast(graded), F.col("split").eqNullSafe(F.col("__s"))) \
+        .withColumn("grade", F.when(F.col("with_rels"), F.col("rel"))).drop("__s", "with_rels", "rel")      # one flag per split
+    judged = queries.join(answers.select("split", "q_id").distinct(), ["split", "q_id"], "left_semi")
+    return records, judged, answers
+
+
 def load_processed(spark: SparkSession, root: str, embeddings: DataFrame, query_embeddings: DataFrame):
     """Records, per-split query sets with answers (and grades when the
     split is graded), the answerable part of the embeddings and the nontrain
@@ -153,6 +185,6 @@ def write_embedding_shards(embeddings: DataFrame, root: str, m: int, cap_gb: flo
     return shards
 
 
-def append_result(df: DataFrame, path: str) -> None:
-    """Append result rows."""
-    df.write.mode("append").parquet(path)
+def append_result(df: DataFrame, path: str, run_id: str | None = None) -> str:
+    """Append result rows; a retry with the same ``run_id`` adds none."""
+    return append_run(df, path, run_id)
