@@ -1,6 +1,8 @@
 """Oracle SQL (DuckDB) for every registered query that has one."""
 from __future__ import annotations
 
+import re
+
 from .oracle_sql import (DIRS, FX, MAPPLY, MDIRS, NGRID, NORM, SPLITS, long_form, metrics_ctes,
                          n_apply, n_coeffs, r6, sql, topk)
 
@@ -136,9 +138,11 @@ select (row_number() over (order by conv_id, turn) - 1)::bigint q_id, conv_id do
 from conversations where role = 'user'""")
 ORACLES["rekey_per_split"] = sql(*BASE, select="""
 select q_id old_q_id, split, (row_number() over (partition by split order by q_id) - 1)::bigint q_id from q""")
-ORACLES["training_pairs"] = sql(*BASE, """
-tj as (select distinct q_id, record_id from judg where q_id in (select q_id from tr))""", select=f"""
-select tj.q_id, tj.record_id, {r6('list_dot_product(tr.qv, corpus.v)')} score from tj join tr using (q_id) join corpus using (record_id)""")
+# each part is computed once and the two joins are by key: no plan may join vectors with vectors first
+ORACLES["training_pairs"] = re.sub(r"(?m)(^|with )(\w+) as \(", r"\1\2 as materialized (", sql(*BASE, """
+tj as (select distinct q_id, record_id from judg where q_id in (select q_id from tr)),
+tq as (select tj.q_id, tj.record_id, tr.qv from tj join tr on tr.q_id = tj.q_id)""", select=f"""
+select tq.q_id, tq.record_id, {r6('list_dot_product(tq.qv, corpus.v)')} score from tq join corpus on corpus.record_id = tq.record_id"""))
 
 # ---------------------------------------------------------------- text
 ORACLES["clean_text"] = sql("x as (select 1)", select="""
