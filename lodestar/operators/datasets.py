@@ -35,7 +35,8 @@ PROVENANCE_SCHEMA = T.StructType([
 # ------------------------------------------------------------ O1-O4 nesting
 def flatten_provenance(kilt: DataFrame) -> DataFrame:
     """O1: per query the distinct (page, paragraph) pairs over all outputs;
-    outputs without provenance are skipped."""
+    outputs without provenance are skipped.  A query's outputs may stand in one
+    row or in several (``part``)."""
     o = kilt.select("id", F.explode_outer("output").alias("o"))
     p = o.select("id", F.explode("o.provenance").alias("p"))
     return (p.select("id", F.col("p.wikipedia_id").alias("wikipedia_id"),
@@ -44,9 +45,11 @@ def flatten_provenance(kilt: DataFrame) -> DataFrame:
 
 
 def queries_with_provenance(kilt: DataFrame) -> DataFrame:
-    """O2: drop queries without any provenance (semi join on O1)."""
+    """O2: drop queries without any provenance (semi join on O1).  Of a query in
+    parts the row of its input (part 0) is returned."""
     prov = flatten_provenance(kilt).select("id").distinct()
-    return kilt.join(prov, "id", "left_semi")
+    queries = kilt.filter("part = 0") if "part" in kilt.columns else kilt
+    return queries.join(prov, "id", "left_semi")
 
 
 def referenced_pages(*flat: DataFrame) -> DataFrame:

@@ -5,8 +5,8 @@
   side, size-checked and broadcast); grade = labels.quality + 1 where
   labelled, else 1.
 * KILT-shaped nested queries from ``conversations``: one query per
-  conversation; each later turn is an output; assistant turns cite page
-  ``pmod(conv_id*31 + turn*7, P)`` paragraph ``turn mod 4`` (P = pages count).
+  conversation, its outputs in parts; each later turn is an output; assistant turns
+  cite page ``pmod(conv_id*31 + turn*7, P)`` paragraph ``turn mod 4`` (P = pages count).
 * page paragraphs: ``split(html, '<p>')``.
 """
 from __future__ import annotations
@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .._ship import ship_package
+from ..operators.ranks import ordered_index
 from .fixture import load_table
 
 AUTOMATON_CAP = 256 << 20
+NEST_CHUNK = 4096             # outputs of one row of a nested query
 
 
 def _automaton(items: DataFrame, item_key: str):
@@ -94,22 +96,32 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                           F.col("text").alias("input"))
 
 
-def kilt_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conv = load_table(spark, sf_dir, "conversations")
-    P = int(load_table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).first()[0])
-    first = conv.filter(F.col("turn") == 0).select("conv_id", F.col("text").alias("input"))
+def kilt_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, at, answer, provenance): one row per later turn of a conversation; ``at`` is
+    its place in the order of all turns."""
+    conv = load_table(spark, sf_dir, "conversations").filter((F.col("turn") > 0) & F.col("conv_id").isNotNull())
+    pages = int(load_table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).first()[0])
     prov = F.when(F.col("role") == "assistant", F.array(F.struct(
-        F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(P)).cast("string").alias("wikipedia_id"),
+        F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(pages)).cast("string").alias("wikipedia_id"),
         (F.col("turn") % 4).cast("int").alias("start_paragraph_id"))))
-    outs = (conv.filter(F.col("turn") > 0)
-            .select("conv_id", F.struct("turn", F.struct(F.col("text").alias("answer"), prov.alias("provenance")).alias("o")).alias("x"))
-            .groupBy("conv_id").agg(F.array_sort(F.collect_list("x")).alias("xs")))
-    nested = outs.select("conv_id", F.transform("xs", lambda e: e["o"]).alias("output"))
-    return (first.join(nested, "conv_id", "left")
-            .select(F.col("conv_id").cast("string").alias("id"), "input",
-                    F.coalesce("output", F.array().cast(
-                        "array<struct<answer:string,provenance:array<struct<wikipedia_id:string,start_paragraph_id:int>>>>"))
-                    .alias("output")))
+    rows = conv.select("conv_id", "turn", F.col("text").alias("answer"), prov.alias("provenance"), F.monotonically_increasing_id().alias("row"))
+    return ordered_index(rows, [F.col("conv_id"), F.col("turn"), F.col("row")], "at").select(
+        F.col("conv_id").cast("string").alias("id"), "at", "answer", "provenance")
+
+
+def kilt_queries(spark: SparkSession, sf_dir: str, chunk: int = NEST_CHUNK) -> DataFrame:
+    """Nested queries in parts: (id, part 0, input, no output) and, for its outputs, rows
+    (id, part, null, at most ``chunk`` outputs in order).  No row and no group holds a
+    whole conversation."""
+    conv = load_table(spark, sf_dir, "conversations")
+    kind = "array<struct<answer:string,provenance:array<struct<wikipedia_id:string,start_paragraph_id:int>>>>"
+    first = conv.filter(F.col("turn") == 0).select(
+        F.col("conv_id").cast("string").alias("id"), F.lit(0).cast("long").alias("part"), F.col("text").alias("input"),
+        F.array().cast(kind).alias("output"))
+    some = (kilt_outputs(spark, sf_dir).withColumn("part", F.floor(F.col("at") / chunk) + 1).groupBy("id", "part")
+            .agg(F.array_sort(F.collect_list(F.struct("at", F.struct("answer", "provenance").alias("o")))).alias("xs")))
+    return first.unionByName(some.select("id", "part", F.lit(None).cast("string").alias("input"),
+                                         F.transform("xs", lambda e: e["o"]).cast(kind).alias("output")))
 
 
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,11 +154,36 @@ def test_a_long_conversation_is_one_query(spark, tmp_path):
     turns = [(1, t, "assistant" if t % 2 else "user", f"t{t}") for t in range(200)] + [(2, 0, "user", "hi")]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     spark.createDataFrame([(k, "x") for k in range(9)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.id: [o.answer for o in r.output] for r in SI.kilt_queries(spark, str(tmp_path)).collect()}
-    assert got == {"1": [f"t{t}" for t in range(1, 200)], "2": []}
+    for chunk in (SI.NEST_CHUNK, 64, 1):
+        parts = SI.kilt_queries(spark, str(tmp_path), chunk).collect()
+        assert max(len(r.output) for r in parts) <= chunk and sorted((r.id, r.input) for r in parts if not r.part) == [("1", "t0"), ("2", "hi")]
+        got = {i: [o.answer for r in sorted(parts, key=lambda r: r.part) if r.id == i for o in r.output] for i in ("1", "2")}
+        assert got == {"1": [f"t{t}" for t in range(1, 200)], "2": []}
     assert DS.queries_with_provenance(SI.kilt_queries(spark, str(tmp_path))).count() == 1
 
 
+def test_a_conversation_of_a_million_turns(spark, tmp_path):
+    """The four nesting queries on one conversation of 10^6 turns beside small ones."""
+    import duckdb
+
+    from lodestar.plans.oracles import ORACLES
+    from lodestar.plans.registry import R
+    n = 10 ** 6
+    turn = F.when(F.col("id") < n, F.col("id")).otherwise((F.col("id") - n) % 5)
+    conv = F.when(F.col("id") < n, F.lit(1)).otherwise(F.floor((F.col("id") - n) / 5) + 2).cast("long")
+    rows = spark.range(n + 500).select(conv.alias("conv_id"), turn.alias("turn"),
+                                       F.when((turn % 2 == 1) & (conv % 3 > 0), "assistant").otherwise("user").alias("role"), F.lit("t").alias("text"))
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(k, "<p>a <p>b\n<p>c") for k in range(150)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    for t in ("conversations", "pages"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    for name in ("provenance_flatten", "queries_without_provenance", "referenced_pages", "passage_explode"):
+        got = R[name](spark, str(tmp_path))
+        want = con.sql(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want) and want, name
+
+
 def test_length_order_takes_long_texts(spark, tmp_path):
     from lodestar.plans.registry import q_lenorder
     rows = [(1 << 62, "a"), (-5, "abc"), (7, "abc"), (9, "x" * ((1 << 22) + 9)), (3 << 41, "abc")]
