@@ -71,15 +71,16 @@ def pages_to_passages(pages: DataFrame, referenced: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------ O5-O11
-def first_non_null_by_key(files: list[DataFrame], key: str = "doc_id", value: str = "text") -> DataFrame:
-    """Union of files; per key the first non-null value in file order;
-    sorted by key."""
+def first_non_null_by_key(files: list[DataFrame], key: str = "doc_id", value: str = "text", pos: str | None = None) -> DataFrame:
+    """Union of files; per key the first non-null value by (file order, position);
+    sorted by key.  Without a position column a key repeated in one file gives its
+    least value."""
     u = None
     for i, f in enumerate(files):
-        x = f.select(key, value, F.lit(i).alias("__src"))
+        x = f.select(key, value, F.lit(i).alias("__src"), (F.col(pos) if pos else F.lit(0)).alias("__pos"))
         u = x if u is None else u.unionByName(x)
     r = (u.filter(F.col(value).isNotNull()).groupBy(key)
-         .agg(F.min_by(value, "__src").alias(value)))
+         .agg(F.min_by(value, F.struct("__src", "__pos", value)).alias(value)))
     return r.orderBy(key)
 
 

@@ -95,9 +95,9 @@ u as (select doc_id, text, 0 src from documents where lang = 'en'
   union all select doc_id, text || ' [c]', 2 from documents)""",
                                  select="select doc_id, md5(arg_min(text, src)) text_md5 from u where text is not null group by doc_id")
 ORACLES["query_dedup_text"] = sql("""
-qf as (select doc_id q_id, text input, doc_id pos, floor(cast(substr(source, 4) as int) / 7) file from documents)""",
+qf as (select doc_id q_id, text input, doc_id pos, coalesce(least(floor(try_cast(substr(source, 4) as int) / 7), 2), 2) file from documents)""",
                                   select="""select md5(input) input_md5, first(q_id order by file, pos) q_id
-from qf where file < 3 group by input""")
+from qf group by input""")
 ORACLES["judgment_sets"] = sql(CQ, select="""
 select q_id, 0::bigint part, string_agg(doc_id::varchar, ',' order by doc_id) answers,
   string_agg(doc_id::varchar || ':' || rel::varchar, ',' order by doc_id) rels
@@ -109,7 +109,7 @@ select item_id q_id from benchmark where item_id not in
 ORACLES["passage_ids"] = sql("x as (select 1)", select="select doc_id, '0' passage_id from documents")
 ORACLES["pool_splits"] = sql("""
 gr as (select d.lang, max(l.quality + 1 > 1) g from documents d join labels l using (doc_id) group by d.lang),
-al as (select bool_and(coalesce(gr.g, false)) w from (select distinct lang from documents) s left join gr using (lang))""",
+al as (select bool_and(coalesce(gr.g, false)) w from (select distinct lang from documents) s left join gr on gr.lang is not distinct from s.lang)""",
                              select="select doc_id q_id, lang pre_split, (select w from al) with_rels from documents")
 ORACLES["random_split"] = sql(*BASE, """
 n as (select count(*) n from q),
@@ -253,3 +253,21 @@ pooled as (select q_id old, split, (row_number() over (order by case split when
 jr as (select split, pooled.q_id, judg.record_id, max(judg.rel) rel from judg join pooled on pooled.old = judg.q_id group by all),
 flags as (select bool_and(m > 1) and count(*) = 3 graded from (select max(rel) m from jr group by split))""",
                                 select="select q_id, record_id, case when graded then rel::bigint end grade from jr, flags")
+
+CITED = """
+pages_ as (select page_id::varchar doc_id, unnest(string_split(html, '<p>')) t, generate_subscripts(string_split(html, '<p>'), 1) i from pages),
+rec as (select doc_id, (i - 1)::varchar passage_id, (row_number() over (order by doc_id, (i - 1)::varchar) - 1)::bigint record_id from pages_),
+cit as (select c.conv_id::varchar q_id, ((c.conv_id*31 + c.turn*7) % (select n from np_))::varchar doc_id, (c.turn % 4)::varchar passage_id,
+  max(length(c.text) % 2 + 1)::bigint rel from conversations c
+  where c.turn > 0 and c.role = 'assistant' and c.conv_id in (select conv_id from kq) group by all),
+lost as (select distinct q_id from cit where not exists (select 1 from rec where rec.doc_id = cit.doc_id and rec.passage_id = cit.passage_id)),
+kept as (select conv_id::varchar q_id from kq where conv_id::varchar not in (select q_id from lost)),
+res as (select q_id, record_id, max(rel) rel from cit join rec using (doc_id, passage_id) where q_id in (select q_id from kept) group by all)"""
+ORACLES["cited_check"] = sql(KILT, CITED, select="select conv_id::varchar q_id from kq where conv_id::varchar not in (select q_id from cit)")
+ORACLES["cited_repair"] = sql(KILT, CITED, select="select q_id from kept")
+ORACLES["cited_keys"] = sql(KILT, CITED, select="select q_id, record_id, rel from res")
+ORACLES["cited_queries"] = sql(KILT, CITED, select="select q_id from kept where q_id in (select q_id from res)")
+ORACLES["cited_sets"] = sql(KILT, CITED, select="""
+select q_id, 0::bigint part, string_agg(record_id::varchar, ',' order by record_id) answers,
+  string_agg(record_id::varchar || ':' || rel::varchar, ',' order by record_id) rels from res group by q_id""")
+ORACLES["cited_long"] = sql(KILT, CITED, select="select q_id, record_id, rel from res")

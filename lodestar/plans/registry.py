@@ -327,7 +327,7 @@ def q_docdedup(spark, sf_dir):
 
 def _doc_query_files(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents")
-    fno = F.floor(F.substring("source", 4, 10).cast("int") / 7)
+    fno = F.coalesce(F.least(F.floor(F.substring("source", 4, 10).try_cast("int") / 7), F.lit(2)), F.lit(2))    # the last file has the rest
     q = d.select(F.col("doc_id").alias("q_id"), F.col("text").alias("input"),
                  F.col("doc_id").alias("pos"), fno.alias("file"))
     return [q.filter(F.col("file") == i).drop("file") for i in range(3)]
@@ -360,6 +360,60 @@ def q_refrepair(spark, sf_dir):
                                       SI.containment_qrels(spark, sf_dir), corpus).select("q_id"))
 
 
+# judgments with a real second key: paragraphs that answers cite (no text matching)
+PASSAGE = ["doc_id", "passage_id"]
+
+
+def _cited(spark, sf_dir):
+    """(queries, judgments, passages), each written once."""
+    from .materialize import materialize
+    queries = SI.kilt_queries(spark, sf_dir).filter("part = 0").select(F.col("id").alias("q_id"))
+    return (materialize(queries, "cited-queries"), materialize(SI.cited_judgments(spark, sf_dir), "cited"),
+            materialize(SI.passage_records(spark, sf_dir), "passages"))
+
+
+def _cited_resolved(spark, sf_dir):
+    """(judgments by record of the queries whose passages all exist, those queries)."""
+    queries, judged, passages = _cited(spark, sf_dir)
+    kept = DS.repair_missing_docs(queries, judged, passages, PASSAGE)
+    return DS.resolve_keys(judged.join(kept, "q_id", "left_semi"), passages), kept
+
+
+@register("cited_check")
+def q_cited_check(spark, sf_dir):
+    queries, judged, _ = _cited(spark, sf_dir)
+    return out(DS.unjudged_queries(queries, judged))
+
+
+@register("cited_repair")
+def q_cited_repair(spark, sf_dir):
+    return out(DS.repair_missing_docs(*_cited(spark, sf_dir), PASSAGE))
+
+
+@register("cited_keys")
+def q_cited_keys(spark, sf_dir):
+    return out(_cited_resolved(spark, sf_dir)[0])
+
+
+@register("cited_queries")
+def q_cited_queries(spark, sf_dir):
+    judged, queries = _cited_resolved(spark, sf_dir)
+    return out(DS.judged_only(queries, judged))
+
+
+@register("cited_sets")
+def q_cited_sets(spark, sf_dir):
+    j = DS.judgment_sets(_cited_resolved(spark, sf_dir)[0])
+    rels = F.array_join(F.transform(F.array_sort(F.map_entries("rels")),
+                                    lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string"))), ",")
+    return out(j.select("q_id", "part", _csv(F.col("answers")).alias("answers"), rels.alias("rels")))
+
+
+@register("cited_long")
+def q_cited_long(spark, sf_dir):
+    return out(DS.judgments_long(DS.judgment_sets(_cited_resolved(spark, sf_dir)[0])))
+
+
 @register("passage_ids")
 def q_passage_ids(spark, sf_dir):
     return out(DS.with_default_passage(load_table(spark, sf_dir, "documents").select("doc_id")))
@@ -372,7 +426,7 @@ def q_pool(spark, sf_dir):
     graded = {r["lang"]: bool(r["g"]) for r in d.join(lab.withColumnRenamed("doc_id", "q_id"), "q_id")
               .groupBy("lang").agg(F.max(F.col("quality") + 1 > 1).alias("g")).collect()}
     langs = [r[0] for r in d.select("lang").distinct().collect()]
-    splits = {l: (d.filter(F.col("lang") == l).select("q_id"), graded.get(l, False)) for l in langs}
+    splits = {l: (d.filter(F.col("lang").eqNullSafe(F.lit(l))).select("q_id"), graded.get(l, False)) for l in langs}
     u, g = DS.pool_splits(splits)
     return out(u.withColumn("with_rels", F.lit(g)))
 

@@ -97,9 +97,11 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kilt_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, at, answer, provenance): one row per later turn of a conversation; ``at`` is
-    its place in the order of all turns."""
-    conv = load_table(spark, sf_dir, "conversations").filter((F.col("turn") > 0) & F.col("conv_id").isNotNull())
+    """(id, at, answer, provenance): one row per later turn of a conversation that has a
+    first one; ``at`` is its place in the order of all turns."""
+    turns = load_table(spark, sf_dir, "conversations").filter(F.col("conv_id").isNotNull())
+    asked = turns.filter(F.col("turn") == 0).select("conv_id").distinct()
+    conv = turns.filter(F.col("turn") > 0).join(asked, "conv_id", "left_semi")
     pages = int(load_table(spark, sf_dir, "pages").agg(F.count(F.lit(1))).first()[0])
     prov = F.when(F.col("role") == "assistant", F.array(F.struct(
         F.pmod(F.col("conv_id") * 31 + F.col("turn") * 7, F.lit(pages)).cast("string").alias("wikipedia_id"),
@@ -124,6 +126,22 @@ def kilt_queries(spark: SparkSession, sf_dir: str, chunk: int = NEST_CHUNK) -> D
                                          F.transform("xs", lambda e: e["o"]).cast(kind).alias("output")))
 
 
+def cited_judgments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_id, doc_id, passage_id, rel): conversations as queries, the paragraphs that their
+    answers cite as judged passages; graded 1 or 2 by the answer's length (odd is 2)."""
+    cited = kilt_outputs(spark, sf_dir).select("id", "answer", F.explode("provenance").alias("p"))
+    return (cited.groupBy(F.col("id").alias("q_id"), F.col("p.wikipedia_id").alias("doc_id"),
+                          F.col("p.start_paragraph_id").cast("string").alias("passage_id"))
+            .agg(F.max(F.length("answer") % 2 + 1).cast("int").alias("rel")))
+
+
+def passage_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, passage_id, record_id): every paragraph of every page, ids dense in key order."""
+    rows = page_paragraphs(spark, sf_dir).select(F.col("wikipedia_id").alias("doc_id"), F.posexplode("text").alias("place", "text")) \
+        .select("doc_id", F.col("place").cast("string").alias("passage_id"))
+    return ordered_index(rows, [F.col("doc_id"), F.col("passage_id")], "record_id")
+
+
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = load_table(spark, sf_dir, "pages")
     return pages.select(F.col("page_id").cast("string").alias("wikipedia_id"),

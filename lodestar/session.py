@@ -40,20 +40,18 @@ _LOCAL_DIRS: dict[str, str] = {}
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir`` (the shared folder); only
-    when it is unset (local tests) pick a folder of our own.  Returns the
-    directory in use."""
+    """The shared folder: the cluster's ``spark.checkpoint.dir``, or the checkpoint
+    folder that the context has been given.  Only a local master without either gets
+    a folder of this machine; on a cluster that is an error, as executors would not
+    see it."""
     sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = _LOCAL_DIRS.get(sc.applicationId)
-        if d is None:
-            d = tempfile.mkdtemp(prefix="lodestar-ckpt-")
-            _LOCAL_DIRS[sc.applicationId] = d
-            try:
-                spark.conf.set("spark.checkpoint.dir", d)
-            except Exception:  # noqa: BLE001 - core conf may be read-only at runtime
-                pass
+    if not d:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {sc.master})")
+        d = _LOCAL_DIRS[sc.applicationId] = tempfile.mkdtemp(prefix="lodestar-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d

@@ -190,3 +190,36 @@ def test_length_order_takes_long_texts(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.pos, r.doc_id) for r in q_lenorder(spark, str(tmp_path)).collect())
     assert got == list(enumerate([9, -5, 7, 3 << 41, 1 << 62]))
+
+
+def test_first_non_null_with_ties(spark):
+    one = spark.createDataFrame([(1, "second", 2), (1, "first", 1), (1, None, 0), (2, None, 0)], "doc_id long, text string, pos int")
+    two = spark.createDataFrame([(1, "other file", 0), (2, "late", 5)], "doc_id long, text string, pos int")
+    assert [tuple(r) for r in DS.first_non_null_by_key([one, two], pos="pos").collect()] == [(1, "first"), (2, "late")]
+    assert [tuple(r) for r in DS.first_non_null_by_key([two, one]).collect()] == [(1, "other file"), (2, "late")]
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from lodestar import session
+
+    class Context:
+        def __init__(self, master, folder=None):
+            self.master, self.folder, self.applicationId = master, folder, f"app-{master}"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return self.folder
+
+        def setCheckpointDir(self, d):
+            self.folder = d
+
+    class Session:
+        def __init__(self, *a):
+            self.sparkContext, self.conf = Context(*a), {}
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session("yarn"))
+    assert session.ensure_checkpoint_dir(Session("spark://host:7077", "hdfs:/shared")) == "hdfs:/shared"
+    here = Session("local[4]")
+    assert session.ensure_checkpoint_dir(here) == here.sparkContext.folder == session.ensure_checkpoint_dir(here)
