@@ -271,3 +271,15 @@ ORACLES["cited_sets"] = sql(KILT, CITED, select="""
 select q_id, 0::bigint part, string_agg(record_id::varchar, ',' order by record_id) answers,
   string_agg(record_id::varchar || ':' || rel::varchar, ',' order by record_id) rels from res group by q_id""")
 ORACLES["cited_long"] = sql(KILT, CITED, select="select q_id, record_id, rel from res")
+
+EMB = "e as (select vec_id record_id, embedding::double[] v from embeddings)"
+ORACLES["normalize_scaled"] = sql(EMB, """
+s as (select record_id, list_transform(v, lambda x: x * (record_id % 5)) v from e),
+n as (select record_id, list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-12)) emb from s)""",
+                                  select=long_form("n"))
+ORACLES["scrub_and_select"] = sql(EMB, """
+n as (select record_id, list_transform(v, lambda x, i: case when record_id % 2 = 1 or (record_id % 3 = 0 and i - 1 = record_id % len(v))
+  then 0.0::double else x::float::double end) emb from e)""", select=long_form("n"))
+ORACLES["truncate_words"] = """
+with t as (select doc_id, string_split(case when coalesce(text, '') = '' then '.' else replace(text, chr(10), ' ') end, ' ')[1:77] w from documents)
+select doc_id, md5(array_to_string(w, ' ')) text_md5, len(w)::bigint n_tokens from t"""

@@ -6,10 +6,7 @@ Output columns are normalised for comparison: integral -> bigint, floating
 """
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as T_W
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,6 +134,25 @@ def q_l2(spark, sf_dir):
     return long_form(f.queries.filter("split = 'test'").select(F.col("q_id").alias("record_id"), "embedding"))
 
 
+@register("normalize_scaled")
+def q_normalize(spark, sf_dir):
+    """V1 on vectors of many lengths, zero vectors among them."""
+    from ..functions.vectors import as_double, scale
+    e = load_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), as_double("embedding").alias("embedding"))
+    return long_form(with_normalized(e.withColumn("embedding", scale("embedding", F.pmod("record_id", F.lit(5)).cast("double"))), "embedding"))
+
+
+@register("scrub_and_select")
+def q_scrub(spark, sf_dir):
+    """V6-V8: every third vector gets a NaN, which is scrubbed; odd ids become zero vectors; stored as floats."""
+    from ..functions.vectors import as_double, as_float, nan_to_zero, select_when, zeros_like
+    e = load_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("record_id"), as_double("embedding").alias("v"))
+    hit = F.when(F.col("record_id") % 3 == 0, F.col("record_id") % F.size("v"))
+    broken = F.transform("v", lambda x, i: F.when(i == hit, F.lit(float("nan"))).otherwise(x))
+    clean = e.withColumn("v", broken).withColumn("v", nan_to_zero("v"))
+    return long_form(clean.select("record_id", as_double(as_float(select_when(F.col("record_id") % 2 == 0, "v", zeros_like("v")))).alias("embedding")))
+
+
 @register("vector_sum")
 def q_vsum(spark, sf_dir):
     f = fx(spark, sf_dir)
@@ -521,6 +537,14 @@ def q_pairs(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- text
+@register("truncate_words")
+def q_truncate(spark, sf_dir):
+    """T3 at the caption encoder's 77 tokens, which most texts pass."""
+    d = load_table(spark, sf_dir, "documents")
+    cut = EM.truncate_tokens(EM.fix_empty(EM.clean_newlines("text")), EM.MAX_TOKENS_CAPTION)
+    return out(d.select("doc_id", F.md5(cut).alias("text_md5"), F.size(F.split(cut, " ")).alias("n_tokens")))
+
+
 @register("clean_text")
 def q_clean(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents")
@@ -555,7 +579,7 @@ def q_lenorder(spark, sf_dir):
     d = load_table(spark, sf_dir, "documents").select("doc_id", "text")
     r = EM.length_ordered(d, "text", "doc_id").select("doc_id", F.length("text").alias("len"), F.monotonically_increasing_id().alias("at"))
     r = materialize(r.withColumn("part", F.shiftright("at", 33)), "length-order")
-    before = T_W.orderBy("part").rowsBetween(T_W.unboundedPreceding, -1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = r.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     place = F.col("off") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
     return out(r.join(F.broadcast(parts), "part").select("doc_id", "len", place.alias("pos")))      # one row per partition
