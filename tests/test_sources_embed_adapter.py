@@ -171,6 +171,28 @@ def test_method_matrix_with_adapter(spark):
     assert len(rep) == 2
 
 
+def test_method_matrix_on_own_tables(spark, tmp, fx):
+    """A published set of one's own: answerable records are tuned, the rest competes, the adapter trains."""
+    from lodestar.operators import datasets as DS
+    from lodestar.plans import experiment as EX
+    root = os.path.join(tmp, "own")
+    order = DS.train_first_order(fx.corpus, fx.judgments, fx.queries.filter("split <> 'test'").select("q_id"))
+    corpus = order.drop("record_id").withColumnRenamed("new_id", "record_id")
+    judged = fx.judgments.join(order.select("record_id", "new_id"), "record_id").select("q_id", F.col("new_id").alias("record_id"), "rel")
+    IO.write_published(corpus.select("record_id"), fx.queries.select("q_id", "split"), judged, root)
+    emb = DS.rekey_per_split(fx.queries.select("q_id", "split", "embedding")).select("q_id", "split", "embedding")
+    own = EX.processed_set(spark, root, corpus, emb)
+    m = EX.method_matrix(spark, {"own": own, "fx": "/root/testdata/sf0.001"}, methods=("no_ft", "n", "m", "adapter"),
+                         metrics=[("recall", 10), ("ndcg", 10)], config={"model": "hash", "dim": 64},
+                         adapter_settings=dict(batch_size=256, steps=2, val_freq=2, warmup_steps=2))
+    rows = {(r["q_set"], r["finetuner"]): r for r in m.collect()}
+    assert len(rows) == 8 and all(r["config_model"] == "hash" and r["config_dim"] == 64 for r in rows.values())
+    for method in ("no_ft", "n", "m", "adapter"):
+        a, b = rows["own", method], rows["fx", method]
+        assert (a["recall_10"], a["ndcg_10"]) == pytest.approx((b["recall_10"], b["ndcg_10"]), abs=2e-3), method
+        assert a["gamma"] == b["gamma"] or a["gamma"] == pytest.approx(b["gamma"])
+
+
 def test_shard_layout_arithmetic():
     # max_rows = cap_gb * 2^28 / dim; shards = ceil(n / max_rows); rows = ceil(n / shards)
     assert IO.shard_layout(1000, 1 / 2 ** 16, 64) == (16, 63)
