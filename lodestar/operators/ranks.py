@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.materialize import materialize
+from ..plans.materialize import discard, materialize
 
 ROWS_PER_BUCKET = 2_000_000   # rows one bucket's window may hold (bounded, spillable)
 RANGES_MOST = 1_000_000       # ranges of one order
@@ -84,7 +84,9 @@ def in_ranges(df: DataFrame, order: list) -> DataFrame:
         dealt = materialize(rows.repartitionByRange(buckets, *order).withColumn("__bk", F.spark_partition_id()), "ordered")
         largest = dealt.groupBy("__bk").count().agg(F.max("count")).first()[0] or 0
         if largest <= ROWS_PER_BUCKET or buckets >= RANGES_MOST:
+            discard(rows)
             return dealt
+        discard(dealt)
         buckets = min(RANGES_MOST, buckets * -(-2 * largest // ROWS_PER_BUCKET))
 
 

@@ -19,3 +19,14 @@ def materialize(df: DataFrame, name: str, partition_by: list | None = None) -> D
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of tables that ``materialize`` wrote and nothing reads any
+    more (what was made of them has been written itself)."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        conf = t.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)

@@ -46,3 +46,14 @@ def test_small_key_sets_filter_big_tables_in_place(spark, fx):
     dv = TUNE.QuerySet(fx.split("dev"), fx.judged("dev"))
     pl = _plan(TUNE.m_pairs(md, dv, untouched=fx.corpus))
     assert "BroadcastHashJoin" in pl and "LeftSemi" in pl
+
+
+def test_discarded_tables_are_gone(spark):
+    import os
+
+    from lodestar.plans.materialize import discard, materialize
+    a, b = materialize(spark.range(10), "first"), materialize(spark.range(5), "second")
+    folders = [t.inputFiles()[0].replace("file://", "").rsplit("/", 1)[0] for t in (a, b)]
+    made = materialize(a.withColumn("x", F.col("id") + 1), "third")
+    discard(a)
+    assert [os.path.exists(f) for f in folders] == [False, True] and made.count() == 10 and b.count() == 5
