@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .._ship import ship_package
-from ..plans.materialize import materialize
+from ..plans.materialize import discard, materialize
 from .common import slices
 from .repeated_passages import release_shuffles
 from .words import MIX, hashes_of_words, mixed
@@ -161,6 +161,7 @@ def fit(texts: DataFrame, seed: int = 11) -> Model:
     release_shuffles(spark)
     unknown, base = [], 1.0 / (v + 1)
     for s in range(SWEEPS + 1):
+        old = contexts, seats, words
         r = words.agg(F.sum("root").alias("n"), F.sum("t").alias("t")).first()
         n0, new = float(r["n"] or 0), (STRENGTH + d0 * float(r["t"] or 0)) * base
         now = (F.col("root") - d0 * F.col("t") + new) / (STRENGTH + n0)
@@ -182,15 +183,21 @@ def fit(texts: DataFrame, seed: int = 11) -> Model:
                                 .select("w", root, F.lit(new).alias("weight"), "c", "n", "singles", "roots")
                                 .mapInArrow(_seater(1, d0, seed + s), "w long, root long, t long, c long, n long, singles long, roots array<double>"),
                                 "lm-words")
+            discard(*old[1:])
+        if s > BURN_IN:
+            discard(old[0])
         release_shuffles(spark)
     used = SWEEPS - BURN_IN
+    old = words
     words = materialize(words.select("w", "c", "roots"), "lm-words")
+    discard(old)
     every = pairs.filter("c = 1").select("u", "w", "c", F.lit(1.0).alias("t")).unionByName(
         seats.select("u", "w", "c", (F.col("sum") / used).alias("t")))
     both = _with_side(_with_side(every, contexts.select("u", F.col("c").alias("cu"), "backs"), "u", "w", hot_u),
                       words.select("w", F.col("c").alias("wc"), "roots"), "w", "u", hot_w)
     p = (F.col("c") - d1 * F.col("t")) / (STRENGTH + F.col("cu")) + _dot("backs", "roots") / used
     out = materialize(both.select("u", "w", "c", p.alias("p"), "wc"), "lm-model")
+    discard(pairs, seats)
     release_shuffles(spark)
     return Model(out, contexts.select("u", "backs"), words, unknown, tokens, v)
 
