@@ -289,8 +289,8 @@ def _classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     found_components = components(links)
     release_shuffles(spark)
 
-    nodes = firsts.join(found_components, F.col("point") == F.col("node"), "left") \
-        .select("point", "doc_id", F.coalesce("component", "point").alias("component"))
+    nodes = materialize(firsts.join(found_components, F.col("point") == F.col("node"), "left")
+                        .select("point", "doc_id", F.coalesce("component", "point").alias("component")), "nodes")
     least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     joined = nodes.join(least, "component").select("point", "component_id")
     return points.join(joined, "point", "left").select(
