@@ -322,6 +322,41 @@ def test_calls_of_repeated_identifiers_are_kept(spark, monkeypatch):
     assert found[1, 30] == [("call_0", None, None)] and found[1, 40] == [("call_9", None, None), ("call_9", None, 41)]
 
 
+def test_calls_are_held_against_the_schemas_of_their_conversation(spark):
+    told = lambda **kinds: json.dumps({"tools": [
+        {"name": n, "parameters": {"properties": {"x": {"type": k}}, "required": ["x"]}} for n, k in kinds.items()]})
+    call = lambda name, x: json.dumps({"tool_calls": [{"id": "a", "name": name, "arguments": {"x": x}}]})
+    rows = [(1, 0, "system", told(f="integer")), (1, 1, "assistant", call("f", 1)), (1, 2, "assistant", call("f", "q")),
+            (1, 3, "system", told(f="string")), (1, 3, "assistant", call("f", "q")), (1, 4, "assistant", call("f", 1)),
+            (1, 5, "assistant", call("g", [])), (2, 0, "assistant", call("f", [])), (2, 1, "system", told(f="integer")),
+            (None, 0, "system", told(f="integer")), (None, 1, "assistant", call("f", "q")), (1, 6, "user", told(f="null")),
+            (3, 0, "system", json.dumps({"tools": [{"function": {"name": "f", "parameters": {"properties": 5}}}, {"name": "g"}, 7]})),
+            (3, 1, "assistant", call("f", 1)), (3, 2, "assistant", call("g", 1)), (4, 0, "system", "{bad")]
+    data = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = {(r.conv_id, r.turn): r.n_invalid for r in chat_records.link(data).filter("n_calls > 0").collect()}
+    assert got == {(1, 1): 0, (1, 2): 1, (1, 3): 0, (1, 4): 1, (1, 5): 0, (2, 0): 0, (None, 1): 0, (3, 1): 1, (3, 2): 0}
+    own = spark.createDataFrame([("f", '{"properties":{"x":{"type":"array"}}}')], "name string, schema string")
+    assert {(r.conv_id, r.turn) for r in chat_records.link(data, own).filter("n_invalid > 0").collect()} == \
+        {(1, 1), (1, 2), (1, 3), (1, 4), (3, 1), (None, 1)}
+
+
+@pytest.mark.parametrize("schema, good, bad", [
+    ({"anyOf": [{"type": "string"}, {"minimum": 3, "type": "number"}]}, ["a", 3], [2, None]),
+    ({"oneOf": [{"multipleOf": 2}, {"multipleOf": 3}]}, [2, 9], [6, 7]), ({"multipleOf": 0.1}, [0.3, 2], [0.35]),
+    ({"allOf": [{"exclusiveMinimum": 1}, {"exclusiveMaximum": 2}]}, [1.5], [1, 2]), ({"not": {"type": "null"}}, [0], [None]),
+    ({"pattern": "^a+$"}, ["aa", 1], ["ab"]), ({"enum": [1, {"a": [2.0]}]}, [1.0, {"a": [2]}], [True, {"a": [3]}]),
+    ({"$ref": "#/$defs/t", "$defs": {"t": {"type": "array", "items": {"$ref": "#/$defs/t"}}}}, [[], [[], [[]]]], [[1], {}]),
+    ({"$ref": "http://example.org/s"}, [], [1]), ({"$ref": "#"}, [], [1]), ({"type": "string", "minLength": "x"}, [], ["a"]),
+    ({"uniqueItems": True, "prefixItems": [{"type": "string"}], "items": {"type": "integer"}}, [["a", 1], []], [[1], ["a", 1, 1.0], ["a", "b"]]),
+    ({"contains": {"const": 1}, "maxContains": 2}, [[1, 2], [1, 1]], [[2], [1, 1, 1]]),
+    ({"patternProperties": {"^n_": {"type": "integer"}}, "additionalProperties": False}, [{"n_a": 1}], [{"n_a": "q"}, {"b": 1}]),
+    ({"propertyNames": {"maxLength": 2}, "minProperties": 1, "dependentRequired": {"a": ["b"]}}, [{"b": 1}, {"a": 1, "b": 1}], [{}, {"abc": 1}, {"a": 1}]),
+    ({"if": {"properties": {"k": {"const": 1}}}, "then": {"required": ["x"]}, "else": {"maxProperties": 1}}, [{"k": 1, "x": 1}, {"k": 2}], [{"k": 1}, {"k": 2, "x": 1}])])
+def test_schema_keywords(schema, good, bad):
+    assert [v for v in good if not chat_records.fits(v, json.dumps(schema))] == []
+    assert [v for v in bad if chat_records.fits(v, json.dumps(schema))] == []
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_stages_keep_columns(spark, tmp_path, empty):
     word = lambda: "".join(R.choice("abcdefghij") for _ in range(5))
