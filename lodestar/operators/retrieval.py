@@ -28,7 +28,7 @@ from .._ship import ship_package
 from ..plans.materialize import materialize
 from ..session import shared_dir
 from .ranks import ordered_index
-from .topk_kernel import block_scores, doc_step, merge_topk, round_scores
+from .topk_kernel import TILE_DOCS, TILE_ROWS, block_scores, fold_topk, tiles
 
 QUERY_BLOCK_CAP = 256 << 20   # bytes of float64 query block we allow to broadcast
 METRICS = ("cos", "dot")
@@ -93,12 +93,13 @@ def broadcast_chunks(df: DataFrame, id_col: str, vec_col: str = "embedding",
 
 def _scan_topk_fn(bc, k: int, bc_floor=None):
     """Top-k of each query over a task's documents; with ``bc_floor`` (a score per
-    query) only what reaches the floor."""
+    query) only what reaches the floor.  Queries are scored and emitted in tiles, so
+    that beside the block and its top-k a task holds one tile of scores."""
     def fn(batches):
         blk = bc.value
         qids, Q = blk.ids, blk.mat
-        state = None
-        step = doc_step(len(qids))
+        parts = tiles(len(qids), TILE_ROWS)
+        state = [None] * len(parts)
         for b in batches:
             if b.num_rows == 0 or len(qids) == 0:
                 continue
@@ -107,21 +108,21 @@ def _scan_topk_fn(bc, k: int, bc_floor=None):
             cos = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
             if cos.any():
                 D[cos] = np_normalize(D[cos])
-            for s in range(0, len(rid), step):
-                S = round_scores(block_scores(Q, D[s:s + step]))
-                I = np.broadcast_to(rid[s:s + step], S.shape)
-                state = merge_topk(state, S, I, k)
-        if state is None:
-            return
-        S, I = state
-        kk = S.shape[1]
-        q = np.repeat(qids, kk)
-        S, I = S.reshape(-1), I.reshape(-1)
-        if bc_floor is not None:
-            keep = S >= np.repeat(bc_floor.value, kk)
-            q, S, I = q[keep], S[keep], I[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(I), pa.array(S)],
-                                         names=["q_id", "record_id", "score"])
+            for docs in tiles(len(rid), TILE_DOCS):
+                for i, part in enumerate(parts):
+                    state[i] = fold_topk(state[i], block_scores(Q[part], D[docs]), rid[docs], k)
+        for i, part in enumerate(parts):
+            if state[i] is None:
+                return
+            S, I = state[i]
+            kk = S.shape[1]
+            q = np.repeat(qids[part], kk)
+            S, I = S.reshape(-1), I.reshape(-1)
+            if bc_floor is not None:
+                keep = S >= np.repeat(bc_floor.value[part], kk)
+                q, S, I = q[keep], S[keep], I[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(I), pa.array(S)],
+                                             names=["q_id", "record_id", "score"])
     return fn
 
 

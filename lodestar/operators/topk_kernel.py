@@ -9,11 +9,14 @@ from __future__ import annotations
 import numpy as np
 
 SCORE_DECIMALS = 12  # fixed value: rounding of scores before ranking
-# cap on the elements of one (queries x docs) score block inside a task
-BLOCK_ELEMENTS = 1 << 23
+ROWS = 64                     # block_scores pads both sides to a multiple
+# a task scores blocks of so many queries and documents, whatever the query block's size
+TILE_ROWS = 8 * ROWS
+TILE_DOCS = 16 * ROWS
 
 
-ROWS = 64                     # block_scores pads both sides to a multiple
+def tiles(n: int, step: int) -> list[slice]:
+    return [slice(i, min(n, i + step)) for i in range(0, n, step)]
 
 
 def _padded(m: np.ndarray) -> np.ndarray:
@@ -63,5 +66,33 @@ def merge_topk(state, S: np.ndarray, I: np.ndarray, k: int):
     return select_topk(S, I, k)
 
 
+def fold_topk(state, S: np.ndarray, ids: np.ndarray, k: int):
+    """``merge_topk`` of a block of unrounded scores (documents ``ids``): once there are
+    k rows, only scores that can reach the k-th are rounded and sorted in."""
+    if state is None or state[0].shape[1] < k:
+        return merge_topk(state, round_scores(S), np.broadcast_to(ids, S.shape), k)
+    Sk, Ik = state
+    low = Sk[:, -1]
+    with np.errstate(invalid="ignore"):
+        bar = low - (10.0 ** -SCORE_DECIMALS + 1e-15 * np.abs(low))
+        at = np.flatnonzero(~(S < bar[:, None]))               # what can't be compared counts
+    if len(at) == 0:
+        return state
+    if len(at) > S.size // 8:
+        return merge_topk(state, round_scores(S), np.broadcast_to(ids, S.shape), k)
+    r, c = np.divmod(at, S.shape[1])
+    rows = r[np.concatenate([[True], r[1:] != r[:-1]])]
+    every = np.concatenate([np.repeat(rows, k), r])
+    score = np.concatenate([Sk[rows].reshape(-1), round_scores(S[r, c])])
+    doc = np.concatenate([Ik[rows].reshape(-1), ids[c]])
+    o = np.lexsort((doc, -score, every))
+    first = o[np.searchsorted(every[o], rows)[:, None] + np.arange(k)]
+    Sk[rows], Ik[rows] = score[first], doc[first]
+    return Sk, Ik
+
+
+BLOCK_ELEMENTS = 1 << 23
+
+
 def doc_step(n_queries: int) -> int:
     return max(1, BLOCK_ELEMENTS // max(1, n_queries) // ROWS) * ROWS
