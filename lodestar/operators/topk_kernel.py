@@ -89,10 +89,3 @@ def fold_topk(state, S: np.ndarray, ids: np.ndarray, k: int):
     first = o[np.searchsorted(every[o], rows)[:, None] + np.arange(k)]
     Sk[rows], Ik[rows] = score[first], doc[first]
     return Sk, Ik
-
-
-BLOCK_ELEMENTS = 1 << 23
-
-
-def doc_step(n_queries: int) -> int:
-    return max(1, BLOCK_ELEMENTS // max(1, n_queries) // ROWS) * ROWS
