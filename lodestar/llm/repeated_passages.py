@@ -26,6 +26,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import struct
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,8 @@ from .common import add_columns, slices
 from .words import gram_hashes, split_words, word_hashes
 
 WINDOW, TRIPLE = 13, 3
-FLUSH_BYTES = 96 << 20       # of packed strings held by a task, about
+FLUSH_BYTES = 64 << 20       # of packed strings held by a task
+STRING_BYTES, PLACE_BYTES = 200, 24   # what a string takes beside its words, and a place
 PARTS_PER_PARTITION = 4
 TAG_BITS, START_BITS = 24, 39
 _PLACE = struct.Struct("<qq")
@@ -70,23 +72,19 @@ def super_kmers(hashes: np.ndarray, window: int = WINDOW, gram: int = TRIPLE):
     return first, last, best[first].view(np.int64)
 
 
-def _block(rows: list[tuple[bytes, list]]) -> bytes:
+def _block(keys: list[bytes], bucket: np.ndarray, places: np.ndarray, doc: np.ndarray, start: np.ndarray) -> bytes:
     """Packed strings with their buckets and places, compressed."""
-    head = np.array([len(rows)], np.int64)
-    bucket = np.fromiter((v[0] for _, v in rows), np.int64, len(rows))
-    size = np.fromiter((len(k) for k, _ in rows), np.int32, len(rows))
-    places = np.fromiter((len(v) // 2 for _, v in rows), np.int32, len(rows))
-    doc = np.array([d for _, v in rows for d in v[1::2]], np.int64)
-    start = np.array([d for _, v in rows for d in v[2::2]], np.int64)
-    columns = (head, bucket, size, places, doc, start)
-    return zstandard.compress(b"".join(c.tobytes() for c in columns) + b"".join(k for k, _ in rows), 3)
+    head = np.array([len(keys)], np.int64)
+    size = np.fromiter(map(len, keys), np.int32, len(keys))
+    columns = (head, bucket, size, places.astype(np.int32), doc, start)
+    return zstandard.compress(b"".join([*(c.tobytes() for c in columns), *keys]), 3)
 
 
 def _unpacked(batches):
     """Rows (bucket, least id, packed words, places) of the blocks."""
     for b in batches:
-        for block in b.column(0).to_pylist():
-            raw = zstandard.decompress(block)
+        for block in b.column(0):
+            raw = zstandard.decompress(block.as_buffer())
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             at = 8
 
@@ -124,20 +122,31 @@ def _packer(parts: int):
 
 def _packed(batches, parts: int):
     """Blocks (part, compressed strings) of one task's documents."""
-    held: dict[bytes, list] = {}
+    held: dict[bytes, int] = {}                 # the number of a string
+    buckets, of, docs, starts = (array("q") for _ in range(4))      # by string; by place: its string, document and start
     size = 0
 
     def flush():
-        rows = list(held.items())
+        keys = list(held)
         held.clear()
-        part = np.fromiter((v[0] for _, v in rows), np.int64, len(rows)).view(np.uint64) % np.uint64(parts)
+        bucket, string, doc, begin = (np.array(c, np.int64) for c in (buckets, of, docs, starts))
+        for c in (buckets, of, docs, starts):
+            del c[:]
+        part = bucket.view(np.uint64) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
-        part = part[order].astype(np.int64)
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(rows)] if rows else [0]
-        order = order.tolist()
+        part, bucket = part[order].astype(np.int64), bucket[order]
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        string = rank[string]
+        places = np.bincount(string, minlength=len(keys))
+        by_string = np.argsort(string, kind="stable")
+        doc, begin = doc[by_string], begin[by_string]
+        first = np.concatenate([[0], np.cumsum(places)])
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(keys)] if keys else [0]
         for a, z in zip(cuts, cuts[1:]):
-            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int64()),
-                                              pa.array([_block([rows[i] for i in order[a:z]])], pa.binary())],
+            p, q = first[a], first[z]
+            block = _block([keys[i] for i in order[a:z].tolist()], bucket[a:z], places[a:z], doc[p:q], begin[p:q])
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[a])], pa.int64()), pa.array([block], pa.binary())],
                                              names=["part", "block"])
 
     for b in batches:
@@ -157,12 +166,14 @@ def _packed(batches, parts: int):
                 end = (ends[last + WINDOW - 1] - 1).tolist()
                 for a, p, q, m in zip(first.tolist(), begin, end, bucket.tolist()):
                     key = line[p:q]
-                    if (seen := held.get(key)) is None:
-                        held[key] = [m, doc, tag | a]
-                        size += q - p + 250
-                    else:
-                        seen += (doc, tag | a)
-                        size += 80
+                    if (at := held.get(key)) is None:
+                        at = held[key] = len(held)
+                        buckets.append(m)
+                        size += q - p + STRING_BYTES
+                    of.append(at)
+                    docs.append(doc)
+                    starts.append(tag | a)
+                    size += PLACE_BYTES
             if size > FLUSH_BYTES:
                 yield from flush()
                 size = 0
