@@ -265,24 +265,24 @@ def _ahead_scan_fn(bc, gammas, val_k, bc_closed=None):
             reach = (np.abs(A) + np.abs(B) * length).max(axis=0)
             moves = ctc > 0
             for docs in tiles(len(rid), TILE_DOCS):
-                to = np.flatnonzero(moves[docs])
-                ends = np.concatenate([V[docs] * reach[docs, None], C[docs][to] * (reach[docs] / length[docs])[to, None]])
-                most = np.sqrt(_row_dots(ends, ends).max())
-                ends = ends.astype(np.float32).T.copy()
+                order = docs.start + np.argsort(~moves[docs], kind="stable")       # what moves comes first
+                to = order[:int(moves[docs].sum())]
+                stay, go = V[order] * reach[order, None], C[to] * (reach[to] / length[to])[:, None]
+                most = np.sqrt(np.maximum(_row_dots(stay, stay).max(), _row_dots(go, go).max(initial=0.0)))
+                stay, go = stay.astype(np.float32).T.copy(), go.astype(np.float32).T.copy()
                 bar = lowest - slack * most
                 bar = np.where(bar > 0, bar, -np.inf).astype(np.float32)
-                m = docs.stop - docs.start
                 for part in tiles(len(live), TILE_ROWS):
                     rows = live[part]
-                    near = ~((Qf[rows] @ ends) < bar[rows, None])
-                    can = near[:, :m]
-                    if len(to) == m:
-                        can = can | near[:, m:]
-                    elif len(to):
-                        can[:, to] |= near[:, m:]
-                    r, d = np.nonzero(can)
+                    q = Qf[rows]
+                    high = q @ stay
+                    if len(to):
+                        np.maximum(high[:, :len(to)], q @ go, out=high[:, :len(to)])
+                    some_can = np.flatnonzero(~(high.max(axis=1) < bar[rows]))      # what can't be compared counts
+                    high, rows = high[some_can], rows[some_can]
+                    r, d = np.divmod(np.flatnonzero(~(high < bar[rows, None])), len(order))
                     for some in tiles(len(r), _SOME):
-                        count(rows, r[some], docs.start + d[some])
+                        count(rows, r[some], order[d[some]])
                 lowest[live] = np.where(ahead[:, live] < val_k, bars[:, live], np.inf).min(axis=0)
                 live = live[lowest[live] < np.inf]
         found = np.flatnonzero(ahead.any(axis=0))
