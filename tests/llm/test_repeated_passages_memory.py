@@ -23,7 +23,8 @@ def test_packer_holds_about_what_it_is_allowed(monkeypatch):
     assert peak < 2 * most
 
     windows = 0
-    for b in repeated_passages._unpacked(repeated_passages._packed(iter(batches), 4)):
+    blocks = (b.select(["block"]) for b in repeated_passages._packed(iter(batches), 4))
+    for b in repeated_passages._unpacked(blocks):
         for words, places in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
             for doc, where in repeated_passages._PLACE.iter_unpack(places):
                 start = where & ((1 << repeated_passages.START_BITS) - 1)
