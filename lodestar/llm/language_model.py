@@ -58,7 +58,7 @@ STRENGTH = 1.0
 ONE_BY_ONE = 32                # customers of a count that are seated one by one
 CHUNK_TOKENS = 1 << 20         # tokens that a task gathers before it sends their pairs
 CHUNK_TEXTS = 1 << 16          # and texts, at most
-ROUNDS = 4                     # parts in which documents are scored
+ROUNDS = 3                     # parts in which documents are scored
 END = xxhash.xxh64_intdigest(b"end of text", 7)
 START = xxhash.xxh64_intdigest(b"start of text", 7)
 
@@ -330,28 +330,30 @@ def _of_kind(t: pa.Table, kind: int) -> pa.Table:
     return t.filter(pa.array(t["kind"].to_numpy() == kind)).sort_by("from")
 
 
-_SEATS = "to long, t binary, sum binary"
+_SEATS = "to long, t binary, sum binary, homes binary, ends binary, tables binary"
 
 
 def _seated(groups: int, d1: float, seed: int, count: bool):
-    """New tables of a group's pairs; ``count``: the old ones are summed up."""
+    """New tables of a group's pairs, and of its contexts and words for their homes; ``count``: the old ones are summed up."""
     def run(key, left, right):
         g, old = _Group(left.to_pylist()[0], groups), _of_kind(right, SEATS)
         t, total = (_from_planes(old[x][0].as_py(), np.int64) for x in "ab") if old.num_rows else (np.ones(len(g.many), np.int64), np.zeros(len(g.many), np.int64))
         weight, now = g.received(_of_kind(right, NOW)["a"], np.float64)
         u, w = g.of[g.many], g.at[g.many]
-        new = seat(g.often, weight[u] * now[w], d1, _pair_key(g.u[u], g.w[w]), seed)
-        return _table([{"to": key[0].as_py(), "t": _planes(new.astype(np.int64)), "sum": _planes(total + t * count)}], _SEATS)
+        new = seat(g.often, weight[u] * now[w], d1, _pair_key(g.u[u], g.w[w]), seed).astype(np.int64)
+        per = np.concatenate([np.bincount(k, weights=new, minlength=len(x)).astype(np.int64) for k, x in ((u, g.u), (w, g.w))])
+        return _table([{"to": key[0].as_py(), "t": _planes(new), "sum": _planes(total + t * count), "homes": g.homes.tobytes(),
+                        "ends": g.ends.tobytes(), "tables": _planes(per[g.order])}], _SEATS)
     return run
 
 
-def _tables_of(groups: int):
-    """Tables of a group's contexts and words, for their rows."""
-    def run(key, left, right):
-        g, t = _Group(left.to_pylist()[0], groups), _from_planes(right["t"][0].as_py(), np.int64)
-        per = [np.bincount(k[g.many], weights=t, minlength=len(y)).astype(np.int64) for k, y in ((g.of, g.u), (g.at, g.w))]
-        return pa.table([pa.array(g.homes), pa.array(np.full(len(g.homes), key[0].as_py())), g.sent(*per)], names=["to", "group", "t"])
-    return run
+def _tables_sent(batches):
+    """Tables of each group's contexts and words, for their homes."""
+    for b in batches:
+        for row in b.to_pylist():
+            homes, ends = (np.frombuffer(row[x], np.int64) for x in ("homes", "ends"))
+            yield pa.RecordBatch.from_arrays([pa.array(homes), pa.array(np.full(len(homes), row["to"])), _cut(_from_planes(row["tables"], np.int64), ends)],
+                                             names=["to", "group", "t"])
 
 
 def _reseated(groups: int, scalars, seed: int, count: bool):
@@ -405,7 +407,7 @@ class Model:
 
     def told(self) -> DataFrame:
         """What a group needs beside its pairs: their seats, the tokens and factors of its contexts and words."""
-        return self.seats.mapInArrow(_kept_seats, _ANSWER).unionByName(self.keys.mapInArrow(_told(self.groups, None), _ANSWER))
+        return self.seats.select("to", "t", "sum").mapInArrow(_kept_seats, _ANSWER).unionByName(self.keys.mapInArrow(_told(self.groups, None), _ANSWER))
 
     def pairs_from(self, least: int) -> DataFrame:
         """u, w, c, p, wc of the pairs that occur ``least`` times or more."""
@@ -515,11 +517,11 @@ def fit(texts: DataFrame, seed: int = 11) -> Model:
             told = keys.mapInArrow(_told(groups, scalars), _ANSWER)
             if seats is not None:
                 old.append(seats)
-                told = told.unionByName(seats.mapInArrow(_kept_seats, _ANSWER))
+                told = told.unionByName(seats.select("to", "t", "sum").mapInArrow(_kept_seats, _ANSWER))
             seats = materialize(blocks.groupBy("to").cogroup(told.groupBy("to"))
                                 .applyInArrow(_seated(groups, d1, seed + s, count), _SEATS), "lm-seats")
             release_shuffles(spark)
-            tables = blocks.groupBy("to").cogroup(seats.groupBy("to")).applyInArrow(_tables_of(groups), "to long, `group` long, t binary")
+            tables = seats.select("to", "homes", "ends", "tables").mapInArrow(_tables_sent, "to long, `group` long, t binary")
             keys = materialize(keys.groupBy("to").cogroup(tables.groupBy("to"))
                                .applyInArrow(_reseated(groups, scalars, seed + s, count), _KEYS), "lm-keys")
         else:
