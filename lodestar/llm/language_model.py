@@ -10,8 +10,11 @@ The pairs of all training documents are counted in groups of contexts; those of
 frequent context are dealt over several groups by their words (which ones, a sample
 of the texts tells; it settles nothing but where a pair lies).  A group's pairs are
 one row of packed arrays: its contexts, its words and, for each pair, where its word
-stands.  Contexts and words have rows of their own, by their hash, which know the
-groups that hold them.  In a sweep these rows send each group the totals of its
+stands.  Contexts and words have rows of their own, by ranges of their hash (homes),
+which know the groups that hold them.  The number of groups follows the bytes of text,
+that of homes the keys which the groups hold: with more than one home, a group has
+MESSAGE_KEYS keys or more for each, on average.  So there are as many messages as the
+data asks for, however many partitions a shuffle has.  In a sweep these rows send each group the totals of its
 contexts and words, every customer draws a seat given the totals of the last sweep,
 first in the contexts, then in the root, and the groups send back the tables of each
 context and word.  So no pair moves: what travels is one number for each key of a
@@ -52,6 +55,9 @@ from .words import MIX, hashes_of_words, mixed
 FREQUENT_PAIRS = 1 << 18       # broadcast (context, word) pairs, at most
 HOT_KEYS = 2000                # contexts or words whose pairs are dealt over several groups, at most
 HOT_LEAST = 1000               # pairs (tokens of the sample, for contexts) that a key has at least before that
+GROUP_BYTES = 1 << 20          # of text for each group, at least ...
+LEAST_GROUPS = 16              # ... beyond so many groups; at most two for each partition of a shuffle
+MESSAGE_KEYS = 512             # contexts and words of a group for each home, on average, at least
 HOT_SAMPLE = 32                # one text in so many tells which contexts are frequent
 SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
@@ -148,8 +154,28 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(first)
 
 
-def _home(keys: np.ndarray, groups: int) -> np.ndarray:
-    return ((mixed(keys) >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)).astype(np.int64)
+def _order(keys: np.ndarray) -> np.ndarray:
+    """Places of the sorted keys.  Their first bits are sorted along with the places, which takes a fraction of the time
+    of an argsort; keys that agree in these bits and no further are rare."""
+    places = np.uint64((1 << (len(keys) - 1).bit_length()) - 1)
+    order = (np.sort(keys & ~places | np.arange(len(keys), dtype=np.uint64)) & places).view(np.int64)
+    found = keys[order]
+    return order if (found[1:] >= found[:-1]).all() else np.argsort(keys)
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, sorted; where among them each key stands)."""
+    order = _order(keys)
+    found = keys[order]
+    first = _starts(found)
+    at = np.empty(len(keys), np.int64)
+    at[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(keys))))
+    return found[first], at
+
+
+def _home(keys: np.ndarray, homes: int) -> np.ndarray:
+    """Keys are hashes; homes ascend with them."""
+    return ((keys >> np.uint64(32)) * np.uint64(homes) >> np.uint64(32)).astype(np.int64)
 
 
 def _group_of(u: np.ndarray, w: np.ndarray, groups: int, hot) -> np.ndarray:
@@ -165,7 +191,9 @@ def _group_of(u: np.ndarray, w: np.ndarray, groups: int, hot) -> np.ndarray:
 def _by_group(u: np.ndarray, w: np.ndarray, groups: int, hot):
     """(order, group of each sorted pair, first pair of each run of one context, groups met, their last pairs, their last runs)."""
     to = _group_of(u, w, groups, hot)
-    order = np.argsort((to.astype(np.uint64) << np.uint64(40)) | (mixed(u) >> np.uint64(24)), kind="stable")
+    high, low = groups.bit_length(), (len(u) - 1).bit_length()       # bits of the group, and those that _order takes
+    code = (u << np.uint64(high + low + 8) >> np.uint64(high)) | (w >> np.uint64(56) << np.uint64(low))
+    order = _order((to.astype(np.uint64) << np.uint64(64 - high)) | code)
     to, u = to[order], u[order]
     runs, firsts = _starts(to, u), _starts(to)
     ends = np.append(firsts[1:], len(to)) if len(to) else firsts
@@ -179,7 +207,10 @@ def _packer(groups: int, hot):
     """Distinct pairs of each chunk with their counts, packed by group."""
     def run(batches):
         for u, w, _, _ in _chunks(batches):
-            _, first, c = np.unique(_pair_key(u, w), return_index=True, return_counts=True)
+            key = _pair_key(u, w)
+            order = _order(key)
+            first = _starts(key[order])
+            c, first = np.diff(np.append(first, len(key))), order[first]
             u, w = u[first], w[first]
             order, runs, to, ends, run_ends = _by_group(u, w, groups, hot)
             size = np.diff(np.append(runs, len(order))).astype(np.int32)
@@ -190,59 +221,56 @@ def _packer(groups: int, hot):
     return run
 
 
-_BLOCK = "to long, u binary, r binary, w binary, at binary, many binary, c binary, ones long, twos long"
+_BLOCK = "to long, u binary, r binary, w binary, at binary, many binary, c binary, ones long, twos long, keys long"
 
 
 def _merged(key, t):
     """A group's pairs as one row: contexts (u) with their numbers of pairs (r), words (w), the place of each pair's
     word (at), and which pairs occur more than once (many), how often (c)."""
-    u = np.repeat(_flat(t["u"], np.uint64), _flat_planes(t["r"], np.int32))
-    w, c = _flat(t["w"], np.uint64), _flat_planes(t["c"], np.int32)
-    order = np.lexsort((w, u))
-    u, w = u[order], w[order]
-    first = _starts(u, w)
-    c, u, w = np.add.reduceat(c[order].astype(np.int64), first), u[first], w[first]
-    runs, (words, at) = _starts(u), np.unique(w, return_inverse=True)
+    (contexts, of), (words, at) = _distinct(_flat(t["u"], np.uint64)), _distinct(_flat(t["w"], np.uint64))
+    code = (np.repeat(of, _flat_planes(t["r"], np.int32)) * len(words) + at).astype(np.uint64)
+    order = _order(code << np.uint64(64 - (len(contexts) * len(words)).bit_length()))
+    code = code[order]
+    first = _starts(code)
+    c, of, at = np.add.reduceat(_flat_planes(t["c"], np.int32)[order].astype(np.int64), first), *np.divmod(code[first].astype(np.int64), len(words))
     many = np.flatnonzero(c > 1)
-    columns = [u[runs], np.diff(np.append(runs, len(u))).astype(np.int32), words, at.astype(np.int32), many.astype(np.int32), c[many]]
+    columns = [contexts, np.bincount(of).astype(np.int32), words, at.astype(np.int32), many.astype(np.int32), c[many]]
     return pa.table([pa.array([key[0].as_py()], pa.int64()), *(pa.array([_planes(x)]) for x in columns),
-                     *(pa.array([int((c == n).sum())], pa.int64()) for n in (1, 2))], names=[x.split()[0] for x in _BLOCK.split(", ")])
+                     *(pa.array([n], pa.int64()) for n in (int((c == 1).sum()), int((c == 2).sum()), len(contexts) + len(words)))],
+                    names=[x.split()[0] for x in _BLOCK.split(", ")])
 
 
 class _Group:
     """A group's row, unpacked; ``row`` is one of its blocks as a mapping."""
 
-    def __init__(self, row, groups: int):
+    def __init__(self, row, homes: int):
         self.u, self.w = (_from_planes(row[x], np.uint64) for x in "uw")
         self.at, self.many, runs = (_from_planes(row[x], np.int32) for x in ("at", "many", "r"))
         self.of = np.repeat(np.arange(len(self.u)), runs)
         self.often = _from_planes(row["c"], np.int64)
         self.c = np.ones(len(self.at), np.int64)
         self.c[self.many] = self.often
-        home = np.append(_home(self.u, groups), groups + _home(self.w, groups))
-        self.order = np.argsort(home, kind="stable")
-        first = _starts(home[self.order])
-        self.homes, self.ends = home[self.order][first], np.append(first[1:], len(home))
+        home = np.append(_home(self.u, homes), homes + _home(self.w, homes))
+        first = _starts(home)
+        self.homes, self.ends = home[first], np.append(first[1:], len(home))
 
     def sent(self, contexts: np.ndarray, words: np.ndarray) -> pa.Array:
         """One value for each context and word, as blocks for their homes."""
-        return _cut(np.append(contexts, words)[self.order], self.ends)
+        return _cut(np.append(contexts, words), self.ends)
 
     def received(self, column, kind, width: int = 1):
         """Values of contexts and of words from the answers of their homes, in the order of these."""
-        got = _flat(column, kind).reshape(-1, width)
-        out = np.empty_like(got)
-        out[self.order] = got
-        out = out if width > 1 else out[:, 0]
-        return out[:len(self.u)], out[len(self.u):]
+        got = _flat(column, kind)
+        got = got.reshape(-1, width) if width > 1 else got
+        return got[:len(self.u)], got[len(self.u):]
 
 
-def _seen(groups: int):
+def _seen(homes: int):
     """What the rows of contexts and words get to know of a group: their tokens, pairs and pairs that occur once."""
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                g = _Group(row, groups)
+                g = _Group(row, homes)
                 per = lambda x: g.sent(*(np.bincount(k, weights=x, minlength=len(y)).astype(np.int64) for k, y in ((g.of, g.u), (g.at, g.w))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(g.homes), pa.array(np.full(len(g.homes), row["to"])), g.sent(g.u, g.w), per(g.c), per(np.ones(len(g.c))), per(g.c == 1)],
@@ -265,24 +293,24 @@ def _table(rows: list[dict], ddl: str) -> pa.Table:
     return pa.Table.from_pylist(rows, pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))]))
 
 
-def _keys_of(groups: int):
+def _keys_of(homes: int):
     """The row of all contexts or words with one home: the groups that hold them, where each of their keys stands (at),
     tokens (c), pairs that occur once (s), and the customers and tables in the root (n, t); contexts have as n the
     tables of their other pairs."""
     def run(key, t):
         t, to = t.sort_by("group"), key[0].as_py()
-        k, at = np.unique(_flat(t["k"], np.uint64), return_inverse=True)
+        k, at = _distinct(_flat(t["k"], np.uint64))
         total = lambda x: np.bincount(at, weights=_flat(t[x], np.int64)).astype(np.int64)
         c, n, s = total("c"), total("n"), total("s")
         sizes = np.array([len(x) // 8 for x in t["k"].to_pylist()], np.int64)
-        return _table([_keys_row(to, t["group"].to_numpy(), sizes, k, at.astype(np.int32), c, s, n if to >= groups else n - s, np.ones_like(n),
+        return _table([_keys_row(to, t["group"].to_numpy(), sizes, k, at.astype(np.int32), c, s, n if to >= homes else n - s, np.ones_like(n),
                                  np.zeros((len(k), 0)))], _KEYS)
     return run
 
 
 class _Keys:
-    def __init__(self, row, groups: int):
-        self.to, self.words = row["to"], row["to"] >= groups
+    def __init__(self, row, homes: int):
+        self.to, self.words = row["to"], row["to"] >= homes
         self.groups, self.sizes, self.c, self.s, self.n, self.t = (_from_planes(row[x], np.int64) for x in ("groups", "sizes", "c", "s", "n", "t"))
         self.k, self.at = _from_planes(row["k"], np.uint64), _from_planes(row["at"], np.int32)
         self.past = np.frombuffer(row["past"], np.float64).reshape(len(self.k), -1)
@@ -308,22 +336,23 @@ def _answers(rows) -> pa.RecordBatch:
                                       names=["to", "kind", "from", *"abcde"])
 
 
-def _told(groups: int, scalars):
+def _told(homes: int, scalars):
     """What the rows of contexts and words answer to the groups: the totals of this sweep, or at the end (without
     ``scalars``) tokens and factors."""
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                k = _Keys(row, groups)
+                k = _Keys(row, homes)
                 ends = np.cumsum(k.sizes)
                 blocks = [_cut(k.now(*scalars)[k.at], ends)] if scalars else [_cut(k.c[k.at], ends), _cut(k.past[k.at], ends)]
                 yield _answers([k.groups, NOW, k.to, *blocks])
     return run
 
 
-def _kept_seats(batches):
-    for b in batches:
-        yield _answers([b.column(0), SEATS, -1, b.column(1), b.column(2)])
+def _kept(seats: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("binary")
+    return seats.select("to", F.lit(SEATS).cast("long").alias("kind"), F.lit(-1).cast("long").alias("from"), F.col("t").alias("a"), F.col("sum").alias("b"),
+                        *[none.alias(x) for x in "cde"])
 
 
 def _of_kind(t: pa.Table, kind: int) -> pa.Table:
@@ -333,17 +362,17 @@ def _of_kind(t: pa.Table, kind: int) -> pa.Table:
 _SEATS = "to long, t binary, sum binary, homes binary, ends binary, tables binary"
 
 
-def _seated(groups: int, d1: float, seed: int, count: bool):
+def _seated(homes: int, d1: float, seed: int, count: bool):
     """New tables of a group's pairs, and of its contexts and words for their homes; ``count``: the old ones are summed up."""
     def run(key, left, right):
-        g, old = _Group(left.to_pylist()[0], groups), _of_kind(right, SEATS)
+        g, old = _Group(left.to_pylist()[0], homes), _of_kind(right, SEATS)
         t, total = (_from_planes(old[x][0].as_py(), np.int64) for x in "ab") if old.num_rows else (np.ones(len(g.many), np.int64), np.zeros(len(g.many), np.int64))
         weight, now = g.received(_of_kind(right, NOW)["a"], np.float64)
         u, w = g.of[g.many], g.at[g.many]
         new = seat(g.often, weight[u] * now[w], d1, _pair_key(g.u[u], g.w[w]), seed).astype(np.int64)
         per = np.concatenate([np.bincount(k, weights=new, minlength=len(x)).astype(np.int64) for k, x in ((u, g.u), (w, g.w))])
         return _table([{"to": key[0].as_py(), "t": _planes(new), "sum": _planes(total + t * count), "homes": g.homes.tobytes(),
-                        "ends": g.ends.tobytes(), "tables": _planes(per[g.order])}], _SEATS)
+                        "ends": g.ends.tobytes(), "tables": _planes(per)}], _SEATS)
     return run
 
 
@@ -356,10 +385,10 @@ def _tables_sent(batches):
                                              names=["to", "group", "t"])
 
 
-def _reseated(groups: int, scalars, seed: int, count: bool):
+def _reseated(homes: int, scalars, seed: int, count: bool):
     """The rows of contexts and words after a sweep; the words' new customers take their seats in the root."""
     def run(key, left, right):
-        k = _Keys(left.to_pylist()[0], groups)
+        k = _Keys(left.to_pylist()[0], homes)
         n = np.bincount(k.at, weights=_flat(right.sort_by("group")["t"], np.int64), minlength=len(k.k)).astype(np.int64)
         past, t = k.with_past(k.now(*scalars)) if count else k.past, k.t
         if k.words:
@@ -369,12 +398,12 @@ def _reseated(groups: int, scalars, seed: int, count: bool):
     return run
 
 
-def _ended(groups: int, scalars):
+def _ended(homes: int, scalars):
     """Rows of contexts and words with the last factor; what only the sweeps need is left out."""
     def run(batches):
         for b in batches:
             for row in b.to_pylist():
-                k, none = _Keys(row, groups), np.zeros(0, np.int64)
+                k, none = _Keys(row, homes), np.zeros(0, np.int64)
                 out = _keys_row(k.to, k.groups, k.sizes, k.k, k.at, k.c, none, none, none, k.with_past(k.now(*scalars)))
                 yield from _table([out], _KEYS).to_batches()
     return run
@@ -401,20 +430,21 @@ def seat(customers: np.ndarray, weight: np.ndarray, discount: float, keys: np.nd
 class Model:
     """Groups of pairs, their seats, and rows of contexts and words."""
 
-    def __init__(self, blocks: DataFrame, seats: DataFrame, keys: DataFrame, d1: float, unknown: list[float], tokens: int, v: int, groups: int, hot):
+    def __init__(self, blocks: DataFrame, seats: DataFrame, keys: DataFrame, d1: float, unknown: list[float], tokens: int, v: int,
+                 groups: int, homes: int, hot):
         self.blocks, self.seats, self.keys, self.d1, self.unknown = blocks, seats, keys, d1, unknown
-        self.tokens, self.v, self.groups, self.hot = tokens, v, groups, hot
+        self.tokens, self.v, self.groups, self.homes, self.hot = tokens, v, groups, homes, hot
 
     def told(self) -> DataFrame:
         """What a group needs beside its pairs: their seats, the tokens and factors of its contexts and words."""
-        return self.seats.select("to", "t", "sum").mapInArrow(_kept_seats, _ANSWER).unionByName(self.keys.mapInArrow(_told(self.groups, None), _ANSWER))
+        return _kept(self.seats).unionByName(self.keys.mapInArrow(_told(self.homes, None), _ANSWER))
 
     def pairs_from(self, least: int) -> DataFrame:
         """u, w, c, p, wc of the pairs that occur ``least`` times or more."""
-        groups, d1 = self.groups, self.d1
+        homes, d1 = self.homes, self.d1
 
         def run(key, left, right):
-            g, p, wc = _probabilities(left, right, groups, d1)
+            g, p, wc = _probabilities(left, right, homes, d1)
             some = np.flatnonzero(g.c >= least)
             u, w = g.u[g.of[some]].view(np.int64), g.w[g.at[some]].view(np.int64)
             return pa.table([u, w, g.c[some], p[some], wc[g.at[some]]], names=["u", "w", "c", "p", "wc"])
@@ -425,15 +455,15 @@ class Model:
         return self.pairs_from(1)
 
     def _rows(self, words: bool, names: list[str]) -> DataFrame:
-        groups = self.groups
+        homes = self.homes
 
         def run(batches):
             for b in batches:
                 for row in b.to_pylist():
-                    k = _Keys(row, groups)
+                    k = _Keys(row, homes)
                     past = pa.FixedSizeListArray.from_arrays(pa.array(k.past.ravel()), k.past.shape[1]).cast(pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([pa.array(k.k.view(np.int64)), pa.array(k.c), past], names=names)
-        rows = self.keys.filter(F.col("to") >= groups if words else F.col("to") < groups)
+        rows = self.keys.filter(F.col("to") >= homes if words else F.col("to") < homes)
         return rows.mapInArrow(run, f"{names[0]} long, {names[1]} long, {names[2]} array<double>")
 
     @property
@@ -445,9 +475,9 @@ class Model:
         return self._rows(True, ["w", "c", "roots"])
 
 
-def _probabilities(left: pa.Table, right: pa.Table, groups: int, d1: float):
+def _probabilities(left: pa.Table, right: pa.Table, homes: int, d1: float):
     """(group, probability of each of its pairs, tokens of each of its words)."""
-    g, seats, told, used = _Group(left.to_pylist()[0], groups), _of_kind(right, SEATS), _of_kind(right, NOW), SWEEPS - BURN_IN
+    g, seats, told, used = _Group(left.to_pylist()[0], homes), _of_kind(right, SEATS), _of_kind(right, NOW), SWEEPS - BURN_IN
     t = np.ones(len(g.c))
     t[g.many] = sum(_from_planes(seats[x][0].as_py(), np.int64) for x in "ab") / used
     (cu, wc), (backs, roots) = g.received(told["a"], np.int64), g.received(told["b"], np.float64, used)
@@ -495,40 +525,43 @@ def fit(texts: DataFrame, seed: int = 11) -> Model:
     """Learn from the column ``text``."""
     spark = texts.sparkSession
     ship_package(spark)
-    groups = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = min(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), max(LEAST_GROUPS, size // GROUP_BYTES))
     hot = _hot_contexts(texts, groups)
     blocks = materialize(texts.mapInArrow(_packer(groups, hot), _PAIRS).groupBy("to").applyInArrow(_merged, _BLOCK), "lm-pairs")
     release_shuffles(spark)
-    keys = materialize(blocks.mapInArrow(_seen(groups), "to long, `group` long, k binary, c binary, n binary, s binary")
-                       .groupBy("to").applyInArrow(_keys_of(groups), _KEYS), "lm-keys")
-    release_shuffles(spark)
     sums = lambda df, *names: df.agg(*[F.sum(x).alias(x) for x in names]).first()
-    words = sums(keys.filter(F.col("to") >= groups), "sum_c", "keys", "ones", "twos")
+    held = sums(blocks, "ones", "twos", "keys")
+    homes = min(groups, max(1, (held["keys"] or 0) // (groups * MESSAGE_KEYS)))
+    keys = materialize(blocks.mapInArrow(_seen(homes), "to long, `group` long, k binary, c binary, n binary, s binary")
+                       .groupBy("to").applyInArrow(_keys_of(homes), _KEYS), "lm-keys")
+    release_shuffles(spark)
+    words = sums(keys.filter(F.col("to") >= homes), "sum_c", "keys", "ones", "twos")
     tokens, v = int(words["sum_c"] or 0), int(words["keys"] or 0)
-    d1, d0 = _discount(*sums(blocks, "ones", "twos")), _discount(words["ones"], words["twos"])
+    d1, d0 = _discount(held["ones"], held["twos"]), _discount(words["ones"], words["twos"])
     seats, unknown, base = None, [], 1.0 / (v + 1)
     for s in range(SWEEPS + 1):
-        r = sums(keys.filter(F.col("to") >= groups), "sum_n", "sum_t")
+        r = sums(keys.filter(F.col("to") >= homes), "sum_n", "sum_t")
         n0, new = float(r["sum_n"] or 0), (STRENGTH + d0 * float(r["sum_t"] or 0)) * base
         scalars, count, old = (d1, d0, new, n0), s > BURN_IN, [keys]
         if count:
             unknown.append(new / (STRENGTH + n0))
         if s < SWEEPS:
-            told = keys.mapInArrow(_told(groups, scalars), _ANSWER)
+            told = keys.mapInArrow(_told(homes, scalars), _ANSWER)
             if seats is not None:
                 old.append(seats)
-                told = told.unionByName(seats.select("to", "t", "sum").mapInArrow(_kept_seats, _ANSWER))
+                told = told.unionByName(_kept(seats))
             seats = materialize(blocks.groupBy("to").cogroup(told.groupBy("to"))
-                                .applyInArrow(_seated(groups, d1, seed + s, count), _SEATS), "lm-seats")
+                                .applyInArrow(_seated(homes, d1, seed + s, count), _SEATS), "lm-seats")
             release_shuffles(spark)
             tables = seats.select("to", "homes", "ends", "tables").mapInArrow(_tables_sent, "to long, `group` long, t binary")
             keys = materialize(keys.groupBy("to").cogroup(tables.groupBy("to"))
-                               .applyInArrow(_reseated(groups, scalars, seed + s, count), _KEYS), "lm-keys")
+                               .applyInArrow(_reseated(homes, scalars, seed + s, count), _KEYS), "lm-keys")
         else:
-            keys = materialize(keys.mapInArrow(_ended(groups, scalars), _KEYS), "lm-keys")
+            keys = materialize(keys.mapInArrow(_ended(homes, scalars), _KEYS), "lm-keys")
         discard(*old)
         release_shuffles(spark)
-    return Model(blocks, seats, keys, d1, unknown, tokens, v, groups, hot)
+    return Model(blocks, seats, keys, d1, unknown, tokens, v, groups, homes, hot)
 
 
 def _list_of(model: Model):
@@ -565,7 +598,7 @@ def _asker(bc, groups: int, hot, part: int):
             texts = len(size)
             doc = np.repeat(np.arange(texts), size)
             key = _pair_key(u, w)
-            order = np.argsort(key)
+            order = _order(key)
             first = _starts(key[order])
             times = np.diff(np.append(first, len(key)))
             key, u, w, doc = key[order[first]], u[order[first]], w[order[first]], doc[order]
@@ -594,7 +627,7 @@ _SUMS = ("chunk long, doc_id binary, flags binary, n_tokens binary, place binary
          "new_place binary, new_u binary, new_w binary")
 
 
-def _scorer(groups: int, d1: float, per_token: float):
+def _scorer(homes: int, d1: float, per_token: float):
     """Sums over the known pairs of each document that asks; its other pairs."""
     def run(left, right):
         texts = _of_kind(right, TEXTS)
@@ -603,7 +636,7 @@ def _scorer(groups: int, d1: float, per_token: float):
         if not asked.num_rows:
             return _table(out, _SUMS)
         if left.num_rows:
-            g, p, wc = _probabilities(left, right, groups, d1)
+            g, p, wc = _probabilities(left, right, homes, d1)
             codes = g.of.astype(np.int64) * len(g.w) + g.at
             log_p, log_base = np.log10(p), np.log10((wc + 0.1) / per_token)
         for x in asked.to_pylist():
@@ -669,7 +702,7 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
         some = rows.filter(F.pmod(F.xxhash64("text", "doc_id"), F.lit(ROUNDS)) == part)
         asked = some.mapInArrow(_asker(bc, model.groups, model.hot, part), _ANSWER).unionByName(model.told())
         found = materialize(model.blocks.groupBy("to").cogroup(asked.groupBy("to"))
-                            .applyInArrow(_scorer(model.groups, model.d1, per_token), _SUMS), "lm-scores")
+                            .applyInArrow(_scorer(model.homes, model.d1, per_token), _SUMS), "lm-scores")
         release_shuffles(spark)
         one = materialize(found.drop("new_place", "new_u", "new_w").groupBy("chunk").applyInArrow(_summed, _TEXT), "lm-texts")
         new = materialize(found.filter("new_place is not null").select("chunk", "new_place", "new_u", "new_w")
